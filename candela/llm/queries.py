@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import langid, minmax_dedup, mixing, packing, pii
+from candela.llm import extraction, langid, media, minmax_dedup, mixing, packing, pii, quality, simhash
 from candela.llm.common import documents
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.half_edits(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = langid.held_out()
     out = langid.identify(documents(spark, sf_dir), ~held)
@@ -23,6 +27,11 @@ def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(documents(spark, sf_dir), labels).select("doc_id", "quality.*")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = documents(spark, sf_dir).select("doc_id", pii.find_pii(F.col("text")).alias("found"))
 
@@ -36,6 +45,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(digest(pii.BASE).cast("binary"), 256).alias("base_sha256"), digest(pii.KINDS).alias("spans"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(documents(spark, sf_dir))
+
+
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -46,5 +63,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_mixing, op5_minmax_dedup, op7_pii, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_language_id, op4_mixing, op5_minmax_dedup, op6_quality, op7_pii, op8_media, op9_extraction, op10_packing, pipeline)}
 ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
