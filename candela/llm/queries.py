@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import extraction, langid, media, minmax_dedup, mixing, packing, pii, quality, simhash
+from candela.llm import extraction, langid, media, minmax_dedup, mixing, packing, pii, quality, simhash, suffix_dedup
 from candela.llm.common import documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.half_edits(documents(spark, sf_dir))
 
@@ -63,5 +67,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language_id, op4_mixing, op5_minmax_dedup, op6_quality, op7_pii, op8_media, op9_extraction, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_language_id, op4_mixing, op5_minmax_dedup, op6_quality, op7_pii, op8_media, op9_extraction, op10_packing, pipeline)}
 ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
