@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from functools import lru_cache
 from typing import NamedTuple
@@ -25,6 +26,8 @@ CAPACITY = 1024
 END = 2
 #: Pieces of a length that are ranked in one task.
 RANKED = 100_000
+#: Pre-tokens whose ids a worker remembers.
+MOST_WORDS = 800_000
 
 
 class Slot(NamedTuple):
@@ -132,6 +135,13 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[Slot]:
     return slots
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters by which byte-level BPE writes bytes: printable ones stand for themselves, others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
+
+
 class Ids(dict):
     """Token ids of pre-tokens as little-endian 32-bit bytes; byte-level BPE never crosses a pre-token."""
 
@@ -140,21 +150,20 @@ class Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = byte_letters()
         letters = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[0-9]+| ?[^\s{letters}0-9]+|\s+(?!\S)|\s+").findall
         self.unusual = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]").search
 
     def encode(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        out = self.encode(word)
-        if len(word) < 64:
-            if len(self) > 400_000:
-                self.clear()
-            self[word] = out
+        """A pre-token goes straight to the tokenizer's model, which takes bytes written as characters."""
+        out = array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self) > MOST_WORDS:
+            self.clear()
+        self[word] = out
         return out
 
     def of(self, text: str) -> bytes:
