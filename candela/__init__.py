@@ -1,0 +1 @@
+"""Market-bar analytics on Spark."""
