@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -46,3 +47,10 @@ def score_range(v: Column, ideal_low: float, ideal_high: float, low: float, high
 def rounded(columns: list[str], digits: int = 6) -> list[Column]:
     """Rounded columns; adding zero makes a negative zero positive."""
     return [(F.round(c, digits) + lit(0)).alias(c) for c in columns]
+
+
+def typed(rows: list[dict], schema: str) -> pd.DataFrame:
+    """Records as a frame of a flat schema's columns; missing values are nulls, and no record at all is an empty frame."""
+    kinds = {"long": "Int64", "int": "Int32", "double": "Float64"}
+    fields = [x.split() for x in schema.split(", ")]
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=kinds.get(kind, object)) for c, kind in fields})

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.functions.series import full, lit, prior, score_range
+from candela.functions.series import full, lit, prior, score_range, typed
 from candela.operators.pivots import Pivot, extend
 
 MIN_BARS = 260
@@ -246,6 +246,12 @@ def box_breakout(b: Bars, i: int, tolerance: float) -> dict | None:
 DETECTORS: dict[str, Callable[[Bars, int, float], dict | None]] = {f.__name__: f for f in (trend_pullback, ma_rebound, w_bottom, m_neckline, box_breakout)}
 
 
+def _known(v):
+    """None for a missing number; Python's own types for NumPy's."""
+    v = v.item() if isinstance(v, np.generic) else v
+    return None if isinstance(v, float) and v != v else v
+
+
 def scan(rows: pd.DataFrame, found: list[Pivot], patterns: tuple[str, ...] = tuple(DETECTORS), tolerance: float = 0.015, swing: float = 0.03, min_score: float = 0.6) -> list[dict]:
     """Signals of one symbol's ascending rows, given its pivots in the order of their confirmation."""
     b, out, rests, at = Bars(rows), [], {}, 0
@@ -263,13 +269,12 @@ def scan(rows: pd.DataFrame, found: list[Pivot], patterns: tuple[str, ...] = tup
             if signal and round(signal["score"], 3) >= min_score:
                 rests[pattern] = i
                 base = {"symbol": symbol, "date": dates[i], "pattern": pattern, "close": round(b.close[i], 3), "fib_level": "", "break_days": 0, "break_depth": 0.0, "macd_div": 0}
-                out.append(base | {c: b.columns[c][i] for c in CARRIED} | {c: int(b.columns[c][i]) for c in FLAGS} | signal | {"score": round(signal["score"], 3)})
+                out.append(base | {c: _known(b.columns[c][i]) for c in CARRIED} | {c: int(b.columns[c][i]) for c in FLAGS} | {k: _known(v) for k, v in signal.items()} | {"score": round(signal["score"], 3)})
     return out
 
 
 def detect(factors: DataFrame, patterns: tuple[str, ...] = tuple(DETECTORS), min_score: float = 0.6) -> DataFrame:
     """Signals of all symbols; ``factors`` has all indicators and factors.  Symbols too short, or without a candidate bar, never reach Python."""
-    names = [x.split()[0] for x in SIGNAL.split(", ")]
     needed = [c for c in dict.fromkeys(["symbol", "date", "open", "high", "low", "close", "volume", "MA5", "MA20", "MA60", "MA120", "MA250", "VOL_MA5", "DIF", "is_yang", "above_ma5", "break_high5", "break_close40", *CARRIED, *FLAGS])]
     gate = factors.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_yang").alias("any")).where(F.col("any") & (F.col("n") >= MIN_BARS)).select("symbol")
     flags = [F.col(c).cast("int").alias(c) if c in ("is_yang", "above_ma5", "break_high5", "break_close40") else F.col(c) for c in needed]
@@ -277,11 +282,7 @@ def detect(factors: DataFrame, patterns: tuple[str, ...] = tuple(DETECTORS), min
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date", ignore_index=True)
         found = local_extremes(rows["high"].to_numpy(float), rows["low"].to_numpy(float))
-        signals = scan(rows, found, patterns, min_score=min_score)
-        out = pd.DataFrame(signals, columns=names)
-        for c in (x.split()[0] for x in SIGNAL.split(", ") if x.endswith(" int")):
-            out[c] = out[c].astype("Int32")
-        return out
+        return typed(scan(rows, found, patterns, min_score=min_score), SIGNAL)
 
     return factors.join(gate, "symbol", "left_semi").select(*flags).groupBy("symbol").applyInPandas(run, SIGNAL)
 

@@ -29,11 +29,11 @@ def cte(name: str, needs: tuple[str, ...], body: str) -> None:
 cte("bars", (), f"""
   SELECT symbol, date, open, greatest(open, close) * (1 + x * 0.2::DOUBLE) AS high, least(open, close) * (1 - x * 0.2::DOUBLE) AS low, close, volume, amount
   FROM (SELECT *, coalesce(lag(close) {W}, 100::DOUBLE) AS open
-        FROM (SELECT *, 100::DOUBLE * exp(sum((r - 0.05::DOUBLE) * 0.6::DOUBLE) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)) AS close
+        FROM (SELECT *, 100::DOUBLE * exp(round(sum((r - 0.05::DOUBLE) * 0.6::DOUBLE) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 9)) AS close
               FROM (SELECT l_suppkey AS symbol, l_shipdate::DATE AS date, sum(l_quantity) AS volume, round(avg(l_discount), 9) AS r, round(avg(l_tax), 9) AS x, sum(l_extendedprice) AS amount
                     FROM lineitem GROUP BY ALL)))""")
 cte("changed", ("bars",), f"""
-  SELECT *, (close - lag(close) {W}) / nullif(lag(close) {W}, 0) * 100 AS change_rate, (high - low) / nullif(lag(close) {W}, 0) * 100 AS amplitude,
+  SELECT *, round((close - lag(close) {W}) / nullif(lag(close) {W}, 0) * 100, 9) AS change_rate, (high - low) / nullif(lag(close) {W}, 0) * 100 AS amplitude,
          volume / nullif(sum(volume) OVER (PARTITION BY symbol), 0) * 100 AS turnover FROM bars""")
 cte("ind", ("changed",), f"""
   SELECT *, volume / nullif(VOL_MA5, 0) AS VOL_RATIO5, volume / nullif(VOL_MA20, 0) AS VOL_RATIO20, ATR14 / nullif(close, 0) AS ATR_PCT,

@@ -22,7 +22,7 @@ def daily_bars(lineitem: DataFrame) -> DataFrame:
         F.sum("l_quantity").alias("volume"), F.round(F.avg("l_discount"), 9).alias("r"), F.round(F.avg("l_tax"), 9).alias("x"), F.sum("l_extendedprice").alias("amount")
     )
     walk = F.sum((F.col("r") - lit(0.05)) * lit(0.6)).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    closed = day.withColumn("close", lit(100) * F.exp(walk))
+    closed = day.withColumn("close", lit(100) * F.exp(F.round(walk, 9)))  # rounded, so that equal moves give equal prices
     opened = closed.withColumn("open", F.coalesce(F.lag("close").over(by_symbol()), lit(100)))
     high = F.greatest("open", "close") * (lit(1) + F.col("x") * lit(0.2))
     low = F.least("open", "close") * (lit(1) - F.col("x") * lit(0.2))
@@ -39,7 +39,7 @@ def with_change(frame: DataFrame) -> DataFrame:
     total = F.sum("volume").over(Window.partitionBy("symbol"))
     return frame.select(
         "*",
-        (ratio(F.col("close") - before, before) * lit(100)).alias("change_rate"),
+        F.round(ratio(F.col("close") - before, before) * lit(100), 9).alias("change_rate"),
         (ratio(F.col("high") - F.col("low"), before) * lit(100)).alias("amplitude"),
         (ratio(F.col("volume"), total) * lit(100)).alias("turnover"),
     )
