@@ -1,0 +1,185 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from candela.llm import extraction, html, langid, pii, quality, simhash
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(docs, ~langid.held_out()).where(langid.held_out()).select("lang", "language_id.*").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+    assert not any(r.rejected for r in rows) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_awkward(awkward, empty):
+    rows = langid.identify(awkward).select("doc_id", "language_id.*").collect()
+    assert len(rows) == 11
+    assert {r.doc_id for r in rows if r.lang_pred == "und"} == {1, 2, 3, 5}
+    assert all(r.rejected and r.score == 0 for r in rows if r.lang_pred == "und")
+    assert langid.identify(empty).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    texts = {0: "the cat sat on the mat and the dog sat too", 1: "der hund und die katze sind da und hier"}
+    keys = [(lang, g) for lang, t in texts.items() for g in langid.grams(t)]
+    lang, key = np.array([k[0] for k in keys]), np.array([k[1] for k in keys], np.uint64)
+    both, counts = np.unique((lang.astype(np.uint64) << np.uint64(50)) | key, return_counts=True)
+    model = langid.Model(["en", "de"], (both >> np.uint64(50)).astype(int), both & np.uint64((1 << 50) - 1), counts)
+    symbols = np.unique(np.concatenate([langid.symbols(t) for t in texts.values()]))
+    context = np.uint64((ord("t") << 20) | (ord("h") << 10) | ord("e")) << np.uint64(10)
+    total = model.of(4, context | symbols).sum(0)
+    assert np.all(total <= 1 + 1e-6) and np.all(total > 1 - 2 * model.base)
+    assert model.predict(["the dog"]).lang_pred[0] == "en" and model.predict(["die hunde"]).lang_pred[0] == "de"
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"\D", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+@pytest.mark.parametrize("alphabet", ["ab@.-", "0123.", "12 -", "+1()- .2", "a@b.c1+2 -(4)."])
+def test_base_spans_match_patterns(alphabet):
+    rng = np.random.default_rng(len(alphabet))
+    for _ in range(400):
+        text = "".join(rng.choice(list(alphabet), rng.integers(0, 60)))
+        assert [s for s in pii.spans(text) if s[0] in pii.BASE] == base_spans(text), text
+
+
+def test_base_spans_on_documents(spark, sample):
+    for r in spark.read.parquet(f"{sample}/documents.parquet").collect():
+        assert [s for s in pii.spans(r.text) if s[0] in pii.BASE] == base_spans(r.text)
+
+
+def test_added_spans_and_redaction(awkward, empty):
+    text = "login https://me:secret@host.org password=abc123 card 4111 1111 1111 1111, a.b@c.de"
+    kinds = [k for k, _, _ in pii.spans(text)]
+    assert {"card", "email", "credential", "url_login"} <= set(kinds)
+    assert pii.redact(text).endswith("card <card>, <email>") and pii.redact(None) is None and pii.redact("") == ""
+    out = {(r.doc_id, r.n_chars) for r in pii.redact_pii(awkward).collect()}
+    assert (1, None) in out and (2, 0) in out and len(out) == 10
+    assert pii.redact_pii(empty).count() == 0
+
+
+def test_simhash_brute_force(spark, sample):
+    import xxhash
+
+    docs = spark.read.parquet(f"{sample}/documents.parquet").where("doc_id < 25")
+    got = {r.doc_id: r for r in simhash.half_edits(docs).collect()}
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+
+    def chain(a, b=None):
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        return h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+
+    def fingerprint(text):
+        words = re.split("[ \t\n\x0b\f\r]+", text.strip(" \t\n\x0b\f\r"))
+        votes, total = np.zeros(128, np.int64), 0
+        for a, b in zip(words, [*words[1:], None], strict=True):
+            w = min(31, len(a) + len(b or ""))
+            one = chain(a, b)
+            two = xxhash.xxh64_intdigest(one.to_bytes(8, "little"), 42)
+            votes += w * np.array([(h >> i) & 1 for h in (one, two) for i in range(64)])
+            total += w
+        bits = votes * 2 > total
+        return "".join(f"{sum(1 << i for i in range(64) if bits[64 * k + i]):016x}" for k in range(2))
+
+    for i, text in enumerate(texts):
+        follow = texts[(i + 1) % len(texts)]
+        edited = text[: len(text) - len(text) // 2] + follow[: len(text) // 2]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        prints = [fingerprint(t) for t in (text, edited, follow)]
+        assert (r.fingerprint, r.edited_fingerprint) == tuple(prints[:2])
+        near = [1 - bin(int(prints[0], 16) ^ int(p, 16)).count("1") / 128 for p in prints[1:]]
+        assert np.allclose([r.near_edited, r.near_next], near)
+
+
+def test_simhash_order_and_pairs(spark, awkward, empty, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW_IDS", 2)
+    ids = [5, 3, 1 << 40, (1 << 40) + 1, -(1 << 62), 2000, 70_000_000]
+    got = {r.id: r.next_id for r in simhash.following(spark.createDataFrame([(i,) for i in ids], "id long")).collect()}
+    order = sorted(ids)
+    assert got == dict(zip(order, [*order[1:], None], strict=True))
+    assert simhash.half_edits(awkward).count() == 11 and simhash.half_edits(empty).count() == 0
+    rng = np.random.default_rng(2)
+    prints = [int(x) for x in rng.integers(0, 2**62, 30)]
+    prints += [prints[i] ^ (1 << (7 * i)) ^ (1 << 3) for i in range(8)] + [prints[0]]
+    frame = spark.createDataFrame([(i, p, 0) for i, p in enumerate(prints)], "id long, hi long, lo long")
+    got = {(r.a, r.b, r.distance) for r in simhash.near_pairs(frame, 3).collect()}
+    kinds = {}
+    for i, p in enumerate(prints):
+        kinds.setdefault(p, i)
+    want = {(a, b, bin(p ^ q).count("1")) for p, a in kinds.items() for q, b in kinds.items() if a < b and bin(p ^ q).count("1") <= 3}
+    assert got == want and len(want) >= 8
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href=/>Home</a></header>
+<nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav><div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; line</h1><p><b>First   para<br>graph.<p>Second one, with <a href=x>a link</a> inside.</article>
+<section id="comments"><p>Nice article, thanks!</p></section><aside>Related things</aside><form><label>Mail</label><input></form><footer>&copy; 2020</footer></body></html><p unfini"""
+
+
+def test_extraction_keeps_the_article():
+    weights = extraction.fit(np.zeros((0, len(extraction.FEATURES))), np.zeros(0))
+    assert extraction.main_text(PAGE, weights) == "Head & line First para graph. Second one, with a link inside."
+    for page in (None, "", "<", "<p", "</", "&", "<!--", "<p>" * 500):
+        assert extraction.main_text(page, weights) == ""
+
+
+def test_extraction_query(spark, sample):
+    pages = spark.read.parquet(f"{sample}/pages.parquet")
+    for r in extraction.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        inner = re.sub(r"<[^>]*$", "", re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1])
+        import html as std
+
+        want = " ".join(std.unescape(re.sub(r"<(?:/?p|/?h1|br)>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+        assert (r.text, r.n_chars) == (want, len(want))
+    nothing = pages.limit(0)
+    assert extraction.extract(nothing).count() == 0
+
+
+def test_min_cut_is_minimal():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(1, 9))
+        source, sink = rng.integers(0, 20, n).tolist(), rng.integers(0, 20, n).tolist()
+        ties = [(i, i + 1, int(rng.integers(0, 10))) for i in range(n - 1)]
+
+        def cost(keep):
+            return sum(sink[i] if keep[i] else source[i] for i in range(n)) + sum(c for a, b, c in ties if keep[a] != keep[b])  # noqa: B023
+
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert cost(extraction.min_cut(source, sink, ties)) == best
+
+
+def test_blocks_keep_order_and_captions():
+    found = html.blocks('<p>a</p><figure><img src="sha256:AB" alt="x"><figcaption>cap</figcaption></figure><p>b</p><img src=u.png alt=alone>')
+    assert [(b.text, b.src, b.caption) for b in found] == [("a", None, ""), ("", "sha256:AB", "cap"), ("cap", None, ""), ("b", None, ""), ("", "u.png", "alone")]
+
+
+def test_quality_held_out(spark, awkward, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    train, test = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
+    rows = quality.score(docs, train).join(test.withColumnRenamed("quality", "y"), "doc_id").select("y", "quality.score").collect()
+    assert np.mean([(r.score >= 0.5) == (r.y == 1) for r in rows]) > 0.95
+    marks = spark.createDataFrame([(6, 1), (7, 0), (7, 1), (99, 1), (4, None)], "doc_id long, quality int")
+    assert quality.score(awkward, marks).where(F.col("quality.score").between(0, 1)).count() == 11
+    assert quality.score(awkward, marks.limit(0)).count() == 11 and quality.score(empty, marks).count() == 0
