@@ -80,7 +80,7 @@ def test_plan_is_valid_and_near_optimal():
                 at += size
             assert at <= 1024
         if n == 2000:
-            assert len(sequences) <= 1.01 * -(-sum(k * v for k, v in lengths.items()) // 1024) + 2, trial
+            assert len(sequences) <= 1.01 * lower_bound(lengths, 1024) + 1, trial
 
 
 def test_dominance_is_optimal_on_small_instances():
