@@ -1,6 +1,6 @@
 """Queries by name, and the SQL that checks them."""
 
-from candela.plans import analysis, market
+from candela.plans import analysis, extras, market
 from candela.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "market"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "extras", "market"]

@@ -50,9 +50,20 @@ def pivot_events(spark, d):
     return pv.pivots(src.bars(spark, d)).select("symbol", "date", "idx", "typ", F.round("price", 6).alias("price"), "confirm")
 
 
-@query()
+def _fold(swing: float) -> str:
+    """The zigzag as a recursion over pivots; the state after each says which point is last and how many there are."""
+    step = f"CASE WHEN s.typ = p.typ THEN CASE WHEN (p.typ = 'H' AND p.price > s.price) OR (p.typ = 'L' AND p.price < s.price) THEN 1 ELSE 0 END WHEN abs(p.price / s.price - 1) >= {swing}::DOUBLE THEN 2 ELSE 0 END"
+    return f"""p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confirm, idx, typ) AS k FROM pivots),
+ s(symbol, k, idx, typ, price, confirm, ordinal) AS (SELECT symbol, k, idx, typ, price, confirm, 0 FROM p WHERE k = 1 UNION ALL
+   SELECT symbol, k, CASE WHEN how > 0 THEN i2 ELSE idx END, CASE WHEN how > 0 THEN t2 ELSE typ END, CASE WHEN how > 0 THEN p2 ELSE price END, CASE WHEN how > 0 THEN c2 ELSE confirm END, ordinal + CASE WHEN how = 2 THEN 1 ELSE 0 END
+   FROM (SELECT p.symbol, p.k, s.idx, s.typ, s.price, s.confirm, s.ordinal, p.idx AS i2, p.typ AS t2, p.price AS p2, p.confirm AS c2, {step} AS how FROM s JOIN p ON p.symbol = s.symbol AND p.k = s.k + 1)),
+ line AS (SELECT symbol, ordinal, arg_max(idx, k) AS idx, arg_max(typ, k) AS typ, arg_max(price, k) AS price, arg_max(confirm, k) AS confirm FROM s GROUP BY symbol, ordinal),
+ legs_ AS (SELECT * FROM (SELECT symbol, ordinal, idx AS start_idx, price AS start_price, lead(idx) OVER w AS end_idx, lead(price) OVER w AS end_price, lead(confirm) OVER w AS confirm FROM line WINDOW w AS (PARTITION BY symbol ORDER BY ordinal)) WHERE end_idx IS NOT NULL)"""
+
+
+@query(with_ctes("SELECT symbol, ordinal, idx, typ, round(price, 6) AS price, confirm FROM line", "pivots", recursive=_fold(0.03)))
 def zigzag(spark, d):
-    return pv.zigzag(pv.pivots(src.bars(spark, d)))
+    return pv.zigzag(pv.pivots(src.bars(spark, d))).select("symbol", "ordinal", "idx", "typ", F.round("price", 6).alias("price"), "confirm")
 
 
 @query()
@@ -64,14 +75,14 @@ def _line(spark, d):
     return pv.zigzag(pv.pivots(src.bars(spark, d)), 0.04)
 
 
-@query()
+@query(with_ctes("SELECT symbol, ordinal, start_idx, end_idx, confirm, end_idx - start_idx AS bars, CASE WHEN end_price > start_price THEN 'up' ELSE 'down' END AS direction, round(end_price / start_price - 1, 6) AS pct FROM legs_", "pivots", recursive=_fold(0.04)))
 def legs(spark, d):
-    return pv.legs(_line(spark, d))
+    return pv.legs(_line(spark, d)).select("symbol", "ordinal", "start_idx", "end_idx", "confirm", "bars", "direction", F.round("pct", 6).alias("pct"))
 
 
-@query()
+@query(with_ctes("SELECT symbol, start_idx, end_idx, position, round(pct, 6) AS pct FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(pct) DESC, end_idx - start_idx DESC, end_idx DESC) AS position FROM (SELECT *, end_price / start_price - 1 AS pct FROM legs_ WHERE end_idx - start_idx >= 3)) WHERE position <= 5", "pivots", recursive=_fold(0.04)))
 def anchors(spark, d):
-    return pv.anchors(pv.legs(_line(spark, d)))
+    return pv.anchors(pv.legs(_line(spark, d))).select("symbol", "start_idx", "end_idx", "position", F.round("pct", 6).alias("pct"))
 
 
 @query()
@@ -96,6 +107,7 @@ def fib_turns(spark, d):
 
 @query()
 def double_patterns(spark, d):
+    """W and M skeletons with what became of them."""
     return pv.double_patterns(_line(spark, d), src.bars(spark, d))
 
 
