@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.series import full, lit, prior, score_range, typed
@@ -276,7 +276,8 @@ def scan(rows: pd.DataFrame, found: list[Pivot], patterns: tuple[str, ...] = tup
 def detect(factors: DataFrame, patterns: tuple[str, ...] = tuple(DETECTORS), min_score: float = 0.6) -> DataFrame:
     """Signals of all symbols; ``factors`` has all indicators and factors.  Symbols too short, or without a candidate bar, never reach Python."""
     needed = [c for c in dict.fromkeys(["symbol", "date", "open", "high", "low", "close", "volume", "MA5", "MA20", "MA60", "MA120", "MA250", "VOL_MA5", "DIF", "is_yang", "above_ma5", "break_high5", "break_close40", *CARRIED, *FLAGS])]
-    gate = factors.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_yang").alias("any")).where(F.col("any") & (F.col("n") >= MIN_BARS)).select("symbol")
+    whole = Window.partitionBy("symbol")
+    gated = factors.select(*needed, F.count(F.lit(1)).over(whole).alias("_n"), F.max("is_yang").over(whole).alias("_any")).where(F.col("_any") & (F.col("_n") >= MIN_BARS))
     flags = [F.col(c).cast("int").alias(c) if c in ("is_yang", "above_ma5", "break_high5", "break_close40") else F.col(c) for c in needed]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -284,7 +285,7 @@ def detect(factors: DataFrame, patterns: tuple[str, ...] = tuple(DETECTORS), min
         found = local_extremes(rows["high"].to_numpy(float), rows["low"].to_numpy(float))
         return typed(scan(rows, found, patterns, min_score=min_score), SIGNAL)
 
-    return factors.join(gate, "symbol", "left_semi").select(*flags).groupBy("symbol").applyInPandas(run, SIGNAL)
+    return gated.select(*flags).groupBy("symbol").applyInPandas(run, SIGNAL)
 
 
 def local_extremes(high: np.ndarray, low: np.ndarray, left: int = 5, right: int = 5) -> list[Pivot]:

@@ -348,12 +348,12 @@ def sector_alignment(spark, d):
 
 @query(with_ctes("SELECT symbol, CASE WHEN MA5 > MA10 AND MA10 > MA20 AND MA20 > MA60 THEN 'bullish' WHEN MA5 < MA10 AND MA10 < MA20 THEN 'bearish' WHEN MA5 > MA20 THEN 'leaning_up' ELSE 'tangled' END AS arrangement, CASE WHEN p IS NULL THEN 'unknown' WHEN p > 90 THEN 'at_upper' WHEN p > 70 THEN 'upper_part' WHEN p < 10 THEN 'at_lower' WHEN p < 30 THEN 'lower_part' ELSE 'middle' END AS boll_status, CASE WHEN p5 IS NULL THEN 'unknown' WHEN p5 > 3 AND p20 > 0 THEN 'strong_rise' WHEN p5 < -3 AND p20 < 0 THEN 'steady_fall' WHEN p5 > 0 THEN 'recovering' WHEN p5 < 0 THEN 'pulling_back' ELSE 'sideways' END AS direction FROM (SELECT *, (close - BOLL_LOWER) / nullif(BOLL_UPPER - BOLL_LOWER, 0) * 100 AS p, RETURN_5 * 100 AS p5, RETURN_20 * 100 AS p20, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM ind) WHERE rn = 1", "ind"))
 def report_ladders(spark, d):
-    return research.report(research.last_rows(ta.exponential_indicators(ta.native_indicators(src.bars(spark, d))))).select("symbol", "arrangement", "boll_status", "direction")
+    return research.report(research.last_rows(ta.all_indicators(src.bars(spark, d)))).select("symbol", "arrangement", "boll_status", "direction")
 
 
 @query()
 def stock_report(spark, d):
-    return research.report(research.last_rows(ta.exponential_indicators(ta.native_indicators(src.bars(spark, d)))))
+    return research.report(research.last_rows(ta.all_indicators(src.bars(spark, d))))
 
 
 @query("SELECT event_id, try_cast(props->>'k' AS BIGINT) AS k FROM events")
