@@ -26,8 +26,8 @@ CAPACITY = 1024
 END = 2
 #: Pieces of a length that are ranked in one task.
 RANKED = 100_000
-#: Pre-tokens whose ids a worker remembers.
-MOST_WORDS = 800_000
+#: Pre-tokens whose ids a worker remembers within a task, and beyond one: workers go on to other stages with what they hold.
+MOST_WORDS, KEPT_WORDS = 300_000, 60_000
 
 
 class Slot(NamedTuple):
@@ -195,10 +195,13 @@ def _pieces(path: str, capacity: int, end: int):
     tail = end.to_bytes(4, "little")
 
     def run(batches):
-        of = _ids(path).of
+        ids = _ids(path)
+        of = ids.of
         for batch in batches:
             out = [(doc, *p) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for p in pieces_of(of(text.as_py() or "") + tail, capacity)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if len(ids) > KEPT_WORDS:
+            ids.clear()
 
     return run
 
