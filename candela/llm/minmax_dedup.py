@@ -11,6 +11,8 @@ then checked completely in blocks of bounded size, so no link between different
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -109,10 +111,10 @@ def block_links(labels: list, sides: list, sets: list[np.ndarray], link: int = L
     present = np.zeros(len(words), np.int32)
     side, found = np.array(sides), []
     names = np.array(labels)
-    common = pd.Series(labels).value_counts()
-    order = sorted(range(len(sets)), key=lambda i: common[labels[i]])
+    common = Counter(labels)
+    most = max(common, key=common.get)
+    order = sorted(range(len(sets)), key=lambda i: (labels[i] == most, common[labels[i]]))
     done = np.zeros(len(sets), bool)
-    most = common.index[0]
     for i in order:
         if labels[i] == most:  # all others have met the commonest label's members by now
             break

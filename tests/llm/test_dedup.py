@@ -111,6 +111,30 @@ def test_chain_beyond_leaders(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minmax_dedup.near_duplicates(docs).collect()} == want
 
 
+def joined(labels, pairs):
+    """The label that each label ends at when ``pairs`` are joined."""
+    root = {x: x for x in labels}
+    for a, b in pairs:
+        a, b = root[a], root[b]
+        root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("labels", [[7, 3, 5], [9, 3, 5, 3, 9], [4, 4, 2, 2, 6, 6, 1], [5, 5, 5], [8, 1, 1, 1, 8, 2], list(range(12, 0, -1))])
+@pytest.mark.parametrize("sided", [False, True])
+def test_block_links_match_brute_force(labels, sided):
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        bases = [rng.integers(0, 2**63, 40, dtype=np.uint64) for _ in range(2)]
+        sets = [np.unique(np.concatenate([bases[rng.integers(2)][rng.integers(0, 5) :], rng.integers(0, 2**63, rng.integers(0, 3), dtype=np.uint64)])) for _ in labels]
+        sides = rng.integers(0, 2, len(labels)).tolist() if sided else [0] * len(labels)
+        across = len(set(sides)) > 1
+        pairs = [(i, j) for i in range(len(labels)) for j in range(i) if labels[i] != labels[j] and not (across and sides[i] == sides[j])]
+        want = [(labels[i], labels[j]) for i, j in pairs if minmax_dedup.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+        got = minmax_dedup.block_links(labels, sides, sets)
+        assert joined(labels, got) == joined(labels, want) and len(got) < len(set(labels))
+
+
 def test_near_duplicates_awkward(awkward, empty):
     rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_duplicates(awkward).collect()]
     assert (1, 0, 1, True) in rows and (2, 0, 2, True) in rows and (4, 1, 4, True) in rows
