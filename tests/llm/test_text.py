@@ -36,6 +36,34 @@ def test_kneser_ney_sums_to_one():
     assert model.predict(["the dog"]).lang_pred[0] == "en" and model.predict(["die hunde"]).lang_pred[0] == "de"
 
 
+def test_trained_model_has_the_counts_of_all_types(spark):
+    texts = [("en", "the cat sat on the mat and the dog sat too"), ("en", "the other dog ran to the cat"), ("de", "der hund und die katze sind da und hier"), (None, "left out")]
+    langs = ["de", "en"]
+    keys = [(langs.index(lang), g) for lang, t in texts if lang for g in langid.grams(t)]
+    both, counts = np.unique(np.array([k[0] for k in keys], np.uint64) << np.uint64(50) | np.array([k[1] for k in keys], np.uint64), return_counts=True)
+    want = langid.Model(langs, (both >> np.uint64(50)).astype(int), both & np.uint64((1 << 50) - 1), counts)
+    got = langid.train(spark.createDataFrame(texts, "lang string, text string"), F.lit(True))
+    probe = np.concatenate([langid.grams(t) for _, t in texts] + [langid.grams("zebra thus hunde")])
+    assert got.langs == langs and np.allclose(got.of(4, probe), want.of(4, probe), rtol=1e-5)
+
+
+def test_small_language_keeps_its_model_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FLOOR", 1e-3, raising=False)
+    monkeypatch.setattr(langid, "MAX_GRAMS", 400, raising=False)  # the bound of all languages that there once was
+    rng = np.random.default_rng(5)
+    big = ["".join(rng.choice(list("abcdefg "), 400)) for _ in range(300)]
+    small = ["vuxo wyzu poro tuvu"] * 3
+    docs = spark.createDataFrame([("big", t) for t in big] + [("small", t) for t in small], "lang string, text string")
+    model = langid.train(docs, F.lit(True))
+    assert model.predict(["vuxo tuvu", "abacde gfedcb"])["lang_pred"].tolist() == ["small", "big"]
+    context = np.uint64((ord("v") << 20) | (ord("u") << 10) | ord("x")) << np.uint64(10)
+    assert model.of(4, np.array([context | np.uint64(ord("o"))]))[0, 1] > 0.3
+    a, b, c = (np.uint64(ord(x)) for x in "abc")
+    known = np.unique(np.concatenate([langid.symbols(t) for t in [*big, *small]]))
+    total = model.of(4, (a << np.uint64(30) | b << np.uint64(20) | c << np.uint64(10)) | known).sum(0)
+    assert np.all(total <= 1 + 1e-6) and np.all(total > 1 - 2 * model.base)  # what is left out goes to back-off
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
