@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return minmax_dedup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates: texts whose five-word shingles agree by 0.8 or more."""
+    return minmax_dedup.drop_near_duplicates(docs, link=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,6 +144,15 @@ def test_tokens_of_odd_texts():
         assert ids.of(text) == ids.encode(text)
 
 
+def test_pipeline_drops_near_duplicates_from_four_fifths(spark):
+    def text(name, start):
+        return " ".join(f"{name}{i}" for i in range(start, start + 200))
+
+    # 196 shingles each: 177 of 215 (0.82) are shared after 19 words, 171 of 221 (0.77) after 25
+    docs = spark.createDataFrame([(1, text("a", 0)), (2, text("a", 19)), (3, text("b", 0)), (4, text("b", 25))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4]
+
+
 def test_pipeline(spark, sample):
     docs = spark.read.parquet(f"{sample}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "personal_data", "mix_sources", "best_fit_packing"]
