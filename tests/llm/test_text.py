@@ -203,6 +203,20 @@ def test_blocks_keep_order_and_captions():
     assert [(b.text, b.src, b.caption) for b in found] == [("a", None, ""), ("", "sha256:AB", "cap"), ("cap", None, ""), ("b", None, ""), ("", "u.png", "alone")]
 
 
+def test_blocks_of_broken_markup():
+    def texts(page):
+        return [b.text for b in html.blocks(page) if b.text]
+
+    assert texts("<html><head>x<title>t</title></head><body><p>one<body><p>two") == ["one", "two"]
+    assert texts("<p>one<blockquote><body><p>two</body></blockquote>") == ["one", "two"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<p>next") == ["so x=2 holds", "next"]
+    assert texts("<p>so <math><mi>x</mi></p><p>next") == ["so x", "next"]
+    assert texts("<div><svg><path d=z>label</div><p>next") == ["next"]
+    assert texts("<p><svg><text>label</text><p>next") == ["next"]
+    assert texts("<div><template><div>row</div>more</div><p>next") == ["next"]
+    assert texts("<p>a<svg><g>x</g></svg>b<template><p>c</p></template>d") == ["a", "b", "d"]
+
+
 def test_quality_held_out(spark, awkward, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
