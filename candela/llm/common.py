@@ -5,19 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that ``materialise`` has written and ``release`` has not removed, in order.
+_written: list[str] = []
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that every executor sees; a local one is made only where none is configured."""
+    """The folder of ``spark.checkpoint.dir``, which every executor sees.
+
+    Where it is not set, a session in one process gets a temporary folder; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="candela-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
@@ -29,15 +37,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/candela/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in the list of materialised tables, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, start: int = 0, end: int | None = None) -> None:
+    """Remove the tables materialised between two marks; what was computed from them must have been written."""
+    end = len(_written) if end is None else end
+    for path in _written[start:end]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[start:end]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def utf8(column: str):
+def utf8(column: str) -> Column:
     """The text column with null as empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores after those that a table has already, whatever their case."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def drawn(share: Column | float, *keys: Column) -> Column:
+    """Whether a row is in a sample of about this share of the keys' values, by their hash: no sort, no shuffle."""
+    part = F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(1 << 53))
+    return part < share

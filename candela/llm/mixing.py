@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import checkpoint, utf8
+from candela.llm.common import checkpoint, free_names, utf8
 
 SEED = 17
 #: Without explicit targets a source's weight is its size to this power.
@@ -60,19 +60,23 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, b
 
     Documents without a source form a source of their own; texts that are null or empty count no characters but are
     drawn like others; sources without any character keep each document at rate 1.  Rows that repeat a doc_id draw the
-    same number.  An empty table gives an empty result.
+    same number; rows without a doc_id draw by their text.  Where ``docs`` has a column of one of the four names, the
+    added one has an underscore after it.  An empty table gives an empty result.
     """
     table = rates(docs, weights, budget)
-    n, steps = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("steps")), F.lit(0))).first()
-    if n <= BROADCAST_SOURCES and steps <= BROADCAST_STEPS:
+    n, steps_in_all = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("steps")), F.lit(0))).first()
+    kept = docs.columns
+    source, mean, steps, at, rate, copies, copy, order = free_names(kept, "source_key", "source_rate", "source_steps", "uniform", "rate", "copies", "copy", "shuffle_key")
+    table = table.toDF(source, mean, steps)
+    if n <= BROADCAST_SOURCES and steps_in_all <= BROADCAST_STEPS:
         table = F.broadcast(table)
     key = F.coalesce(F.col("source").cast("string"), F.lit(_NO_SOURCE))
-    kept = docs.columns
-    drawn = docs.withColumn("source_key", key).join(table, "source_key").withColumn("u", uniform(seed, F.col("doc_id")))
-    drawn = drawn.withColumn("copies", F.size(F.filter("steps", lambda s: s <= F.col("u"))))
-    drawn = drawn.where("copies > 0").select(*kept, "rate", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed + 1)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
-    return drawn.withColumn("shuffle_key", order).orderBy("shuffle_key", "doc_id", "copy")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(utf8("text").cast("binary"))))
+    taken = docs.withColumn(source, key).join(table, source).withColumn(at, uniform(seed, name))
+    taken = taken.withColumn(copies, F.size(F.filter(steps, lambda s: s <= F.col(at))))
+    taken = taken.where(F.col(copies) > 0).select(*kept, F.col(mean).alias(rate), copies, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy))
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed + 1)), name, F.col(copy).cast("string")).cast("binary"))
+    return taken.withColumn(order, shuffled).orderBy(order, "doc_id", copy)
 
 
 ORACLE_SQL = """
@@ -86,11 +90,12 @@ steps AS (
   FROM rates, range(0, 400) AS t(k) WHERE k <= rate + 12 * sqrt(rate) + 20),
 drawn AS (
   SELECT doc_id, coalesce(source, 'none') AS s, source,
-         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / pow(2, 52) AS u FROM documents),
+         ('0x' || substr(md5('17:' || name), 1, 13))::BIGINT / pow(2, 52) AS u, name
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS name FROM documents)),
 counted AS (
-  SELECT d.doc_id, d.source, st.rate, count(*) FILTER (WHERE st.cdf <= d.u) AS copies
-  FROM (SELECT *, row_number() OVER () AS r FROM drawn) d JOIN steps st ON d.s = st.s GROUP BY d.r, d.doc_id, d.source, st.rate)
+  SELECT d.doc_id, d.name, d.source, st.rate, count(*) FILTER (WHERE st.cdf <= d.u) AS copies
+  FROM (SELECT *, row_number() OVER () AS r FROM drawn) d JOIN steps st ON d.s = st.s GROUP BY d.r, d.doc_id, d.name, d.source, st.rate)
 SELECT doc_id, source, rate, copies::INTEGER AS copies, copy::INTEGER AS copy,
-       md5('18:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+       md5('18:' || name || ':' || copy) AS shuffle_key
 FROM counted, LATERAL (SELECT unnest(range(1, copies + 1)) AS copy)
 """
