@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 from functools import lru_cache
+from math import isqrt
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -24,8 +25,6 @@ from candela.llm.common import materialise
 
 CAPACITY = 1024
 END = 2
-#: Pieces of a length that are ranked in one task.
-RANKED = 100_000
 #: Pre-tokens whose ids a worker remembers within a task, and beyond one: workers go on to other stages with what they hold.
 MOST_WORDS, KEPT_WORDS = 300_000, 60_000
 
@@ -149,7 +148,8 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens stand for themselves wherever a text has them, so such texts are left to the tokenizer.
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content) or r"(?!)").search
         self.letters = byte_letters()
         letters = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[0-9]+| ?[^\s{letters}0-9]+|\s+(?!\S)|\s+").findall
@@ -167,7 +167,7 @@ class Ids(dict):
         return out
 
     def of(self, text: str) -> bytes:
-        if self.unusual(text):  # beyond Latin letters, splitting is left to the tokenizer
+        if self.unusual(text) or self.added(text):  # beyond Latin letters, splitting is left to the tokenizer
             return self.encode(text)
         return b"".join(map(self.__getitem__, self.split(text)))
 
@@ -217,7 +217,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     pieces = materialise(rows.mapInArrow(_pieces(path or tokenizer_path(), capacity, end), schema), "pieces")
     lengths = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     spark = docs.sparkSession
-    parts = spark.createDataFrame([(s, -(-n // RANKED)) for s, n in lengths.items()] or [(0, 1)], "length long, parts long")
+    # pieces of one length are ranked in as many parts as a part has pieces
+    parts = spark.createDataFrame([(s, isqrt(n - 1) + 1) for s, n in lengths.items()] or [(0, 1)], "length long, parts long")
     slots = spark.createDataFrame([tuple(x) for x in plan(lengths, capacity)] or [(0, 0, 0, 0, 0)], "length long, first_rank long, n long, first_sequence long, `offset` long")
     salted = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")))
     by_part = salted.groupBy("length", "part").count()
