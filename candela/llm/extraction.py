@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candela.llm.common import drawn
 from candela.llm.html import Block, attributes, blocks
 
-#: Bound on the pages whose blocks fit the classifier: those of the smallest hash of their address.
+#: About how many pages' blocks fit the classifier: those of the smallest hashes of id and address.
 TRAINING_PAGES = 500
 #: Weight of the ties: any neighbours, and neighbours under one parent beside that.
 ADJACENT, SIBLINGS = 0.4, 0.8
@@ -28,7 +29,7 @@ PRIOR_STRENGTH = 0.02
 _SCALE = 1000
 #: Words of class, id and role names that speak against and for content.
 AGAINST = frozenset(
-    "ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice sidebar menu nav navbar navigation footer breadcrumb breadcrumbs share sharing social related recommended comment comments reply replies respond disqus widget popup modal overlay subscribe newsletter login signin signup toolbar pagination pager disclaimer copyright contentinfo complementary search form dialog alert hidden masthead topbar".split()
+    "ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice sidebar rail menu nav navbar navigation footer breadcrumb breadcrumbs share sharing social related recommended teaser comment comments discussion discussions thread reply replies respond disqus widget popup modal overlay subscribe newsletter login signin signup toolbar pagination pager disclaimer copyright contentinfo complementary search form dialog alert hidden masthead topbar".split()
 )
 FOR = frozenset("article content post entry main story text body prose".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -49,9 +50,11 @@ def surroundings(line: tuple[tuple[str, str], ...]) -> tuple[bool, ...]:
     for tag, written in line:
         attrs = attributes(written)
         if tag not in ("html", "body"):
-            names = {w.lower() for k in ("class", "id", "role", "itemprop") for w in _WORDS.findall(attrs.get(k, ""))}
-            against |= bool(names & AGAINST)
-            for_ |= bool(names & FOR)
+            for name in (n for k in ("class", "id", "role", "itemprop") for n in attrs.get(k, "").split()):
+                # of a compound such as "article-share-content" the first and the last telling word count
+                telling = [w for w in map(str.lower, _WORDS.findall(name)) if w in AGAINST or w in FOR]
+                against |= bool(AGAINST & {*telling[:1], *telling[-1:]})
+                for_ |= bool(FOR & {*telling})
         hidden |= "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
     inner = tags[-1] if tags else ""
     outer = bool(_OUTER & set(tags))
@@ -175,9 +178,13 @@ def _examples(batches):
 
 
 def train(pages: DataFrame) -> np.ndarray:
-    sample = pages.where("html is not null").select("url", "html").orderBy(F.xxhash64("url", "html")).limit(TRAINING_PAGES).select("html")
-    rows = sample.mapInArrow(_examples, "y int, x array<double>").toPandas()
-    return fit(np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["y"].to_numpy(float))
+    """Weights fitted on the blocks of about ``TRAINING_PAGES`` pages, which each task picks by their hash alone."""
+    share = TRAINING_PAGES / max(pages.count(), TRAINING_PAGES)
+    chosen = pages.where(drawn(share, F.col("page_id"), F.col("url"))).groupBy("page_id", "url").agg(F.min("html").alias("html"))
+    rows = chosen.where("html is not null").select("html").mapInArrow(_examples, "y int, x array<double>").toPandas()
+    x, y = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["y"].to_numpy(float)
+    order = np.lexsort([y, *x.T])  # the same weights in whichever order the blocks came
+    return fit(x[order], y[order])
 
 
 def extract(pages: DataFrame) -> DataFrame:

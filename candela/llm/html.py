@@ -8,9 +8,8 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:"[^"]{0,4000}"|'[^']{0,4000}'|[^>"']|["'])*?(?:>|\Z)""", re.S
-)
+#: Comments, sections, declarations and tags; a quote in a tag counts after an equals sign, and one that is never closed does not.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?>[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*(?:>|\Z)""", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
