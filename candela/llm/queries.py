@@ -46,7 +46,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, pii.BASE), F.sha2(digest(pii.BASE).cast("binary"), 256).alias("base_sha256"), digest(pii.KINDS).alias("spans"))
+    added = [count(kind) for kind in pii.KINDS if kind not in pii.BASE]
+    return found.select(
+        "doc_id", *map(count, pii.BASE), F.sha2(digest(pii.BASE).cast("binary"), 256).alias("base_sha256"), digest(pii.KINDS).alias("spans"), *added, F.size("found").cast("long").alias("n_spans"),
+    )
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

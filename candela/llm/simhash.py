@@ -1,18 +1,21 @@
 """SimHash fingerprints and their near matches, with DataFrame functions only.
 
 Terms are pairs of neighbouring words, weighted by their length; 128 hash bits of each term vote with its weight.  Two
-vote counters of 32 bits share one long, so a fingerprint is 64 sums, and all run in generated code.
+vote counters of 32 bits share one long, so a fingerprint is 64 sums, and all run in generated code.  Permuted block
+tables find all fingerprints within a Hamming radius of the queries.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candela.llm.common import checkpoint, utf8
+from candela.llm.common import checkpoint, materialise, utf8
 
 BITS = 128
 #: Weights of terms lie between 1 and this.
@@ -20,6 +23,14 @@ MOST_WEIGHT = 31
 #: A text's terms start at words parted by these characters.
 _SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 _LANES = 0x0000000100000001
+#: Hamming radius of the search, and how many blocks beyond it the bits are cut into: a table leads with so many.
+RADIUS, SPARE = 6, 2
+#: Documents whose doc_id is divisible by this are queries of the search.
+QUERY_STEP = 50
+#: A slot of a table with more than this share of all fingerprints is dealt out over several tasks; there are few such.
+HOT_SLOT, LEAST_HOT = 1 / 1000, 1000
+#: Rows of one fingerprint are dealt over so many parts wherever rows, not fingerprints, are joined.
+DEALT = 64
 #: doc_ids that share all but so many low bits are put in order together.
 NEAR_IDS = 10
 #: So many ids are put in order in one task, and so many are broadcast; so many boundary texts are broadcast.
@@ -81,43 +92,82 @@ def following(ids: DataFrame, shift: int = NEAR_IDS) -> DataFrame:
     return stepped.where("next_id is not null").select("id", "next_id").unionByName(ends)
 
 
-def near_pairs(prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
-    """Pairs ``(a, b, distance)`` of different fingerprints ``prints(id, hi, lo)`` within ``radius`` bits, a < b.
-
-    The 128 bits are cut into ``radius + spare`` blocks.  Within the radius at least ``spare`` blocks agree whole, so
-    the table permuted to lead with those blocks puts the two side by side; there is a table for each choice of
-    ``spare`` blocks, which makes the search exact.  Ids with equal fingerprints are one class, known by its smallest id:
-    join ``prints`` on hi and lo for membership.
-    """
-    blocks = radius + spare
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-
-    def block(i: int) -> Column:
-        parts = []
+def _blocks(count: int) -> list[tuple[list[Column], list[Column]]]:
+    """For each of ``count`` blocks of the bits: its values in the halves it lies in, and whether a difference of prints is zero there."""
+    edges = [round(i * BITS / count) for i in range(count + 1)]
+    out = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        values, zero = [], []
         for half, base in (("lo", 0), ("hi", 64)):
-            a, b = max(edges[i], base), min(edges[i + 1], base + 64)
+            a, b = max(low, base), min(high, base + 64)
             if a < b:
                 mask = (1 << (b - a)) - 1
-                parts.append(F.shiftrightunsigned(half, a - base).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1).cast("long")))
-        return F.xxhash64(F.lit(i), *parts)
+                mask = F.lit(mask if mask < 1 << 63 else -1).cast("long")
+                values.append(F.shiftrightunsigned(half, a - base).bitwiseAND(mask))
+                zero.append(F.shiftrightunsigned(F.col(half).bitwiseXOR(F.col(f"query_{half}")), a - base).bitwiseAND(mask) == 0)
+        out.append((values, zero))
+    return out
+
 
-    classes = prints.where("id is not null").groupBy("hi", "lo").agg(F.min("id").alias("id"))
-    tables = F.array(*[F.xxhash64(F.lit(n), *[block(i) for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), spare))])
-    spread = classes.select("id", "hi", "lo", F.explode(tables).alias("slot"))
-    left, right = (spread.select("slot", F.col("id").alias(x), F.col("hi").alias(f"hi_{x}"), F.col("lo").alias(f"lo_{x}")) for x in "ab")
-    found = left.join(right, "slot").where("a < b").withColumn("distance", distance(*map(F.col, ("hi_a", "lo_a", "hi_b", "lo_b")))).where(F.col("distance") <= radius)
-    return found.select("a", "b", "distance").distinct()
+def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
+    """``(query_hi, query_lo, hi, lo, distance)``: all of ``prints`` that differ from a query in 1 to ``radius`` bits.
+
+    Both tables are of columns hi and lo; equal fingerprints count once, so the result has pairs of classes.  The bits
+    are cut into ``radius + spare`` blocks.  Within the radius at least ``spare`` blocks agree whole, and the table
+    permuted to lead with the first such blocks puts the two side by side: there is a table for each choice of blocks,
+    which makes the search exact, and a pair counts in one table only.  Slots that hold many fingerprints are dealt out.
+    """
+    blocks = _blocks(radius + spare)
+    chosen = list(combinations(range(len(blocks)), spare))
+    classes = prints.select("hi", "lo").distinct()
+    n = classes.count()
+    hot = max(int(n * HOT_SLOT), LEAST_HOT)
+
+    def slots(table: DataFrame) -> DataFrame:
+        keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[v for i in blocks_ for v in blocks[i][0]]).alias("slot")) for t, blocks_ in enumerate(chosen)]
+        return table.select("hi", "lo", F.explode(F.array(*keys)).alias("s")).select("hi", "lo", "s.t", "s.slot")
+
+    spread = slots(classes)
+    # by the pigeonhole principle at most len(chosen) / HOT_SLOT slots are hot
+    crowded = F.broadcast(spread.groupBy("slot").count().where(F.col("count") > hot).select("slot", F.ceil(F.col("count") / hot).cast("int").alias("parts")))
+    table = spread.join(crowded, "slot", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int"))).drop("parts")
+    asked = slots(queries.select("hi", "lo").distinct()).join(crowded, "slot", "left")
+    asked = asked.select("slot", "t", F.col("hi").alias("query_hi"), F.col("lo").alias("query_lo"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    agreeing = sum((F.when(reduce(and_, zero), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, zero) in enumerate(blocks)), F.lit(0))
+    leading = F.array(*[F.lit(sum(1 << i for i in c)) for c in chosen])[F.col("t")]
+    below = F.array(*[F.lit((1 << (c[-1] + 1)) - 1) for c in chosen])[F.col("t")]
+    bits = distance(F.col("hi"), F.col("lo"), F.col("query_hi"), F.col("query_lo"))
+    found = table.join(asked, ["slot", "t", "part"]).where(bits.between(1, radius) & (agreeing.bitwiseAND(below) == leading))
+    return found.select("query_hi", "query_lo", "hi", "lo", bits.alias("distance"))
+
+
+def with_neighbours(prints: DataFrame, step: int = QUERY_STEP, radius: int = RADIUS) -> DataFrame:
+    """``prints(doc_id, hi, lo, ...)`` with class_id, class_size, n_near and nearest_bits.
+
+    A class is all rows of one fingerprint, known by its smallest doc_id.  For rows whose doc_id is divisible by
+    ``step``: how many other classes lie within ``radius`` bits, and at what distance the nearest; null for the others.
+    """
+    dealt = prints.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)))
+    parts = dealt.groupBy("hi", "lo", "deal").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") % step == 0).alias("asked"))
+    parts = checkpoint(parts)
+    classes = parts.groupBy("hi", "lo").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.max("asked").alias("asked"))
+    found = near(classes, classes.where("asked"), radius).groupBy(F.col("query_hi").alias("hi"), F.col("query_lo").alias("lo")).agg(F.count(F.lit(1)).alias("n_near"), F.min("distance").alias("nearest_bits"))
+    told = classes.join(found, ["hi", "lo"], "left").drop("asked")
+    by_part = parts.select("hi", "lo", "deal").join(told, ["hi", "lo"])
+    query = F.coalesce(F.col("doc_id") % step == 0, F.lit(False))
+    out = dealt.join(by_part, ["hi", "lo", "deal"]).drop("deal")
+    return out.withColumn("n_near", F.when(query, F.coalesce("n_near", F.lit(0)))).withColumn("nearest_bits", F.when(query, F.col("nearest_bits")))
 
 
 def half_edits(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint beside that of its half-edited text and of the next document.
 
-    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  The last
-    floor(n/2) code points give way to the first as many (or all) of the next document in ascending doc_id; the last
+    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and those of
+    ``with_neighbours``: class_id, class_size, n_near, nearest_bits.  The last floor(n/2) code points give way to the first as many (or all) of the next document in ascending doc_id; the last
     document's next is the first.  Null texts are empty.  Rows that repeat a doc_id are documents of their own in the
-    order of their texts; rows without a doc_id count as the smallest.  A single document is its own next.
+    order of their texts; rows without a doc_id come first, by a hash of their texts.  A single document is its own next.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
     group = F.shiftright("id", NEAR_IDS)
     firsts = checkpoint(rows.groupBy(group.alias("g")).agg(F.min("id").alias("id")).select("id"))
     n = firsts.count()
@@ -151,4 +201,8 @@ def half_edits(docs: DataFrame) -> DataFrame:
         return F.lit(1.0) - distance(F.col("hi0"), F.col("lo0"), F.col(hi), F.col(lo)) / F.lit(float(BITS))
 
     edited = F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)]))
-    return whole.select("doc_id", "n_chars", edited.alias("edited_sha256"), hexed(F.col("hi0"), F.col("lo0")).alias("fingerprint"), hexed(F.col("hi1"), F.col("lo1")).alias("edited_fingerprint"), near_to("hi1", "lo1").alias("near_edited"), near_to("next_hi", "next_lo").alias("near_next"))
+    told = whole.select(
+        "doc_id", "n_chars", edited.alias("edited_sha256"), hexed(F.col("hi0"), F.col("lo0")).alias("fingerprint"), hexed(F.col("hi1"), F.col("lo1")).alias("edited_fingerprint"),
+        near_to("hi1", "lo1").alias("near_edited"), near_to("next_hi", "next_lo").alias("near_next"), F.col("hi0").alias("hi"), F.col("lo0").alias("lo"),
+    )
+    return with_neighbours(materialise(told, "fingerprints")).drop("hi", "lo")
