@@ -9,33 +9,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candela.llm import langid, minmax_dedup, mixing, packing, pii
-from candela.llm.common import materialise
+from candela.llm.common import mark, materialise, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models accept; texts without letters and texts unlike every language go."""
-    return langid.identify(docs, ~langid.held_out()).where("not language_id.rejected").select(docs.columns)
+    """Documents whose language the models accept.
+
+    Texts that are null or without letters and texts unlike every language go; repeated rows share their fate, and an
+    empty table stays empty.
+    """
+    told = langid.identify(docs, ~langid.held_out())
+    return told.where(~F.col(f"`{told.columns[-1]}`.rejected")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: texts whose five-word shingles agree by 0.8 or more."""
+    """One document of each group of near-duplicates: texts whose five-word shingles agree by 0.8 or more.
+
+    The smallest doc_id of a group stays, once even if its row repeats; documents without words or without a doc_id stay.
+    """
     return minmax_dedup.drop_near_duplicates(docs, link=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null texts stay null."""
     return pii.redact_pii(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's rate draws them, in a global random order."""
+    """Documents as often as their source's rate draws them, in a global random order.
+
+    Documents without a source are a source of their own; a document drawn zero times goes.
+    """
     return mixing.replicate(docs).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes; a null or empty text is its end token alone."""
     return packing.pack(docs)
 
 
@@ -52,9 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage has put aside is removed once the stage's own result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        start = mark()
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
+            end = mark()
             docs = materialise(docs, name)
+            release(spark, start, end)
     return docs
