@@ -40,15 +40,17 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words, A-Z lower-cased, in order; words are runs of anything but ASCII white space."""
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text's UTF-8 bytes, A-Z lower-cased, and where its words start and end; words are runs of anything but ASCII white space."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~_SPACE[data]
     edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return data, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def stretch_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     sums = prefix_sums(data)
@@ -56,6 +58,11 @@ def word_hashes(text: str) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words, in order."""
+    return stretch_hashes(*word_places(text))
+
+
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """The sorted set of hashed word shingles; a shorter text counts as one shingle, an empty one has none."""
     words = word_hashes(text) if text else np.zeros(0, np.uint64)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candela.llm import extraction, html, langid, pii, quality, simhash
+from candela.llm.common import drawn
 
 
 def test_language_held_out_accuracy(spark):
@@ -308,3 +309,60 @@ def test_quality_held_out(spark, awkward, empty):
     marks = spark.createDataFrame([(6, 1), (7, 0), (7, 1), (99, 1), (4, None)], "doc_id long, quality int")
     assert quality.score(awkward, marks).where(F.col("quality.score").between(0, 1)).count() == 11
     assert quality.score(awkward, marks.limit(0)).count() == 11 and quality.score(empty, marks).count() == 0
+    assert quality.score(awkward.withColumn("quality", F.lit("mine")), marks).where("quality = 'mine' and quality_.score is not null").count() == 11
+
+
+def corpus(rng, n):
+    """Documents whose words and whose source both tell their quality, neither always."""
+    good = rng.random(n) < 0.5
+    words = [[f"{'good' if g == (rng.random() < 0.85) else 'bad'}{rng.integers(40)}" if rng.random() < 0.5 else f"plain{rng.integers(60)}" for _ in range(rng.integers(8, 25))] for g in good]
+    source = [f"site{rng.integers(8) * 2 + int(g == (rng.random() < 0.95))}" for g in good]
+    return [(i, " ".join(w), s, "en", 100, int(g)) for i, (w, s, g) in enumerate(zip(words, source, good, strict=True))]
+
+
+def test_co_training_matches_brute_force_and_helps(spark):
+    rows = corpus(np.random.default_rng(11), 1500)
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    truth = np.array([r[5] for r in rows])
+    marks = docs.where("doc_id < 120").select("doc_id").join(spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id long, quality int"), "doc_id")
+    held = {r.doc_id for r in docs.where(drawn(quality.HELD_BACK, F.col("doc_id"))).collect()}
+    views = quality.views(*([r[i] for r in rows] for i in (1, 2, 3, 4)))
+    fit, keep = [i for i in range(120) if i not in held], [i for i in range(120) if i in held]
+
+    def plain(x, y):
+        """The discriminant and its calibration from the rows and their weights themselves."""
+        def of(at, labels, weights):
+            at, labels, weights = np.asarray(at), np.asarray(labels), np.asarray(weights, float)
+            mean = [np.average(x[at[labels == c]].astype(float), axis=0, weights=weights[labels == c]) for c in (0, 1)]
+            centred = x[at].astype(float) - np.array(mean)[labels]
+            within = (centred * weights[:, None]).T @ centred / weights.sum()
+            w = np.linalg.solve(within + quality.RIDGE * np.trace(within) / len(within) * np.eye(len(within)), mean[1] - mean[0])
+            z = x.astype(float) @ w - w @ (mean[0] + mean[1]) / 2
+            line = quality.logistic(np.stack([np.ones(len(keep)), z[keep]], 1), y[keep].astype(float))
+            return np.clip(line[0] + line[1] * z, -15, 15)
+
+        return of
+
+    fits = [plain(x, truth) for x in views]
+    odds = [f(fit, truth[fit], np.ones(len(fit))) for f in fits]
+    alone = odds
+    for _ in range(quality.ROUNDS):
+        told = []
+        for z in odds:
+            p = 1 / (1 + np.exp(-z))
+            sure = np.flatnonzero(np.maximum(p, 1 - p) >= quality.SURE)
+            told.append((sure, (p[sure] > 0.5).astype(int)))
+        odds = [
+            f(np.concatenate([fit, sure]), np.concatenate([truth[fit], said]), np.concatenate([np.full(len(fit), 1 / len(fit)), np.full(len(sure), quality.PSEUDO_WEIGHT / max(len(sure), 1))]))
+            for f, (sure, said) in zip(fits, told[::-1], strict=True)
+        ]
+    scorer = quality.train(docs, marks)
+    assert np.allclose(scorer.text.odds(views[0]), odds[0], atol=1e-3) and np.allclose(scorer.metadata.odds(views[1]), odds[1], atol=1e-3)
+
+    def area(z):
+        z = z[120:]
+        y = truth[120:]
+        return np.mean((z[y == 1][:, None] > z[y == 0]) + 0.5 * (z[y == 1][:, None] == z[y == 0]))
+
+    combined = area(scorer.score(*views)[2])
+    assert area(odds[0]) > area(alone[0]) and combined > area(alone[0]) and combined > area(alone[1])
