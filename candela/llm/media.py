@@ -114,26 +114,54 @@ def examine(media: DataFrame) -> DataFrame:
 
 
 def interleave(pages: DataFrame, media: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
-    """A row for each item of each page: key, position, kind, text, digest, caption and the matching columns of ``media``.
+    """A row for each item of each page: key, position, n_items, kind, text, digest, caption and the matching columns of ``media``.
 
-    Items keep their order on the page.  A media reference is written ``sha256:<digest>``; its text column has the
-    reference as written.  References without such a digest, or with one that ``media`` lacks, stay with null payload
-    columns.  Captions come from the figure around a reference, else from its alternative text.  Null or empty pages
-    give no rows; repeated pages repeat their rows; ``media`` must have one row for each digest.
+    Items keep their order on the page; ``n_items`` is how many the page has.  A media reference is written
+    ``sha256:<digest>``; its text column has the reference as written.  References without such a digest, or with one that
+    ``media`` lacks, stay with null payload columns.  Captions come from the figure around a reference, else from its
+    alternative text.  Null or empty pages give no rows; repeated pages repeat their rows; ``media`` must have one row
+    for each digest.
     """
-    items = pages.select(F.col(key), F.explode(F.pandas_udf(_items, ITEMS)(F.col(page).cast("string"))).alias("item")).select(key, "item.*")
+    listed = pages.select(F.col(key), F.pandas_udf(_items, ITEMS)(F.col(page).cast("string")).alias("items"))
+    items = listed.select(key, F.size("items").alias("n_items"), F.explode("items").alias("item")).select(key, "item.position", "n_items", "item.kind", "item.text", "item.digest", "item.caption")
     return items.join(media, "digest", "left")
 
 
-def document_media(docs: DataFrame) -> DataFrame:
-    """Each document's text as stored media, resolved through an interleaved page of one figure.
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
-    Columns: doc_id, n_bytes and those of ``FEATURES``.  Equal texts share one payload.  Rows without a doc_id, and
-    repeated rows, are kept as they are.
+
+def _figure(digest: str, n_bytes: str) -> Column:
+    """Mark-up of a stored text's figure."""
+    return F.concat(F.lit('<figure><img src="'), F.lit(SCHEME), F.col(digest), F.lit('" alt="stored text"><figcaption>'), F.col(n_bytes).cast("string"), F.lit(" bytes of text</figcaption></figure>"))
+
+
+def document_media(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Each document's text as stored media, resolved through the interleaved page that shows it.
+
+    Columns: doc_id, n_bytes and those of ``FEATURES``, then position, n_items and caption: a document's own page has a
+    paragraph for each line and the figure of its stored text after the first, so these say where the figure stands
+    among the page's items and what is written under it.  With ``pages(page_id, html, ...)``: page_position, page_items
+    and page_caption say the same of the figure at the end of the page whose page_id is the doc_id; null where there is
+    none, and of repeated pages the smallest html counts.  Equal texts share one payload.  Rows without a doc_id, and
+    repeated rows, are kept as they are; null texts are empty.
     """
-    told = docs.select("doc_id", F.octet_length(F.encode(utf8("text"), "UTF-8")).cast("long").alias("n_bytes"), payload_of().alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    text = utf8("text")
+    told = docs.select("doc_id", F.octet_length(F.encode(text, "UTF-8")).cast("long").alias("n_bytes"), payload_of().alias("payload"), text.alias("text")).withColumn("digest", F.sha2("payload", 256))
     features = examine(store(told.select("digest", "payload")))
-    key = F.struct("doc_id", "n_bytes")
-    page = F.concat(F.lit('<article><p>document</p><figure><img src="sha256:'), F.col("digest"), F.lit('" alt="payload"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    shown = interleave(told.select(key.alias("page_id"), page.alias("html")), features).where("kind = 'media'")
-    return shown.select("page_id.*", *[x.split()[0] for x in FEATURES.split(", ")])
+    line = F.substring_index("text", "\n", 1)
+    rest = F.substring(F.col("text"), F.length(line) + 2, F.length("text"))
+    paragraphs = F.replace(_escaped(rest), F.lit("\n"), F.lit("</p><p>"))
+    own = F.concat(F.lit("<article><p>"), _escaped(line), F.lit("</p>"), _figure("digest", "n_bytes"), F.lit("<p>"), paragraphs, F.lit("</p></article>"))
+    shown = interleave(told.select(F.struct("doc_id", "n_bytes", "digest").alias("page_id"), own.alias("html")), features).where("kind = 'media' and digest = page_id.digest")
+    names = [x.split()[0] for x in FEATURES.split(", ")]
+    out = shown.select("page_id.doc_id", "page_id.n_bytes", *names, "position", "n_items", "caption")
+    if pages is None:
+        return out
+    html = pages.where("page_id is not null").groupBy(F.col("page_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col("html").cast("string"), F.lit(""))).alias("html"))
+    ids = told.select("doc_id", "n_bytes", "digest").distinct()  # rows that repeat a doc_id with another text show another figure
+    with_figure = html.join(ids, "doc_id").select(F.struct("doc_id", "n_bytes", "digest").alias("page_id"), F.concat("html", _figure("digest", "n_bytes")).alias("html"))
+    none = features.select("digest").limit(0)
+    placed = interleave(with_figure, none).where("kind = 'media' and digest = page_id.digest").groupBy("page_id.doc_id", "page_id.n_bytes")
+    placed = placed.agg(F.max("position").alias("page_position"), F.max("n_items").alias("page_items"), F.max("caption").alias("page_caption"))
+    return out.join(placed, ["doc_id", "n_bytes"], "left")

@@ -53,7 +53,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.document_media(documents(spark, sf_dir))
+    return media.document_media(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from candela.llm import media, mixing, packing
+from candela.llm.html import blocks
 
 
 def test_media_round_trip(spark, sample, awkward, empty):
@@ -24,6 +26,22 @@ def test_media_round_trip(spark, sample, awkward, empty):
     assert media.document_media(empty).count() == 0
 
 
+def test_media_stands_where_the_pages_show_it(spark, sample):
+    docs, pages = (spark.read.parquet(f"{sample}/{t}.parquet") for t in ("documents", "pages"))
+    texts, shown = {r.doc_id: r.text for r in docs.collect()}, {r.page_id: r.html for r in pages.collect()}
+    rows = media.document_media(docs, pages).collect()
+    assert len(rows) == len(texts) and any(r.page_position for r in rows)
+    for r in rows:
+        first, *rest = [" ".join(line.split()) for line in (texts[r.doc_id] or "").split("\n")]
+        assert r.caption == f"{r.n_bytes} bytes of text"
+        assert r.position == bool(first) and r.n_items == bool(first) + 2 + sum(map(bool, rest))  # the figure and its caption are two
+        if r.doc_id in shown:
+            before = len(blocks(shown[r.doc_id]))
+            assert (r.page_position, r.page_items, r.page_caption) == (before, before + 2, r.caption)
+        else:
+            assert r.page_position is None
+
+
 def test_interleave_aligns(spark):
     pages = spark.createDataFrame([(1, '<p>a<img src="sha256:d1" alt="one">b</p>'), (2, None), (3, '<img src="http://x/y.png"><img src="sha256:none">')], "page_id long, html string")
     store = spark.createDataFrame([("d1", b"zz")], "digest string, media binary")
@@ -115,7 +133,7 @@ def test_dominance_is_optimal_on_small_instances():
 
 def test_pack_round_trip(spark, sample, awkward, empty):
     docs = spark.read.parquet(f"{sample}/documents.parquet")
-    ids = packing._ids(packing.tokenizer_path())
+    plain = Tokenizer.from_file(packing.tokenizer_path())
     rows, at = packing.pack(docs).collect(), defaultdict(list)
     pieces = defaultdict(list)
     for r in rows:
@@ -128,7 +146,7 @@ def test_pack_round_trip(spark, sample, awkward, empty):
             end += length
         assert end <= 1024
     for d in docs.collect():
-        want = np.array([*ids.tokenizer.encode(d.text, add_special_tokens=False).ids, 2], "<u4")
+        want = np.array([*plain.encode(d.text, add_special_tokens=False).ids, 2], "<u4")
         found = sorted(pieces[d.doc_id])
         assert sum(p[2] for p in found) == len(want)
         for _, start, length, crc in found:
@@ -139,9 +157,19 @@ def test_pack_round_trip(spark, sample, awkward, empty):
 
 
 def test_tokens_of_odd_texts():
-    ids = packing._ids(packing.tokenizer_path())
-    for text in ("  a\n\n b  \t c's 12 34!! <|endoftext|> é日本 ", "x" * 300, " a\u0085b", "²½ ªº", "don't  DON'T  ", ""):
-        assert ids.of(text) == ids.encode(text)
+    ids, plain = packing._ids(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    for text in ("  a\n\n b  \t c's 12 34!! <|endoftext|> é日本 ", "one <|endoftext|> two", "<|endoftext|>", "<|endoftext", "x" * 300, " a\u0085b", "²½ ªº", "don't  DON'T  ", ""):
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    names = ["rate", "copies", "copy", "steps", "u", "Shuffle_Key", "source_key", "all_size", "uniform"]
+    docs = spark.createDataFrame([(i, "text", "s", *[f"mine{k}" for k in range(len(names))]) for i in range(40)] + [(None, f"t{i}", "s", *["x"] * len(names)) for i in range(40)], ["doc_id", "text", "source", *names])
+    out = mixing.replicate(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns and {"rate_", "copies_", "copy_", "shuffle_key_"} <= {c.lower() for c in out.columns}
+    rows = out.collect()
+    assert all(r["rate"] in ("mine0", "x") and r["steps"] in ("mine3", "x") for r in rows)
+    assert 0 < len({r["text"] for r in rows if r["doc_id"] is None}) < 40  # rows without an id draw for themselves
 
 
 def test_pipeline_drops_near_duplicates_from_four_fifths(spark):
