@@ -4,13 +4,14 @@ Each permutation gives two signature values, the smallest and the largest permut
 evaluations of plain MinHash yield the same number of unbiased values.  Values are banded; documents that share a band
 are candidates, and a link stands only when the full shingle sets agree.
 
-Copies of one shingle set are one class from the start.  Within a band bucket every class is first checked against the
+Copies of one shingle set, by a cryptographic digest of the whole set, are one class from the start.  Within a band bucket every class is first checked against the
 bucket's smallest class, which is linear in the bucket.  Buckets whose members still belong to several components are
 then checked completely in blocks of bounded size, so no link between different texts is lost to the choice of leader.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -29,6 +30,8 @@ WIDTH = 5
 LINK = 85
 #: Members of a bucket in one block of the complete check.
 BLOCK = 400
+#: A bucket with more than this share of all classes, or that many, is dealt out over several tasks; there are few such.
+HOT_BUCKET, LEAST_HOT = 1 / 1000, 200
 _PERMUTATIONS = BANDS * ROWS // 2
 _rng = np.random.default_rng(977)
 _XOR = _rng.integers(1, 2**63, _PERMUTATIONS, dtype=np.uint64)[:, None]
@@ -65,15 +68,11 @@ def _signatures(width: int):
             for text in batch.column(1):
                 found = shingles(text.as_py(), width)
                 if len(found):
-                    with np.errstate(over="ignore"):
-                        one, two = mix(found).sum(dtype=np.uint64), mix(found ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                    rows.append((len(found), one.view(np.int64), two.view(np.int64), band_keys(found)))
+                    rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=20).digest(), band_keys(found)))
                 else:
-                    rows.append((0, None, None, None))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "one", "two", "bands"],
-            )
+                    rows.append((0, None, None))
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], ["doc_id", "n_shingles", "whole", "bands"])
 
     return run
 
@@ -144,6 +143,11 @@ def _blocks(width: int, link: int):
     return run
 
 
+def _for_each_deal(buckets: DataFrame) -> DataFrame:
+    """A row of each bucket for each of the tasks it is dealt out over."""
+    return buckets.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for each row of ``docs(doc_id, text, ...)``.
 
@@ -152,13 +156,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> Da
     empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, one long, two long, bands array<long>"
+    schema = "doc_id long, n_shingles long, whole binary, bands array<long>"
     marks = materialise(docs.mapInArrow(_signatures(width), schema), "minmax")
-    whole = marks.where("one is not null and doc_id is not null")
-    classes = materialise(whole.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "n_shingles"), "doc_id").alias("b")), "classes")
+    named = marks.where("whole is not null and doc_id is not null")
+    classes = materialise(named.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "n_shingles"), "doc_id").alias("b")), "classes")
     spread = classes.select("rep", F.col("b.n_shingles").alias("n"), F.explode("b.bands").alias("key"))
+    hot = max(int(classes.count() * HOT_BUCKET), LEAST_HOT)
     buckets = spread.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialise(spread.join(buckets, "key"), "members")
+    buckets = materialise(buckets.withColumn("deals", F.ceil(F.col("m") / hot).cast("int")), "buckets")
+    # by the pigeonhole principle at most BANDS / HOT_BUCKET buckets are hot
+    crowded = F.broadcast(buckets.where("deals > 1").select("key", "deals"))
+    dealt = spread.join(crowded, "key", "left").withColumn("deal", F.when(F.col("deals").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int"))).drop("deals")
+    members = materialise(dealt.join(_for_each_deal(buckets), ["key", "deal"]), "members")
     smaller, larger = F.least("n", "leader_n"), F.greatest("n", "leader_n")
     pairs = members.where((F.col("rep") != F.col("leader")) & (smaller * 100 >= larger * link)).select("leader", "rep").distinct()
     texts = docs.where("doc_id is not null")
@@ -166,17 +175,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> Da
     right = texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("b"))
     confirmed = pairs.join(left, "leader").join(right, "rep").where(_confirm(width, link)("a", "b"))
     first = components(confirmed.select(F.col("rep").alias("u"), F.col("leader").alias("v")))
-    named = members.where("m > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("key", "rep", "label")
-    named = checkpoint(named)
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    labelled = members.where("m > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("key", "deal", "deals", "rep", "label")
+    labelled = checkpoint(labelled)
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.first("deals").alias("deals")).where("lo <> hi")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    rest = named.join(mixed.select("key", parts.alias("parts")), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mixed = _for_each_deal(mixed.select("key", "deals", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))).drop("deals")
+    rest = labelled.join(mixed, ["key", "deal"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rest = rest.select("rep", "label", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     blocks = rest.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     found = blocks.groupBy("key", "i", "j").applyInPandas(_blocks(width, link), "u long, v long")
     second = components(found)
-    rows = marks.select("doc_id", "n_shingles", "one", "two").join(classes.select("one", "two", "rep"), ["one", "two"], "left")
+    rows = marks.select("doc_id", "n_shingles", "whole").join(classes.select("whole", "rep"), "whole", "left")
     rows = rows.withColumn("rep", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("rep", "doc_id")))
     rows = rows.join(first.select(F.col("node").alias("rep"), F.col("label").alias("l1")), "rep", "left").withColumn("l1", F.coalesce("l1", "rep"))
     rows = rows.join(second.select(F.col("node").alias("l1"), F.col("label").alias("l2")), "l1", "left").withColumn("component_id", F.coalesce("l2", "l1"))

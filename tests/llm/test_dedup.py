@@ -104,6 +104,7 @@ def test_near_duplicates_match_brute_force(spark, sample):
 def test_chain_beyond_leaders(spark, monkeypatch):
     """A chain of documents whose ends are no duplicates is one component, blocks or not."""
     monkeypatch.setattr(minmax_dedup, "BLOCK", 3)
+    monkeypatch.setattr(minmax_dedup, "LEAST_HOT", 2)
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words[7 * i : 7 * i + 200]) for i in range(12)]
     docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -135,6 +136,18 @@ def test_block_links_match_brute_force(labels, sided):
         assert joined(labels, got) == joined(labels, want) and len(got) < len(set(labels))
 
 
+def test_crowded_buckets_of_templates(spark, monkeypatch):
+    """Many texts of one template share bands, and only some of them enough of their words."""
+    monkeypatch.setattr(minmax_dedup, "BLOCK", 7)
+    monkeypatch.setattr(minmax_dedup, "LEAST_HOT", 5)
+    rng = np.random.default_rng(3)
+    frame = [f"t{i}" for i in range(120)]
+    texts = [" ".join([*frame, *[f"v{rng.integers(6)}x{k}" for k in range(int(rng.integers(4, 40)))]]) for _ in range(60)]
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = components_of({i + 1: shingle_set(t) for i, t in enumerate(texts)})
+    assert {r.doc_id: r.component_id for r in minmax_dedup.near_duplicates(docs).collect()} == want and 1 < len(set(want.values())) < 60
+
+
 def test_near_duplicates_awkward(awkward, empty):
     rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_duplicates(awkward).collect()]
     assert (1, 0, 1, True) in rows and (2, 0, 2, True) in rows and (4, 1, 4, True) in rows
