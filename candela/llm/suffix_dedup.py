@@ -2,9 +2,11 @@
 
 The corpus is cut so that equal strings meet: each window of ``least`` bytes belongs to its minimizer, the byte k-gram of
 least hash in it, and the windows of one minimizer that follow one another are one fragment.  Fragments that are equal
-whole are settled by their hashes, wherever they are, with nothing but hashes moved.  The texts of the others - several
-different fragments around one minimizer - meet in groups of bounded size, where threshold-bounded interval expansion on
-the group's Burrows-Wheeler transform finds the windows they share.
+whole are settled by 128 bits of hashes, wherever they are, with nothing but hashes moved.  The texts of the others -
+several different fragments around one minimizer - meet in groups of bounded size, where threshold-bounded interval
+expansion on the group's Burrows-Wheeler transform finds the windows they share.  A minimizer with too many fragments for
+one group is split: windows that are equal also agree in what stands around the minimizer, on the side where more of the
+window lies, so each side's windows meet by that; as often as need be, until a key is the whole window.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from candela.llm.hashing import U64, mix, powers, prefix_sums
 LEAST, GRAM = 100, 32
 #: Text bytes that feed one hash group and one text group, on average.
 HASH_GROUP, TEXT_GROUP = 6_000_000, 1_000_000
-#: Fragments around one minimizer beyond which its windows are compared by their hashes, one row each.
-CROWD = 20_000
+#: Different fragments of one key that meet in one transform; keys with more are split.
+CROWD = 5_000
 _SEGMENT, _FLUSH = 1 << 20, 400_000
 _PLACE = U64((1 << 24) - 1)
 
@@ -92,7 +94,7 @@ def _scan(groups: int):
             columns, first, repeat = _firsts(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
             kept = [c[first] for c in columns]
-            place = (kept[0] % U64(groups)).astype(np.int64)
+            place = (mix(kept[0] + kept[1]) % U64(groups)).astype(np.int64)  # a common minimizer's fragments go everywhere
             order = np.argsort(place, kind="stable")
             kept, place = [c[order] for c in kept], place[order]
             cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
@@ -118,26 +120,21 @@ def _scan(groups: int):
     return run
 
 
-_MARKS = "text boolean, doc long, lo long, n int, key long"
+_MARKS = "first boolean, doc long, lo long, n int, key long"
 
 
 def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """What the hashes of one group say: places that repeat an earlier fragment, and first places whose texts must meet."""
+    """What the hashes of one group say: each different fragment's first place, and the places that repeat it."""
     out = []
     for blob in rows.loc[~rows["open"], "blob"]:
         doc, lo, n = _split(blob, 3)
-        out.append(pd.DataFrame({"text": False, "doc": doc, "lo": lo, "n": n, "key": 0}))
+        out.append(pd.DataFrame({"first": False, "doc": doc, "lo": lo, "n": n, "key": 0}))
     found = [_split(blob, 5) for blob in rows.loc[rows["open"], "blob"]]
     if found:
-        (key, frag, doc, lo, n), first, repeat = _firsts(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        out.append(pd.DataFrame({"text": False, "doc": doc[repeat], "lo": lo[repeat], "n": n[repeat], "key": 0}))
-        key, doc, lo, n = key[first], doc[first], lo[first], n[first]
-        several = np.zeros(len(key), bool)
-        several[1:] = key[1:] == key[:-1]
-        several[:-1] |= several[1:].copy()
-        out.append(pd.DataFrame({"text": True, "doc": doc[several], "lo": lo[several], "n": n[several], "key": key[several].view(np.int64)}))
-    out = pd.concat(out)
-    return out.astype({"lo": "int64", "n": "int32", "key": "int64"})
+        (key, _, doc, lo, n), first, repeat = _firsts(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        out.append(pd.DataFrame({"first": False, "doc": doc[repeat], "lo": lo[repeat], "n": n[repeat], "key": 0}))
+        out.append(pd.DataFrame({"first": True, "doc": doc[first], "lo": lo[first], "n": n[first], "key": key[first].view(np.int64)}))
+    return pd.concat(out).astype({"lo": "int64", "n": "int32", "key": "int64"})
 
 
 def _cut(batches):
@@ -146,13 +143,50 @@ def _cut(batches):
         part, docs, places, texts = [], [], [], []
         for doc, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             data = text.as_buffer()
-            for spot in spots.values.to_numpy(zero_copy_only=False).tolist():
-                lo = spot >> 8 & 0xFFFFFFFF
-                part.append(spot >> 40)
-                docs.append(doc)
-                places.append(lo)
-                texts.append(data[lo : lo + (spot & 0xFF) + LEAST - 1].to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.binary())], ["part", "doc", "lo", "frag"])
+            group, lo, n = (spots.values.field(i).to_pylist() for i in range(3))
+            part += group
+            docs += [doc] * len(group)
+            places += lo
+            texts += [data[a : a + w + LEAST - 1].to_pybytes() for a, w in zip(lo, n, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.binary())], ["part", "doc", "lo", "frag"])
+
+
+_SIDES = "key long, at int, left int, right int, doc long, lo long, frag binary"
+
+
+def sides(frag: bytes, at: int, left: int, right: int, least: int = LEAST) -> list[tuple[int, int, int, int, int, bytes]]:
+    """(key, at, left, right, shift, sub-fragment) of the two parts of a fragment whose windows share the bytes from ``left`` to ``right`` around ``at``.
+
+    What a window has beyond these lies to their left and right; the larger part's next half of what is beyond joins
+    them, and the key is a hash of them all.
+    """
+    n, beyond, out = len(frag) - least + 1, least - (right - left), []
+    more = -(-beyond // 2)
+    windows = np.arange(n)
+    to_right = windows + least - (at + right) >= at + left - windows
+    for chosen, a, b in ((to_right, left, right + more), (~to_right, left - more, right)):
+        mine = np.flatnonzero(chosen)
+        if len(mine):
+            first, last = int(mine[0]), int(mine[-1])
+            held = hashlib.blake2b(frag[at + a : at + b], digest_size=8, salt=struct.pack("<hh", a, b)).digest()
+            out.append((int.from_bytes(held, "little", signed=True), at - first, a, b, first, frag[first : last + least]))
+    return out
+
+
+def _around(batches):
+    """The parts of fragments of crowded minimizers, or of parts that are still crowded."""
+    for batch in batches:
+        rows = []
+        known = "at" in batch.schema.names
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (("doc", "lo", "frag", "at", "left", "right") if known else ("doc", "lo", "frag"))]
+        for doc, lo, frag, *rest in zip(*columns, strict=True):
+            if not known:
+                data = np.frombuffer(frag, np.uint8)
+                sums, (_, down), grams = prefix_sums(data), powers(len(data) + 1), len(data) - GRAM + 1
+                rest = int(np.argmin(mix((sums[GRAM:] - sums[:grams]) * down[:grams]) & ~_PLACE)), 0, GRAM
+            rows += [(key, at, a, b, doc, lo + shift, part) for key, at, a, b, shift, part in sides(frag, *rest)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _SIDES.split(", ")])
 
 
 def repeated_windows(docs: np.ndarray, places: np.ndarray, texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,16 +225,30 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc, "lo": lo, "n": n})
 
 
-def _windows(batches):
-    """A row for each window of crowded minimizers' fragments, by a hash of 128 bits."""
-    for batch in batches:
-        for doc, lo, frag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            data = np.frombuffer(frag.as_buffer(), np.uint8)
-            n = len(data) - LEAST + 1
-            _, down = powers(len(data) + 1)
-            one, two = prefix_sums(data), prefix_sums(data ^ np.uint8(0x5A))
-            hashes = [mix((s[LEAST:] - s[:n]) * down[:n]).view(np.int64) for s in (one, two)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array([doc] * n, pa.int64()), pa.array(np.arange(lo, lo + n))], ["h1", "h2", "doc", "lo"])
+def _groups_of(size: int):
+    """The transform a key's fragments meet in, given their bytes in all."""
+    return F.pmod(F.xxhash64("key"), F.lit(max(8, -(-size // TEXT_GROUP)))) + 1
+
+
+def _crowds(crowd: DataFrame) -> DataFrame:
+    """(doc, lo, n): windows of crowded minimizers' fragments ``crowd(doc, lo, frag)`` that repeat an earlier one."""
+    late, rows = None, crowd.mapInArrow(_around, _SIDES)
+    windows = (F.octet_length("frag") - (LEAST - 1)).cast("long").alias("n")
+    while True:
+        rows = materialise(rows, "sides")
+        firsts = rows.groupBy("key", "frag").agg(F.min(F.struct("doc", "lo")).alias("place"), F.first("at").alias("at"), F.first("left").alias("left"), F.first("right").alias("right"), F.count(F.lit(1)).alias("n"))
+        firsts = materialise(firsts, "first-sides")
+        again = rows.join(firsts.where("n > 1").select("key", "frag", "place"), ["key", "frag"]).where("doc <> place.doc or lo <> place.lo").select("doc", "lo", windows)
+        counts = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        several = materialise(firsts.join(counts, "key").select("key", "at", "left", "right", "place.doc", "place.lo", "frag", "kinds"), "several-sides")
+        few = several.where(F.col("kinds") <= CROWD)
+        size = few.agg(F.sum(F.octet_length("frag"))).first()[0] or 0
+        met = few.withColumn("part", _groups_of(size)).groupBy("part").applyInPandas(_meet, "doc long, lo long, n long")
+        late = again.unionByName(met) if late is None else late.unionByName(again).unionByName(met)
+        many = several.where(F.col("kinds") > CROWD)
+        if many.isEmpty():
+            return late
+        rows = many.drop("kinds").mapInArrow(_around, _SIDES)
 
 
 def removed(size: int, spots: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
@@ -251,25 +299,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     groups = max(8, -(-total // HASH_GROUP))
     scanned = named.mapInArrow(_scan(groups), "part int, open boolean, blob binary")
     marks = materialise(scanned.groupBy("part").applyInPandas(_settle, _MARKS), "marks")
-    needed = marks.where("text")
-    size = needed.agg(F.sum(F.col("n") + LEAST)).first()[0] or 0
-    crowded = needed.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd"))
-    many = not crowded.isEmpty()
-    parts = max(8, -(-size // TEXT_GROUP))
-    part = F.pmod(F.xxhash64("key"), F.lit(parts)) + 1
-    if many:
-        needed = needed.join(crowded, "key", "left")
-        part = F.when(F.col("crowd"), 0).otherwise(part)
-    spot = F.shiftleft("lo", 8) + F.col("n")
-    wanted = needed.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.shiftleft(part, 40) + spot).alias("spots"))
-    cut = named.join(wanted, "doc_id").select("doc_id", "text", "spots").mapInArrow(_cut, "part int, doc long, lo long, frag binary")
+    firsts = marks.where("first")
+    kinds = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    needed = materialise(firsts.join(kinds, "key").select("doc", "lo", "n", "key", "kinds"), "contested")
+    size, most = needed.agg(F.sum(F.col("n") + LEAST), F.max("kinds")).first()
+    part = F.when(F.col("kinds") > CROWD, F.lit(0).cast("long")).otherwise(_groups_of(size or 0))
+    wanted = needed.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct(part.alias("part"), "lo", "n")).alias("spots"))
+    cut = named.join(wanted, "doc_id").select("doc_id", "text", "spots").mapInArrow(_cut, "part long, doc long, lo long, frag binary")
     late = cut.where("part > 0").groupBy("part").applyInPandas(_meet, "doc long, lo long, n long")
-    late = late.unionByName(marks.where("not text").select("doc", "lo", F.col("n").cast("long").alias("n")))
-    if many:
-        windows = cut.where("part = 0").select("doc", "lo", "frag").mapInArrow(_windows, "h1 long, h2 long, doc long, lo long")
-        earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "lo")).alias("first"))
-        crowd = windows.join(earliest, ["h1", "h2"]).where("doc <> first.doc or lo <> first.lo")
-        late = late.unionByName(crowd.select("doc", "lo", F.lit(1).cast("long").alias("n")))
+    late = late.unionByName(marks.where("not first").select("doc", "lo", F.col("n").cast("long").alias("n")))
+    if (most or 0) > CROWD:
+        late = late.unionByName(_crowds(cut.where("part = 0").select("doc", "lo", "frag")))
+    spot = F.shiftleft("lo", 8) + F.col("n")
     spans = late.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(spot).alias("spots"))
     told = named.join(spans, "doc_id", "left").select("doc_id", "text", "spots")
     told = told.unionByName(rows.where("doc_id is null").withColumn("spots", F.lit(None).cast("array<long>")))

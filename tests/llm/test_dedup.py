@@ -40,6 +40,33 @@ def test_repeats_match_brute_force(spark, monkeypatch, crowd):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts)
 
 
+def test_a_crowded_minimizer_is_split(spark, monkeypatch):
+    """Thousands of different surroundings of one string, some of them repeated in part."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 100)
+    rng = random.Random(8)
+    common = "the same thirty-two byte string!"
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(40)]
+    texts = ["".join([rng.choice(pool)[-rng.randint(20, 90) :], common, rng.choice(pool)[: rng.randint(20, 90)]]) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts)
+
+
+def test_sides_agree_for_equal_windows():
+    rng = random.Random(2)
+    for _ in range(50):
+        frag = bytes(rng.choice(b"abc") for _ in range(130))
+        parts, seen = [(0, 40, 0, 32, 0, frag)], {}
+        while parts:
+            key, at, left, right, shift, part = parts.pop()
+            if right - left == 100:
+                seen[shift] = key
+                assert len(part) == 100 and part == frag[shift : shift + 100]
+            else:
+                parts += [(k, a, lo, hi, shift + s, p) for k, a, lo, hi, s, p in suffix_dedup.sides(part, at, left, right)]
+        assert sorted(seen) == list(range(31))
+
+
 def test_repeats_awkward(awkward, empty):
     rows = {(r.doc_id, r.n_bytes): r for r in suffix_dedup.remove_repeats(awkward).collect()}
     assert rows[(1, 0)].n_removed == 0 and rows[(4, 5)].n_removed == 0
