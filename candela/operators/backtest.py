@@ -75,21 +75,23 @@ def quartile_report(events: DataFrame, factors: tuple[str, ...], keys: tuple[str
     return binned.groupBy(*keys, "factor", "bin").agg(F.count(F.lit(1)).alias("n"), _win("ret_10").alias("win_10"), F.avg("ret_10").alias("avg_10"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
-def commonality(events: DataFrame, factors: tuple[str, ...], split: str, keys: tuple[str, ...] = ("pattern",)) -> DataFrame:
-    """Win rates by quantile before and from a date on, and whether the two agree within five points."""
+def commonality(events: DataFrame, factors: tuple[str, ...], split: str, keys: tuple[str, ...] = ("pattern",), least: tuple[int, int] = (50, 20)) -> DataFrame:
+    """Win rates by quantile before and from a date on, where both have enough events, their gap, and which quantiles deserve review."""
     edges = quantile_edges(events, factors, keys)
     long = events.select(*keys, "date", "ret_10", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors])).alias("f")).select(*keys, "date", "ret_10", "f.factor", "f.x").where("x is not null and ret_10 is not null")
     binned = long.join(edges, [*keys, "factor"]).withColumn("bin", F.greatest(F.size(F.filter("edges", lambda e: e < F.col("x"))), F.lit(1)))
     won, late = (F.col("ret_10") > 0).cast("double"), F.col("date") >= F.lit(split).cast("date")
     out = binned.groupBy(*keys, "factor", "bin").agg(F.count_if(~late).alias("n_train"), F.count_if(late).alias("n_test"), F.avg(F.when(~late, won)).alias("train"), F.avg(F.when(late, won)).alias("test"))
-    return out.withColumn("gap", F.col("test") - F.col("train")).withColumn("stable", F.abs("gap") <= lit(0.05))
+    out = out.where((F.col("n_train") >= least[0]) & (F.col("n_test") >= least[1])).withColumn("gap", F.abs(F.col("test") - F.col("train")))
+    return out.withColumn("candidate", (F.col("gap") <= lit(0.10)) & (F.col("test") > lit(0.5)))
 
 
 def simulate(signals: DataFrame, bars_with_change: DataFrame) -> DataFrame:
     """One trade for each signal: bought at the next open, sold at the stop, at twice the risk, or after 20 bars.
 
     The stop comes first on a bar that touches both; a bar locked at its lower limit cannot be sold, one locked at the
-    upper limit cannot be bought.  Costs are taken off the return.
+    upper limit cannot be bought.  Exits are at the stop or the target itself, also where a bar opens beyond it.  Costs
+    are taken off the return.  Each trade meets the bars of its holding period by their numbers.
     """
     w = by_symbol()
     before = F.lag("close").over(w)
@@ -101,13 +103,13 @@ def simulate(signals: DataFrame, bars_with_change: DataFrame) -> DataFrame:
     trades = start.join(entry, ["symbol", "rn"]).where("not locked")
     risk = F.least(lit(STOP_MOST) * F.col("entry"), F.greatest(lit(STOP_ATR) * F.col("atr"), lit(STOP_LEAST) * F.col("entry")))
     trades = trades.withColumn("stop", F.col("entry") - risk).withColumn("target", F.col("entry") + lit(REWARD) * risk)
-    held = rows.select("symbol", F.col("rn").alias("at"), F.col("date").alias("day"), "open", "high", "low", "close", "change_rate")
-    path = trades.join(held, "symbol").where(F.col("at").between(F.col("rn") + 1, F.col("rn") + 1 + HOLD))
+    held = rows.select("symbol", F.col("rn").alias("at"), F.col("date").alias("day"), "high", "low", "close", "change_rate")
+    path = trades.withColumn("at", F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + 1 + HOLD))).join(held, ["symbol", "at"])
     sealed = (F.col("high") == F.col("low")) & (F.coalesce("change_rate", lit(0)) <= -9.5)
     stopped = (F.col("low") <= F.col("stop")) & ~sealed
     reached = F.col("high") >= F.col("target")
-    hit = F.when(stopped, F.struct(F.lit("stop").alias("reason"), F.least("stop", "open").alias("exit"), "day", "at")).when(reached, F.struct(F.lit("target").alias("reason"), F.greatest("target", "open").alias("exit"), "day", "at"))
-    last = F.struct(F.lit("timeout").alias("reason"), F.col("close").alias("exit"), "day", "at")
+    hit = F.when(stopped, F.struct(F.lit("stop").alias("reason"), F.col("stop").alias("exit"), "day", "at")).when(reached, F.struct(F.lit("target_2r").alias("reason"), F.col("target").alias("exit"), "day", "at"))
+    last = F.struct(F.lit("time_exit").alias("reason"), F.col("close").alias("exit"), "day", "at")
     done = path.withColumn("hit", hit).withColumn("last", last).groupBy("symbol", "pattern", "date", "entry_date", "entry", "stop", "target", "rn").agg(F.coalesce(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("at"))), F.max_by("last", "at")).alias("x"))
     gross = F.col("x.exit") / F.col("entry") - lit(1)
     return done.select("symbol", "pattern", F.col("date").alias("signal_date"), "entry_date", F.col("x.day").alias("exit_date"), "entry", "stop", "target", F.col("x.exit").alias("exit"), F.col("x.reason").alias("reason"), (F.col("x.at") - F.col("rn")).alias("holding_days"), (gross - lit((BUY_BPS + SELL_BPS) / 1e4)).alias("net_return"))
@@ -139,8 +141,8 @@ def portfolio(accepted: DataFrame, most: int = 10) -> DataFrame:
     w = Window.partitionBy("pattern").orderBy("exit_date").rowsBetween(Window.unboundedPreceding, 0)
     curve = daily.withColumn("equity", F.exp(F.sum(F.log1p("r")).over(w)))
     curve = curve.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(w), lit(1)) - lit(1))
-    shape = curve.groupBy("pattern").agg(F.max_by("equity", "exit_date").alias("final"), F.min("drawdown").alias("max_drawdown"), (ratio(F.avg("r"), F.stddev_samp("r")) * F.sqrt(lit(252))).alias("sharpe"), F.datediff(F.max("exit_date"), F.min("exit_date")).alias("days"))
+    shape = curve.groupBy("pattern").agg(F.max_by("equity", "exit_date").alias("final"), F.min("drawdown").alias("max_drawdown"), (ratio(F.avg("r"), F.stddev_samp("r")) * F.sqrt(lit(252))).alias("sharpe"), F.datediff(F.max("exit_date"), F.min("exit_date")).alias("days"), F.count(F.lit(1)).alias("exits"))
     r = F.col("net_return")
     trade = accepted.groupBy("pattern").agg(F.count(F.lit(1)).alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"), ratio(F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r <= 0, r)))).alias("payoff"))
     joined = shape.join(trade, "pattern")
-    return joined.select("pattern", "trades", (F.col("final") - lit(1)).alias("total_return"), F.when(F.col("days") > 0, F.pow("final", lit(365) / F.col("days")) - lit(1)).alias("annual_return"), "max_drawdown", "sharpe", "win_rate", "payoff")
+    return joined.select("pattern", "trades", (F.col("final") - lit(1)).alias("total_return"), F.when(F.col("exits") > 1, F.pow("final", lit(365.25) / F.greatest("days", F.lit(1))) - lit(1)).alias("annual_return"), "max_drawdown", "sharpe", "win_rate", "payoff")

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.functions.series import by_symbol, lit
+from candela.functions.series import by_symbol, lit, ratio
 
+#: Ratios that turns are compared with, and the limits of wave checks (fixed values).
+TURN_RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786)
+WAVE_2, WAVE_4, WAVE_B, WAVE_C = (0.236, 0.786), (0.236, 0.618), (0.382, 0.786), (0.618, 1.618)
+#: An anchor has so many bars and moves by so many average ranges at least; a zone reaches so many average ranges, or a tick.
+LEAST_BARS, LEAST_MOVE, ZONE_RANGES, TICK = 3, 1.0, 0.15, 0.01
 #: Scale -> (bars left, bars right, least swing).
 SCALES = {"fine": (3, 3, 0.02), "medium": (5, 5, 0.04), "coarse": (10, 10, 0.08)}
 FIB_RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786, 1.0)
@@ -77,96 +83,202 @@ def multiscale(bars: DataFrame) -> DataFrame:
     return out
 
 
-def legs(line: DataFrame, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Moves between neighbouring pivots: length, size and a stable id."""
+def with_range(bars: DataFrame) -> DataFrame:
+    """Numbered bars with ``atr``, the mean true range of up to 14 bars."""
+    w = by_symbol()
+    before = F.lag("close").over(w)
+    spans = numbered(bars).withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    return spans.withColumn("atr", F.avg("tr").over(w.rowsBetween(-13, 0))).drop("tr")
+
+
+def legs(line: DataFrame, bars: DataFrame | None = None, scale: str = "medium", key: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Moves between neighbouring pivots: length, size and a stable id; with ``bars`` also the size in average ranges at the end."""
     w = Window.partitionBy(*key).orderBy("ordinal")
-    ends = line.select("*", F.lead("idx").over(w).alias("end_idx"), F.lead("price").over(w).alias("end_price"), F.lead("confirm").over(w).alias("end_confirm")).where("end_idx is not null")
-    name = F.format_string("%d:%d:%.8f:%d:%.8f", "symbol", "idx", "price", "end_idx", "end_price")
-    return ends.select(
+    ahead = [F.lead(c).over(w).alias(f"end_{c}") for c in ("idx", "typ", "price", "confirm")]
+    ends = line.select("*", *ahead).where("end_idx is not null")
+    name = F.format_string("%s:%d:%s:%.8f:%d:%s:%.8f", F.lit(scale), "idx", "typ", "price", "end_idx", "end_typ", "end_price")
+    out = ends.select(
         *key, "ordinal", F.col("idx").alias("start_idx"), F.col("price").alias("start_price"), "end_idx", "end_price", F.col("end_confirm").alias("confirm"),
-        F.when(F.col("end_price") > F.col("price"), "up").otherwise("down").alias("direction"), (F.col("end_idx") - F.col("idx")).alias("bars"), (F.col("end_price") / F.col("price") - lit(1)).alias("pct"), F.substring(F.sha1(name), 1, 16).alias("leg_id"),
+        F.when(F.col("end_price") > F.col("price"), "up").otherwise("down").alias("direction"), (F.col("end_idx") - F.col("idx")).alias("bars"),
+        (F.col("end_price") / F.col("price") - lit(1)).alias("pct"), F.concat(F.lit("leg_"), F.substring(F.sha1(name), 1, 16)).alias("leg_id"),
     )
+    if bars is None:
+        return out.withColumn("atr_move", F.lit(None).cast("double"))
+    ranges = with_range(bars).select("symbol", F.col("idx").alias("end_idx"), "atr")
+    moved = F.abs(F.col("end_price") - F.col("start_price")) / F.when(F.col("atr") > 0, F.col("atr"))
+    return out.join(ranges, ["symbol", "end_idx"], "left").withColumn("atr_move", F.round(moved, 6)).drop("atr").select(*out.columns, "atr_move")
 
 
 def anchors(moves: DataFrame, n: int = 5) -> DataFrame:
-    """The n largest legs of at least three bars, by size, length, recency and id."""
-    w = Window.partitionBy("symbol").orderBy(F.desc(F.abs("pct")), F.desc("bars"), F.desc("end_idx"), "leg_id")
-    return moves.where("bars >= 3").withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
+    """The n largest legs that are long enough in bars and in average ranges, with the rank 1, 1/2, 1/3, ...
+
+    Largest is by average ranges, or by per cent where these are not known, then by length, recency and id.
+    """
+    size = F.coalesce("atr_move", F.abs(F.col("pct") * 100))
+    w = Window.partitionBy("symbol").orderBy(F.desc(size), F.desc("bars"), F.desc("end_idx"), "leg_id")
+    eligible = moves.where((F.col("bars") >= LEAST_BARS) & (F.col("atr_move").isNull() | (F.col("atr_move") >= LEAST_MOVE)))
+    return eligible.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).withColumn("rank", F.round(lit(1) / F.col("position"), 6))
+
+
+def latest_range(bars: DataFrame) -> DataFrame:
+    """(symbol, last_close, last_atr) at each symbol's last bar."""
+    return with_range(bars).groupBy("symbol").agg(F.max_by("close", "idx").alias("last_close"), F.max_by("atr", "idx").alias("last_atr"))
 
 
-def fib_zones(anchored: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Retracement levels of each anchor with a band of relative width ``tolerance``."""
-    out = anchored.withColumn("ratio", F.explode(F.array(*map(lit, FIB_RATIOS))))
+def fib_zones(anchored: DataFrame, bars: DataFrame) -> DataFrame:
+    """Retracement levels of each anchor with a band of a share of the symbol's present average range."""
+    out = anchored.withColumn("ratio", F.explode(F.array(*map(lit, FIB_RATIOS)))).join(latest_range(bars), "symbol")
     level = F.col("end_price") - F.col("ratio") * (F.col("end_price") - F.col("start_price"))
-    return out.withColumn("level", level).select("symbol", "leg_id", "direction", "ratio", "level", (level * lit(1 - tolerance)).alias("lower"), (level * lit(1 + tolerance)).alias("upper"))
+    reach = F.greatest(F.abs("last_atr") * lit(ZONE_RANGES), lit(TICK))
+    return out.select("symbol", "leg_id", "start_idx", "end_idx", "direction", "ratio", F.round(level, 8).alias("level"), F.round(level - reach, 8).alias("lower"), F.round(level + reach, 8).alias("upper"))
 
 
-def projections(moves: DataFrame) -> DataFrame:
-    """Targets of the leg before last, measured from the last pivot, for each symbol."""
-    w = Window.partitionBy("symbol").orderBy(F.desc("ordinal"))
-    last = moves.withColumn("back", F.row_number().over(w)).where("back = 2")
-    end = moves.withColumn("back", F.row_number().over(w)).where("back = 1").select("symbol", F.col("end_price").alias("from_price"))
-    out = last.join(end, "symbol").withColumn("ratio", F.explode(F.array(*map(lit, PROJECTIONS))))
-    return out.select("symbol", "ratio", (F.col("from_price") + F.col("ratio") * (F.col("end_price") - F.col("start_price"))).alias("target"))
+def projections(anchored: DataFrame, moves: DataFrame, bars: DataFrame) -> DataFrame:
+    """Targets of each anchor's move from where the leg after it ended, and how far price has come towards them."""
+    after = moves.select("symbol", F.col("start_idx").alias("end_idx"), F.col("end_idx").alias("from_idx"), F.col("end_price").alias("from_price"))
+    out = anchored.join(after, ["symbol", "end_idx"]).join(latest_range(bars), "symbol").withColumn("ratio", F.explode(F.array(*map(lit, PROJECTIONS))))
+    move = F.col("end_price") - F.col("start_price")
+    return out.select(
+        "symbol", "leg_id", "start_idx", "end_idx", "from_idx", "ratio", F.round(F.col("from_price") + F.col("ratio") * move, 8).alias("target"), F.round((F.col("last_close") - F.col("from_price")) / move, 8).alias("projection"),
+    )
+
+
+def phase_of(retracement, deepest, position, resume: float = 0.0, over: float = 0.0):
+    """Where price stands after a move: ``retracement`` and ``position`` are of the present price, ``deepest`` of the path since."""
+    back = deepest > 0
+    return (
+        F.when(retracement > lit(1 + over), "over_retraced").when(back & (position > lit(1 + resume)), "resumed").when(back & (retracement <= 0), "retracement_confirming").when(back, "retracing").otherwise("impulse")
+    )
 
 
 def retracements(anchored: DataFrame, bars: DataFrame) -> DataFrame:
-    """How far price has come back over each anchor since its end, at most and now, and in which phase that puts it."""
-    n = numbered(bars).select("symbol", "idx", "close", "high", "low")
-    after = anchored.join(n, "symbol").where("idx >= end_idx")
-    span = F.col("end_price") - F.col("start_price")
-    out = after.groupBy("symbol", "leg_id", "direction", "start_price", "end_price").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.max_by("close", "idx").alias("price"))
-    extreme = F.when(F.col("direction") == "up", F.col("lo")).otherwise(F.col("hi"))
-    out = out.select("symbol", "leg_id", "direction", ((F.col("end_price") - F.col("price")) / span).alias("retracement"), ((F.col("end_price") - extreme) / span).alias("deepest"))
-    phase = F.when(F.col("retracement") < 0, "resumed").when(F.col("deepest") > 1, "over_retraced").when(F.col("deepest") < lit(0.236), "impulse").when(F.col("retracement") < F.col("deepest") - lit(0.1), "retracement_confirming").otherwise("retracing")
-    return out.withColumn("phase", phase)
+    """How far closes have come back over each anchor since its end, at most and now, and in which phase that puts it.
+
+    The extremes of the closes from a bar on are windows over the bars, so anchors meet them by their end alone.
+    """
+    rest = by_symbol().rowsBetween(0, Window.unboundedFollowing)
+    since = numbered(bars).select("symbol", F.col("idx").alias("end_idx"), F.min("close").over(rest).alias("lo"), F.max("close").over(rest).alias("hi"), F.last("close").over(rest).alias("price"))
+    move = F.col("end_price") - F.col("start_price")
+    extreme = F.when(move > 0, F.col("lo")).otherwise(F.col("hi"))
+    out = anchored.join(since, ["symbol", "end_idx"]).select(
+        "symbol", "leg_id", "start_idx", "end_idx", "direction", ((F.col("end_price") - F.col("price")) / move).alias("retracement"), ((F.col("price") - F.col("start_price")) / move).alias("position"), ((F.col("end_price") - extreme) / move).alias("deepest"),
+    )
+    return out.withColumn("phase", phase_of(F.col("retracement"), F.col("deepest"), F.col("position")))
 
 
-def fib_turns(moves: DataFrame) -> DataFrame:
-    """For each direction of correction, which ratio of the leg before the turns lie nearest to."""
+def _nearest(value, ratios=TURN_RATIOS):
+    """The ratio closest to a value, the smaller of two that are as close."""
+    return F.array_min(F.array(*[F.struct(F.abs(value - lit(x)).alias("d"), lit(x).alias("x")) for x in ratios]))["x"]
+
+
+def turns(moves: DataFrame) -> DataFrame:
+    """Each leg that turns the one before, as a share of it, and the Fibonacci ratio that comes nearest; prices in thousandths."""
     w = Window.partitionBy("symbol").orderBy("ordinal")
-    ratio = F.abs(F.col("end_price") - F.col("start_price")) / F.nullif(F.abs(F.lag("end_price").over(w) - F.lag("start_price").over(w)), lit(0))
-    turned = moves.withColumn("ratio", ratio).where("ratio is not null and ratio <= 1")
-    near = F.array_min(F.array(*[F.struct(F.abs(F.col("ratio") - lit(x)).alias("d"), lit(x).alias("nearest")) for x in FIB_RATIOS]))["nearest"]
-    return turned.withColumn("nearest", near).groupBy("direction", "nearest").agg(F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("mean_ratio"))
+    span = F.abs(F.round("end_price", 3) - F.round("start_price", 3))
+    seen = moves.select("*", span.alias("span"), F.lag(span).over(w).alias("before"), F.lag("direction").over(w).alias("was")).where("before > 0 and was <> direction")
+    ratio = F.col("span") / F.col("before")
+    return seen.select("symbol", "ordinal", "end_idx", F.when(F.col("was") == "up", "up_pullback").otherwise("down_rebound").alias("kind"), ratio.alias("ratio"), _nearest(ratio).alias("nearest"))
+
+
+def fib_turns(moves: DataFrame) -> DataFrame:
+    """For pullbacks and rebounds, how often each ratio was the nearest; their number, mean and commonest ratio with it."""
+    counted = turns(moves).groupBy("kind", "nearest").agg(F.count(F.lit(1)).alias("n"), F.sum("ratio").alias("total"))
+    w = Window.partitionBy("kind")
+    return counted.select("kind", "nearest", "n", F.sum("n").over(w).alias("turns"), (F.sum("total").over(w) / F.sum("n").over(w)).alias("mean_ratio"), F.max(F.struct("n", -F.col("nearest"))).over(w).alias("most")).select(
+        "kind", "nearest", "n", "turns", F.round("mean_ratio", 3).alias("mean_ratio"), (-F.col("most.col2")).alias("commonest")
+    )
+
+
+#: W and M skeletons: how far the ends may differ, how deep the middle lies, how far beyond a level price must go (fixed values).
+ENDS_APART, LEAST_DEPTH, BREAK, FAILURE, DEEP = 0.10, 0.05, 0.01, 0.03, 0.20
+
+
+def _first_events(patterns: pd.DataFrame, bars: pd.DataFrame) -> pd.DataFrame:
+    """What happened first to each pattern from its confirmation on: failure by a wick, or a close beyond the neckline."""
+    bars = bars.sort_values("date")
+    close, high, low = (bars[c].to_numpy(float) for c in ("close", "high", "low"))
+    status, at = [], []
+    for p in patterns.itertuples(index=False):
+        c, h, w = close[p.confirm :], high[p.confirm :], low[p.confirm :]
+        is_w = p.pattern == "w_bottom"
+        failed = w < min(p.left_price, p.right_price) * (1 - FAILURE) if is_w else h > max(p.left_price, p.right_price) * (1 + FAILURE)
+        broke = c > p.mid_price * (1 + BREAK) if is_w else c < p.mid_price * (1 - BREAK)
+        hit = np.flatnonzero(failed | broke)
+        if not len(hit):
+            status.append("right_bottom_confirmed" if is_w else "right_top_confirmed")
+            at.append(None)
+            continue
+        status.append("invalidated" if failed[hit[0]] else "neckline_breakout" if is_w else "neckline_breakdown")
+        at.append(int(hit[0]) + p.confirm)
+    return patterns.assign(status=status, event_idx=pd.array(at, "Int32"))
 
 
 def double_patterns(line: DataFrame, bars: DataFrame) -> DataFrame:
-    """W and M skeletons: triples of pivots with like ends and a deep middle, and what happens first after them."""
+    """W and M skeletons: triples of pivots with like ends and a deep middle, and what happens first after them.
+
+    A symbol's patterns meet its bars in one group, which the bars of one symbol bound.
+    """
     w = Window.partitionBy("symbol").orderBy("ordinal")
     t = line.select(
-        "symbol", F.col("typ").alias("kind"), F.col("idx").alias("left_idx"), F.col("price").alias("left_price"), F.lead("idx", 1).over(w).alias("mid_idx"), F.lead("price", 1).over(w).alias("mid_price"),
+        "symbol", F.when(F.col("typ") == "L", "w_bottom").otherwise("m_top").alias("pattern"), F.col("idx").alias("left_idx"), F.col("price").alias("left_price"), F.lead("idx", 1).over(w).alias("mid_idx"), F.lead("price", 1).over(w).alias("mid_price"),
         F.lead("idx", 2).over(w).alias("right_idx"), F.lead("price", 2).over(w).alias("right_price"), F.lead("confirm", 2).over(w).alias("confirm"),
     ).where("right_idx is not null")
-    apart = F.abs(F.col("right_price") / F.col("left_price") - 1)
-    outer = F.when(F.col("kind") == "L", F.least("left_price", "right_price")).otherwise(F.greatest("left_price", "right_price"))
-    t = t.select("*", apart.alias("deviation"), F.abs(F.col("mid_price") / outer - 1).alias("depth"), outer.alias("outer")).where((F.col("deviation") <= lit(0.10)) & (F.col("depth") >= lit(0.05)))
-    n = numbered(bars).select("symbol", "idx", "close", "high", "low")
-    after = t.join(n, "symbol").where("idx >= confirm")
-    is_w = F.col("kind") == "L"
-    failed = F.when(is_w, F.col("low") < F.col("outer") * lit(0.97)).otherwise(F.col("high") > F.col("outer") * lit(1.03))
-    broke = F.when(is_w, F.col("close") > F.col("mid_price") * lit(1.01)).otherwise(F.col("close") < F.col("mid_price") * lit(0.99))
-    event = F.when(failed, "invalidated").when(broke, "neckline_breakout")
-    first = after.withColumn("event", event).where("event is not null").groupBy("symbol", "left_idx", "right_idx").agg(F.min_by("event", "idx").alias("status"), F.min("idx").alias("event_idx"))
-    score = lit(0.65) * (lit(1) - F.col("deviation") / lit(0.10)) + lit(0.35) * F.least(lit(1), F.col("depth") / lit(0.2))
-    out = t.join(first, ["symbol", "left_idx", "right_idx"], "left")
-    return out.select("symbol", F.when(is_w, "W").otherwise("M").alias("kind"), "left_idx", "mid_idx", "right_idx", F.col("mid_price").alias("neckline"), "deviation", "depth", score.alias("score"), F.coalesce("status", F.lit("forming")).alias("status"), "event_idx")
+    apart = F.abs(F.col("right_price") - F.col("left_price")) / F.abs("left_price")
+    depth = F.when(F.col("pattern") == "w_bottom", F.col("mid_price") / F.least("left_price", "right_price") - lit(1)).otherwise(lit(1) - F.col("mid_price") / F.greatest("left_price", "right_price"))
+    t = t.select("*", apart.alias("deviation"), depth.alias("depth")).where((F.col("deviation") <= lit(ENDS_APART)) & (F.col("depth") >= lit(LEAST_DEPTH)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema) + ", status string, event_idx int"
+    seen = t.groupBy("symbol").cogroup(bars.select("symbol", "date", "close", "high", "low").groupBy("symbol")).applyInPandas(_first_events, schema)
+    score = lit(0.65) * F.greatest(lit(0), lit(1) - F.col("deviation") / lit(ENDS_APART)) + lit(0.35) * F.least(lit(1), F.col("depth") / lit(DEEP))
+    return seen.select("symbol", "pattern", "left_idx", "mid_idx", "right_idx", F.col("mid_price").alias("neckline"), "deviation", "depth", score.alias("score"), "status", "event_idx")
 
 
 def waves(line: DataFrame) -> DataFrame:
-    """Scores of the last six pivots as an impulse and of the last four as a correction, in per cent of the checks met."""
+    """Each symbol's last six pivots scored as an impulse of five waves, and its last four as a correction, in per cent of checks met.
+
+    Impulse: highs and lows go on in its direction, waves 2 and 4 retrace within their limits, wave 3 is not the
+    shortest.  Correction: B retraces, and C compares to A, within theirs.  Too few pivots score null.
+    """
     w = Window.partitionBy("symbol").orderBy(F.desc("ordinal"))
-    last = line.withColumn("back", F.row_number().over(w)).where("back <= 6").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ordinal", "price"))).alias("p"))  # six pivots at most
+    last = line.withColumn("back", F.row_number().over(w)).where("back <= 6").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ordinal", "price", "typ"))).alias("p"))  # six pivots at most
+    n = F.size("p")
 
-    def at(i: int):
-        return F.try_element_at("p", F.lit(i))["price"]
+    def at(back: int):
+        """The price of a pivot, counted from the last."""
+        return F.when(n >= back, F.element_at("p", F.greatest(n - back + 1, F.lit(1)))["price"])
 
-    up = at(6) > at(1)
+    def length(back: int):
+        return F.abs(at(back - 1) - at(back))
+
+    def within(value, limits):
+        return F.coalesce(value.between(lit(limits[0]), lit(limits[1])), F.lit(False))
+
+    up = F.element_at("p", -1)["typ"] == "H"
     sign = F.when(up, lit(1)).otherwise(lit(-1))
-    w1, w2, w3, w4, w5 = (sign * (at(i + 1) - at(i)) for i in range(1, 6))
-    checks = [w1 > 0, (w2 < 0) & (-w2 < w1), (w3 > 0) & (w3 >= F.least(w1, w5)), sign * (at(5) - at(2)) > 0, w5 > 0]
-    impulse = sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks), F.lit(0)) * 20
-    n = F.size("p")
-    a, b, c = (at(4) - at(3)), (at(5) - at(4)), (at(6) - at(5))
-    abc = F.coalesce((a * c > 0) & (F.abs(b) < F.abs(a)), F.lit(False)).cast("int") * 50 + F.coalesce(F.abs(c) >= F.abs(a) * lit(0.618), F.lit(False)).cast("int") * 50
-    return last.select("symbol", F.when(n == 6, impulse).alias("impulse_score"), F.when(n == 6, abc).alias("abc_score"), F.when(n == 6, F.when(up, "up").otherwise("down")).alias("direction"))
+    second, fourth = ratio(length(5), length(6)), ratio(length(3), length(4))
+    checks = [
+        (sign * (at(3) - at(5)) > 0) & (sign * (at(1) - at(3)) > 0), (sign * (at(4) - at(6)) > 0) & (sign * (at(2) - at(4)) > 0), within(second, WAVE_2), within(fourth, WAVE_4), length(4) >= F.least(length(6), length(2)),
+    ]
+    impulse = sum((c.cast("int") for c in checks), F.lit(0)) * 20
+    correction = (within(ratio(length(3), length(4)), WAVE_B).cast("int") + within(ratio(length(2), length(4)), WAVE_C).cast("int")) * 50
+    return last.select(
+        "symbol", F.when(n == 6, impulse).alias("impulse_score"), F.when(n == 6, F.when(up, "up").otherwise("down")).alias("direction"), F.when(n == 6, second).alias("wave2"), F.when(n == 6, fourth).alias("wave4"),
+        F.when(n == 6, sign * (at(2) - at(5)) <= 0).alias("overlap"), F.when(n >= 4, correction).alias("abc_score"), F.when(n >= 4, F.when(up, "up").otherwise("down")).alias("abc_direction"),
+    )
+
+
+def active_leg(line: DataFrame, bars: DataFrame) -> DataFrame:
+    """The move since each symbol's last pivot, and the levels its price may react at, as (name, price) in ascending order."""
+    w = Window.partitionBy("symbol").orderBy("ordinal")
+    last = line.withColumn("before", F.lag("price").over(w)).groupBy("symbol").agg(F.max_by(F.struct("idx", "typ", "price", "before"), "ordinal").alias("p")).select("symbol", "p.*")
+    out = last.join(latest_range(bars), "symbol")
+    span = F.abs(F.col("price") - F.col("before"))
+
+    def levels(names, sign, known):
+        parts = [F.struct(F.round(F.col("price") + sign * span * lit(x), 3).alias("price"), F.lit(f"{names}_{int(x * 1000)}").alias("name")) for x in (TURN_RATIOS if names == "fib" else (0.382, 0.5, 0.618))]
+        return F.array_sort(F.array(*parts, F.struct(F.round("before", 3).alias("price"), F.lit(known).alias("name"))))
+
+    told = F.when(F.col("typ") == "L", levels("retr", 1, "prior_high")).otherwise(levels("fib", -1, "prior_low"))
+    return out.select(
+        "symbol", F.col("idx").alias("from_idx"), F.col("typ").alias("from_type"), F.round("price", 3).alias("from_price"), F.when(F.col("last_close") >= F.col("price"), "up").otherwise("down").alias("direction"),
+        F.round((F.col("last_close") / F.col("price") - lit(1)) * 100, 2).alias("change_pct"), F.when(span > 0, told).alias("levels"),
+    )

@@ -50,15 +50,18 @@ def pivot_events(spark, d):
     return pv.pivots(src.bars(spark, d)).select("symbol", "date", "idx", "typ", F.round("price", 6).alias("price"), "confirm")
 
 
-def _fold(swing: float) -> str:
+def _fold(swing: float, source: str = "pivots", tag: str = "") -> str:
     """The zigzag as a recursion over pivots; the state after each says which point is last and how many there are."""
     step = f"CASE WHEN s.typ = p.typ THEN CASE WHEN (p.typ = 'H' AND p.price > s.price) OR (p.typ = 'L' AND p.price < s.price) THEN 1 ELSE 0 END WHEN abs(p.price / s.price - 1) >= {swing}::DOUBLE THEN 2 ELSE 0 END"
-    return f"""p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confirm, idx, typ) AS k FROM pivots),
- s(symbol, k, idx, typ, price, confirm, ordinal) AS (SELECT symbol, k, idx, typ, price, confirm, 0 FROM p WHERE k = 1 UNION ALL
-   SELECT symbol, k, CASE WHEN how > 0 THEN i2 ELSE idx END, CASE WHEN how > 0 THEN t2 ELSE typ END, CASE WHEN how > 0 THEN p2 ELSE price END, CASE WHEN how > 0 THEN c2 ELSE confirm END, ordinal + CASE WHEN how = 2 THEN 1 ELSE 0 END
-   FROM (SELECT p.symbol, p.k, s.idx, s.typ, s.price, s.confirm, s.ordinal, p.idx AS i2, p.typ AS t2, p.price AS p2, p.confirm AS c2, {step} AS how FROM s JOIN p ON p.symbol = s.symbol AND p.k = s.k + 1)),
- line AS (SELECT symbol, ordinal, arg_max(idx, k) AS idx, arg_max(typ, k) AS typ, arg_max(price, k) AS price, arg_max(confirm, k) AS confirm FROM s GROUP BY symbol, ordinal),
- legs_ AS (SELECT * FROM (SELECT symbol, ordinal, idx AS start_idx, price AS start_price, lead(idx) OVER w AS end_idx, lead(price) OVER w AS end_price, lead(confirm) OVER w AS confirm FROM line WINDOW w AS (PARTITION BY symbol ORDER BY ordinal)) WHERE end_idx IS NOT NULL)"""
+    return f"""p{tag} AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confirm, idx, typ) AS k FROM {source}),
+ s{tag}(symbol, k, date, idx, typ, price, confirm, ordinal) AS (SELECT symbol, k, date, idx, typ, price, confirm, 0 FROM p{tag} WHERE k = 1 UNION ALL
+   SELECT symbol, k, CASE WHEN how > 0 THEN d2 ELSE date END, CASE WHEN how > 0 THEN i2 ELSE idx END, CASE WHEN how > 0 THEN t2 ELSE typ END,
+          CASE WHEN how > 0 THEN p2 ELSE price END, CASE WHEN how > 0 THEN c2 ELSE confirm END, ordinal + CASE WHEN how = 2 THEN 1 ELSE 0 END
+   FROM (SELECT p.symbol, p.k, s.date, s.idx, s.typ, s.price, s.confirm, s.ordinal, p.date AS d2, p.idx AS i2, p.typ AS t2, p.price AS p2, p.confirm AS c2, {step} AS how
+         FROM s{tag} s JOIN p{tag} p ON p.symbol = s.symbol AND p.k = s.k + 1)),
+ line{tag} AS (SELECT symbol, ordinal, arg_max(date, k) AS date, arg_max(idx, k) AS idx, arg_max(typ, k) AS typ, arg_max(price, k) AS price, arg_max(confirm, k) AS confirm FROM s{tag} GROUP BY symbol, ordinal),
+ legs_{tag} AS (SELECT * FROM (SELECT symbol, ordinal, idx AS start_idx, price AS start_price, lead(idx) OVER w AS end_idx, lead(price) OVER w AS end_price, lead(confirm) OVER w AS confirm
+   FROM line{tag} WINDOW w AS (PARTITION BY symbol ORDER BY ordinal)) WHERE end_idx IS NOT NULL)"""
 
 
 @query(with_ctes("SELECT symbol, ordinal, idx, typ, round(price, 6) AS price, confirm FROM line", "pivots", recursive=_fold(0.03)))
@@ -66,54 +69,163 @@ def zigzag(spark, d):
     return pv.zigzag(pv.pivots(src.bars(spark, d))).select("symbol", "ordinal", "idx", "typ", F.round("price", 6).alias("price"), "confirm")
 
 
-@query()
+_SCALED = ", ".join(_fold(swing, source, f"_{scale}") for scale, source, swing in (("fine", "pivots3", 0.02), ("medium", "pivots", 0.04), ("coarse", "pivots10", 0.08)))
+
+
+@query(
+    with_ctes(
+        " UNION ALL ".join(f"SELECT '{k}' AS scale, symbol, ordinal, date, idx, typ, round(price, 6) AS price, confirm FROM line_{k}" for k in ("fine", "medium", "coarse")), "pivots", "pivots3", "pivots10", recursive=_SCALED
+    )
+)
 def zigzag_multiscale(spark, d):
-    return pv.multiscale(src.bars(spark, d))
+    return pv.multiscale(src.bars(spark, d)).withColumn("price", F.round("price", 6))
 
 
 def _line(spark, d):
     return pv.zigzag(pv.pivots(src.bars(spark, d)), 0.04)
 
 
-@query(with_ctes("SELECT symbol, ordinal, start_idx, end_idx, confirm, end_idx - start_idx AS bars, CASE WHEN end_price > start_price THEN 'up' ELSE 'down' END AS direction, round(end_price / start_price - 1, 6) AS pct FROM legs_", "pivots", recursive=_fold(0.04)))
+def _legs(spark, d):
+    return pv.legs(_line(spark, d), src.bars(spark, d))
+
+
+_MOVES = f"""{_fold(0.04)},
+ moves_ AS (SELECT l.*, CASE WHEN end_price > start_price THEN 'up' ELSE 'down' END AS direction, end_idx - start_idx AS bars, end_price / start_price - 1 AS pct, end_price - start_price AS move,
+   round(abs(end_price - start_price) / CASE WHEN b.atr > 0 THEN b.atr END, 6) AS atr_move FROM legs_ l LEFT JOIN bars_n b ON b.symbol = l.symbol AND b.idx = l.end_idx),
+ anchors_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY coalesce(atr_move, abs(pct) * 100) DESC, bars DESC, end_idx DESC) AS position
+   FROM moves_ WHERE bars >= 3 AND (atr_move IS NULL OR atr_move >= 1)) WHERE position <= 5),
+ last_ AS (SELECT symbol, arg_max(close, idx) AS last_close, arg_max(atr, idx) AS last_atr FROM bars_n GROUP BY symbol)"""
+
+
+@query(with_ctes("SELECT symbol, ordinal, start_idx, end_idx, confirm, bars, direction, round(pct, 6) AS pct, round(atr_move, 5) AS atr_move FROM moves_", "pivots", "bars_n", recursive=_MOVES))
 def legs(spark, d):
-    return pv.legs(_line(spark, d)).select("symbol", "ordinal", "start_idx", "end_idx", "confirm", "bars", "direction", F.round("pct", 6).alias("pct"))
+    return _legs(spark, d).select("symbol", "ordinal", "start_idx", "end_idx", "confirm", "bars", "direction", F.round("pct", 6).alias("pct"), F.round("atr_move", 5).alias("atr_move"))
 
 
-@query(with_ctes("SELECT symbol, start_idx, end_idx, position, round(pct, 6) AS pct FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(pct) DESC, end_idx - start_idx DESC, end_idx DESC) AS position FROM (SELECT *, end_price / start_price - 1 AS pct FROM legs_ WHERE end_idx - start_idx >= 3)) WHERE position <= 5", "pivots", recursive=_fold(0.04)))
+@query(with_ctes("SELECT symbol, start_idx, end_idx, position, round(pct, 6) AS pct, round(1 / position, 6) AS rank FROM anchors_", "pivots", "bars_n", recursive=_MOVES))
 def anchors(spark, d):
-    return pv.anchors(pv.legs(_line(spark, d))).select("symbol", "start_idx", "end_idx", "position", F.round("pct", 6).alias("pct"))
+    return pv.anchors(_legs(spark, d)).select("symbol", "start_idx", "end_idx", "position", F.round("pct", 6).alias("pct"), "rank")
 
 
-@query()
+_ZONE = "end_price - ratio * move"
+_REACH = "greatest(abs(last_atr) * 0.15::DOUBLE, 0.01::DOUBLE)"
+
+
+@query(
+    with_ctes(
+        f"SELECT symbol, start_idx, end_idx, ratio, round({_ZONE}, 6) AS level, round({_ZONE} - {_REACH}, 6) AS lower, round({_ZONE} + {_REACH}, 6) AS upper FROM anchors_ JOIN last_ USING (symbol), (SELECT unnest([0.236, 0.382, 0.5, 0.618, 0.786, 1]::DOUBLE[]) AS ratio)",
+        "pivots", "bars_n", recursive=_MOVES,
+    )
+)
 def fib_zones(spark, d):
-    return pv.fib_zones(pv.anchors(pv.legs(_line(spark, d))))
+    return pv.fib_zones(pv.anchors(_legs(spark, d)), src.bars(spark, d)).select("symbol", "start_idx", "end_idx", "ratio", *rounded(["level", "lower", "upper"]))
 
 
-@query()
+@query(
+    with_ctes(
+        "SELECT a.symbol, a.start_idx, a.end_idx, n.end_idx AS from_idx, ratio, round(n.end_price + ratio * a.move, 6) AS target, round((last_close - n.end_price) / a.move, 6) AS projection "
+        "FROM anchors_ a JOIN legs_ n ON n.symbol = a.symbol AND n.start_idx = a.end_idx JOIN last_ l ON l.symbol = a.symbol, (SELECT unnest([1, 1.272, 1.618, 2, 2.618]::DOUBLE[]) AS ratio)",
+        "pivots", "bars_n", recursive=_MOVES,
+    )
+)
 def projection_targets(spark, d):
-    return pv.projections(pv.legs(_line(spark, d)))
+    moves = _legs(spark, d)
+    return pv.projections(pv.anchors(moves), moves, src.bars(spark, d)).select("symbol", "start_idx", "end_idx", "from_idx", "ratio", *rounded(["target", "projection"]))
 
 
-@query()
+_BACK = """SELECT a.symbol, a.start_idx, a.end_idx, a.direction, (a.end_price - last_close) / a.move AS retracement, (last_close - a.start_price) / a.move AS position, max((a.end_price - b.close) / a.move) AS deepest
+ FROM anchors_ a JOIN bars_n b ON b.symbol = a.symbol AND b.idx >= a.end_idx JOIN last_ l ON l.symbol = a.symbol GROUP BY ALL"""
+
+
+@query(
+    with_ctes(
+        "SELECT symbol, start_idx, end_idx, direction, round(retracement, 6) AS retracement, round(position, 6) AS position, round(deepest, 6) AS deepest, CASE WHEN retracement > 1 THEN 'over_retraced' WHEN deepest > 0 AND position > 1 THEN 'resumed' "
+        f"WHEN deepest > 0 AND retracement <= 0 THEN 'retracement_confirming' WHEN deepest > 0 THEN 'retracing' ELSE 'impulse' END AS phase FROM ({_BACK})",
+        "pivots", "bars_n", recursive=_MOVES,
+    )
+)
 def retracement_phases(spark, d):
-    return pv.retracements(pv.anchors(pv.legs(_line(spark, d))), src.bars(spark, d))
+    return pv.retracements(pv.anchors(_legs(spark, d)), src.bars(spark, d)).select("symbol", "start_idx", "end_idx", "direction", *rounded(["retracement", "position", "deepest"]), "phase")
 
 
-@query()
+_TURNS = """turns_ AS (SELECT *, span / before AS ratio, list_extract(list_sort([{'d': abs(span / before - x), 'x': x} FOR x IN [0.236, 0.382, 0.5, 0.618, 0.786]::DOUBLE[]]), 1)['x'] AS nearest
+ FROM (SELECT *, CASE WHEN lag(direction) OVER w = 'up' THEN 'up_pullback' ELSE 'down_rebound' END AS kind, lag(span) OVER w AS before, lag(direction) OVER w AS was
+       FROM (SELECT *, abs(round(end_price, 3) - round(start_price, 3)) AS span FROM moves_) WINDOW w AS (PARTITION BY symbol ORDER BY ordinal)) WHERE before > 0 AND was <> direction)"""
+
+
+@query(
+    with_ctes(
+        "SELECT kind, nearest, n, sum(n) OVER w AS turns, round(sum(total) OVER w / sum(n) OVER w, 3) AS mean_ratio, first(nearest) OVER (PARTITION BY kind ORDER BY n DESC, nearest) AS commonest "
+        "FROM (SELECT kind, nearest, count(*) AS n, sum(ratio) AS total FROM turns_ GROUP BY ALL) WINDOW w AS (PARTITION BY kind)",
+        "pivots", "bars_n", recursive=f"{_MOVES}, {_TURNS}",
+    ).replace("sum(n) OVER w AS turns", "(sum(n) OVER w)::BIGINT AS turns")
+)
 def fib_turns(spark, d):
     return pv.fib_turns(pv.legs(_line(spark, d)))
 
 
-@query()
+_TRIPLES = """triples AS (SELECT *, CASE WHEN typ = 'L' THEN mid_price / least(left_price, right_price) - 1 ELSE 1 - mid_price / greatest(left_price, right_price) END AS depth, abs(right_price - left_price) / abs(left_price) AS deviation
+ FROM (SELECT symbol, typ, idx AS left_idx, price AS left_price, lead(idx) OVER w AS mid_idx, lead(price) OVER w AS mid_price, lead(idx, 2) OVER w AS right_idx, lead(price, 2) OVER w AS right_price, lead(confirm, 2) OVER w AS confirm
+       FROM line WINDOW w AS (PARTITION BY symbol ORDER BY ordinal)) WHERE right_idx IS NOT NULL),
+ events2 AS (SELECT t.symbol, t.left_idx, t.right_idx, min(b.idx) AS event_idx, arg_min(b.failed, b.idx) AS failed FROM triples t JOIN LATERAL (SELECT idx,
+   CASE WHEN t.typ = 'L' THEN low < least(t.left_price, t.right_price) * (1 - 0.03::DOUBLE) ELSE high > greatest(t.left_price, t.right_price) * (1 + 0.03::DOUBLE) END AS failed,
+   CASE WHEN t.typ = 'L' THEN close > t.mid_price * (1 + 0.01::DOUBLE) ELSE close < t.mid_price * (1 - 0.01::DOUBLE) END AS broke FROM bars_n n WHERE n.symbol = t.symbol AND n.idx >= t.confirm) b ON true
+   WHERE b.failed OR b.broke GROUP BY ALL)"""
+
+
+@query(
+    with_ctes(
+        "SELECT t.symbol, CASE WHEN typ = 'L' THEN 'w_bottom' ELSE 'm_top' END AS pattern, t.left_idx, mid_idx, t.right_idx, round(mid_price, 6) AS neckline, round(deviation, 6) AS deviation, round(depth, 6) AS depth, "
+        "round(0.65::DOUBLE * greatest(0, 1 - deviation / 0.10::DOUBLE) + 0.35::DOUBLE * least(1, depth / 0.20::DOUBLE), 6) AS score, "
+        "CASE WHEN e.failed THEN 'invalidated' WHEN e.event_idx IS NULL THEN CASE WHEN typ = 'L' THEN 'right_bottom_confirmed' ELSE 'right_top_confirmed' END WHEN typ = 'L' THEN 'neckline_breakout' ELSE 'neckline_breakdown' END AS status, event_idx "
+        "FROM triples t LEFT JOIN events2 e ON e.symbol = t.symbol AND e.left_idx = t.left_idx AND e.right_idx = t.right_idx WHERE deviation <= 0.10::DOUBLE AND depth >= 0.05::DOUBLE",
+        "pivots", "bars_n", recursive=f"{_fold(0.04)}, {_TRIPLES}",
+    )
+)
 def double_patterns(spark, d):
     """W and M skeletons with what became of them."""
-    return pv.double_patterns(_line(spark, d), src.bars(spark, d))
-
-
-@query()
+    found = pv.double_patterns(_line(spark, d), src.bars(spark, d))
+    return found.select("symbol", "pattern", "left_idx", "mid_idx", "right_idx", *rounded(["neckline", "deviation", "depth", "score"]), "status", "event_idx")
+
+
+_SIX = """six AS (SELECT symbol, count(*) AS n, arg_min(typ, back) = 'H' AS up, """ + ", ".join(f"max(price) FILTER (back = {i}) AS p{i}" for i in range(1, 7)) + """ FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ordinal DESC) AS back FROM line) WHERE back <= 6 GROUP BY symbol),
+ lengths AS (SELECT *, CASE WHEN up THEN 1 ELSE -1 END AS sg, """ + ", ".join(f"abs(p{i - 1} - p{i}) AS l{i}" for i in range(2, 7)) + " FROM six)"
+_IMPULSE = " + ".join(
+    f"coalesce({c}, false)::INT"
+    for c in (
+        "sg * (p3 - p5) > 0 AND sg * (p1 - p3) > 0", "sg * (p4 - p6) > 0 AND sg * (p2 - p4) > 0", "l5 / nullif(l6, 0) BETWEEN 0.236::DOUBLE AND 0.786::DOUBLE", "l3 / nullif(l4, 0) BETWEEN 0.236::DOUBLE AND 0.618::DOUBLE", "l4 >= least(l6, l2)",
+    )
+)
+_CORRECTION = "coalesce(l3 / nullif(l4, 0) BETWEEN 0.382::DOUBLE AND 0.786::DOUBLE, false)::INT + coalesce(l2 / nullif(l4, 0) BETWEEN 0.618::DOUBLE AND 1.618::DOUBLE, false)::INT"
+
+
+@query(
+    with_ctes(
+        f"SELECT symbol, CASE WHEN n = 6 THEN ({_IMPULSE}) * 20 END AS impulse_score, CASE WHEN n = 6 THEN CASE WHEN up THEN 'up' ELSE 'down' END END AS direction, round(CASE WHEN n = 6 THEN l5 / nullif(l6, 0) END, 6) AS wave2, "
+        f"round(CASE WHEN n = 6 THEN l3 / nullif(l4, 0) END, 6) AS wave4, CASE WHEN n = 6 THEN sg * (p2 - p5) <= 0 END AS overlap, CASE WHEN n >= 4 THEN ({_CORRECTION}) * 50 END AS abc_score, CASE WHEN n >= 4 THEN CASE WHEN up THEN 'up' ELSE 'down' END END AS abc_direction FROM lengths",
+        "pivots", recursive=f"{_fold(0.04)}, {_SIX}",
+    )
+)
 def wave_scores(spark, d):
-    return pv.waves(_line(spark, d))
+    return pv.waves(_line(spark, d)).withColumn("wave2", F.round("wave2", 6)).withColumn("wave4", F.round("wave4", 6))
+
+
+@query(
+    with_ctes(
+        "SELECT symbol, p.idx AS from_idx, p.typ AS from_type, round(p.price, 3) AS from_price, CASE WHEN last_close >= p.price THEN 'up' ELSE 'down' END AS direction, round((last_close / p.price - 1) * 100, 2) AS change_pct, "
+        "CASE WHEN p.typ = 'L' THEN 'prior_high' ELSE 'prior_low' END AS level, round(p.before, 3) AS price FROM (SELECT symbol, arg_max(struct_pack(idx := idx, typ := typ, price := price, before := before), ordinal) AS p "
+        "FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ordinal) AS before FROM line) GROUP BY symbol) JOIN last_ USING (symbol) WHERE p.before IS NOT NULL "
+        "UNION ALL SELECT symbol, p.idx, p.typ, round(p.price, 3), CASE WHEN last_close >= p.price THEN 'up' ELSE 'down' END, round((last_close / p.price - 1) * 100, 2), CASE WHEN p.typ = 'L' THEN 'retr_' ELSE 'fib_' END || (x * 1000)::INT, "
+        "round(p.price + CASE WHEN p.typ = 'L' THEN 1 ELSE -1 END * abs(p.price - p.before) * x, 3) FROM (SELECT symbol, arg_max(struct_pack(idx := idx, typ := typ, price := price, before := before), ordinal) AS p "
+        "FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ordinal) AS before FROM line) GROUP BY symbol) JOIN last_ USING (symbol), (SELECT unnest([0.236, 0.382, 0.5, 0.618, 0.786]::DOUBLE[]) AS x) "
+        "WHERE p.before IS NOT NULL AND (p.typ = 'H' OR x IN (0.382::DOUBLE, 0.5::DOUBLE, 0.618::DOUBLE))",
+        "pivots", "bars_n", recursive=_MOVES,
+    )
+)
+def active_leg(spark, d):
+    """The open move of each symbol, a row for each level it may react at."""
+    found = pv.active_leg(_line(spark, d), src.bars(spark, d)).withColumn("at", F.explode("levels"))
+    return found.select("symbol", "from_idx", "from_type", "from_price", "direction", "change_pct", F.col("at.name").alias("level"), F.col("at.price").alias("price"))
 
 
 @query(with_ctes("SELECT symbol, date, variant, round(score, 6) AS score FROM box", "box"))
@@ -176,10 +288,10 @@ def report_factors_qcut(spark, d):
     return backtest.quartile_report(_box_events(spark, d), FACTORS).select("pattern", "factor", "bin", "n", F.round("win_10", 6).alias("win_10"), F.round("avg_10", 6).alias("avg_10"))
 
 
-@query(with_ctes("SELECT pattern, factor, bin, count(*) FILTER (date < DATE '1999-01-01') AS n_train, count(*) FILTER (date >= DATE '1999-01-01') AS n_test, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date < DATE '1999-01-01'), 6) AS train, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date >= DATE '1999-01-01'), 6) AS test FROM bins WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_", recursive=_QLONG))
+@query(with_ctes("SELECT pattern, factor, bin, count(*) FILTER (date < DATE '1999-01-01') AS n_train, count(*) FILTER (date >= DATE '1999-01-01') AS n_test, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date < DATE '1999-01-01'), 6) AS train, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date >= DATE '1999-01-01'), 6) AS test FROM bins WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_", recursive=_QLONG).replace("SELECT pattern, factor, bin, count(*) FILTER", "SELECT *, round(abs(test - train), 5) AS gap, abs(test - train) <= 0.10::DOUBLE AND test > 0.5::DOUBLE AS candidate FROM (SELECT pattern, factor, bin, count(*) FILTER") + ") WHERE n_train >= 10 AND n_test >= 5")
 def commonality(spark, d):
-    out = backtest.commonality(_box_events(spark, d), FACTORS, "1999-01-01")
-    return out.select("pattern", "factor", "bin", "n_train", "n_test", F.round("train", 6).alias("train"), F.round("test", 6).alias("test"))
+    out = backtest.commonality(_box_events(spark, d), FACTORS, "1999-01-01", least=(10, 5))
+    return out.select("pattern", "factor", "bin", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("train", "test")], F.round("gap", 5).alias("gap"), "candidate")
 
 
 @query(with_ctes("SELECT CASE WHEN x < 0.2 THEN '<0.2' WHEN x < 0.5 THEN '0.2-0.5' WHEN x < 0.8 THEN '0.5-0.8' ELSE '>=0.8' END AS bin, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM (SELECT boll_pos AS x, ret_10 FROM fac JOIN fwd USING (symbol, date) WHERE boll_pos IS NOT NULL AND ret_10 IS NOT NULL) GROUP BY 1 HAVING count(*) > 10".replace("0.2 ", "0.2::DOUBLE ").replace("0.5 ", "0.5::DOUBLE ").replace("0.8 ", "0.8::DOUBLE "), "fac", "fwd"))
@@ -223,8 +335,8 @@ t AS (SELECT b.symbol, b.date AS signal_date, s.rn, e.date AS entry_date, e.open
 p AS (SELECT t.*, entry - risk AS stop, entry + 2 * risk AS target, h.rn AS pos, h.date AS day, h.open AS o, h.high AS h, h.low AS l, h.close AS c, h.change_rate AS ch FROM t JOIN rows_ h ON h.symbol = t.symbol AND h.rn BETWEEN t.rn + 1 AND t.rn + 21),
 q AS (SELECT *, l <= stop AND NOT (h = l AND coalesce(ch, 0) <= -9.5) AS s_, h >= target AS t_ FROM p),
 f AS (SELECT symbol, signal_date, entry_date, entry, rn, stop, target, min(pos) FILTER (s_ OR t_) AS hit, max(pos) AS last FROM q GROUP BY ALL)
-SELECT f.symbol, f.signal_date, f.entry_date, q.day AS exit_date, CASE WHEN f.hit IS NULL THEN 'timeout' WHEN q.s_ THEN 'stop' ELSE 'target' END AS reason, q.pos - f.rn AS holding_days,
-       round(CASE WHEN f.hit IS NULL THEN q.c WHEN q.s_ THEN least(q.stop, q.o) ELSE greatest(q.target, q.o) END / f.entry - 1 - 0.0021::DOUBLE, 6) AS net_return
+SELECT f.symbol, f.signal_date, f.entry_date, q.day AS exit_date, CASE WHEN f.hit IS NULL THEN 'time_exit' WHEN q.s_ THEN 'stop' ELSE 'target_2r' END AS reason, q.pos - f.rn AS holding_days,
+       round(CASE WHEN f.hit IS NULL THEN q.c WHEN q.s_ THEN q.stop ELSE q.target END / f.entry - 1 - 0.0021::DOUBLE, 6) AS net_return
 FROM f JOIN q ON q.symbol = f.symbol AND q.signal_date = f.signal_date AND q.pos = coalesce(f.hit, f.last)"""
 
 
@@ -270,7 +382,8 @@ def market_structure_compact(spark, d):
 @query()
 def confluence(spark, d):
     """Zones where retracement levels of different anchors and long averages meet."""
-    zones = pv.fib_zones(pv.anchors(pv.legs(_line(spark, d)))).select("symbol", F.col("level").alias("center"), F.least("lower", "upper").alias("lower"), F.greatest("lower", "upper").alias("upper"), F.lit("fibonacci").alias("family"), F.col("leg_id").alias("dependency"))
+    zones = pv.fib_zones(pv.anchors(_legs(spark, d)), src.bars(spark, d))
+    zones = zones.select("symbol", F.col("level").alias("center"), "lower", "upper", F.lit("fibonacci").alias("family"), F.col("leg_id").alias("dependency"))
     last = screens.latest(ta.moving_averages(src.bars(spark, d)))
     averages = last.select("symbol", F.explode(F.array(*[F.struct(F.lit(f"MA{n}").alias("dependency"), F.col(f"MA{n}").alias("center")) for n in (20, 60, 120, 250)])).alias("m")).select("symbol", "m.center", F.col("m.center").alias("lower"), F.col("m.center").alias("upper"), F.lit("average").alias("family"), "m.dependency").where("center is not null")
     return structure.confluence(zones.unionByName(averages))

@@ -72,11 +72,15 @@ cte("sector_bars", ("bars", "members"), """
                     FROM (SELECT *, coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) - 1, 0) AS r, (high - low) / nullif(close, 0) AS span FROM bars)
                     JOIN members USING (symbol) GROUP BY ALL)))""")
 cte("flows", ("bars",), f"SELECT symbol, date, amount * coalesce(sign(close - lag(close) {W}), 0) AS net_inflow FROM bars")
-cte("pivots", ("bars",), """
-  SELECT symbol, date, idx, typ, price, idx + 5 AS confirm FROM (
+for _tag, _reach in (("", 5), ("3", 3), ("10", 10)):
+    cte(f"pivots{_tag}", ("bars",), f"""
+  SELECT symbol, date, idx, typ, price, idx + {_reach} AS confirm FROM (
     SELECT symbol, date, row_number() OVER w0 - 1 AS idx, high, low, max(high) OVER w AS hi, min(low) OVER w AS lo, count(*) OVER w AS n FROM bars
-    WINDOW w0 AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
-  , LATERAL (SELECT 'H' AS typ, high AS price WHERE high = hi UNION ALL SELECT 'L', low WHERE low = lo) WHERE n = 11""")
+    WINDOW w0 AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN {_reach} PRECEDING AND {_reach} FOLLOWING))
+  , LATERAL (SELECT 'H' AS typ, high AS price WHERE high = hi UNION ALL SELECT 'L', low WHERE low = lo) WHERE n = {2 * _reach + 1}""")
+cte("bars_n", ("bars",), f"""
+  SELECT *, row_number() {W} - 1 AS idx, avg(tr) OVER (PARTITION BY symbol ORDER BY date ROWS 13 PRECEDING) AS atr
+  FROM (SELECT *, greatest(high - low, abs(high - lag(close) {W}), abs(low - lag(close) {W})) AS tr FROM bars)""")
 cte("weekly", ("bars",), """
   SELECT symbol, label AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume, sum(amount) AS amount, max(date) AS source_date
   FROM (SELECT *, date + ((12 - dayofweek(date)) % 7)::INT AS label FROM bars) GROUP BY symbol, label""")
