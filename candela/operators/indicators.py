@@ -66,21 +66,29 @@ def ewm(values: np.ndarray, alpha: float, least: int = 0) -> np.ndarray:
     The weight of what is known decays on missing rows too, and the average repeats there; results start with the
     ``least``-th value.
     """
-    out = np.full(len(values), np.nan)
-    average, weight, seen = np.nan, 1.0, 0
-    for i, x in enumerate(values):
-        known = x == x
-        if average == average:
-            weight *= 1 - alpha
-            if known:
-                average = (weight * average + alpha * x) / (weight + alpha)
-                weight = 1.0
-        elif known:
-            average = x
-        seen += known
-        if seen >= least:
-            out[i] = average
-    return out
+    return pd.Series(values).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
+
+
+def wilder_rsi(frame: DataFrame, n: int = 14) -> DataFrame:
+    """``frame`` with WILDER_RSI: gains and losses start with their simple means over n changes and are smoothed by 1/n."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date", ignore_index=True)
+        change = np.diff(rows["close"].to_numpy(float))
+        out = np.full(len(rows), np.nan)
+        if len(change) >= n:
+            sides = []
+            for side in (np.maximum(change, 0), np.maximum(-change, 0)):
+                seeded = np.concatenate([[side[:n].mean()], side[n:]])
+                sides.append(ewm(seeded, 1 / n))
+            up, down = sides
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[n:] = np.where(down > 0, 100 - 100 / (1 + up / down), 100.0)
+        return rows.assign(WILDER_RSI=pd.array(np.where(np.isnan(out), None, out), "Float64"))
+
+    kept = frame.select("symbol", "date", "close")
+    told = kept.groupBy("symbol").applyInPandas(run, "symbol long, date date, close double, WILDER_RSI double").drop("close")
+    return frame.join(told, ["symbol", "date"])
 
 
 EWM_COLUMNS = (*[f"RSI{p}" for p in RSI_PERIODS], "DIF", "DEA", "MACD", "KDJ_K", "KDJ_D", "KDJ_J")

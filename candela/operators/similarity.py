@@ -29,18 +29,25 @@ def resampled(x: np.ndarray, points: int = POINTS) -> np.ndarray:
 
 
 def paths(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Standardised shapes of one window: price, drawdown, range, turning points and, where half the bars have any, volume."""
+    """Shapes of one window: price, drawdown, range, turning points and, where half the bars have any, volume.
+
+    Drawdown is relative to its deepest point; the others are standardised.  Turning points are the slope of the smoothed
+    price shape.
+    """
     close = rows["close"]
-    smooth = np.array([close[max(0, i - 2) : i + 3].mean() for i in range(len(close))])
+    price = standardise(resampled(np.log(close)))
+    fall = close / np.maximum.accumulate(close) - 1
+    deepest = abs(fall.min())
+    smooth = np.array([price[max(0, i - 2) : i + 3].mean() for i in range(len(price))])
     out = {
-        "price": np.log(close),
-        "drawdown": close / np.maximum.accumulate(close) - 1,
-        "range": (rows["high"] - rows["low"]) / close,
-        "turning": np.gradient(smooth),
+        "price": price,
+        "drawdown": resampled(fall / deepest if deepest > 1e-12 else fall),
+        "range": standardise(resampled(np.maximum(rows["high"] - rows["low"], 0) / close)),
+        "turning": standardise(np.gradient(smooth)),
     }
-    if (rows["volume"] > 0).mean() >= 0.5:
-        out["volume"] = np.log1p(np.maximum(rows["volume"], 0))
-    return {k: standardise(resampled(v)) for k, v in out.items()}
+    if (rows["volume"] > 0).sum() >= len(close) // 2:
+        out["volume"] = standardise(resampled(np.log1p(np.nan_to_num(rows["volume"]))))
+    return out
 
 
 def warp(a: np.ndarray, b: np.ndarray, band: int = BAND) -> float:
@@ -59,9 +66,29 @@ def warp(a: np.ndarray, b: np.ndarray, band: int = BAND) -> float:
 
 
 def likeness(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> float:
-    """Weighted mean of exp(-distance) over the paths both have; a missing path's weight goes to the others."""
+    """Weighted mean of exp(-distance) over the paths both have: prices are warped, the others compared point by point.
+
+    A missing path's weight goes to the others in proportion.
+    """
     both = [k for k in WEIGHTS if k in a and k in b]
-    return sum(WEIGHTS[k] * np.exp(-warp(a[k], b[k])) for k in both) / sum(WEIGHTS[k] for k in both)
+    apart = {k: warp(a[k], b[k]) if k == "price" else float(np.sqrt(((a[k] - b[k]) ** 2).mean())) for k in both}
+    return sum(WEIGHTS[k] * np.exp(-apart[k]) for k in both) / sum(WEIGHTS[k] for k in both)
+
+
+def candidates(bars: DataFrame, query: np.ndarray, window: int, pool: int = 100, before: str | None = None) -> DataFrame:
+    """The windows that go on to the full comparison: the best by coarse score, ten times the pool and 1000 at least."""
+    return coarse(bars, query, window, before=before).orderBy(F.desc("score"), "symbol", "start").limit(max(1000, 10 * pool))
+
+
+def shape_metrics(bars: DataFrame, window: int) -> DataFrame:
+    """(symbol, date, total_return, max_drawdown, mean_range) of the window that ends at each bar with enough before it."""
+    w = by_symbol()
+    inside = w.rowsBetween(-(window - 1), 0)
+    held = bars.select("symbol", "date", "close", ((F.col("high") - F.col("low")) / F.col("close")).alias("span"))
+    held = held.select("symbol", "date", "close", F.count("close").over(inside).alias("n"), F.first("close").over(inside).alias("start"), F.avg("span").over(inside).alias("mean_range"), F.collect_list("close").over(inside).alias("c")).where(F.col("n") == window)
+    start = F.struct(lit(0).alias("peak"), lit(0).alias("fall"))
+    fall = F.aggregate("c", start, lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["fall"], x / F.greatest(a["peak"], x) - lit(1)).alias("fall")), lambda a: a["fall"])
+    return held.select("symbol", "date", (F.col("close") / F.col("start") - lit(1)).alias("total_return"), fall.alias("max_drawdown"), "mean_range")
 
 
 def coarse(bars: DataFrame, query: np.ndarray, window: int, top: int = 10, before: str | None = None) -> DataFrame:

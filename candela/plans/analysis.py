@@ -359,7 +359,7 @@ def decile_rules(spark, d):
 @query()
 def beam_search(spark, d):
     events = _box_events(spark, d).where("ret_10 is not null")
-    found = optimize.beam_search(events, optimize.decile_rules(events, FACTORS[:4]), depth=2, least=50)
+    found = optimize.beam_search(events, optimize.decile_rules(events, FACTORS), least=50)
     return spark.createDataFrame([(" and ".join(f"{x.field} {x.op} {x.value:.4f}" for x in rules), int(n), float(w)) for rules, n, w in found], "rules string, n long, win double")
 
 
@@ -403,18 +403,33 @@ def _query_shape():
     return {"close": x, "high": x * 1.01, "low": x * 0.99, "volume": np.full(30, 1000.0)}
 
 
+def _matches(spark, d):
+    frame = src.bars(spark, d)
+    found = similarity.rerank(similarity.candidates(frame, np.array(_QUERY), 30), frame, _query_shape(), 30)
+    return similarity.without_overlap(found, 30)
+
+
 @query()
 def similarity_rerank(spark, d):
-    frame = src.bars(spark, d)
-    best = similarity.coarse(frame, np.array(_QUERY), 30).orderBy(F.desc("score"), "symbol", "start").limit(200)
-    return similarity.without_overlap(similarity.rerank(best, frame, _query_shape(), 30, 0.0), 30)
+    return _matches(spark, d)
 
 
 @query()
 def outcome_probs(spark, d):
-    frame = src.bars(spark, d)
-    best = similarity.coarse(frame, np.array(_QUERY), 30).orderBy(F.desc("score"), "symbol", "start").limit(500)
-    return similarity.probabilities(best.withColumnRenamed("end_date", "date").join(similarity.forward_stats(frame), ["symbol", "date"]))
+    """What followed the matches that are left after the full comparison, by likeness."""
+    followed = _matches(spark, d).withColumnRenamed("end_date", "date").join(similarity.forward_stats(src.bars(spark, d)), ["symbol", "date"])
+    return similarity.probabilities(followed, weight="likeness")
+
+
+@query(
+    with_ctes(
+        "SELECT symbol, date, round(close / first_close - 1, 6) AS total_return, round(list_min([v[i] / list_max(v[1:i]) - 1 FOR i IN range(1, 31)]), 6) AS max_drawdown, round(spans, 6) AS mean_range "
+        "FROM (SELECT symbol, date, close, first(close) OVER w AS first_close, list(close) OVER w AS v, avg((high - low) / close) OVER w AS spans FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 29 PRECEDING)) WHERE len(v) = 30",
+        "bars",
+    )
+)
+def shape_metrics(spark, d):
+    return similarity.shape_metrics(src.bars(spark, d), 30).select("symbol", "date", *rounded(["total_return", "max_drawdown", "mean_range"]))
 
 
 @query(with_ctes(f"SELECT symbol, date, h AS horizon, round(CASE h WHEN 5 THEN c5 WHEN 10 THEN c10 ELSE c20 END / close - 1, 6) AS ret FROM (SELECT symbol, date, close, lead(close, 5) {W} AS c5, lead(close, 10) {W} AS c10, lead(close, 20) {W} AS c20 FROM bars), (SELECT unnest([5, 10, 20]) AS h) WHERE CASE h WHEN 5 THEN c5 WHEN 10 THEN c10 ELSE c20 END IS NOT NULL", "bars"))

@@ -9,6 +9,7 @@ from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 APPROACH, BUFFER, RESET = 0.01, 0.002, 0.015
@@ -120,15 +121,24 @@ def alert_batch(updates: DataFrame) -> DataFrame:
 
 
 def append_new(batch: DataFrame, path: str) -> None:
-    """Write events whose key the table at ``path`` lacks."""
+    """Write events whose key the table at ``path`` lacks.
+
+    The table is partitioned by the events' day, and an event's key belongs to one day, so a batch looks at the days it
+    has itself and not at the whole history.
+    """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["idempotency_key"])
-    try:
-        fresh = fresh.join(spark.read.parquet(path).select("idempotency_key"), "idempotency_key", "left_anti").select(batch.columns)
-    except Exception as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    fresh.write.mode("append").parquet(path)
+    fresh = batch.dropDuplicates(["idempotency_key"]).withColumn("day", F.to_date("ts"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.parquet(path).join(F.broadcast(fresh.select("day").distinct()), "day", "left_semi")  # the days of one batch
+        fresh = fresh.join(known.select("idempotency_key"), "idempotency_key", "left_anti").select(*batch.columns, "day")
+    fresh.write.mode("append").partitionBy("day").parquet(path)
+
+
+def list_events(events: DataFrame, zone_id: str | None = None, n: int = 100) -> DataFrame:
+    """The latest events, of one zone or of all."""
+    chosen = events if zone_id is None else events.where(F.col("zone_id") == zone_id)
+    return chosen.orderBy(F.desc("ts"), "zone_id", "idempotency_key").limit(n)
 
 
 def sink(events: DataFrame, path: str, checkpoint: str):
