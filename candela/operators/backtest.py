@@ -146,3 +146,44 @@ def portfolio(accepted: DataFrame, most: int = 10) -> DataFrame:
     trade = accepted.groupBy("pattern").agg(F.count(F.lit(1)).alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"), ratio(F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r <= 0, r)))).alias("payoff"))
     joined = shape.join(trade, "pattern")
     return joined.select("pattern", "trades", (F.col("final") - lit(1)).alias("total_return"), F.when(F.col("exits") > 1, F.pow("final", lit(365.25) / F.greatest("days", F.lit(1))) - lit(1)).alias("annual_return"), "max_drawdown", "sharpe", "win_rate", "payoff")
+
+
+def wave_report(events: DataFrame, least: int = 30) -> DataFrame:
+    """Outcomes by pattern and wave phase, where a group has enough events."""
+    return overall_report(events, ("pattern", "wave_phase"), least)
+
+
+def cohort(events: DataFrame, keys: tuple[str, ...], least: int = 1) -> DataFrame:
+    """Events with an outcome by group: count, symbols, win rates in per cent, mean returns and best gains, mean score."""
+    out = events.where("ret_5 is not null").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("symbol").alias("symbols"), *[(_win(f"ret_{n}") * 100).alias(f"win_rate_{n}") for n in HORIZONS],
+        *[F.avg(f"ret_{n}").alias(f"avg_ret_{n}") for n in HORIZONS], *[F.avg(f"max_gain_{n}").alias(f"avg_max_gain_{n}") for n in HORIZONS], F.avg("score").alias("avg_score"),
+    )
+    return out.where(F.col("n") >= least)
+
+
+def score_distribution(events: DataFrame) -> DataFrame:
+    """Count, mean, median and range of each pattern's scores."""
+    each = {"mean": F.avg("score"), "median": F.median("score"), "high": F.max("score"), "low": F.min("score")}
+    return events.where("score is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in each.items()])
+
+
+def yearly_returns(events: DataFrame, least: int = 30) -> DataFrame:
+    """Count, win rate and mean return of each pattern and year with enough events."""
+    out = events.groupBy("pattern", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), (_win("ret_10") * 100).alias("win_rate_10"), (F.avg("ret_10") * 100).alias("avg_ret_10"))
+    return out.where(F.col("n") >= least)
+
+
+def wave_phase(bars: DataFrame, found: DataFrame, lookback: int = 250) -> DataFrame:
+    """(symbol, date, wave_phase) of each bar: near its highest close, else by how many pivots of type H were known and recent.
+
+    ``found`` are pivots; one counts from the bar that confirms it until it is older than ``lookback`` bars.
+    """
+    w = by_symbol()
+    numbered = bars.select("symbol", "date", "close", (F.row_number().over(w) - 1).alias("idx"))
+    highs = found.where("typ = 'H'")
+    steps = highs.select("symbol", F.col("confirm").alias("idx"), F.lit(1).alias("step")).unionByName(highs.select("symbol", (F.col("idx") + lookback + 1).alias("idx"), F.lit(-1).alias("step"))).groupBy("symbol", "idx").agg(F.sum("step").alias("step"))
+    counted = numbered.join(steps, ["symbol", "idx"], "left").withColumn("highs", F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy("symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+    top = F.max("close").over(Window.partitionBy("symbol").orderBy("idx").rowsBetween(-lookback, 0))
+    phase = F.when(F.col("close") >= lit(0.995) * F.col("top"), "breakout_new_high").when(F.col("highs") == 1, "first_pullback").when(F.col("highs") == 2, "second_pullback").otherwise("later_pullback")
+    return counted.withColumn("top", top).select("symbol", "date", phase.alias("wave_phase"))

@@ -85,3 +85,32 @@ def report(last: DataFrame) -> DataFrame:
     out = out.withColumn("stop", stop).withColumn("reward_risk", ratio(F.col("resistance") - F.col("close"), F.col("close") - F.col("stop")))
     rr = F.col("reward_risk")
     return out.withColumn("advice", F.when(rr >= 3, "favourable").when(rr >= 2, "acceptable").when(rr > 0, "poor").otherwise("none"))
+
+
+def sector_cohort(members: DataFrame, frame: DataFrame, least: int = 20, most: int = 10) -> DataFrame:
+    """Of each sector's first members with enough bars, how many stand above a rising MA20.
+
+    ``frame``: bars with MA20; ``most`` members of a sector are looked at, in the order of their symbols.
+    """
+    w = by_symbol()
+    seen = frame.select("symbol", "date", "close", "MA20", F.lag("MA20", 5).over(w).alias("before"), F.count(F.lit(1)).over(w).alias("n"), F.row_number().over(w.orderBy(F.desc("date"))).alias("rn")).where("rn = 1").where(F.col("n") >= least)
+    good = F.coalesce((F.col("close") > F.col("MA20")) & (F.col("MA20") > F.col("before")), F.lit(False))
+    joined = members.select("sector_code", "symbol").join(seen.select("symbol", good.alias("good")), "symbol")
+    chosen = joined.withColumn("position", F.row_number().over(Window.partitionBy("sector_code").orderBy("symbol"))).where(F.col("position") <= most)
+    return chosen.groupBy("sector_code").agg(F.count(F.lit(1)).alias("analysed"), F.count_if("good").alias("good_trend"))
+
+
+def write_report(frame: DataFrame, path: str, kind: str = "csv", most: int = 10_000) -> str:
+    """A small result as one csv, json or markdown file on the driver; larger results are tables, not reports."""
+    rows = frame.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    if kind == "csv":
+        rows.to_csv(path, index=False)
+    elif kind == "json":
+        rows.to_json(path, orient="records", date_format="iso")
+    else:
+        lines = [rows.columns, ["-"] * len(rows.columns), *rows.astype(str).values.tolist()]
+        with open(path, "w") as out:
+            out.writelines("|" + "|".join(map(str, line)) + "|\n" for line in lines)
+    return path

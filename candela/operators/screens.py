@@ -76,3 +76,43 @@ SCREENS: dict[str, tuple[Column | str, str, bool]] = {
     "low_pe_growth": ("pe_dynamic > 0 and pe_dynamic < 20 and volume_ratio > 1 and change_rate > 0", "pe_dynamic", True),
     "ma_bullish": ("change_rate > 0 and volume_ratio > 1 and change_60d > 0", "change_60d", False),
 }
+
+
+def sample_symbols(frame: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n symbols drawn by a hash of seed and symbol: the same ones each time."""
+    return frame.select("symbol").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("symbol").cast("string")).cast("binary"))).limit(n)
+
+
+def search(basics: DataFrame, text: str, n: int = 20) -> DataFrame:
+    """The first n symbols whose name or code has the text in it, whatever its case."""
+    wanted = text.strip().lower()
+    return basics.where(F.lower("name").contains(wanted) | F.lower(F.col("symbol").cast("string")).contains(wanted)).orderBy("symbol").limit(n)
+
+
+def sector_overview(members: DataFrame, spot: DataFrame) -> DataFrame:
+    """Members, gainers and losers of each sector; a member without change counts as neither, nor does a change of zero."""
+    change = F.col("change_rate")
+    joined = members.join(spot.select("symbol", "change_rate"), "symbol", "left")
+    return joined.groupBy("sector_code", "sector_name", "sector_type").agg(F.count(F.lit(1)).alias("member_count"), F.count_if(change > 0).alias("gainer_count"), F.count_if(change < 0).alias("loser_count"))
+
+
+def sector_members(members: DataFrame, spot: DataFrame, ranks: DataFrame, sort: str = "change_rate", n: int = 50) -> DataFrame:
+    """Each sector's first n members by a snapshot column, missing values last, with their latest popularity rank."""
+    key = sort if sort in ("change_rate", "turnover_rate", "volume_ratio", "latest_price", "volume") else "change_rate"
+    joined = members.select("sector_code", "symbol").join(spot, "symbol", "left").withColumn("_key", F.coalesce(F.col(key), F.lit(-9999.0)))
+    best = top_per_group(joined, "sector_code", "_key", n).drop("_key")
+    return best.join(latest_ranks(ranks).select("symbol", F.col("rank").alias("popularity_rank")), "symbol", "left")
+
+
+def quick_signals(averaged: DataFrame, rsi: str = "WILDER_RSI", key: str = "symbol") -> DataFrame:
+    """Five signals of each bar - cross of MA5 over MA20, four averages in order, volume above twice the five bars before, RSI beyond 30 or 70 - and its changes over 5 and 20 bars."""
+    w = Window.partitionBy(key).orderBy("date")
+    five = w.rowsBetween(-5, -1)
+    surge = F.when(F.count("volume").over(five) == 5, F.avg("volume").over(five))
+    no = F.lit(False)
+    seen = averaged.select("*", *[F.lag(c).over(w).alias(f"_{c}") for c in ("MA5", "MA20")], surge.alias("_v5"), *[((F.col("close") / F.lag("close", n).over(w) - F.lit(1.0)) * 100).alias(f"pct_{n}") for n in (5, 20)])
+    flags = {
+        "golden_cross": (F.col("MA5") > F.col("MA20")) & (F.col("_MA5") <= F.col("_MA20")), "aligned": (F.col("MA5") > F.col("MA10")) & (F.col("MA10") > F.col("MA20")) & (F.col("MA20") > F.col("MA60")),
+        "surge": (F.col("_v5") > 0) & (F.col("volume") > F.col("_v5") * 2), "oversold": F.col(rsi) < 30, "overbought": F.col(rsi) > 70,
+    }
+    return seen.select(key, "date", *[F.coalesce(c, no).alias(k) for k, c in flags.items()], "pct_5", "pct_20")

@@ -60,3 +60,50 @@ def read_signals(spark: SparkSession, path: str, schema) -> DataFrame:
 def stale_symbols(covered: DataFrame, as_of, overlap_days: int = 10) -> DataFrame:
     """Symbols that lack ``as_of``, with the date to fetch from: an overlap before their last bar."""
     return covered.where(F.col("last_date") < F.lit(as_of).cast("date")).select("symbol", F.date_sub("last_date", overlap_days).alias("fetch_from"))
+
+
+def clip(bars: DataFrame, start=None, end=None, tail: int | None = None) -> DataFrame:
+    """Bars between two dates, and of those each symbol's last ``tail``."""
+    if start is not None:
+        bars = bars.where(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        bars = bars.where(F.col("date") <= F.lit(end).cast("date"))
+    if tail is None:
+        return bars
+    last = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    return bars.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= tail).drop("_n")
+
+
+def adjusted(bars: DataFrame, adjust: str, fallback: str = "qfq") -> DataFrame:
+    """Bars of an adjustment; symbols that have none of it, those of the other."""
+    ranked = bars.where(F.col("adjust_type").isin(adjust, fallback)).withColumn("_p", F.when(F.col("adjust_type") == adjust, 0).otherwise(1))
+    return ranked.withColumn("_best", F.min("_p").over(Window.partitionBy("symbol"))).where("_p = _best").drop("_p", "_best")
+
+
+def signal_rows(signals: DataFrame, version: str, universe: str = "stocks") -> DataFrame:
+    """Signals as they are stored: one row for each universe, symbol, date and pattern, lists and maps as JSON text."""
+    has = lambda c, default: F.col(c) if c in signals.columns else default
+    return signals.select(
+        F.lit(universe).alias("universe"), "symbol", F.col("date").alias("signal_date"), "pattern", has("stage", F.lit("candidate")).alias("stage"), "score", F.coalesce(has("confirmed", F.lit(False)), F.lit(False)).cast("int").alias("confirmed"),
+        F.coalesce(F.to_json(has("fib_levels", F.lit(None).cast("map<string,double>"))), F.lit("{}")).alias("fib_levels_json"), F.coalesce(F.to_json(has("evidence", F.lit(None).cast("array<string>"))), F.lit("[]")).alias("evidence_json"),
+        F.coalesce(F.to_json(has("factors", F.lit(None).cast("map<string,double>"))), F.lit("{}")).alias("factors_json"), F.lit(version).alias("engine_version"),
+    ).dropDuplicates(["universe", "symbol", "signal_date", "pattern"])
+
+
+def meta_table(spark: SparkSession, values: dict[str, str]) -> DataFrame:
+    """Settings and versions by key."""
+    return spark.createDataFrame(sorted(values.items()), "key string, value string")
+
+
+def merged_coverage(bars: DataFrame, fresh: DataFrame, wanted: DataFrame, target: int = 260, adjust: str = "qfq") -> tuple[DataFrame, DataFrame]:
+    """Bars with a download merged in, and how each symbol that was asked for came out of it.
+
+    Status: empty where nothing came, degraded where another adjustment came, else ready or partial by the bars that
+    there are now.
+    """
+    merged = upsert(bars, fresh.drop("adjust_type"), ["symbol", "date"])
+    came = fresh.groupBy("symbol").agg(F.count(F.lit(1)).alias("fetched"), F.max("adjust_type").alias("adjust_type"))
+    covered = coverage(merged.join(wanted.select("symbol"), "symbol", "left_semi"), target)
+    told = wanted.select("symbol").join(came, "symbol", "left").join(covered.drop("status"), "symbol", "left")
+    status_ = F.when(F.col("fetched").isNull(), "empty").when(F.col("adjust_type") != adjust, "degraded").when(F.col("row_count") >= target, "ready").otherwise("partial")
+    return merged, told.select("symbol", F.coalesce("fetched", F.lit(0)).alias("fetched"), "first_date", "last_date", "row_count", status_.alias("status"))

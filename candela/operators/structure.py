@@ -164,6 +164,72 @@ def compact(structures: DataFrame, lines: int = 2, others: int = 3) -> DataFrame
     return ranked.where(F.col("position") <= F.when(F.col("kind") == "trendline", lines).otherwise(others))
 
 
+TIMEFRAMES = ("daily", "weekly", "monthly")
+
+
+def timeframes(bars: DataFrame) -> DataFrame:
+    """Bars of all timeframes under one key: timeframe, symbol, the bar and the last real day in it."""
+    from candela.operators import resample
+
+    columns = ["symbol", "date", "open", "high", "low", "close", "volume", "amount", "source_date"]
+    frames = {"daily": bars.withColumn("source_date", F.col("date")), "weekly": resample.weekly(bars), "monthly": resample.monthly(bars)}
+    out = None
+    for timeframe in TIMEFRAMES:
+        frame = frames[timeframe].select(F.lit(timeframe).alias("timeframe"), *columns)
+        out = frame if out is None else out.unionByName(frame)
+    return out
+
+
+def timeframe_heads(bars: DataFrame) -> DataFrame:
+    """How many bars a symbol has in each timeframe, up to which day, and whether the last may be incomplete."""
+    return timeframes(bars).groupBy("timeframe", "symbol").agg(F.count(F.lit(1)).alias("bar_count"), F.max("source_date").alias("as_of_date"), F.max_by(F.col("date") > F.col("source_date"), "date").alias("incomplete"))
+
+
+def multi_timeframe(bars: DataFrame) -> DataFrame:
+    """Structures of each symbol in each timeframe, every timeframe on its own bars, with ``timeframe_heads``."""
+    schema = "timeframe string, " + SCHEMA
+
+    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date", ignore_index=True)
+        data = [rows[c].to_numpy(float) for c in ("high", "low", "close")]
+        return typed([{"timeframe": keys[0], "symbol": int(keys[1]), "scale": s} | x for s in SCALES for x in structure(*data, s)], schema)
+
+    found = timeframes(bars).select("timeframe", "symbol", "date", "high", "low", "close").groupBy("timeframe", "symbol").applyInPandas(run, schema)
+    return found.join(timeframe_heads(bars), ["timeframe", "symbol"])
+
+
+AUDIT = "symbol long, id string, kind string, reason string, idx int"
+
+
+def audit(structures: DataFrame, bars: DataFrame) -> DataFrame:
+    """What confirmed lines and channels are not supposed to show: too few touches, or a wick beyond their limits."""
+
+    def run(lines: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date", ignore_index=True)
+        high, low, close = (rows[c].to_numpy(float) for c in ("high", "low", "close"))
+        atr, at, out = average_range(high, low, close), np.arange(len(rows)), []
+        for x in lines.itertuples(index=False):
+            fault = {"symbol": x.symbol, "id": x.id, "kind": x.kind}
+            if x.kind == "trendline":
+                if len(x.touches) < 3 or x.touches[2] <= x.end_idx:
+                    out.append(fault | {"reason": "no_third_touch"})
+                    continue
+                line, beyond = x.start_price + x.slope * (at - x.start_idx), 0.5 * atr
+                crossed = low < line - beyond if x.role == "support" else high > line + beyond
+                first = x.start_idx + 1
+            else:
+                line, beyond = x.slope * at, 0.6 * atr
+                crossed = (low < x.lower + line - beyond) | (high > x.upper + line + beyond)
+                first = int(x.confirm_idx)
+            hit = np.flatnonzero(crossed[first:])
+            if len(hit):
+                out.append(fault | {"reason": "wick_crossing", "idx": first + int(hit[0])})
+        return typed(out, AUDIT)
+
+    wanted = structures.where("status = 'confirmed' and kind in ('trendline', 'channel')")
+    return wanted.groupBy("symbol").cogroup(bars.select("symbol", "date", "high", "low", "close").groupBy("symbol")).applyInPandas(run, AUDIT)
+
+
 ZONES = "symbol long, lower double, upper double, levels int, dependencies int, families array<string>, score double"
 
 

@@ -259,10 +259,10 @@ def stock_sectors(spark, d):
     return out.select("symbol", "sector_code", "sector_type", F.coalesce("bar_count", F.lit(0)).alias("bar_count"), "first_date", "last_date", "member_count")
 
 
-@query(with_ctes("SELECT symbol, rank_date, rank, lag(rank) OVER (PARTITION BY symbol ORDER BY rank_date) - rank AS gain FROM ranks WHERE symbol <= 5", "ranks"))
+@query(with_ctes("SELECT symbol, rank_date, rank, lag(rank) OVER (PARTITION BY symbol ORDER BY rank_date) - rank AS gain FROM ranks", "ranks"))
 def rank_trend(spark, d):
-    """Rank history of some symbols (a lookup by symbol) with the places gained."""
-    history = src.ranks(src.bars(spark, d)).where("symbol <= 5")
+    """Rank history of every symbol with the places gained."""
+    history = src.ranks(src.bars(spark, d))
     return history.select("symbol", "rank_date", "rank", (F.lag("rank").over(by_symbol("symbol", "rank_date")) - F.col("rank")).alias("gain"))
 
 

@@ -80,3 +80,63 @@ def resolve(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """``wanted(name)`` with the code of the first variant that ``index(name, code)`` knows."""
     found = name_variants(wanted).join(index.select(F.col("name").alias("variant"), "code"), "variant")
     return wanted.join(found.groupBy("name").agg(F.min_by("code", "priority").alias("code")), "name", "left")
+
+
+def percent_rows(frame: DataFrame, line: str = "fields") -> DataFrame:
+    """Rows [date, open, close, change, per cent, low, high, volume, amount in ten thousands, turnover] of text fields by symbol.
+
+    Short rows and rows without a close are left out.  The amplitude is of the close before, on a symbol's first row of
+    the close less its change.
+    """
+    field = lambda i: number(F.try_element_at(line, F.lit(i + 1)))
+    rows = frame.where(F.size(line) >= 9).select(
+        "symbol", F.to_date(F.element_at(line, 1)).alias("date"), field(1).alias("open"), field(6).alias("high"), field(5).alias("low"), field(2).alias("close"), field(7).alias("volume"), (field(8) * lit(10_000)).alias("amount"),
+        field(4).alias("change_rate"), field(3).alias("change_amount"), field(9).alias("turnover"),
+    ).where("close is not null")
+    before = F.coalesce(F.lag("close").over(Window.partitionBy("symbol").orderBy("date")), F.col("close") - F.col("change_amount"))
+    return rows.withColumn("amplitude", F.round(ratio(F.col("high") - F.col("low"), before) * lit(100), 4))
+
+
+def frame_rows(frame: DataFrame) -> DataFrame:
+    """Bars whose volume is in single shares and whose turnover is a share: in hundreds and per cent, with change and amplitude."""
+    before = F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))
+    return frame.select(
+        "symbol", "date", "open", "high", "low", "close", (F.col("volume") / lit(100)).alias("volume"), "amount", (ratio(F.col("high") - F.col("low"), before) * lit(100)).alias("amplitude"),
+        ((ratio(F.col("close"), before) - lit(1)) * lit(100)).alias("change_rate"), (F.col("close") - before).alias("change_amount"), (F.col("turnover") * lit(100)).alias("turnover"),
+    )
+
+
+def member_rows(frame: DataFrame) -> DataFrame:
+    """Sector members of text fields, those whose code has six digits; volumes in hundreds, amplitude of the settlement."""
+    code = F.trim("code")
+    n = {c: number(F.col(c)) for c in ("trade", "changepercent", "pricechange", "volume", "amount", "turnoverratio", "high", "low", "open", "settlement", "pb", "per")}
+    return frame.where(code.rlike(r"^\d{6}$")).select(
+        "sector_code", code.alias("stock_code"), F.trim("name").alias("stock_name"), n["trade"].alias("latest_price"), n["changepercent"].alias("change_rate"), n["pricechange"].alias("change_amount"), (n["volume"] / lit(100)).alias("volume"),
+        n["amount"].alias("turnover"), n["turnoverratio"].alias("turnover_rate"), n["high"].alias("high"), n["low"].alias("low"), n["open"].alias("open_today"), n["settlement"].alias("close_yesterday"), n["pb"].alias("pb"), n["per"].alias("pe_dynamic"),
+        F.round(ratio(n["high"] - n["low"], n["settlement"]) * lit(100), 4).alias("amplitude"),
+    )
+
+
+def node_maps(frame: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, name, node) of scripts ``var x = {"node": "id,name,..."}``; of nodes with one name the first in the script counts."""
+    body = F.regexp_extract(F.col(text), r"(?s)=\s*(\{.*\})", 1)
+    entries = F.map_entries(F.from_json(body, "map<string,string>"))
+    each = frame.select("kind", F.posexplode(entries).alias("position", "e")).select("kind", "position", F.col("e.key").alias("node"), F.trim(F.try_element_at(F.split("e.value", ","), F.lit(2))).alias("name"))
+    return each.where("name <> ''").groupBy("kind", "name").agg(F.min_by("node", "position").alias("node"))
+
+
+def enriched(members: DataFrame, quotes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Members with the fields of their quotes, joined on the bare code; members without a quote stay."""
+    return members.join(quotes.select(symbol_code(F.col("code")).alias("stock_code"), *fields), "stock_code", "left")
+
+
+def renamed(frame: DataFrame, names: dict[str, str], newest_first: bool = True) -> DataFrame:
+    """Columns under the engine's names; what the map lacks keeps its own."""
+    out = frame.select(*[F.col(c).alias(names.get(c, c)) for c in frame.columns])
+    return out.orderBy(F.desc("date")) if newest_first and "date" in out.columns else out
+
+
+def pattern_names(text: str, known: dict[str, str]) -> list[str]:
+    """Patterns named in a comma-separated text, by key or by part of their title, each once in the order given."""
+    out = [k for part in text.split(",") if part.strip() for k, title in known.items() if part.strip() in (k, title) or part.strip() in title]
+    return list(dict.fromkeys(out))
