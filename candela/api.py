@@ -10,10 +10,10 @@ import inspect
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candela.operators import backtest, detectors, pivots, research, resample, screens, similarity, store, structure
+from candela.operators import backtest, detectors, levels, pivots, research, resample, screens, similarity, store, structure
 from candela.operators import indicators as ta
 from candela.sources import bars as src
 
@@ -64,10 +64,16 @@ def _factors(spark, d, symbol=None):
     return ta.factors(frame if symbol is None else frame.where(F.col("symbol") == symbol))
 
 
+#: Bars of each symbol that a load of some mode keeps; none: all.
+MODES = {"quick": 260, "research": 320, "full": 4000}
+
+
 @tool
-def init_full_data(spark, sf_dir, bars_wanted: int = 4000) -> DataFrame:
-    """Coverage of every symbol after a full load."""
-    return store.coverage(src.bars(spark, sf_dir))
+def init_full_data(spark, sf_dir, mode: str = "research") -> DataFrame:
+    """Coverage of every symbol after a load of its last bars, as many as the mode asks for."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {sorted(MODES)}")
+    return store.coverage(store.clip(src.bars(spark, sf_dir), tail=MODES[mode]), min(MODES[mode], 260))
 
 
 @tool
@@ -151,14 +157,34 @@ def get_pattern_history(spark, sf_dir, symbol: int) -> DataFrame:
 
 @tool
 def get_key_levels(spark, sf_dir, symbol: int) -> DataFrame:
-    """Averages, retracements and structure levels of a symbol, nearest first."""
+    """A symbol's nearest supports and resistances, its structures in each timeframe, and its sectors, a row for each.
+
+    ``section`` tells which a row is; sectors carry how well they agree with the symbol as their value.
+    """
     frame = src.bars(spark, sf_dir).where(F.col("symbol") == symbol)
-    last = screens.latest(ta.moving_averages(frame))
-    averages = last.select(F.explode(F.array(*[F.struct(F.lit(f"MA{n}").alias("level"), F.col(f"MA{n}").alias("price")) for n in ta.MA_WINDOWS])).alias("x"), F.col("close").alias("now")).select("x.*", "now")
-    zones = pivots.fib_zones(pivots.anchors(pivots.legs(pivots.zigzag(pivots.pivots(frame), 0.04)))).select(F.concat(F.lit("fib_"), F.col("ratio").cast("string")).alias("level"), F.col("level").alias("price"))
-    now = last.select(F.col("close").alias("now"))
-    both = averages.unionByName(zones.crossJoin(F.broadcast(now)))  # one row
-    return both.where("price is not null").withColumn("side", F.when(F.col("price") < F.col("now"), "support").otherwise("resistance")).withColumn("distance", F.abs(F.col("price") / F.col("now") - 1)).orderBy("distance")
+    near = levels.key_levels(frame, pivots.zigzag(pivots.pivots(frame)))
+    out = near.select(F.lit("level").alias("section"), "name", "value", "distance_pct", "side", "position", F.col("trend").alias("state"))
+    found = structure.compact(structure.multi_timeframe(frame).withColumn("scale", F.concat_ws(":", "timeframe", "scale")))
+    label = F.concat_ws(":", "kind", "role")
+    shapes = found.select(F.concat(F.lit("structure:"), "scale").alias("section"), label.alias("name"), F.coalesce("level", "upper", "end_price").alias("value"), F.lit(None).cast("double").alias("distance_pct"), F.lit(None).cast("string").alias("side"), "position", F.col("status").alias("state"))
+    ordered = Window.orderBy(F.col("sector_type") != "industry", "sector_code")  # the few sectors of one symbol
+    sectors = sector_alignment(spark, sf_dir, symbol).withColumn("position", F.row_number().over(ordered)).where(F.col("position") <= 6)
+    places = sectors.select(F.lit("sector").alias("section"), F.col("sector_code").alias("name"), F.col("alignment").alias("value"), F.lit(None).cast("double").alias("distance_pct"), F.lit(None).cast("string").alias("side"), "position", F.col("label").alias("state"))
+    return out.unionByName(shapes).unionByName(places).orderBy("section", "side", "position")
+
+
+def sector_alignment(spark, sf_dir, symbol: int) -> DataFrame:
+    """How a symbol's sectors move beside it."""
+    member = src.members(spark, sf_dir)
+    spot = src.spot(spark, sf_dir).select("symbol", "change_rate")
+    mine = member.where(F.col("symbol") == symbol)
+    near = member.join(mine.select("sector_code"), "sector_code", "left_semi").join(spot, "symbol").groupBy("sector_code").agg(F.avg("change_rate").alias("change"), (F.avg((F.col("change_rate") > 0).cast("double")) * 100).alias("breadth"))
+
+    def way(c):
+        return F.when(F.col(c) > 0, "up").when(F.col(c) < 0, "down").otherwise("range")
+
+    joined = mine.join(spot, "symbol").join(near, "sector_code")
+    return research.alignment(joined.select("symbol", "sector_code", "sector_type", "breadth", way("change_rate").alias("stock_trend"), way("change").alias("sector_trend"), F.lit(None).cast("double").alias("net_pct")))
 
 
 @tool
@@ -194,7 +220,7 @@ def find_cross_timeframe_similar_patterns(spark, sf_dir, symbol: int, window: in
     frame = src.bars(spark, sf_dir)
     query = screens.top(frame.where(F.col("symbol") == symbol), "date", window).orderBy("date").toPandas()  # one window
     shape = {c: query[c].to_numpy(float) for c in ("close", "high", "low", "volume")}
-    best = similarity.coarse(frame, shape["close"], window, before=str(query["date"].iloc[0])).orderBy(F.desc("score"), "symbol", "start").limit(max(1000, 10 * top_n))
+    best = similarity.candidates(frame, shape["close"], window, 10 * top_n, before=str(query["date"].iloc[0]))
     return screens.top(similarity.without_overlap(similarity.rerank(best, frame, shape, window), window), "likeness", top_n)
 
 

@@ -211,12 +211,12 @@ def audit(structures: DataFrame, bars: DataFrame) -> DataFrame:
         for x in lines.itertuples(index=False):
             fault = {"symbol": x.symbol, "id": x.id, "kind": x.kind}
             if x.kind == "trendline":
-                if len(x.touches) < 3 or x.touches[2] <= x.end_idx:
+                if len(x.touches) < 3 or x.touches[2] <= int(x.end_idx):
                     out.append(fault | {"reason": "no_third_touch"})
                     continue
                 line, beyond = x.start_price + x.slope * (at - x.start_idx), 0.5 * atr
                 crossed = low < line - beyond if x.role == "support" else high > line + beyond
-                first = x.start_idx + 1
+                first = int(x.start_idx) + 1
             else:
                 line, beyond = x.slope * at, 0.6 * atr
                 crossed = (low < x.lower + line - beyond) | (high > x.upper + line + beyond)

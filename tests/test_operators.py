@@ -14,31 +14,26 @@ from candela.operators.pivots import Pivot
 from candela.sources import parsers
 from candela.streaming import alerts
 
-START = datetime.date(2020, 1, 1)
-
+BARS = "symbol long, date date, open double, high double, low double, close double, volume double, amount double"
 
-def days(n):
-    return [d.date() for d in pd.bdate_range(START, periods=n)]
 
+def days(n, start="2021-03-01"):
+    return [d.date() for d in pd.bdate_range(start, periods=n)]
 
-def platform(segments, boosts=None):
-    """Bars that step through prices, a small range around each."""
-    prices = [float(p) for p, n in segments for _ in range(n)]
-    rows = []
-    for i, (d, p) in enumerate(zip(days(len(prices)), prices, strict=True)):
-        o, c = p - 0.05, p + 0.05
-        rows.append((1, d, o, c + 0.10, o - 0.10, c, 1e6 * (boosts or {}).get(i, 1), 1e7))
-    return rows
 
-
-BARS = "symbol long, date date, open double, high double, low double, close double, volume double, amount double"
+def ramp(corners, loud=(), symbol=1):
+    """Bars along straight lines between (bar, price) corners; on ``loud`` bars four times the volume."""
+    at = np.arange(corners[-1][0] + 1)
+    close = np.interp(at, *zip(*corners, strict=True))
+    opened = np.concatenate([[close[0] * 0.999], close[:-1]])
+    return [(symbol, d, float(o), float(max(o, c) * 1.003), float(min(o, c) * 0.997), float(c), 4e5 * (4 if i in loud else 1), 1e6) for i, (d, o, c) in enumerate(zip(days(len(at)), opened, close, strict=True))]
 
 
 def signals_of(spark, rows, **over):
     from candela.sources.bars import with_change
 
     frame = spark.createDataFrame(rows, BARS)
-    return detectors.detect(ta.factors(with_change(frame)), **over).orderBy("date").collect()
+    return detectors.detect(ta.factors(with_change(frame)), **over).orderBy("symbol", "date").collect()
 
 
 def test_ewm_equals_pandas():
@@ -53,41 +48,47 @@ def test_ewm_equals_pandas():
 
 def test_zigzag_keeps_extremes_and_swings():
     line = []
-    for i, (typ, price) in enumerate([("H", 50), ("H", 60), ("L", 59), ("L", 50), ("L", 45), ("H", 46)]):
-        pivots.extend(line, Pivot(i, typ, float(price), i + 5), 0.03)
-    assert [(p.typ, p.price) for p in line] == [("H", 60), ("L", 45)]
+    for i, (typ, price) in enumerate([("L", 31), ("H", 31.5), ("L", 28), ("H", 35), ("H", 34), ("H", 37), ("L", 36.5), ("L", 33)]):
+        pivots.extend(line, Pivot(i, typ, float(price), i + 4), 0.05)
+    assert [(p.typ, p.price) for p in line] == [("L", 28), ("H", 37), ("L", 33)]
 
 
 def test_pivots_native_equal_arrays(spark):
-    rows = platform([(10, 12), (20, 12), (30, 12)])
+    rows = ramp([(0, 12), (9, 17), (16, 13), (30, 21), (41, 15), (55, 19)])
     frame = spark.createDataFrame(rows, BARS)
     native = sorted((r.idx, r.typ, r.price, r.confirm) for r in pivots.pivots(frame).collect())
     assert native == sorted(tuple(p) for p in detectors.local_extremes(np.array([r[3] for r in rows]), np.array([r[4] for r in rows])))
-    assert all(c == i + 5 for i, _, _, c in native)
+    assert all(c == i + 5 for i, _, _, c in native) and {(30, "H"), (41, "L")} <= {(i, t) for i, t, _, _ in native}
 
 
 def test_fib_levels():
-    up = detectors.fib_levels(Pivot(100, "H", 50.0, 105), Pivot(50, "L", 40.0, 55))
-    assert {k: round(v, 2) for k, v in up.items()} == {"fib_382": 46.18, "fib_500": 45.0, "fib_618": 43.82, "fib_786": 42.14}
-    assert round(detectors.fib_levels(Pivot(50, "H", 50.0, 55), Pivot(100, "L", 40.0, 105))["retr_382"], 2) == 43.82
+    up = detectors.fib_levels(Pivot(90, "H", 75.0, 95), Pivot(20, "L", 55.0, 25))
+    assert {k: round(v, 2) for k, v in up.items()} == {"fib_382": 67.36, "fib_500": 65.0, "fib_618": 62.64, "fib_786": 59.28}
+    assert round(detectors.fib_levels(Pivot(90, "H", 75.0, 95), Pivot(20, "L", 55.0, 25), 80.0)["fib_500"], 2) == 67.5
+    assert round(detectors.fib_levels(Pivot(20, "H", 75.0, 25), Pivot(90, "L", 55.0, 95))["retr_618"], 2) == 67.36
 
 
-def test_w_bottom(spark):
-    rows = platform([(80, 15), (100, 105), (92, 20), (84, 20), (76, 20), (68, 20), (60, 20), (52, 20), (44, 20), (40, 18), (48, 20), (41.5, 15), (46, 8), (55, 30)])
-    first = signals_of(spark, rows, patterns=("w_bottom",))[0]
-    assert (first.variant, first.hit_levels, first.date) == ("right_bottom", "second_bottom", days(314)[313]) and first.score >= 0.6
+#: Corners of a path, its loud bars, and the signal it leads to: pattern, variant, bar, trend, phase.
+SCENES = {
+    1: ([(0, 64), (190, 104), (262, 63), (276, 72), (290, 64.5), (304, 70)], (), ("w_bottom", "right_bottom", 295, "down", "base_rebound")),
+    2: ([(0, 60), (70, 46), (270, 83), (283, 75), (296, 82), (306, 76.5), (316, 80)], (), ("m_neckline", "neckline_hold", 310, "up", "second_pullback")),
+    3: ([(0, 40), (120, 44), (170, 55), (185, 51), (240, 66), (255, 62), (300, 80), (309, 75.5), (318, 79)], (), ("trend_pullback", "near_level", 260, "up", "second_pullback")),
+    4: ([(0, 58), (240, 61), (275, 82), (300, 63.5), (316, 64.5), (324, 67)], (), ("ma_rebound", "MA120_hold", 317, "down", "downtrend_ma_support")),
+    5: ([(0, 30), (150, 45), (230, 47), (240, 46), (250, 47.2), (262, 46.2), (272, 47), (275, 49)], (273, 274, 275), ("box_breakout", "box_breakout", 273, "range", "box_breakout")),
+}
 
 
-def test_ma_rebound(spark):
-    found = signals_of(spark, platform([(85, 120), (104, 85), (85, 45), (83, 10), (84, 8), (88, 30)]), patterns=("ma_rebound",))
-    assert found and found[0].variant.startswith("MA") and found[0].wave_phase == "downtrend_ma_support" and found[0].trend == "down"
+def test_each_detector_finds_its_scene(spark):
+    rows = [r for symbol, (corners, loud, _) in SCENES.items() for r in ramp(corners, loud, symbol)]
+    first, calendar = {}, days(400)
+    for r in signals_of(spark, rows):
+        first.setdefault(r.symbol, (r.pattern, r.variant, calendar.index(r.date), r.trend, r.wave_phase))
+    assert first == {symbol: want for symbol, (_, _, want) in SCENES.items()}
 
 
-def test_box_breakout(spark):
-    rows = platform([(50, 221), (48, 15), (52, 10), (49, 15)], {260: 3})
-    rows[260] = (1, rows[260][1], 53.0, 54.2, 52.8, 54.0, 3e6, 1e7)
-    found = signals_of(spark, rows, patterns=("box_breakout",))
-    assert [(r.variant, r.hit_levels, r.trend) for r in found] == [("box_breakout", "box_high", "range")]
+def test_a_silent_breakout_is_none(spark):
+    corners, _, _ = SCENES[5]
+    assert signals_of(spark, ramp(corners), patterns=("box_breakout",)) == []
 
 
 @pytest.mark.parametrize("cut", [330, 420])
@@ -100,56 +101,151 @@ def test_detectors_do_not_look_ahead(spark, cut):
     assert whole == [(r.date, r.pattern, r.score) for r in signals_of(spark, rows[:cut])]
 
 
-def flat(n, price=15.0):
-    high, low = np.full(n, price + 1), np.full(n, price - 1)
-    return high, low, np.full(n, price)
+def line_of(typ, pairs, lag=3):
+    return [Pivot(i, typ, price, i + lag) for i, price in pairs]
 
 
 def test_third_touch_confirms_a_line():
-    found = [Pivot(5, "L", 10.0, 7), Pivot(10, "H", 18.0, 12), Pivot(15, "L", 12.0, 17), Pivot(20, "H", 20.0, 22), Pivot(25, "L", 14.0, 27)]
-    high, low = np.full(30, 21.0), np.arange(30) * 0.2 + 9.5
-    line = next(x for x in structure.trend_lines(found, high, low, np.full(30, 2.0), "fine") if x["touches"] == [5, 15, 25])
-    assert (line["status"], line["confirm_idx"], line["start_price"] + line["slope"] * 20) == ("confirmed", 27, 14.0)
+    found = sorted(line_of("L", [(4, 20.0), (12, 22.0), (24, 25.0)]) + line_of("H", [(8, 30.0), (18, 32.0)]), key=lambda p: p.idx)
+    high, low = np.full(32, 33.0), np.arange(32) * 0.25 + 19.2
+    line = next(x for x in structure.trend_lines(found, high, low, np.full(32, 1.5), "fine") if x["touches"] == [4, 12, 24])
+    assert (line["role"], line["status"], line["confirm_idx"], line["start_price"] + line["slope"] * 20) == ("support", "confirmed", 27, 25.0)
 
 
 def test_wick_breaks_a_line():
-    found = [Pivot(5, "H", 20.0, 7), Pivot(15, "H", 18.0, 17)]
-    high, low = np.full(30, 15.0), np.full(30, 14.0)
-    high[20] = 18.5
-    line = structure.trend_lines(found, high, low, np.full(30, 1.0), "fine")[0]
-    assert (line["status"], line["broken_idx"]) == ("broken", 20)
+    high, low = np.full(40, 40.0), np.full(40, 38.0)
+    high[31] = 47.0  # the line is at 46.2 there
+    line = structure.trend_lines(line_of("H", [(10, 50.4), (20, 48.4)]), high, low, np.full(40, 1.0), "fine")[0]
+    assert (line["role"], line["status"], line["broken_idx"]) == ("resistance", "broken", 31)
 
 
 def test_horizontal_range():
-    found = [Pivot(i, t, p, i + 2) for i, t, p in ((5, "H", 20.0), (10, "L", 10.0), (15, "H", 20.2), (20, "L", 10.1), (25, "H", 19.9), (30, "L", 9.9))]
-    got = structure.ranges(found, np.full(40, 15.0), "fine")
-    assert [(x["upper"], x["lower"], x["status"]) for x in got] == [(20.0, 10.0, "confirmed")]
+    found = line_of("H", [(3, 44.0), (14, 44.5), (27, 43.8)]) + line_of("L", [(8, 40.0), (20, 40.4), (33, 39.8)])
+    got = structure.ranges(found, np.full(45, 42.0), "fine")
+    assert [(x["upper"], x["lower"], x["status"]) for x in got] == [(44.0, 40.0, "confirmed")]
+    left = structure.ranges(found, np.concatenate([np.full(40, 42.0), np.full(5, 47.0)]), "fine")
+    assert [(x["status"], x["broken_idx"], x["role"]) for x in left] == [("broken", 40, "up")]
+
+
+def test_audit_finds_what_is_wrong(spark):
+    frame = spark.createDataFrame(ramp([(0, 50), (60, 80)]), BARS)
+    shape = {"scale": "fine", "status": "confirmed", "score": 0.5}
+    good = shape | {"symbol": 1, "kind": "trendline", "id": "good", "role": "support", "start_idx": 0, "end_idx": 10, "start_price": 45.0, "slope": 0.4, "touches": [0, 10, 20], "confirm_idx": 23}
+    rows = [good, good | {"id": "two", "touches": [0, 10]}, good | {"id": "crossed", "start_price": 49.0, "slope": 0.6}, shape | {"symbol": 1, "kind": "channel", "id": "narrow", "slope": 0.5, "lower": 40.0, "upper": 49.0, "confirm_idx": 20}]
+    names = [x.split()[0] for x in structure.SCHEMA.split(", ")]
+    structures = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], structure.SCHEMA)
+    assert {(r.id, r.reason) for r in structure.audit(structures, frame).collect()} == {("two", "no_third_touch"), ("crossed", "wick_crossing"), ("narrow", "wick_crossing")}
+
+
+def legs_frame(spark, ups):
+    """Legs of one symbol through the prices given, ten bars each."""
+    line = [(1, 10 * i, days(1)[0], "L" if (i % 2 == 0) == (ups[1] > ups[0]) else "H", float(p), 10 * i + 3, i) for i, p in enumerate(ups)]
+    return spark.createDataFrame(line, pivots.ZIGZAG)
+
+
+@pytest.mark.parametrize(
+    ("path", "phase", "ratio"),
+    [([60, 60], "impulse", 0.0), ([60, 56, 58], "retracing", 0.1), ([60, 52, 60], "retracement_confirming", 0.0), ([60, 52, 63], "resumed", -0.15), ([60, 52, 38], "over_retraced", 1.1)],
+)
+@pytest.mark.parametrize("down", [False, True])
+def test_retracement_phases(spark, path, phase, ratio, down):
+    """A move from 40 to 60, or its mirror image, and the closes after it."""
+    turn = (lambda p: 100 - p) if down else (lambda p: p)
+    anchored = spark.createDataFrame([(1, "leg", 0, float(turn(40)), 1, float(turn(60)), "down" if down else "up")], "symbol long, leg_id string, start_idx int, start_price double, end_idx int, end_price double, direction string")
+    closes = [turn(40), *map(turn, path)]
+    frame = spark.createDataFrame([(1, d, float(c), float(c), float(c), float(c), 1.0, 1.0) for d, c in zip(days(len(closes)), closes, strict=True)], BARS)
+    got = pivots.retracements(anchored, frame).first()
+    assert (got.phase, round(got.retracement, 6), round(got.position, 6)) == (phase, ratio, round(1 - ratio, 6))
+
+
+def test_anchors_need_length_and_size(spark):
+    moves = pivots.legs(legs_frame(spark, [30, 50, 40, 70, 65]))
+    sized = moves.withColumn("atr_move", F.element_at(F.array(*map(F.lit, (4.0, 0.9, 9.0, 2.0))), F.col("ordinal") + 1)).withColumn("bars", F.when(F.col("ordinal") == 3, 2).otherwise(F.col("bars")))
+    assert [(r.ordinal, r.position, r.rank) for r in pivots.anchors(sized).orderBy("position").collect()] == [(2, 1, 1.0), (0, 2, 0.5)]
+
+
+def test_zones_reach_a_share_of_the_range(spark):
+    frame = spark.createDataFrame(ramp([(0, 60), (40, 60)]), BARS)
+    anchored = pivots.anchors(pivots.legs(legs_frame(spark, [40, 60])))
+    zone = {r.ratio: r for r in pivots.fib_zones(anchored, frame).collect()}[0.5]
+    assert zone.level == 50 and zone.upper - zone.level == pytest.approx(0.15 * 0.36, rel=1e-3) == pytest.approx(zone.level - zone.lower)
+
+
+@pytest.mark.parametrize(
+    ("prices", "impulse", "direction"),
+    [([20, 30, 25, 42, 36, 50], 100, "up"), ([50, 40, 45, 28, 34, 20], 100, "down"), ([20, 30, 29, 42, 30.5, 50], 60, "up"), ([20, 40, 30, 38, 35, 36], 80, "up")],
+)
+def test_impulse_scores(spark, prices, impulse, direction):
+    got = pivots.waves(legs_frame(spark, prices)).first()
+    assert (got.impulse_score, got.direction) == (impulse, direction)
+
+
+@pytest.mark.parametrize(("prices", "score"), [([60, 40, 50, 35], 100), ([60, 40, 58, 35], 50), ([60, 40, 50, 12], 0 + 50), ([60, 40, 44, 41.5], 0)])
+def test_correction_scores(spark, prices, score):
+    got = pivots.waves(legs_frame(spark, prices)).first()
+    assert (got.abc_score, got.abc_direction, got.impulse_score) == (score, "down", None)
+
+
+def test_double_patterns_of_both_kinds(spark):
+    for mirror, (kind, broken, failed, open_) in ((False, ("w_bottom", "neckline_breakout", "invalidated", "right_bottom_confirmed")), (True, ("m_top", "neckline_breakdown", "invalidated", "right_top_confirmed"))):
+        turn = (lambda p: 100 - p) if mirror else (lambda p: p)
+        line = legs_frame(spark, [turn(40), turn(46), turn(41)])
+        for after, status in ((47.5, broken), (38.0, failed), (43.0, open_)):
+            closes = [turn(43)] * 30 + [turn(after)] * 3
+            frame = spark.createDataFrame([(1, d, float(c), float(c), float(c), float(c), 1.0, 1.0) for d, c in zip(days(33), closes, strict=True)], BARS)
+            got = pivots.double_patterns(line, frame).first()
+            assert (got.pattern, got.status, got.event_idx) == (kind, status, None if status == open_ else 30)
+
+
+def test_turns_and_the_open_leg(spark):
+    moves = pivots.legs(legs_frame(spark, [40, 60, 50, 66, 56]))
+    assert [(r.kind, r.nearest, round(r.ratio, 3)) for r in pivots.turns(moves).orderBy("ordinal").collect()] == [("up_pullback", 0.5, 0.5), ("down_rebound", 0.786, 1.6), ("up_pullback", 0.618, 0.625)]
+    frame = spark.createDataFrame(ramp([(0, 56), (50, 58)]), BARS)
+    got = pivots.active_leg(legs_frame(spark, [40, 60, 50, 66, 56]), frame).first()
+    assert (got.from_type, got.direction, got.change_pct) == ("L", "up", 3.57)
+    assert [(x.name, x.price) for x in got.levels] == [("retr_382", 59.82), ("retr_500", 61.0), ("retr_618", 62.18), ("prior_high", 66.0)]
 
 
 def test_confluence_counts_what_is_independent():
-    level = (10.0, 9.9, 10.1, "fibonacci", "leg1")
+    level = (70.0, 69.3, 70.7, "fibonacci", "leg1")
     assert [(z["levels"], z["dependencies"]) for z in structure.cluster_levels([level, level])] == [(2, 1)]
-    near, far = (10.1, 10.09, 10.11, "average", "MA20"), (12.0, 12.0, 12.0, "average", "MA60")
-    assert len(structure.cluster_levels([(10.0, 9.98, 10.02, "fibonacci", "leg1"), near, far])) == 2  # within the gap
-    assert len(structure.cluster_levels([(10.0, 9.80, 10.02, "fibonacci", "leg1"), near, far])) == 3  # would grow too wide
+    near, far = (70.7, 70.63, 70.77, "average", "MA20"), (84.0, 84.0, 84.0, "average", "MA60")
+    assert len(structure.cluster_levels([(70.0, 69.86, 70.14, "fibonacci", "leg1"), near, far])) == 2  # within the gap
+    assert len(structure.cluster_levels([(70.0, 68.6, 70.14, "fibonacci", "leg1"), near, far])) == 3  # would grow too wide
 
 
 def test_resample(spark):
-    dates = [d.date() for d in pd.bdate_range("2024-01-02", periods=45)]
-    frame = spark.createDataFrame([(1, d, 100.0 + i, 102.0 + i, 98.0 + i, 101.0 + i, 10.0, 1.0) for i, d in enumerate(dates)], BARS)
+    dates = days(40, "2023-08-02")  # a Wednesday
+    frame = spark.createDataFrame([(1, d, 50.0 + i, 53.0 + i, 49.0 + i, 51.0 + i, 7.0, 1.0) for i, d in enumerate(dates)], BARS)
     weeks = resample.weekly(frame).orderBy("date").collect()
-    assert len(weeks) >= 8 and weeks[0].open == 100 and weeks[0].high == 105 and weeks[0].source_date == dates[3]
-    assert sum(w.volume for w in weeks) == 450 and resample.monthly(frame).count() >= 2
+    assert (weeks[0].open, weeks[0].high, weeks[0].close, weeks[0].source_date) == (50, 55, 53, dates[2])
+    assert sum(w.volume for w in weeks) == 280 and resample.monthly(frame).count() == 2
 
 
 def test_similarity():
-    q = 100 * np.exp(0.004 * np.arange(60) + 0.03 * np.sin(np.arange(60) / 3))
-    rows = {"close": q, "high": q * 1.015, "low": q * 0.985, "volume": np.full(60, 100.0)}
-    assert similarity.likeness(similarity.paths(rows), similarity.paths(rows)) == pytest.approx(1)
-    assert "volume" not in similarity.paths({**rows, "volume": np.zeros(60)})
+    t = np.arange(48)
+    q = 30 + 0.2 * t + 2 * np.cos(t / 4)
+    rows = {"close": q, "high": q * 1.01, "low": q * 0.98, "volume": np.linspace(50, 90, 48)}
+    mine = similarity.paths(rows)
+    assert similarity.likeness(mine, similarity.paths(rows)) == pytest.approx(1)
+    assert "volume" not in similarity.paths({**rows, "volume": np.zeros(48)})
+    assert mine["drawdown"].min() == pytest.approx(-1, abs=0.05) and mine["drawdown"].max() == 0
+    assert np.allclose(mine["turning"], similarity.standardise(np.gradient(pd.Series(mine["price"]).rolling(5, center=True, min_periods=1).mean())))
     assert similarity.warp(np.array([0.0, 1, 2]), np.array([0.0, 1, 2])) == 0
 
 
+def test_likeness_warps_prices_only():
+    base = {k: np.zeros(64) for k in similarity.WEIGHTS}
+    late = np.concatenate([np.zeros(3), np.sin(np.arange(61) / 5)])
+    early = np.concatenate([np.sin(np.arange(61) / 5), np.zeros(3)])
+    moved = similarity.likeness(base | {"price": late}, base | {"price": early})
+    apart = {k: np.exp(-(similarity.warp(late, early) if k == "price" else np.sqrt(((late - early) ** 2).mean()))) for k in ("price", "range")}
+    assert moved == pytest.approx(0.55 + 0.45 * apart["price"])
+    assert similarity.likeness(base | {"range": late}, base | {"range": early}) == pytest.approx(0.90 + 0.10 * apart["range"])
+    bare = {k: v for k, v in base.items() if k != "volume"}
+    assert similarity.likeness(bare | {"range": late}, bare | {"range": early}) == pytest.approx(1 - 0.10 / 0.85 * (1 - apart["range"]))
+
+
 def test_probabilities_sum(spark):
     frame = spark.createDataFrame([(5, r, 0.06 if r > 0 else 0.0, -0.06 if r < 0 else 0.0, 0.5 + i / 100) for i, r in enumerate([0.03, -0.03, 0.0, 0.05, 0.01] * 5)], "horizon int, ret double, max_gain double, max_fall double, score double")
     got = similarity.probabilities(frame).first()
@@ -163,23 +259,27 @@ def test_portfolio_takes_ten(spark):
 
 
 def test_stop_comes_before_target(spark):
-    rows = platform([(100, 30)])
-    rows[20] = (1, rows[20][1], 100.0, 130.0, 70.0, 100.0, 1e6, 1e7)
+    rows = ramp([(0, 88), (40, 88)])
+    rows[20] = (1, rows[20][1], 88.0, 115.0, 60.0, 88.0, 1e6, 1e7)
     from candela.sources.bars import with_change
 
     frame = spark.createDataFrame(rows, BARS)
     signals = frame.where(F.col("date") == F.lit(rows[10][1])).select("symbol", "date", F.lit("p").alias("pattern"))
     trade = backtest.simulate(signals, with_change(frame)).first()
     assert (trade.reason, trade.exit_date, trade.entry_date) == ("stop", rows[20][1], rows[11][1])
+    assert trade.exit == trade.stop  # also where the bar opens beyond it
+    rows[20] = (1, rows[20][1], 60.0, 61.0, 58.0, 60.0, 1e6, 1e7)
+    trade = backtest.simulate(signals, with_change(spark.createDataFrame(rows, BARS))).first()
+    assert (trade.reason, trade.exit) == ("stop", trade.stop)
 
 
 def test_alert_sequence():
-    zone, state, seen = alerts.Zone("z", 9.8, 10.2), alerts.State(), []
-    for u in (alerts.Update(1, 10.21, closed=False), alerts.Update(2, 10.1, 10.3, 10.0, False), alerts.Update(3, 10.3, closed=False), alerts.Update(4, 10.3)):
+    zone, state, seen = alerts.Zone("z", 49.0, 51.0), alerts.State(), []
+    for u in (alerts.Update(1, 51.05, closed=False), alerts.Update(2, 50.5, 51.6, 50.0, False), alerts.Update(3, 51.5, closed=False), alerts.Update(4, 51.5)):
         seen += alerts.evaluate(zone, state, u)
     assert seen == [("approaching", False), ("touched", False), ("crossed_intrabar", False), ("breakout", True)]
-    assert alerts.evaluate(zone._replace(invalidated=True), state, alerts.Update(5, 10)) == [("invalidated", True)]
-    assert alerts.evaluate(zone, state, alerts.Update(6, 10)) == []
+    assert alerts.evaluate(zone._replace(invalidated=True), state, alerts.Update(5, 50)) == [("invalidated", True)]
+    assert alerts.evaluate(zone, state, alerts.Update(6, 50)) == []
 
 
 def test_alert_stream_equals_batch_and_is_idempotent(spark, tmp_path):
@@ -215,6 +315,55 @@ def test_parsers(spark):
     assert [tuple(r) for r in parsers.tilde_quotes(quotes, {"name": 1, "price": 3}).collect()] == [("sh600000", "Name", "9.5"), ("sz000001", "Other", "")]
 
 
+def test_registry_and_functions(spark):
+    from candela.functions import registry
+
+    registry.register_feature("twice")(lambda f: f.withColumn("twice", F.col("close") * 2))
+    try:
+        with pytest.raises(ValueError):
+            registry.register_feature("twice")(lambda f: f)
+        assert registry.with_features(spark.createDataFrame([(3.0,)], "close double"), "twice").first().twice == 6
+    finally:
+        del registry.FEATURES["twice"]
+    registry.register_functions(spark)
+    row = spark.sql("SELECT score_range(0.5D, 1D, 2D, 0D, 4D) AS a, score_range(3D, 1D, 2D, 0D, 4D) AS b, score_range(NULL, 1D, 2D, 0D, 4D) AS c, warp(array(0D, 1D), array(0D, 2D)) AS w").first()
+    assert (row.a, row.b, row.c, row.w) == (0.5, 0.5, 0.0, 0.5)
+
+
+def test_reports_and_command_line(spark, tmp_path, capsys):
+    from candela.__main__ import main
+    from candela.operators import research
+
+    frame = spark.createDataFrame([(1, "a"), (2, "b")], "n long, name string")
+    assert open(research.write_report(frame, str(tmp_path / "r.md"), "markdown")).read() == "|n|name|\n|-|-|\n|1|a|\n|2|b|\n"
+    assert len(pd.read_csv(research.write_report(frame, str(tmp_path / "r.csv")))) == 2
+    with pytest.raises(ValueError):
+        research.write_report(frame, str(tmp_path / "r.json"), "json", most=1)
+    assert main(["list"]) == 0 and "query golden_cross" in capsys.readouterr().out
+    assert main(["query", "no_such_query", "--data", "/root/testdata/sf0.001"]) == 2
+    assert main(["query", "latest_trade_date", "--data", "/root/testdata/sf0.001"]) == 0 and "latest" in capsys.readouterr().out
+
+
+def test_names_of_patterns():
+    known = {"w_bottom": "double bottom", "box_breakout": "box breakout"}
+    assert parsers.pattern_names("bottom, box_breakout,double bottom, x", known) == ["w_bottom", "box_breakout"]
+
+
+def test_structures_do_not_look_ahead(spark):
+    rng = np.random.default_rng(3)
+    close = 40 * np.exp(np.cumsum(rng.normal(0, 0.02, 300)))
+    high, low = close * 1.01, close * 0.99
+    for cut in (200, 260):
+        whole = [p for p in detectors.local_extremes(high, low) if p.confirm < cut]
+        assert whole == detectors.local_extremes(high[:cut], low[:cut])
+
+
+def test_alert_events_are_listed(spark):
+    stamp = datetime.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(f"z{i % 2}", stamp + datetime.timedelta(hours=i), f"k{i}") for i in range(6)], "zone_id string, ts timestamp, idempotency_key string")
+    assert [r.idempotency_key for r in alerts.list_events(events, "z1", 2).collect()] == ["k5", "k3"]
+
+
 def test_api_envelope(spark):
     d = "/root/testdata/sf0.001"
     assert len(api.CALLS) == 20
