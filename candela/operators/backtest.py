@@ -60,11 +60,35 @@ def yearly_report(events: DataFrame) -> DataFrame:
     return events.where("ret_10 is not null").groupBy("pattern", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), _win("ret_10").alias("win_10"))
 
 
+def factor_values(events: DataFrame, factors: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, factor, x): a row for each value of each factor."""
+    each = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors])
+    return events.select(*keys, F.explode(each).alias("f")).select(*keys, "f.factor", "f.x").where("x is not null")
+
+
+def quantiles(values: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """(keys, n, kinds, quantiles): exact quantiles of x between its ranks, with the number of values and of different ones.
+
+    Ranks are windows, which spill; nothing holds a group's values in memory.
+    """
+    w = Window.partitionBy(*keys)
+    ranked = values.select(*keys, "x", (F.row_number().over(w.orderBy("x")) - 1).alias("rn"), F.dense_rank().over(w.orderBy("x")).alias("kind"), F.count(F.lit(1)).over(w).alias("n"))
+    places = [lit(s) * (F.col("n") - 1) for s in shares]
+    wanted = F.col("rn") == F.col("n") - 1
+    for at in places:
+        wanted |= (F.col("rn") == F.floor(at)) | (F.col("rn") == F.ceil(at))
+    kept = ranked.where(wanted)
+    out = []
+    for at in places:
+        part = at - F.floor(at)
+        out.append(F.sum(F.when(F.col("rn") == F.floor(at), F.col("x") * (lit(1) - part))) + F.coalesce(F.sum(F.when((F.col("rn") == F.ceil(at)) & (part > 0), F.col("x") * part)), lit(0)))
+    return kept.groupBy(*keys).agg(F.first("n").alias("n"), F.max("kind").alias("kinds"), F.array(*out).alias("quantiles"))
+
+
 def quantile_edges(events: DataFrame, factors: tuple[str, ...], keys: tuple[str, ...] = ("pattern",), parts: int = 4) -> DataFrame:
     """(keys, factor, edges): distinct quantile edges of each factor where it has 100 values and 4 distinct ones."""
-    long = events.select(*keys, "ret_10", "date", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors])).alias("f")).select(*keys, "ret_10", "date", "f.factor", "f.x").where("x is not null")
-    grouped = long.groupBy(*keys, "factor").agg(F.count("x").alias("n"), F.countDistinct("x").alias("kinds"), F.percentile("x", F.array(*[lit(i / parts) for i in range(parts + 1)])).alias("edges"))
-    return grouped.where("n >= 100 and kinds >= 4").select(*keys, "factor", F.array_distinct("edges").alias("edges"))
+    found = quantiles(factor_values(events, factors, keys), [*keys, "factor"], [i / parts for i in range(parts + 1)])
+    return found.where("n >= 100 and kinds >= 4").select(*keys, "factor", F.array_distinct("quantiles").alias("edges"))
 
 
 def quartile_report(events: DataFrame, factors: tuple[str, ...], keys: tuple[str, ...] = ("pattern",)) -> DataFrame:
@@ -118,8 +142,13 @@ def simulate(signals: DataFrame, bars_with_change: DataFrame) -> DataFrame:
 def admit(trades: DataFrame, most: int = 10) -> DataFrame:
     """Trades a portfolio of ``most`` positions takes, by entry and symbol, never two of one symbol at once.
 
-    Whether one fits depends on all before, so this is one sequential fold; its input is the trade list of one strategy.
+    Whether one fits depends on the ones before that may still be held, so trades are folded in order; a stretch begins
+    wherever all earlier trades have ended, and stretches are folded apart.
     """
+    before = Window.partitionBy("pattern").orderBy("entry_date", "symbol").rowsBetween(Window.unboundedPreceding, -1)
+    until = Window.partitionBy("pattern").orderBy("entry_date", "symbol").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.coalesce(F.max("exit_date").over(before) < F.col("entry_date"), F.lit(True)).cast("int")
+    trades_ = trades.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(until)).drop("_fresh")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["entry_date", "symbol"], ignore_index=True)
@@ -130,9 +159,9 @@ def admit(trades: DataFrame, most: int = 10) -> DataFrame:
             if len(held) < most and row.symbol not in held:
                 held[row.symbol] = row.exit_date
                 kept.append(i)
-        return rows.iloc[kept]
+        return rows.iloc[kept].drop(columns="_stretch")
 
-    return trades.groupBy("pattern").applyInPandas(run, trades.schema)
+    return trades_.groupBy("pattern", "_stretch").applyInPandas(run, trades.schema)
 
 
 def portfolio(accepted: DataFrame, most: int = 10) -> DataFrame:

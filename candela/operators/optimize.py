@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela.functions.series import lit
+from candela.operators.backtest import factor_values, quantiles
 
 DEPTH, BEAM, LEAST, MOST_SHARE = 4, 6, 100, 0.95
 
@@ -32,9 +33,9 @@ def mask(rules: tuple[Rule, ...]) -> Column:
 
 def decile_rules(events: DataFrame, factors: tuple[str, ...], categories: tuple[str, ...] = (), most: int = 12) -> list[Rule]:
     """Both directions of each distinct decile of each factor with 30 values and 3 distinct ones, and the commonest categories."""
-    cuts = F.array(*[lit(i / 10) for i in range(1, 10)])
-    row = events.agg(*[x for f in factors for x in (F.count(f).alias(f"{f}_n"), F.countDistinct(f).alias(f"{f}_k"), F.percentile(F.col(f).cast("double"), cuts).alias(f"{f}_q"))]).first()
-    out = [Rule(f, op, v) for f in factors if row[f"{f}_n"] >= 30 and row[f"{f}_k"] >= 3 for v in sorted(set(row[f"{f}_q"])) for op in ("<=", ">=")]
+    rows = quantiles(factor_values(events, factors), ["factor"], [i / 10 for i in range(1, 10)]).collect()  # a row for each factor
+    cuts = {r.factor: sorted(set(r.quantiles)) for r in rows if r.n >= 30 and r.kinds >= 3}
+    out = [Rule(f, op, v) for f in factors if f in cuts for v in cuts[f] for op in ("<=", ">=")]
     for c in categories:
         top = events.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(most).collect()
         out += [Rule(c, "==", r[0]) for r in top]
@@ -75,8 +76,8 @@ def greedy_filter(events: DataFrame, factors: tuple[str, ...], steps: int = 2, l
     total, base = evaluate(events, [()])[0]
     for _ in range(steps):
         kept = events.where(mask(tuple(r for r, _, _ in chosen)))
-        row = kept.agg(*[F.percentile(F.col(f).cast("double"), F.array(*map(lit, (0.2, 0.4, 0.6, 0.8)))).alias(f) for f in factors]).first()
-        rules = [Rule(f, op, v) for f in factors if row[f] for v in sorted(set(row[f])) for op in ("<=", ">=")]
+        cuts = {r.factor: sorted(set(r.quantiles)) for r in quantiles(factor_values(kept, factors), ["factor"], [0.2, 0.4, 0.6, 0.8]).collect()}
+        rules = [Rule(f, op, v) for f in factors if f in cuts for v in cuts[f] for op in ("<=", ">=")]
         scored = [(r, n, w) for r, (n, w) in zip(rules, evaluate(kept, [(r,) for r in rules]), strict=True) if w is not None and least <= n <= 0.9 * total and w - base > lift]
         if not scored:
             break
@@ -84,3 +85,13 @@ def greedy_filter(events: DataFrame, factors: tuple[str, ...], steps: int = 2, l
         chosen.append(pick)
         total, base = pick[1], pick[2]
     return chosen
+
+
+def train_test(events: DataFrame, rule_sets: dict[str, tuple[Rule, ...]], split: str, ret: str = "ret_10") -> DataFrame:
+    """(name, part, n, win, avg): outcomes of each rule set before a date, from it on, and in all."""
+    won = (F.col(ret) > 0).cast("double")
+    late = F.col("date") >= F.lit(split).cast("date")
+    named = [F.when(mask(rules), F.lit(name)) for name, rules in rule_sets.items()]
+    held = events.where(F.col(ret).isNotNull()).withColumn("name", F.explode(F.array_compact(F.array(*named))))
+    both = held.withColumn("part", F.explode(F.array(F.lit("all"), F.when(late, "test").otherwise("train"))))
+    return both.groupBy("name", "part").agg(F.count(F.lit(1)).alias("n"), F.avg(won).alias("win"), F.avg(ret).alias("avg"))

@@ -282,3 +282,11 @@ def active_leg(line: DataFrame, bars: DataFrame) -> DataFrame:
         "symbol", F.col("idx").alias("from_idx"), F.col("typ").alias("from_type"), F.round("price", 3).alias("from_price"), F.when(F.col("last_close") >= F.col("price"), "up").otherwise("down").alias("direction"),
         F.round((F.col("last_close") / F.col("price") - lit(1)) * 100, 2).alias("change_pct"), F.when(span > 0, told).alias("levels"),
     )
+
+
+def analyse(bars: DataFrame, left: int = 5, right: int = 5, swing: float = 0.03) -> DataFrame:
+    """One row for each symbol: how many pivots its zigzag has, its wave scores, its open leg and its last close."""
+    line = zigzag(pivots(bars, left, right), swing)
+    counted = line.groupBy("symbol").agg(F.count(F.lit(1)).alias("pivot_count"))
+    open_leg = active_leg(line, bars).withColumnRenamed("direction", "leg_direction")
+    return counted.join(waves(line), "symbol").join(open_leg, "symbol").join(latest_range(bars), "symbol")

@@ -107,3 +107,11 @@ def merged_coverage(bars: DataFrame, fresh: DataFrame, wanted: DataFrame, target
     told = wanted.select("symbol").join(came, "symbol", "left").join(covered.drop("status"), "symbol", "left")
     status_ = F.when(F.col("fetched").isNull(), "empty").when(F.col("adjust_type") != adjust, "degraded").when(F.col("row_count") >= target, "ready").otherwise("partial")
     return merged, told.select("symbol", F.coalesce("fetched", F.lit(0)).alias("fetched"), "first_date", "last_date", "row_count", status_.alias("status"))
+
+
+def conform(frame: DataFrame, schema: str, defaults: dict[str, object] | None = None) -> DataFrame:
+    """A frame in a table's schema: columns cast and in its order, missing ones null or by default, others left out."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields, given = _parse_datatype_string(schema), defaults or {}
+    return frame.select(*[(F.coalesce(F.col(f.name), F.lit(given.get(f.name))) if f.name in frame.columns else F.lit(given.get(f.name))).cast(f.dataType).alias(f.name) for f in fields])

@@ -10,7 +10,7 @@ from candela.functions.series import by_symbol, lit, rounded
 from candela.operators import backtest, levels, research, screens, store, structure
 from candela.operators import indicators as ta
 from candela.operators import pivots as pv
-from candela.plans.analysis import _box, _box_events, _fold
+from candela.plans.analysis import _IMPULSE, _SIX, _box, _box_events, _fold
 from candela.plans.oracle import W, cte, full, with_ctes
 from candela.plans.oracle import rounded as r
 from candela.plans.registry import query
@@ -368,3 +368,53 @@ def rule_union(spark, d):
 
     pools = ((Rule("vol_ratio", "<=", 2.0),), (Rule("boll_width", ">=", 0.2),))
     return _box(spark, d).where(reduce(or_, map(mask, pools))).select("symbol", "date")
+
+
+_RULES = {"calm": ("vol_ratio <= 2", (("vol_ratio", "<=", 2.0),)), "wide": ("boll_width >= 0.2", (("boll_width", ">=", 0.2),)), "both": ("vol_ratio <= 2 AND boll_width >= 0.2", (("vol_ratio", "<=", 2.0), ("boll_width", ">=", 0.2)))}
+
+
+@query(
+    with_ctes(
+        "SELECT name, part, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win, round(avg(ret_10), 6) AS avg FROM (SELECT name, ret_10, unnest(['all', CASE WHEN date >= DATE '1998-06-01' THEN 'test' ELSE 'train' END]) AS part FROM ("
+        + " UNION ALL ".join(f"SELECT '{k}' AS name, date, ret_10 FROM events_ WHERE {v.replace('0.2', '0.2::DOUBLE')}" for k, (v, _) in _RULES.items())
+        + ") WHERE ret_10 IS NOT NULL) GROUP BY ALL",
+        "events_",
+    )
+)
+def rule_train_test(spark, d):
+    """Rule sets before a date, from it on, and in all."""
+    from candela.operators.optimize import Rule, train_test
+
+    out = train_test(_box_events(spark, d), {k: tuple(Rule(*x) for x in rules) for k, (_, rules) in _RULES.items()}, "1998-06-01")
+    return out.select("name", "part", "n", F.round("win", 6).alias("win"), F.round("avg", 6).alias("avg"))
+
+
+@query(with_ctes("SELECT symbol, rank_date AS date, rank::INT AS rank FROM ranks WHERE rank_date >= DATE '2001-01-01'", "ranks"))
+def rank_history(spark, d):
+    """Rank histories, encrypted as a provider sends them, and read back."""
+    ranked = src.ranks(src.bars(spark, d)).where("rank_date >= date'2001-01-01'")
+    texts = ranked.groupBy("symbol").agg(F.to_json(F.collect_list(F.struct(F.concat(F.col("rank_date").cast("string"), F.lit(" 15:00")).alias("calcTime"), "rank"))).alias("text"))  # the bars of one symbol
+    key = "0123456789abcdef"
+    sealed = F.base64(F.aes_encrypt(F.col("text").cast("binary"), F.lit(key.encode()), F.lit("CBC"), F.lit("PKCS")))
+    return parsers.rank_history(texts.select("symbol", sealed.alias("payload")), key)
+
+
+@query(with_ctes("SELECT symbol, date, 'qfq' AS adjust_type, round(close, 6) AS close, NULL::DOUBLE AS turnover_rate, coalesce(CASE WHEN symbol % 2 = 0 THEN 'first' END, 'derived') AS source FROM bars", "bars"))
+def typed_sink_rows(spark, d):
+    """Bars in the schema of the bar table: adjustment and source by default, what is not there null."""
+    frame = src.bars(spark, d).withColumn("source", F.when(F.col("symbol") % 2 == 0, "first"))
+    out = store.conform(frame, "symbol long, date date, adjust_type string, close double, turnover_rate double, source string", {"adjust_type": "qfq", "source": "derived"})
+    return out.withColumn("close", F.round("close", 6))
+
+
+@query(
+    with_ctes(
+        "SELECT t.symbol, count(*) AS pivot_count, max(w.impulse) AS impulse_score, arg_max(t.typ, t.ordinal) AS last_type, round(max(l.last_close), 6) AS close FROM line t JOIN (SELECT symbol, arg_max(close, date) AS last_close FROM bars GROUP BY symbol) l USING (symbol) "
+        "LEFT JOIN (SELECT symbol, CASE WHEN n = 6 THEN (" + _IMPULSE + ") * 20 END AS impulse FROM lengths) w USING (symbol) GROUP BY t.symbol",
+        "pivots", recursive=f"{_fold(0.03)}, {_SIX}",
+    )
+)
+def wave_analysis(spark, d):
+    """Each symbol's confirmed pivots, wave score and open leg in one row."""
+    out = pv.analyse(src.bars(spark, d))
+    return out.select("symbol", "pivot_count", "impulse_score", F.col("from_type").alias("last_type"), F.round("last_close", 6).alias("close"))

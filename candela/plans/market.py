@@ -297,7 +297,13 @@ def upsert_replace(spark, d):
     return _select(store.upsert(frame.withColumn("source", F.lit("old")), new, ["symbol", "date"]), BAR, "symbol", "date", "source")
 
 
-@query(with_ctes("SELECT coalesce(n.symbol, o.symbol) AS symbol, coalesce(n.rank_date, o.rank_date) AS rank_date, coalesce(n.rank, o.rank) AS rank, coalesce(n.source, o.source) AS source FROM (SELECT *, 'first' AS source FROM ranks WHERE rank <= 20) o FULL JOIN (SELECT symbol, rank_date, CASE WHEN rank % 2 = 0 THEN rank + 100 END AS rank, 'second' AS source FROM ranks WHERE rank BETWEEN 10 AND 40) n ON o.symbol = n.symbol AND o.rank_date = n.rank_date", "ranks"))
+@query(
+    with_ctes(
+        "SELECT symbol, rank_date, CASE WHEN rank BETWEEN 10 AND 40 AND rank % 2 = 0 THEN rank + 100 WHEN rank <= 20 THEN rank END AS rank, "
+        "CASE WHEN rank BETWEEN 10 AND 40 THEN 'second' ELSE 'first' END AS source FROM ranks WHERE rank <= 40",
+        "ranks",
+    )
+)
 def rank_coalesce_merge(spark, d):
     ranks = src.ranks(src.bars(spark, d))
     old = ranks.where("rank <= 20").withColumn("source", F.lit("first"))

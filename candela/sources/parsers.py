@@ -140,3 +140,10 @@ def pattern_names(text: str, known: dict[str, str]) -> list[str]:
     """Patterns named in a comma-separated text, by key or by part of their title, each once in the order given."""
     out = [k for part in text.split(",") if part.strip() for k, title in known.items() if part.strip() in (k, title) or part.strip() in title]
     return list(dict.fromkeys(out))
+
+
+def rank_history(frame: DataFrame, key: str, text: str = "payload") -> DataFrame:
+    """(symbol, date, rank) of encrypted histories: base64 of initial vector and AES-CBC text of [{"calcTime": ..., "rank": ...}, ...]."""
+    plain = F.aes_decrypt(F.unbase64(text), F.lit(key.encode()), F.lit("CBC"), F.lit("PKCS")).cast("string")
+    each = frame.select("symbol", F.explode(F.from_json(plain, "array<struct<calcTime:string,rank:int>>")).alias("r"))
+    return each.select("symbol", F.to_date(F.substring("r.calcTime", 1, 10)).alias("date"), "r.rank")
