@@ -52,7 +52,8 @@ def call(spark: SparkSession, sf_dir: str, name: str, limit: int = 1000, **args)
         limit = max(0, min(limit, MOST_ROWS))
         rows = [r.asDict(recursive=True) for r in CALLS[name](spark, sf_dir, **args).limit(limit + 1).collect()]
         cut = len(rows) > limit
-        return {"data": rows[:limit], "meta": {"call": name, "rows": min(len(rows), limit), "truncated": cut}, "warnings": [f"only the first {limit} rows"] if cut else [], "error": None}
+        return {"data": rows[:limit], "meta": {"call": name, "rows": min(len(rows), limit), "truncated": cut},
+            "warnings": [f"only the first {limit} rows"] if cut else [], "error": None}
     except ValueError as error:
         return {"data": None, "meta": {"call": name}, "warnings": [], "error": {"type": "invalid", "message": str(error)}}
     except Exception as error:
@@ -94,7 +95,8 @@ def get_data_status(spark, sf_dir) -> DataFrame:
 
 
 @tool
-def screen_stocks(spark, sf_dir, conditions: dict | None = None, top_n: int = 20, sort_by: str = "change_rate", sector_code: str | None = None, name_keyword: str | None = None) -> DataFrame:
+def screen_stocks(spark, sf_dir, conditions: dict | None = None, top_n: int = 20, sort_by: str = "change_rate", sector_code: str | None = None,
+    name_keyword: str | None = None) -> DataFrame:
     inside = src.members(spark, sf_dir).where(F.col("sector_code") == sector_code) if sector_code else None
     return screens.screen(src.spot(spark, sf_dir), src.ranks(src.bars(spark, sf_dir)), conditions or {}, sort_by, top_n, inside, name_keyword)
 
@@ -166,10 +168,13 @@ def get_key_levels(spark, sf_dir, symbol: int) -> DataFrame:
     out = near.select(F.lit("level").alias("section"), "name", "value", "distance_pct", "side", "position", F.col("trend").alias("state"))
     found = structure.compact(structure.multi_timeframe(frame).withColumn("scale", F.concat_ws(":", "timeframe", "scale")))
     label = F.concat_ws(":", "kind", "role")
-    shapes = found.select(F.concat(F.lit("structure:"), "scale").alias("section"), label.alias("name"), F.coalesce("level", "upper", "end_price").alias("value"), F.lit(None).cast("double").alias("distance_pct"), F.lit(None).cast("string").alias("side"), "position", F.col("status").alias("state"))
+    shapes = found.select(F.concat(F.lit("structure:"), "scale").alias("section"), label.alias("name"),
+        F.coalesce("level", "upper", "end_price").alias("value"), F.lit(None).cast("double").alias("distance_pct"),
+        F.lit(None).cast("string").alias("side"), "position", F.col("status").alias("state"))
     ordered = Window.orderBy(F.col("sector_type") != "industry", "sector_code")  # the few sectors of one symbol
     sectors = sector_alignment(spark, sf_dir, symbol).withColumn("position", F.row_number().over(ordered)).where(F.col("position") <= 6)
-    places = sectors.select(F.lit("sector").alias("section"), F.col("sector_code").alias("name"), F.col("alignment").alias("value"), F.lit(None).cast("double").alias("distance_pct"), F.lit(None).cast("string").alias("side"), "position", F.col("label").alias("state"))
+    places = sectors.select(F.lit("sector").alias("section"), F.col("sector_code").alias("name"), F.col("alignment").alias("value"),
+        F.lit(None).cast("double").alias("distance_pct"), F.lit(None).cast("string").alias("side"), "position", F.col("label").alias("state"))
     return out.unionByName(shapes).unionByName(places).orderBy("section", "side", "position")
 
 
@@ -178,13 +183,15 @@ def sector_alignment(spark, sf_dir, symbol: int) -> DataFrame:
     member = src.members(spark, sf_dir)
     spot = src.spot(spark, sf_dir).select("symbol", "change_rate")
     mine = member.where(F.col("symbol") == symbol)
-    near = member.join(mine.select("sector_code"), "sector_code", "left_semi").join(spot, "symbol").groupBy("sector_code").agg(F.avg("change_rate").alias("change"), (F.avg((F.col("change_rate") > 0).cast("double")) * 100).alias("breadth"))
+    near = member.join(mine.select("sector_code"), "sector_code", "left_semi").join(spot,
+        "symbol").groupBy("sector_code").agg(F.avg("change_rate").alias("change"), (F.avg((F.col("change_rate") > 0).cast("double")) * 100).alias("breadth"))
 
     def way(c):
         return F.when(F.col(c) > 0, "up").when(F.col(c) < 0, "down").otherwise("range")
 
     joined = mine.join(spot, "symbol").join(near, "sector_code")
-    return research.alignment(joined.select("symbol", "sector_code", "sector_type", "breadth", way("change_rate").alias("stock_trend"), way("change").alias("sector_trend"), F.lit(None).cast("double").alias("net_pct")))
+    return research.alignment(joined.select("symbol", "sector_code", "sector_type", "breadth", way("change_rate").alias("stock_trend"),
+        way("change").alias("sector_trend"), F.lit(None).cast("double").alias("net_pct")))
 
 
 @tool
@@ -210,7 +217,8 @@ def screen_rising_candidates(spark, sf_dir, top_n: int = 20, lookback_days: int
 def prepare_stock_analysis(spark, sf_dir, symbol: int) -> DataFrame:
     """One row: the report with the symbol's structures as an array."""
     found = structure.compact(structure.market_structure(src.bars(spark, sf_dir).where(F.col("symbol") == symbol)))
-    packed = found.groupBy("symbol").agg(F.collect_list(F.struct("scale", "kind", "role", "status", "score", "lower", "upper", "level")).alias("structures"))  # a compact snapshot
+    packed = found.groupBy("symbol").agg(F.collect_list(F.struct("scale", "kind", "role", "status", "score", "lower", "upper",
+        "level")).alias("structures"))  # a compact snapshot
     return generate_stock_report(spark, sf_dir, symbol).join(packed, "symbol", "left")
 
 

@@ -35,7 +35,8 @@ def _win(column: str):
 
 def event_summary(events: DataFrame, keys: tuple[str, ...] = ("pattern", "variant")) -> DataFrame:
     """Count, win rate, mean and median by group and horizon; missing keys are groups of their own."""
-    aggregates = [x for n in HORIZONS for x in (_win(f"ret_{n}").alias(f"win_{n}"), F.avg(f"ret_{n}").alias(f"avg_{n}"), F.percentile(f"ret_{n}", 0.5).alias(f"median_{n}"))]
+    aggregates = [x for n in HORIZONS for x in (_win(f"ret_{n}").alias(f"win_{n}"), F.avg(f"ret_{n}").alias(f"avg_{n}"),
+        F.percentile(f"ret_{n}", 0.5).alias(f"median_{n}"))]
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggregates)
 
 
@@ -45,7 +46,8 @@ def overall_report(events: DataFrame, keys: tuple[str, ...] = ("pattern", "varia
     gains, losses = F.avg(F.when(r > 0, r)), F.avg(F.when(r <= 0, r))
     enough = (F.count_if(r > 0) >= 2) & (F.count_if(r <= 0) >= 2)
     out = events.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[_win(f"ret_{n}").alias(f"win_{n}") for n in HORIZONS], F.avg("ret_10").alias("avg_10"), F.percentile("ret_10", 0.5).alias("median_10"),
+        F.count(F.lit(1)).alias("n"), *[_win(f"ret_{n}").alias(f"win_{n}") for n in HORIZONS], F.avg("ret_10").alias("avg_10"),
+        F.percentile("ret_10", 0.5).alias("median_10"),
         F.when(enough, ratio(gains, F.abs(losses))).alias("profit_loss"), F.avg("max_gain_10").alias("avg_max_gain_10"),
     )
     return out.where(F.col("n") >= least)
@@ -72,7 +74,8 @@ def quantiles(values: DataFrame, keys: list[str], shares: list[float]) -> DataFr
     Ranks are windows, which spill; nothing holds a group's values in memory.
     """
     w = Window.partitionBy(*keys)
-    ranked = values.select(*keys, "x", (F.row_number().over(w.orderBy("x")) - 1).alias("rn"), F.dense_rank().over(w.orderBy("x")).alias("kind"), F.count(F.lit(1)).over(w).alias("n"))
+    ranked = values.select(*keys, "x", (F.row_number().over(w.orderBy("x")) - 1).alias("rn"), F.dense_rank().over(w.orderBy("x")).alias("kind"),
+        F.count(F.lit(1)).over(w).alias("n"))
     places = [lit(s) * (F.col("n") - 1) for s in shares]
     wanted = F.col("rn") == F.col("n") - 1
     for at in places:
@@ -81,7 +84,8 @@ def quantiles(values: DataFrame, keys: list[str], shares: list[float]) -> DataFr
     out = []
     for at in places:
         part = at - F.floor(at)
-        out.append(F.sum(F.when(F.col("rn") == F.floor(at), F.col("x") * (lit(1) - part))) + F.coalesce(F.sum(F.when((F.col("rn") == F.ceil(at)) & (part > 0), F.col("x") * part)), lit(0)))
+        out.append(F.sum(F.when(F.col("rn") == F.floor(at),
+            F.col("x") * (lit(1) - part))) + F.coalesce(F.sum(F.when((F.col("rn") == F.ceil(at)) & (part > 0), F.col("x") * part)), lit(0)))
     return kept.groupBy(*keys).agg(F.first("n").alias("n"), F.max("kind").alias("kinds"), F.array(*out).alias("quantiles"))
 
 
@@ -94,18 +98,23 @@ def quantile_edges(events: DataFrame, factors: tuple[str, ...], keys: tuple[str,
 def quartile_report(events: DataFrame, factors: tuple[str, ...], keys: tuple[str, ...] = ("pattern",)) -> DataFrame:
     """Outcomes by quantile of each factor: right-closed bins, the lowest edge included."""
     edges = quantile_edges(events, factors, keys)
-    long = events.select(*keys, "ret_10", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors])).alias("f")).select(*keys, "ret_10", "f.factor", "f.x").where("x is not null")
+    long = events.select(*keys, "ret_10", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"),
+        F.col(f).cast("double").alias("x")) for f in factors])).alias("f")).select(*keys, "ret_10", "f.factor", "f.x").where("x is not null")
     binned = long.join(edges, [*keys, "factor"]).withColumn("bin", F.greatest(F.size(F.filter("edges", lambda e: e < F.col("x"))), F.lit(1)))
-    return binned.groupBy(*keys, "factor", "bin").agg(F.count(F.lit(1)).alias("n"), _win("ret_10").alias("win_10"), F.avg("ret_10").alias("avg_10"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return binned.groupBy(*keys, "factor", "bin").agg(F.count(F.lit(1)).alias("n"), _win("ret_10").alias("win_10"), F.avg("ret_10").alias("avg_10"),
+        F.min("x").alias("low"), F.max("x").alias("high"))
 
 
 def commonality(events: DataFrame, factors: tuple[str, ...], split: str, keys: tuple[str, ...] = ("pattern",), least: tuple[int, int] = (50, 20)) -> DataFrame:
     """Win rates by quantile before and from a date on, where both have enough events, their gap, and which quantiles deserve review."""
     edges = quantile_edges(events, factors, keys)
-    long = events.select(*keys, "date", "ret_10", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors])).alias("f")).select(*keys, "date", "ret_10", "f.factor", "f.x").where("x is not null and ret_10 is not null")
+    long = events.select(*keys, "date", "ret_10", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"),
+        F.col(f).cast("double").alias("x")) for f in factors])).alias("f")).select(*keys, "date", "ret_10", "f.factor",
+        "f.x").where("x is not null and ret_10 is not null")
     binned = long.join(edges, [*keys, "factor"]).withColumn("bin", F.greatest(F.size(F.filter("edges", lambda e: e < F.col("x"))), F.lit(1)))
     won, late = (F.col("ret_10") > 0).cast("double"), F.col("date") >= F.lit(split).cast("date")
-    out = binned.groupBy(*keys, "factor", "bin").agg(F.count_if(~late).alias("n_train"), F.count_if(late).alias("n_test"), F.avg(F.when(~late, won)).alias("train"), F.avg(F.when(late, won)).alias("test"))
+    out = binned.groupBy(*keys, "factor", "bin").agg(F.count_if(~late).alias("n_train"), F.count_if(late).alias("n_test"),
+        F.avg(F.when(~late, won)).alias("train"), F.avg(F.when(late, won)).alias("test"))
     out = out.where((F.col("n_train") >= least[0]) & (F.col("n_test") >= least[1])).withColumn("gap", F.abs(F.col("test") - F.col("train")))
     return out.withColumn("candidate", (F.col("gap") <= lit(0.10)) & (F.col("test") > lit(0.5)))
 
@@ -123,7 +132,8 @@ def simulate(signals: DataFrame, bars_with_change: DataFrame) -> DataFrame:
     rows = bars_with_change.select("symbol", "date", "open", "high", "low", "close", "change_rate", (F.row_number().over(w)).alias("rn"), tr.alias("tr"))
     rows = rows.withColumn("atr", F.avg("tr").over(w.rowsBetween(-13, 0)))
     start = signals.select("symbol", "date", "pattern").join(rows.select("symbol", "date", "rn", "atr"), ["symbol", "date"])
-    entry = rows.select("symbol", (F.col("rn") - 1).alias("rn"), F.col("date").alias("entry_date"), F.col("open").alias("entry"), ((F.col("high") == F.col("low")) & (F.coalesce("change_rate", lit(0)) >= 9.5)).alias("locked"))
+    entry = rows.select("symbol", (F.col("rn") - 1).alias("rn"), F.col("date").alias("entry_date"), F.col("open").alias("entry"),
+        ((F.col("high") == F.col("low")) & (F.coalesce("change_rate", lit(0)) >= 9.5)).alias("locked"))
     trades = start.join(entry, ["symbol", "rn"]).where("not locked")
     risk = F.least(lit(STOP_MOST) * F.col("entry"), F.greatest(lit(STOP_ATR) * F.col("atr"), lit(STOP_LEAST) * F.col("entry")))
     trades = trades.withColumn("stop", F.col("entry") - risk).withColumn("target", F.col("entry") + lit(REWARD) * risk)
@@ -132,11 +142,15 @@ def simulate(signals: DataFrame, bars_with_change: DataFrame) -> DataFrame:
     sealed = (F.col("high") == F.col("low")) & (F.coalesce("change_rate", lit(0)) <= -9.5)
     stopped = (F.col("low") <= F.col("stop")) & ~sealed
     reached = F.col("high") >= F.col("target")
-    hit = F.when(stopped, F.struct(F.lit("stop").alias("reason"), F.col("stop").alias("exit"), "day", "at")).when(reached, F.struct(F.lit("target_2r").alias("reason"), F.col("target").alias("exit"), "day", "at"))
+    hit = F.when(stopped, F.struct(F.lit("stop").alias("reason"), F.col("stop").alias("exit"), "day", "at")).when(reached,
+        F.struct(F.lit("target_2r").alias("reason"), F.col("target").alias("exit"), "day", "at"))
     last = F.struct(F.lit("time_exit").alias("reason"), F.col("close").alias("exit"), "day", "at")
-    done = path.withColumn("hit", hit).withColumn("last", last).groupBy("symbol", "pattern", "date", "entry_date", "entry", "stop", "target", "rn").agg(F.coalesce(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("at"))), F.max_by("last", "at")).alias("x"))
+    done = path.withColumn("hit", hit).withColumn("last", last).groupBy("symbol", "pattern", "date", "entry_date", "entry", "stop", "target",
+        "rn").agg(F.coalesce(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("at"))), F.max_by("last", "at")).alias("x"))
     gross = F.col("x.exit") / F.col("entry") - lit(1)
-    return done.select("symbol", "pattern", F.col("date").alias("signal_date"), "entry_date", F.col("x.day").alias("exit_date"), "entry", "stop", "target", F.col("x.exit").alias("exit"), F.col("x.reason").alias("reason"), (F.col("x.at") - F.col("rn")).alias("holding_days"), (gross - lit((BUY_BPS + SELL_BPS) / 1e4)).alias("net_return"))
+    return done.select("symbol", "pattern", F.col("date").alias("signal_date"), "entry_date", F.col("x.day").alias("exit_date"), "entry", "stop", "target",
+        F.col("x.exit").alias("exit"), F.col("x.reason").alias("reason"), (F.col("x.at") - F.col("rn")).alias("holding_days"),
+        (gross - lit((BUY_BPS + SELL_BPS) / 1e4)).alias("net_return"))
 
 
 def admit(trades: DataFrame, most: int = 10) -> DataFrame:
@@ -170,11 +184,16 @@ def portfolio(accepted: DataFrame, most: int = 10) -> DataFrame:
     w = Window.partitionBy("pattern").orderBy("exit_date").rowsBetween(Window.unboundedPreceding, 0)
     curve = daily.withColumn("equity", F.exp(F.sum(F.log1p("r")).over(w)))
     curve = curve.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(w), lit(1)) - lit(1))
-    shape = curve.groupBy("pattern").agg(F.max_by("equity", "exit_date").alias("final"), F.min("drawdown").alias("max_drawdown"), (ratio(F.avg("r"), F.stddev_samp("r")) * F.sqrt(lit(252))).alias("sharpe"), F.datediff(F.max("exit_date"), F.min("exit_date")).alias("days"), F.count(F.lit(1)).alias("exits"))
+    shape = curve.groupBy("pattern").agg(F.max_by("equity", "exit_date").alias("final"), F.min("drawdown").alias("max_drawdown"),
+        (ratio(F.avg("r"), F.stddev_samp("r")) * F.sqrt(lit(252))).alias("sharpe"), F.datediff(F.max("exit_date"), F.min("exit_date")).alias("days"),
+        F.count(F.lit(1)).alias("exits"))
     r = F.col("net_return")
-    trade = accepted.groupBy("pattern").agg(F.count(F.lit(1)).alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"), ratio(F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r <= 0, r)))).alias("payoff"))
+    trade = accepted.groupBy("pattern").agg(F.count(F.lit(1)).alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"),
+        ratio(F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r <= 0, r)))).alias("payoff"))
     joined = shape.join(trade, "pattern")
-    return joined.select("pattern", "trades", (F.col("final") - lit(1)).alias("total_return"), F.when(F.col("exits") > 1, F.pow("final", lit(365.25) / F.greatest("days", F.lit(1))) - lit(1)).alias("annual_return"), "max_drawdown", "sharpe", "win_rate", "payoff")
+    return joined.select("pattern", "trades", (F.col("final") - lit(1)).alias("total_return"),
+        F.when(F.col("exits") > 1, F.pow("final", lit(365.25) / F.greatest("days", F.lit(1))) - lit(1)).alias("annual_return"), "max_drawdown", "sharpe",
+        "win_rate", "payoff")
 
 
 def wave_report(events: DataFrame, least: int = 30) -> DataFrame:
@@ -186,7 +205,8 @@ def cohort(events: DataFrame, keys: tuple[str, ...], least: int = 1) -> DataFram
     """Events with an outcome by group: count, symbols, win rates in per cent, mean returns and best gains, mean score."""
     out = events.where("ret_5 is not null").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("symbol").alias("symbols"), *[(_win(f"ret_{n}") * 100).alias(f"win_rate_{n}") for n in HORIZONS],
-        *[F.avg(f"ret_{n}").alias(f"avg_ret_{n}") for n in HORIZONS], *[F.avg(f"max_gain_{n}").alias(f"avg_max_gain_{n}") for n in HORIZONS], F.avg("score").alias("avg_score"),
+        *[F.avg(f"ret_{n}").alias(f"avg_ret_{n}") for n in HORIZONS], *[F.avg(f"max_gain_{n}").alias(f"avg_max_gain_{n}") for n in HORIZONS],
+        F.avg("score").alias("avg_score"),
     )
     return out.where(F.col("n") >= least)
 
@@ -199,7 +219,8 @@ def score_distribution(events: DataFrame) -> DataFrame:
 
 def yearly_returns(events: DataFrame, least: int = 30) -> DataFrame:
     """Count, win rate and mean return of each pattern and year with enough events."""
-    out = events.groupBy("pattern", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), (_win("ret_10") * 100).alias("win_rate_10"), (F.avg("ret_10") * 100).alias("avg_ret_10"))
+    out = events.groupBy("pattern", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), (_win("ret_10") * 100).alias("win_rate_10"),
+        (F.avg("ret_10") * 100).alias("avg_ret_10"))
     return out.where(F.col("n") >= least)
 
 
@@ -211,8 +232,11 @@ def wave_phase(bars: DataFrame, found: DataFrame, lookback: int = 250) -> DataFr
     w = by_symbol()
     numbered = bars.select("symbol", "date", "close", (F.row_number().over(w) - 1).alias("idx"))
     highs = found.where("typ = 'H'")
-    steps = highs.select("symbol", F.col("confirm").alias("idx"), F.lit(1).alias("step")).unionByName(highs.select("symbol", (F.col("idx") + lookback + 1).alias("idx"), F.lit(-1).alias("step"))).groupBy("symbol", "idx").agg(F.sum("step").alias("step"))
-    counted = numbered.join(steps, ["symbol", "idx"], "left").withColumn("highs", F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy("symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+    steps = highs.select("symbol", F.col("confirm").alias("idx"), F.lit(1).alias("step")).unionByName(highs.select("symbol",
+        (F.col("idx") + lookback + 1).alias("idx"), F.lit(-1).alias("step"))).groupBy("symbol", "idx").agg(F.sum("step").alias("step"))
+    counted = numbered.join(steps, ["symbol", "idx"], "left").withColumn("highs",
+        F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy("symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     top = F.max("close").over(Window.partitionBy("symbol").orderBy("idx").rowsBetween(-lookback, 0))
-    phase = F.when(F.col("close") >= lit(0.995) * F.col("top"), "breakout_new_high").when(F.col("highs") == 1, "first_pullback").when(F.col("highs") == 2, "second_pullback").otherwise("later_pullback")
+    phase = F.when(F.col("close") >= lit(0.995) * F.col("top"), "breakout_new_high").when(F.col("highs") == 1, "first_pullback").when(F.col("highs") == 2,
+        "second_pullback").otherwise("later_pullback")
     return counted.withColumn("top", top).select("symbol", "date", phase.alias("wave_phase"))

@@ -34,8 +34,10 @@ STRICT = {
 CARRIED = ("change_rate", "turnover", "turnover_ma20", "updown_ratio_20", "up_days_ratio_20", "vol_ratio", "RSI14", "BIAS60", "KDJ_J", "boll_pos", "boll_width", "RSI6")
 FLAGS = ("ma_bull", "dif_above_zero", "macd_gold3", "dif_below0", "kdj_gold3")
 SIGNAL = (
-    "symbol long, date date, pattern string, variant string, close double, score double, trend string, hit_levels string, fib_level string, resonance int, wave_phase string, break_days int, break_depth double, "
-    "potential_gain double, pullback_vol_shrink double, macd_div int, key_level_name string, key_level_value double, pullback_pct double, left_idx int, right_idx int, neckline_value double, deviation_pct double, "
+    "symbol long, date date, pattern string, variant string, close double, score double, trend string, hit_levels string, fib_level string, resonance int, "
+    "wave_phase string, break_days int, break_depth double, "
+    "potential_gain double, pullback_vol_shrink double, macd_div int, key_level_name string, key_level_value double, pullback_pct double, left_idx int, "
+    "right_idx int, neckline_value double, deviation_pct double, "
     + ", ".join(f"{c} double" for c in CARRIED) + ", " + ", ".join(f"{c} int" for c in FLAGS)
 )
 
@@ -146,10 +148,13 @@ def trend_pullback(b: Bars, i: int, tolerance: float) -> dict | None:
         variant = "near_level" if away > tolerance else "soft_pullback"
     hits = [k for k, v in levels.items() if abs(low - v) / v <= tolerance and high >= v * (1 + tolerance)]
     touch = 1.0 if away <= tolerance else max(0.0, (0.04 - away) / (0.04 - tolerance))
-    score = 0.30 * trapezoid(fall, 0.04, 0.13, 0.02, 0.20) + 0.20 * trapezoid(age, 4, 20, 2, 35) + 0.35 * touch + 0.15 * trapezoid(top.price / bottom.price - 1, 0.30, 2.0, 0.15, 5.0)
+    score = 0.30 * trapezoid(fall, 0.04, 0.13, 0.02, 0.20) + 0.20 * trapezoid(age, 4, 20, 2,
+        35) + 0.35 * touch + 0.15 * trapezoid(top.price / bottom.price - 1, 0.30, 2.0, 0.15, 5.0)
     return {
-        "variant": variant, "score": score, "trend": "up", "hit_levels": ",".join(hits) or name, "fib_level": next((h for h in hits if h.startswith("fib_")), ""), "resonance": max(1, len(hits)), "wave_phase": phase(b, i),
-        "break_days": under, "break_depth": max(0.0, (level - worst) / level), "pullback_vol_shrink": shrink(b, slice(max(0, peak - age), peak), slice(peak, i + 1)), "potential_gain": year.max() / b.close[i] - 1,
+        "variant": variant, "score": score, "trend": "up", "hit_levels": ",".join(hits) or name,
+        "fib_level": next((h for h in hits if h.startswith("fib_")), ""), "resonance": max(1, len(hits)), "wave_phase": phase(b, i),
+        "break_days": under, "break_depth": max(0.0, (level - worst) / level),
+        "pullback_vol_shrink": shrink(b, slice(max(0, peak - age), peak), slice(peak, i + 1)), "potential_gain": year.max() / b.close[i] - 1,
         "key_level_name": name, "key_level_value": level, "pullback_pct": fall, "left_idx": bottom.idx, "right_idx": peak,
     }
 
@@ -170,9 +175,11 @@ def ma_rebound(b: Bars, i: int, tolerance: float) -> dict | None:
             continue
         touch, hold = b.since("low", i, 15).min() / average - 1, b.since("close", i, 15).min() / average - 1
         if touch <= 0.05 and hold >= -0.07:
-            score = 0.25 * trapezoid(fall, 0.20, 0.70, 0.10, 1.00) + 0.30 * trapezoid(touch, -0.05, 0.0, -0.08, 0.05) + 0.30 * trapezoid(hold, 0.0, 0.20, -0.07, 0.30) + 0.15 * trapezoid(spread, 0.03, 0.10, 0.0, 0.18)
+            score = 0.25 * trapezoid(fall, 0.20, 0.70, 0.10, 1.00) + 0.30 * trapezoid(touch, -0.05, 0.0, -0.08, 0.05) + 0.30 * trapezoid(hold, 0.0, 0.20,
+                -0.07, 0.30) + 0.15 * trapezoid(spread, 0.03, 0.10, 0.0, 0.18)
             gain = b.since("close", i, 120).max() / b.close[i] - 1
-            return {"variant": f"MA{w}_hold", "score": score, "trend": "down", "hit_levels": f"MA{w}", "resonance": 1, "wave_phase": "downtrend_ma_support", "potential_gain": gain, "key_level_name": f"MA{w}", "key_level_value": average, "pullback_pct": fall}
+            return {"variant": f"MA{w}_hold", "score": score, "trend": "down", "hit_levels": f"MA{w}", "resonance": 1,
+                "wave_phase": "downtrend_ma_support", "potential_gain": gain, "key_level_name": f"MA{w}", "key_level_value": average, "pullback_pct": fall}
     return None
 
 
@@ -193,9 +200,11 @@ def w_bottom(b: Bars, i: int, tolerance: float) -> dict | None:
     likeness = trapezoid(abs(two.price - one.price) / one.price, 0.0, 0.03, 0.0, 0.08)
     if before is None or (before - one.price) / before < 0.20 or likeness <= 0:
         return None
-    score = 0.35 * likeness + 0.30 * trapezoid(height, 0.10, 0.80, 0.05, 1.50) + 0.15 * trapezoid(two.idx - one.idx, 15, 50, 8, 90) + 0.20 * trapezoid((before - one.price) / before, 0.30, 0.80, 0.20, 1.50)
+    score = 0.35 * likeness + 0.30 * trapezoid(height, 0.10, 0.80, 0.05, 1.50) + 0.15 * trapezoid(two.idx - one.idx, 15, 50, 8,
+        90) + 0.20 * trapezoid((before - one.price) / before, 0.30, 0.80, 0.20, 1.50)
     common = {
-        "score": score, "trend": "down", "resonance": 1, "macd_div": int(two.price <= 1.02 * one.price and b.DIF[two.idx] > b.DIF[one.idx]), "left_idx": one.idx, "right_idx": two.idx, "neckline_value": neck.price, "deviation_pct": abs(two.price / one.price - 1) * 100,
+        "score": score, "trend": "down", "resonance": 1, "macd_div": int(two.price <= 1.02 * one.price and b.DIF[two.idx] > b.DIF[one.idx]),
+        "left_idx": one.idx, "right_idx": two.idx, "neckline_value": neck.price, "deviation_pct": abs(two.price / one.price - 1) * 100,
     }
     close = b.close[i]
     if ("neck", neck.idx) not in b.used and i - neck.idx <= 60 and close > neck.price >= b.close[i - 1] and b.strong[i]:
@@ -223,10 +232,14 @@ def m_neckline(b: Bars, i: int, tolerance: float) -> dict | None:
     likeness = trapezoid(apart, 0.0, 0.03, 0.0, 0.08)
     if likeness <= 0:
         return None
-    score = 0.35 * likeness + 0.20 * trapezoid(one.price / before - 1, 0.40, 2.00, 0.25, 4.00) + 0.15 * trapezoid(two.idx - one.idx, 15, 50, 8, 90) + 0.30 * trapezoid(hold, 0.0, 0.15, -0.02, 0.30)
+    score = 0.35 * likeness + 0.20 * trapezoid(one.price / before - 1, 0.40, 2.00, 0.25, 4.00) + 0.15 * trapezoid(two.idx - one.idx, 15, 50, 8,
+        90) + 0.30 * trapezoid(hold, 0.0, 0.15, -0.02, 0.30)
     return {
-        "variant": "neckline_hold", "score": score, "trend": "up", "hit_levels": "neckline", "resonance": 1, "wave_phase": phase(b, i), "macd_div": -int(two.price >= 0.98 * one.price and b.DIF[two.idx] < b.DIF[one.idx]),
-        "pullback_vol_shrink": shrink(b, slice(neck.idx, two.idx + 1), slice(two.idx, i + 1)), "potential_gain": max(one.price, two.price) / b.close[i] - 1, "left_idx": one.idx, "right_idx": two.idx, "neckline_value": neck.price, "deviation_pct": apart * 100,
+        "variant": "neckline_hold", "score": score, "trend": "up", "hit_levels": "neckline", "resonance": 1, "wave_phase": phase(b, i),
+        "macd_div": -int(two.price >= 0.98 * one.price and b.DIF[two.idx] < b.DIF[one.idx]),
+        "pullback_vol_shrink": shrink(b, slice(neck.idx, two.idx + 1), slice(two.idx, i + 1)),
+        "potential_gain": max(one.price, two.price) / b.close[i] - 1, "left_idx": one.idx, "right_idx": two.idx, "neckline_value": neck.price,
+        "deviation_pct": apart * 100,
     }
 
 
@@ -240,7 +253,8 @@ def box_breakout(b: Bars, i: int, tolerance: float) -> dict | None:
     if b.close[i] <= 0.999 * b.close[i - 120 : i].max() or width > 0.25 or out < 0.003 or narrow <= 0:
         return None
     score = 0.40 * narrow + 0.35 * trapezoid(b.vol_ratio[i], 2.0, 8.0, 1.5, 20.0) + 0.25 * trapezoid(out, 0.005, 0.05, 0.003, 0.099)
-    return {"variant": "box_breakout", "score": score, "trend": "range", "hit_levels": "box_high", "resonance": 1, "wave_phase": "box_breakout", "potential_gain": (2 * box.max() - box.min()) / b.close[i] - 1, "left_idx": i - 40, "right_idx": i - 1}
+    return {"variant": "box_breakout", "score": score, "trend": "range", "hit_levels": "box_high", "resonance": 1, "wave_phase": "box_breakout",
+        "potential_gain": (2 * box.max() - box.min()) / b.close[i] - 1, "left_idx": i - 40, "right_idx": i - 1}
 
 
 DETECTORS: dict[str, Callable[[Bars, int, float], dict | None]] = {f.__name__: f for f in (trend_pullback, ma_rebound, w_bottom, m_neckline, box_breakout)}
@@ -252,7 +266,8 @@ def _known(v):
     return None if isinstance(v, float) and v != v else v
 
 
-def scan(rows: pd.DataFrame, found: list[Pivot], patterns: tuple[str, ...] = tuple(DETECTORS), tolerance: float = 0.015, swing: float = 0.03, min_score: float = 0.6) -> list[dict]:
+def scan(rows: pd.DataFrame, found: list[Pivot], patterns: tuple[str, ...] = tuple(DETECTORS), tolerance: float = 0.015, swing: float = 0.03,
+    min_score: float = 0.6) -> list[dict]:
     """Signals of one symbol's ascending rows, given its pivots in the order of their confirmation."""
     b, out, rests, at = Bars(rows), [], {}, 0
     dates, symbol = rows["date"].tolist(), rows["symbol"].iloc[0]
@@ -268,16 +283,20 @@ def scan(rows: pd.DataFrame, found: list[Pivot], patterns: tuple[str, ...] = tup
             signal = DETECTORS[pattern](b, i, tolerance)
             if signal and round(signal["score"], 3) >= min_score:
                 rests[pattern] = i
-                base = {"symbol": symbol, "date": dates[i], "pattern": pattern, "close": round(b.close[i], 3), "fib_level": "", "break_days": 0, "break_depth": 0.0, "macd_div": 0}
-                out.append(base | {c: _known(b.columns[c][i]) for c in CARRIED} | {c: int(b.columns[c][i]) for c in FLAGS} | {k: _known(v) for k, v in signal.items()} | {"score": round(signal["score"], 3)})
+                base = {"symbol": symbol, "date": dates[i], "pattern": pattern, "close": round(b.close[i], 3), "fib_level": "", "break_days": 0,
+                    "break_depth": 0.0, "macd_div": 0}
+                out.append(base | {c: _known(b.columns[c][i]) for c in CARRIED} | {c: int(b.columns[c][i]) for c in FLAGS} | {k: _known(v) for k,
+                    v in signal.items()} | {"score": round(signal["score"], 3)})
     return out
 
 
 def detect(factors: DataFrame, patterns: tuple[str, ...] = tuple(DETECTORS), min_score: float = 0.6) -> DataFrame:
     """Signals of all symbols; ``factors`` has all indicators and factors.  Symbols too short, or without a candidate bar, never reach Python."""
-    needed = [c for c in dict.fromkeys(["symbol", "date", "open", "high", "low", "close", "volume", "MA5", "MA20", "MA60", "MA120", "MA250", "VOL_MA5", "DIF", "is_yang", "above_ma5", "break_high5", "break_close40", *CARRIED, *FLAGS])]
+    needed = [c for c in dict.fromkeys(["symbol", "date", "open", "high", "low", "close", "volume", "MA5", "MA20", "MA60", "MA120", "MA250", "VOL_MA5",
+        "DIF", "is_yang", "above_ma5", "break_high5", "break_close40", *CARRIED, *FLAGS])]
     whole = Window.partitionBy("symbol")
-    gated = factors.select(*needed, F.count(F.lit(1)).over(whole).alias("_n"), F.max("is_yang").over(whole).alias("_any")).where(F.col("_any") & (F.col("_n") >= MIN_BARS))
+    gated = factors.select(*needed, F.count(F.lit(1)).over(whole).alias("_n"),
+        F.max("is_yang").over(whole).alias("_any")).where(F.col("_any") & (F.col("_n") >= MIN_BARS))
     flags = [F.col(c).cast("int").alias(c) if c in ("is_yang", "above_ma5", "break_high5", "break_close40") else F.col(c) for c in needed]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -302,7 +321,8 @@ def local_extremes(high: np.ndarray, low: np.ndarray, left: int = 5, right: int
 def box_breakout_raw(factors: DataFrame) -> DataFrame:
     """Every bar that meets the box breakout's gates, with its score; no cooldown."""
     w = prior(40)
-    seen = factors.select("*", full(40, F.max("close"), w, "close").alias("box_high"), full(40, F.min("close"), w, "close").alias("box_low"), F.max("close").over(prior(120)).alias("high120"))
+    seen = factors.select("*", full(40, F.max("close"), w, "close").alias("box_high"), full(40, F.min("close"), w, "close").alias("box_low"),
+        F.max("close").over(prior(120)).alias("high120"))
     seen = seen.where(F.expr("is_yang and break_close40 and vol_ratio >= 1.5D") & F.col("box_low").isNotNull())
     seen = seen.withColumn("width", (F.col("box_high") - F.col("box_low")) / F.col("box_low")).withColumn("breakout", F.col("close") / F.col("box_high") - lit(1))
     narrow = score_range(F.col("width"), 0.05, 0.12, 0.02, 0.25)

@@ -20,7 +20,8 @@ class Rule(NamedTuple):
 
     def mask(self) -> Column:
         c = F.col(self.field)
-        found = {"<=": lambda: c <= lit(self.value), ">=": lambda: c >= lit(self.value), "==": lambda: c == self.value, "contains": lambda: c.contains(self.value)}[self.op]()
+        found = {"<=": lambda: c <= lit(self.value), ">=": lambda: c >= lit(self.value), "==": lambda: c == self.value,
+            "contains": lambda: c.contains(self.value)}[self.op]()
         return F.coalesce(found, F.lit(False))
 
 
@@ -50,7 +51,8 @@ def evaluate(events: DataFrame, candidates: list[tuple[Rule, ...]], ret: str = "
     return [(row[f"n{i}"], row[f"w{i}"]) for i in range(len(candidates))]
 
 
-def beam_search(events: DataFrame, rules: list[Rule], depth: int = DEPTH, beam: int = BEAM, least: int = LEAST, target: float = 1.0) -> list[tuple[tuple[Rule, ...], int, float]]:
+def beam_search(events: DataFrame, rules: list[Rule], depth: int = DEPTH, beam: int = BEAM, least: int = LEAST,
+    target: float = 1.0) -> list[tuple[tuple[Rule, ...], int, float]]:
     """The best rule sets found by extending the best so far one rule at a time; each must narrow its parent by 5 % at least."""
     events = events.cache()
     front: list[tuple[tuple[Rule, ...], int, float]] = [((), *evaluate(events, [()])[0])]
@@ -78,7 +80,8 @@ def greedy_filter(events: DataFrame, factors: tuple[str, ...], steps: int = 2, l
         kept = events.where(mask(tuple(r for r, _, _ in chosen)))
         cuts = {r.factor: sorted(set(r.quantiles)) for r in quantiles(factor_values(kept, factors), ["factor"], [0.2, 0.4, 0.6, 0.8]).collect()}
         rules = [Rule(f, op, v) for f in factors if f in cuts for v in cuts[f] for op in ("<=", ">=")]
-        scored = [(r, n, w) for r, (n, w) in zip(rules, evaluate(kept, [(r,) for r in rules]), strict=True) if w is not None and least <= n <= 0.9 * total and w - base > lift]
+        scored = [(r, n, w) for r, (n, w) in zip(rules, evaluate(kept, [(r,) for r in rules]),
+            strict=True) if w is not None and least <= n <= 0.9 * total and w - base > lift]
         if not scored:
             break
         pick = max(scored, key=lambda x: (x[2], x[1], str(x[0])))

@@ -41,12 +41,15 @@ def numbered(bars: DataFrame) -> DataFrame:
 def pivots(bars: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
     """(symbol, date, idx, typ, price, confirm): highs and lows of their whole neighbourhood, known ``right`` bars later."""
     window = by_symbol().rowsBetween(-left, right)
-    seen = numbered(bars).select("symbol", "date", "idx", "high", "low", F.max("high").over(window).alias("hi"), F.min("low").over(window).alias("lo"), F.count("high").over(window).alias("n")).where(F.col("n") == left + right + 1)
+    seen = numbered(bars).select("symbol", "date", "idx", "high", "low", F.max("high").over(window).alias("hi"), F.min("low").over(window).alias("lo"),
+        F.count("high").over(window).alias("n")).where(F.col("n") == left + right + 1)
     found = F.filter(
-        F.array(F.struct(F.lit("H").alias("typ"), F.col("high").alias("price"), (F.col("high") == F.col("hi")).alias("yes")), F.struct(F.lit("L").alias("typ"), F.col("low").alias("price"), (F.col("low") == F.col("lo")).alias("yes"))),
+        F.array(F.struct(F.lit("H").alias("typ"), F.col("high").alias("price"), (F.col("high") == F.col("hi")).alias("yes")),
+        F.struct(F.lit("L").alias("typ"), F.col("low").alias("price"), (F.col("low") == F.col("lo")).alias("yes"))),
         lambda p: p["yes"],
     )
-    return seen.select("symbol", "date", "idx", F.explode(found).alias("p"), (F.col("idx") + right).alias("confirm")).select("symbol", "date", "idx", "p.typ", "p.price", "confirm")
+    return seen.select("symbol", "date", "idx", F.explode(found).alias("p"), (F.col("idx") + right).alias("confirm")).select("symbol", "date", "idx",
+        "p.typ", "p.price", "confirm")
 
 
 def extend(line: list, pivot, swing: float) -> None:
@@ -130,7 +133,8 @@ def fib_zones(anchored: DataFrame, bars: DataFrame) -> DataFrame:
     out = anchored.withColumn("ratio", F.explode(F.array(*map(lit, FIB_RATIOS)))).join(latest_range(bars), "symbol")
     level = F.col("end_price") - F.col("ratio") * (F.col("end_price") - F.col("start_price"))
     reach = F.greatest(F.abs("last_atr") * lit(ZONE_RANGES), lit(TICK))
-    return out.select("symbol", "leg_id", "start_idx", "end_idx", "direction", "ratio", F.round(level, 8).alias("level"), F.round(level - reach, 8).alias("lower"), F.round(level + reach, 8).alias("upper"))
+    return out.select("symbol", "leg_id", "start_idx", "end_idx", "direction", "ratio", F.round(level, 8).alias("level"),
+        F.round(level - reach, 8).alias("lower"), F.round(level + reach, 8).alias("upper"))
 
 
 def projections(anchored: DataFrame, moves: DataFrame, bars: DataFrame) -> DataFrame:
@@ -139,7 +143,8 @@ def projections(anchored: DataFrame, moves: DataFrame, bars: DataFrame) -> DataF
     out = anchored.join(after, ["symbol", "end_idx"]).join(latest_range(bars), "symbol").withColumn("ratio", F.explode(F.array(*map(lit, PROJECTIONS))))
     move = F.col("end_price") - F.col("start_price")
     return out.select(
-        "symbol", "leg_id", "start_idx", "end_idx", "from_idx", "ratio", F.round(F.col("from_price") + F.col("ratio") * move, 8).alias("target"), F.round((F.col("last_close") - F.col("from_price")) / move, 8).alias("projection"),
+        "symbol", "leg_id", "start_idx", "end_idx", "from_idx", "ratio", F.round(F.col("from_price") + F.col("ratio") * move, 8).alias("target"),
+        F.round((F.col("last_close") - F.col("from_price")) / move, 8).alias("projection"),
     )
 
 
@@ -147,7 +152,8 @@ def phase_of(retracement, deepest, position, resume: float = 0.0, over: float =
     """Where price stands after a move: ``retracement`` and ``position`` are of the present price, ``deepest`` of the path since."""
     back = deepest > 0
     return (
-        F.when(retracement > lit(1 + over), "over_retraced").when(back & (position > lit(1 + resume)), "resumed").when(back & (retracement <= 0), "retracement_confirming").when(back, "retracing").otherwise("impulse")
+        F.when(retracement > lit(1 + over), "over_retraced").when(back & (position > lit(1 + resume)), "resumed").when(back & (retracement <= 0),
+        "retracement_confirming").when(back, "retracing").otherwise("impulse")
     )
 
 
@@ -157,11 +163,13 @@ def retracements(anchored: DataFrame, bars: DataFrame) -> DataFrame:
     The extremes of the closes from a bar on are windows over the bars, so anchors meet them by their end alone.
     """
     rest = by_symbol().rowsBetween(0, Window.unboundedFollowing)
-    since = numbered(bars).select("symbol", F.col("idx").alias("end_idx"), F.min("close").over(rest).alias("lo"), F.max("close").over(rest).alias("hi"), F.last("close").over(rest).alias("price"))
+    since = numbered(bars).select("symbol", F.col("idx").alias("end_idx"), F.min("close").over(rest).alias("lo"), F.max("close").over(rest).alias("hi"),
+        F.last("close").over(rest).alias("price"))
     move = F.col("end_price") - F.col("start_price")
     extreme = F.when(move > 0, F.col("lo")).otherwise(F.col("hi"))
     out = anchored.join(since, ["symbol", "end_idx"]).select(
-        "symbol", "leg_id", "start_idx", "end_idx", "direction", ((F.col("end_price") - F.col("price")) / move).alias("retracement"), ((F.col("price") - F.col("start_price")) / move).alias("position"), ((F.col("end_price") - extreme) / move).alias("deepest"),
+        "symbol", "leg_id", "start_idx", "end_idx", "direction", ((F.col("end_price") - F.col("price")) / move).alias("retracement"),
+        ((F.col("price") - F.col("start_price")) / move).alias("position"), ((F.col("end_price") - extreme) / move).alias("deepest"),
     )
     return out.withColumn("phase", phase_of(F.col("retracement"), F.col("deepest"), F.col("position")))
 
@@ -177,14 +185,16 @@ def turns(moves: DataFrame) -> DataFrame:
     span = F.abs(F.round("end_price", 3) - F.round("start_price", 3))
     seen = moves.select("*", span.alias("span"), F.lag(span).over(w).alias("before"), F.lag("direction").over(w).alias("was")).where("before > 0 and was <> direction")
     ratio = F.col("span") / F.col("before")
-    return seen.select("symbol", "ordinal", "end_idx", F.when(F.col("was") == "up", "up_pullback").otherwise("down_rebound").alias("kind"), ratio.alias("ratio"), _nearest(ratio).alias("nearest"))
+    return seen.select("symbol", "ordinal", "end_idx", F.when(F.col("was") == "up", "up_pullback").otherwise("down_rebound").alias("kind"),
+        ratio.alias("ratio"), _nearest(ratio).alias("nearest"))
 
 
 def fib_turns(moves: DataFrame) -> DataFrame:
     """For pullbacks and rebounds, how often each ratio was the nearest; their number, mean and commonest ratio with it."""
     counted = turns(moves).groupBy("kind", "nearest").agg(F.count(F.lit(1)).alias("n"), F.sum("ratio").alias("total"))
     w = Window.partitionBy("kind")
-    return counted.select("kind", "nearest", "n", F.sum("n").over(w).alias("turns"), (F.sum("total").over(w) / F.sum("n").over(w)).alias("mean_ratio"), F.max(F.struct("n", -F.col("nearest"))).over(w).alias("most")).select(
+    return counted.select("kind", "nearest", "n", F.sum("n").over(w).alias("turns"), (F.sum("total").over(w) / F.sum("n").over(w)).alias("mean_ratio"),
+        F.max(F.struct("n", -F.col("nearest"))).over(w).alias("most")).select(
         "kind", "nearest", "n", "turns", F.round("mean_ratio", 3).alias("mean_ratio"), (-F.col("most.col2")).alias("commonest")
     )
 
@@ -220,16 +230,19 @@ def double_patterns(line: DataFrame, bars: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("symbol").orderBy("ordinal")
     t = line.select(
-        "symbol", F.when(F.col("typ") == "L", "w_bottom").otherwise("m_top").alias("pattern"), F.col("idx").alias("left_idx"), F.col("price").alias("left_price"), F.lead("idx", 1).over(w).alias("mid_idx"), F.lead("price", 1).over(w).alias("mid_price"),
+        "symbol", F.when(F.col("typ") == "L", "w_bottom").otherwise("m_top").alias("pattern"), F.col("idx").alias("left_idx"),
+        F.col("price").alias("left_price"), F.lead("idx", 1).over(w).alias("mid_idx"), F.lead("price", 1).over(w).alias("mid_price"),
         F.lead("idx", 2).over(w).alias("right_idx"), F.lead("price", 2).over(w).alias("right_price"), F.lead("confirm", 2).over(w).alias("confirm"),
     ).where("right_idx is not null")
     apart = F.abs(F.col("right_price") - F.col("left_price")) / F.abs("left_price")
-    depth = F.when(F.col("pattern") == "w_bottom", F.col("mid_price") / F.least("left_price", "right_price") - lit(1)).otherwise(lit(1) - F.col("mid_price") / F.greatest("left_price", "right_price"))
+    depth = F.when(F.col("pattern") == "w_bottom", F.col("mid_price") / F.least("left_price",
+        "right_price") - lit(1)).otherwise(lit(1) - F.col("mid_price") / F.greatest("left_price", "right_price"))
     t = t.select("*", apart.alias("deviation"), depth.alias("depth")).where((F.col("deviation") <= lit(ENDS_APART)) & (F.col("depth") >= lit(LEAST_DEPTH)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema) + ", status string, event_idx int"
     seen = t.groupBy("symbol").cogroup(bars.select("symbol", "date", "close", "high", "low").groupBy("symbol")).applyInPandas(_first_events, schema)
     score = lit(0.65) * F.greatest(lit(0), lit(1) - F.col("deviation") / lit(ENDS_APART)) + lit(0.35) * F.least(lit(1), F.col("depth") / lit(DEEP))
-    return seen.select("symbol", "pattern", "left_idx", "mid_idx", "right_idx", F.col("mid_price").alias("neckline"), "deviation", "depth", score.alias("score"), "status", "event_idx")
+    return seen.select("symbol", "pattern", "left_idx", "mid_idx", "right_idx", F.col("mid_price").alias("neckline"), "deviation", "depth",
+        score.alias("score"), "status", "event_idx")
 
 
 def waves(line: DataFrame) -> DataFrame:
@@ -239,7 +252,8 @@ def waves(line: DataFrame) -> DataFrame:
     shortest.  Correction: B retraces, and C compares to A, within theirs.  Too few pivots score null.
     """
     w = Window.partitionBy("symbol").orderBy(F.desc("ordinal"))
-    last = line.withColumn("back", F.row_number().over(w)).where("back <= 6").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ordinal", "price", "typ"))).alias("p"))  # six pivots at most
+    last = line.withColumn("back", F.row_number().over(w)).where("back <= 6").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ordinal",
+        "price", "typ"))).alias("p"))  # six pivots at most
     n = F.size("p")
 
     def at(back: int):
@@ -256,30 +270,36 @@ def waves(line: DataFrame) -> DataFrame:
     sign = F.when(up, lit(1)).otherwise(lit(-1))
     second, fourth = ratio(length(5), length(6)), ratio(length(3), length(4))
     checks = [
-        (sign * (at(3) - at(5)) > 0) & (sign * (at(1) - at(3)) > 0), (sign * (at(4) - at(6)) > 0) & (sign * (at(2) - at(4)) > 0), within(second, WAVE_2), within(fourth, WAVE_4), length(4) >= F.least(length(6), length(2)),
+        (sign * (at(3) - at(5)) > 0) & (sign * (at(1) - at(3)) > 0), (sign * (at(4) - at(6)) > 0) & (sign * (at(2) - at(4)) > 0), within(second, WAVE_2),
+        within(fourth, WAVE_4), length(4) >= F.least(length(6), length(2)),
     ]
     impulse = sum((c.cast("int") for c in checks), F.lit(0)) * 20
     correction = (within(ratio(length(3), length(4)), WAVE_B).cast("int") + within(ratio(length(2), length(4)), WAVE_C).cast("int")) * 50
     return last.select(
-        "symbol", F.when(n == 6, impulse).alias("impulse_score"), F.when(n == 6, F.when(up, "up").otherwise("down")).alias("direction"), F.when(n == 6, second).alias("wave2"), F.when(n == 6, fourth).alias("wave4"),
-        F.when(n == 6, sign * (at(2) - at(5)) <= 0).alias("overlap"), F.when(n >= 4, correction).alias("abc_score"), F.when(n >= 4, F.when(up, "up").otherwise("down")).alias("abc_direction"),
+        "symbol", F.when(n == 6, impulse).alias("impulse_score"), F.when(n == 6, F.when(up, "up").otherwise("down")).alias("direction"),
+        F.when(n == 6, second).alias("wave2"), F.when(n == 6, fourth).alias("wave4"),
+        F.when(n == 6, sign * (at(2) - at(5)) <= 0).alias("overlap"), F.when(n >= 4, correction).alias("abc_score"),
+        F.when(n >= 4, F.when(up, "up").otherwise("down")).alias("abc_direction"),
     )
 
 
 def active_leg(line: DataFrame, bars: DataFrame) -> DataFrame:
     """The move since each symbol's last pivot, and the levels its price may react at, as (name, price) in ascending order."""
     w = Window.partitionBy("symbol").orderBy("ordinal")
-    last = line.withColumn("before", F.lag("price").over(w)).groupBy("symbol").agg(F.max_by(F.struct("idx", "typ", "price", "before"), "ordinal").alias("p")).select("symbol", "p.*")
+    last = line.withColumn("before", F.lag("price").over(w)).groupBy("symbol").agg(F.max_by(F.struct("idx", "typ", "price", "before"),
+        "ordinal").alias("p")).select("symbol", "p.*")
     out = last.join(latest_range(bars), "symbol")
     span = F.abs(F.col("price") - F.col("before"))
 
     def levels(names, sign, known):
-        parts = [F.struct(F.round(F.col("price") + sign * span * lit(x), 3).alias("price"), F.lit(f"{names}_{int(x * 1000)}").alias("name")) for x in (TURN_RATIOS if names == "fib" else (0.382, 0.5, 0.618))]
+        parts = [F.struct(F.round(F.col("price") + sign * span * lit(x), 3).alias("price"),
+            F.lit(f"{names}_{int(x * 1000)}").alias("name")) for x in (TURN_RATIOS if names == "fib" else (0.382, 0.5, 0.618))]
         return F.array_sort(F.array(*parts, F.struct(F.round("before", 3).alias("price"), F.lit(known).alias("name"))))
 
     told = F.when(F.col("typ") == "L", levels("retr", 1, "prior_high")).otherwise(levels("fib", -1, "prior_low"))
     return out.select(
-        "symbol", F.col("idx").alias("from_idx"), F.col("typ").alias("from_type"), F.round("price", 3).alias("from_price"), F.when(F.col("last_close") >= F.col("price"), "up").otherwise("down").alias("direction"),
+        "symbol", F.col("idx").alias("from_idx"), F.col("typ").alias("from_type"), F.round("price", 3).alias("from_price"),
+        F.when(F.col("last_close") >= F.col("price"), "up").otherwise("down").alias("direction"),
         F.round((F.col("last_close") / F.col("price") - lit(1)) * 100, 2).alias("change_pct"), F.when(span > 0, told).alias("levels"),
     )
 

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from candela.functions.series import by_symbol, lit, ratio
 
-ALIASES = {"m_neckline": "neckline_reclaim", "trend_pullback": "pullback_support", "box_breakout": "platform_breakout", "w_bottom": "double_bottom", "ma_rebound": "average_rebound"}
+ALIASES = {"m_neckline": "neckline_reclaim", "trend_pullback": "pullback_support", "box_breakout": "platform_breakout", "w_bottom": "double_bottom",
+    "ma_rebound": "average_rebound"}
 
 
 def stage(variant: str = "variant") -> Column:
     """Where in its life a signal is; any hold counts as a retest."""
     v = F.col(variant)
-    return F.when(v.contains("hold"), "retesting").when(v.contains("breakout"), "breakout").when(v.isin("right_bottom", "near_level", "soft_pullback"), "candidate").when(v == "fake_break", "reclaimed").otherwise("watching")
+    return F.when(v.contains("hold"), "retesting").when(v.contains("breakout"), "breakout").when(v.isin("right_bottom", "near_level", "soft_pullback"),
+        "candidate").when(v == "fake_break", "reclaimed").otherwise("watching")
 
 
 def enrich(signals: DataFrame, higher: DataFrame, sector_scores: DataFrame, daily_trend: DataFrame) -> DataFrame:
     """A hundred-point score of each signal: pattern, daily and higher trend, volume, sector, confluence, less penalties."""
-    joined = signals.join(higher.select("symbol", "higher_score"), "symbol", "left").join(sector_scores.select("symbol", "sector_score"), "symbol", "left").join(daily_trend.select("symbol", "daily_trend"), "symbol", "left")
+    joined = signals.join(higher.select("symbol", "higher_score"), "symbol", "left").join(sector_scores.select("symbol", "sector_score"), "symbol",
+        "left").join(daily_trend.select("symbol", "daily_trend"), "symbol", "left")
     pattern = F.least(lit(30), lit(30) * F.col("score"))
     daily = F.when(F.col("daily_trend") == "up", 20).when(F.col("daily_trend") == "range", 10).otherwise(3).cast("double")
     volume = F.greatest(lit(0), F.least(lit(15), lit(7.5) * F.coalesce("vol_ratio", lit(0))))
@@ -26,9 +29,11 @@ def enrich(signals: DataFrame, higher: DataFrame, sector_scores: DataFrame, dail
     confirmed = F.col("variant").isin("neckline_breakout", "box_breakout", "neckline_hold")
     penalty = F.when(F.col("daily_trend") == "down", 15).otherwise(0) + F.when(confirmed & (F.col("vol_ratio") < 1), 10).otherwise(0)
     total = pattern + daily + F.coalesce("higher_score", lit(7.5)) + volume + F.coalesce("sector_score", lit(0)) + meet - penalty
-    invalid = F.when(F.col("pattern") == "m_neckline", lit(0.98) * F.col("neckline_value")).when(F.col("pattern") == "w_bottom", lit(0.98) * F.col("neckline_value") / (lit(1) + F.col("potential_gain"))).otherwise(F.col("key_level_value"))
+    invalid = F.when(F.col("pattern") == "m_neckline", lit(0.98) * F.col("neckline_value")).when(F.col("pattern") == "w_bottom",
+        lit(0.98) * F.col("neckline_value") / (lit(1) + F.col("potential_gain"))).otherwise(F.col("key_level_value"))
     alias = F.coalesce(F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.lit(v))])[F.col("pattern")], F.col("pattern"))
-    return joined.select("*", F.greatest(lit(0), F.least(lit(100), total)).alias("total_score"), stage().alias("stage"), alias.alias("alias"), confirmed.alias("confirmed"), invalid.alias("invalid_level"))
+    return joined.select("*", F.greatest(lit(0), F.least(lit(100), total)).alias("total_score"), stage().alias("stage"), alias.alias("alias"),
+        confirmed.alias("confirmed"), invalid.alias("invalid_level"))
 
 
 def best_signal(signals: DataFrame) -> DataFrame:
@@ -44,44 +49,57 @@ def rising_candidates(signals: DataFrame, as_of, lookback: int, higher: DataFram
 
 def sector_scores(members: DataFrame, sector_change: DataFrame) -> DataFrame:
     """Two points for each rising sector of a symbol, ten at most."""
-    return members.join(sector_change.where("change > 0").select("sector_code"), "sector_code").groupBy("symbol").agg(F.least(lit(10), F.count(F.lit(1)) * lit(2)).alias("sector_score"))
+    return members.join(sector_change.where("change > 0").select("sector_code"),
+        "sector_code").groupBy("symbol").agg(F.least(lit(10), F.count(F.lit(1)) * lit(2)).alias("sector_score"))
 
 
 def alignment(frame: DataFrame) -> DataFrame:
     """Score and label of how a symbol's trend goes with its sector's; columns stock_trend, sector_trend, sector_type, net_pct, breadth."""
     a, b = F.col("stock_trend"), F.col("sector_trend")
     same, opposite = (a == b) & a.isin("up", "down"), ((a == "up") & (b == "down")) | ((a == "down") & (b == "up"))
-    score = F.when(same, lit(0.45)).when((a == "range") | (b == "range"), lit(0.15)).otherwise(lit(-0.25)) + F.when(F.col("sector_type") == "industry", lit(0.15)).otherwise(lit(0))
+    score = F.when(same, lit(0.45)).when((a == "range") | (b == "range"), lit(0.15)).otherwise(lit(-0.25)) + F.when(F.col("sector_type") == "industry",
+        lit(0.15)).otherwise(lit(0))
     score += F.when(F.col("net_pct").isNull(), lit(0)).otherwise(F.greatest(lit(-0.15), F.least(lit(0.15), F.col("net_pct") / lit(10))))
     score += F.when(F.col("breadth").isNull(), lit(0)).otherwise(F.greatest(lit(-0.2), F.least(lit(0.2), (F.col("breadth") - lit(50)) / lit(100))))
     out = frame.withColumn("alignment", F.round(F.greatest(lit(-1), F.least(lit(1), score)), 4))
-    return out.withColumn("label", F.when(same & (F.col("alignment") >= lit(0.35)), "aligned").when(opposite | (F.col("alignment") < 0), "conflicting").otherwise("mixed"))
+    return out.withColumn("label", F.when(same & (F.col("alignment") >= lit(0.35)), "aligned").when(opposite | (F.col("alignment") < 0),
+        "conflicting").otherwise("mixed"))
 
 
 def last_rows(frame: DataFrame) -> DataFrame:
     """The last row of each symbol with its returns over 5 and 20 bars in per cent."""
     w = by_symbol()
-    out = frame.select("*", *[((ratio(F.col("close"), F.lag("close", n).over(w)) - lit(1)) * lit(100)).alias(f"pct_{n}") for n in (5, 20)], F.row_number().over(w.orderBy(F.desc("date"))).alias("_rn"))
+    out = frame.select("*", *[((ratio(F.col("close"), F.lag("close", n).over(w)) - lit(1)) * lit(100)).alias(f"pct_{n}") for n in (5, 20)],
+        F.row_number().over(w.orderBy(F.desc("date"))).alias("_rn"))
     return out.where("_rn = 1").drop("_rn")
 
 
 def report(last: DataFrame) -> DataFrame:
     """Status labels of the indicators, arrangement, direction, risk, stop and reward of each symbol's last row."""
     r, j, k, d = F.col("RSI14"), F.col("KDJ_J"), F.col("KDJ_K"), F.col("KDJ_D")
-    rsi = F.when(r.isNull(), "unknown").when(r > 80, "extreme_overbought").when(r > 70, "overbought").when(r < 20, "extreme_oversold").when(r < 30, "oversold").when(r.between(40, 60), "neutral").when(r > 60, "strong").otherwise("weak")
-    kdj = F.when(j.isNull(), "unknown").when(j > 100, "overheated").when(j < 0, "exhausted").when((k > 80) & (d > 80), "overbought").when((k < 20) & (d < 20), "oversold").when(k > d, "rising").otherwise("falling")
+    rsi = F.when(r.isNull(), "unknown").when(r > 80, "extreme_overbought").when(r > 70, "overbought").when(r < 20, "extreme_oversold").when(r < 30,
+        "oversold").when(r.between(40, 60), "neutral").when(r > 60, "strong").otherwise("weak")
+    kdj = F.when(j.isNull(), "unknown").when(j > 100, "overheated").when(j < 0, "exhausted").when((k > 80) & (d > 80),
+        "overbought").when((k < 20) & (d < 20), "oversold").when(k > d, "rising").otherwise("falling")
     place = ratio(F.col("close") - F.col("BOLL_LOWER"), F.col("BOLL_UPPER") - F.col("BOLL_LOWER")) * lit(100)
-    boll = F.when(place.isNull(), "unknown").when(place > 90, "at_upper").when(place > 70, "upper_part").when(place < 10, "at_lower").when(place < 30, "lower_part").otherwise("middle")
-    arrangement = F.when((F.col("MA5") > F.col("MA10")) & (F.col("MA10") > F.col("MA20")) & (F.col("MA20") > F.col("MA60")), "bullish").when((F.col("MA5") < F.col("MA10")) & (F.col("MA10") < F.col("MA20")), "bearish").when(F.col("MA5") > F.col("MA20"), "leaning_up").otherwise("tangled")
-    direction = F.when(F.col("pct_5").isNull(), "unknown").when((F.col("pct_5") > 3) & (F.col("pct_20") > 0), "strong_rise").when((F.col("pct_5") < -3) & (F.col("pct_20") < 0), "steady_fall").when(F.col("pct_5") > 0, "recovering").when(F.col("pct_5") < 0, "pulling_back").otherwise("sideways")
+    boll = F.when(place.isNull(), "unknown").when(place > 90, "at_upper").when(place > 70, "upper_part").when(place < 10, "at_lower").when(place < 30,
+        "lower_part").otherwise("middle")
+    arrangement = F.when((F.col("MA5") > F.col("MA10")) & (F.col("MA10") > F.col("MA20")) & (F.col("MA20") > F.col("MA60")),
+        "bullish").when((F.col("MA5") < F.col("MA10")) & (F.col("MA10") < F.col("MA20")), "bearish").when(F.col("MA5") > F.col("MA20"), "leaning_up").otherwise("tangled")
+    direction = F.when(F.col("pct_5").isNull(), "unknown").when((F.col("pct_5") > 3) & (F.col("pct_20") > 0),
+        "strong_rise").when((F.col("pct_5") < -3) & (F.col("pct_20") < 0), "steady_fall").when(F.col("pct_5") > 0, "recovering").when(F.col("pct_5") < 0,
+        "pulling_back").otherwise("sideways")
     high_risk = F.coalesce(r > 80, F.lit(False)) | F.coalesce(j > 100, F.lit(False)) | F.coalesce(F.col("ATR_PCT") > lit(0.08), F.lit(False))
     medium = F.coalesce(r > 70, F.lit(False)) | F.coalesce(F.col("ATR_PCT") > lit(0.05), F.lit(False)) | F.coalesce(F.col("close") < F.col("MA60"), F.lit(False))
     levels = F.array(*[F.col(c) for c in ("MA20", "MA60", "MA100", "MA200", "BOLL_UPPER", "BOLL_LOWER")])
     support = F.array_max(F.filter(levels, lambda x: x < F.col("close")))
     resistance = F.array_min(F.filter(levels, lambda x: x >= F.col("close")))
-    out = last.select("symbol", "date", "close", rsi.alias("rsi_status"), kdj.alias("kdj_status"), boll.alias("boll_status"), arrangement.alias("arrangement"), direction.alias("direction"), F.when(high_risk, "high").when(medium, "medium").otherwise("low").alias("risk"), support.alias("support"), resistance.alias("resistance"), F.col("ATR14").alias("atr"))
+    out = last.select("symbol", "date", "close", rsi.alias("rsi_status"), kdj.alias("kdj_status"), boll.alias("boll_status"),
+        arrangement.alias("arrangement"), direction.alias("direction"), F.when(high_risk, "high").when(medium, "medium").otherwise("low").alias("risk"),
+        support.alias("support"), resistance.alias("resistance"), F.col("ATR14").alias("atr"))
     near = F.col("support") - F.col("atr")
-    stop = F.when(near.isNotNull(), F.when(near < F.col("close") * lit(0.85), F.col("close") * lit(0.93)).otherwise(near)).when(F.col("atr").isNotNull(), F.col("close") - lit(2) * F.col("atr")).otherwise(F.col("close") * lit(0.95))
+    stop = F.when(near.isNotNull(), F.when(near < F.col("close") * lit(0.85), F.col("close") * lit(0.93)).otherwise(near)).when(F.col("atr").isNotNull(),
+        F.col("close") - lit(2) * F.col("atr")).otherwise(F.col("close") * lit(0.95))
     out = out.withColumn("stop", stop).withColumn("reward_risk", ratio(F.col("resistance") - F.col("close"), F.col("close") - F.col("stop")))
     rr = F.col("reward_risk")
     return out.withColumn("advice", F.when(rr >= 3, "favourable").when(rr >= 2, "acceptable").when(rr > 0, "poor").otherwise("none"))
@@ -93,7 +111,8 @@ def sector_cohort(members: DataFrame, frame: DataFrame, least: int = 20, most: i
     ``frame``: bars with MA20; ``most`` members of a sector are looked at, in the order of their symbols.
     """
     w = by_symbol()
-    seen = frame.select("symbol", "date", "close", "MA20", F.lag("MA20", 5).over(w).alias("before"), F.count(F.lit(1)).over(w).alias("n"), F.row_number().over(w.orderBy(F.desc("date"))).alias("rn")).where("rn = 1").where(F.col("n") >= least)
+    seen = frame.select("symbol", "date", "close", "MA20", F.lag("MA20", 5).over(w).alias("before"), F.count(F.lit(1)).over(w).alias("n"),
+        F.row_number().over(w.orderBy(F.desc("date"))).alias("rn")).where("rn = 1").where(F.col("n") >= least)
     good = F.coalesce((F.col("close") > F.col("MA20")) & (F.col("MA20") > F.col("before")), F.lit(False))
     joined = members.select("sector_code", "symbol").join(seen.select("symbol", good.alias("good")), "symbol")
     chosen = joined.withColumn("position", F.row_number().over(Window.partitionBy("sector_code").orderBy("symbol"))).where(F.col("position") <= most)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 #: Condition name -> (column, whether it is a lower limit).
 CONDITIONS = {
     "min_price": ("latest_price", True), "max_price": ("latest_price", False), "min_change": ("change_rate", True), "max_change": ("change_rate", False),
-    "min_volume_ratio": ("volume_ratio", True), "max_volume_ratio": ("volume_ratio", False), "min_turnover": ("turnover_rate", True), "max_turnover": ("turnover_rate", False),
+    "min_volume_ratio": ("volume_ratio", True), "max_volume_ratio": ("volume_ratio", False), "min_turnover": ("turnover_rate", True),
+    "max_turnover": ("turnover_rate", False),
     "min_pe": ("pe_dynamic", True), "max_pe": ("pe_dynamic", False), "min_pb": ("pb", True), "max_pb": ("pb", False),
-    "min_market_cap": ("total_market_cap", True), "max_market_cap": ("total_market_cap", False), "min_float_cap": ("float_market_cap", True), "min_change_60d": ("change_60d", True),
+    "min_market_cap": ("total_market_cap", True), "max_market_cap": ("total_market_cap", False), "min_float_cap": ("float_market_cap", True),
+    "min_change_60d": ("change_60d", True),
     "min_change_ytd": ("change_ytd", True), "max_amplitude": ("amplitude", False),
 }
 SORTS = ("latest_price", "change_rate", "volume", "amount", "volume_ratio", "turnover_rate", "total_market_cap", "change_60d", "change_ytd", "amplitude")
@@ -49,7 +51,8 @@ def latest_ranks(ranks: DataFrame) -> DataFrame:
     return ranks.join(F.broadcast(last), "rank_date")
 
 
-def screen(spot: DataFrame, ranks: DataFrame, wanted: dict[str, float | None], sort: str = "change_rate", n: int = 20, members: DataFrame | None = None, name: str | None = None) -> DataFrame:
+def screen(spot: DataFrame, ranks: DataFrame, wanted: dict[str, float | None], sort: str = "change_rate", n: int = 20, members: DataFrame | None = None,
+    name: str | None = None) -> DataFrame:
     """Snapshot rows under all conditions, the members' and the name's included, with their latest rank, best first."""
     out = spot.where(conditions(wanted))
     if name:
@@ -93,7 +96,8 @@ def sector_overview(members: DataFrame, spot: DataFrame) -> DataFrame:
     """Members, gainers and losers of each sector; a member without change counts as neither, nor does a change of zero."""
     change = F.col("change_rate")
     joined = members.join(spot.select("symbol", "change_rate"), "symbol", "left")
-    return joined.groupBy("sector_code", "sector_name", "sector_type").agg(F.count(F.lit(1)).alias("member_count"), F.count_if(change > 0).alias("gainer_count"), F.count_if(change < 0).alias("loser_count"))
+    return joined.groupBy("sector_code", "sector_name", "sector_type").agg(F.count(F.lit(1)).alias("member_count"),
+        F.count_if(change > 0).alias("gainer_count"), F.count_if(change < 0).alias("loser_count"))
 
 
 def sector_members(members: DataFrame, spot: DataFrame, ranks: DataFrame, sort: str = "change_rate", n: int = 50) -> DataFrame:
@@ -110,9 +114,11 @@ def quick_signals(averaged: DataFrame, rsi: str = "WILDER_RSI", key: str = "symb
     five = w.rowsBetween(-5, -1)
     surge = F.when(F.count("volume").over(five) == 5, F.avg("volume").over(five))
     no = F.lit(False)
-    seen = averaged.select("*", *[F.lag(c).over(w).alias(f"_{c}") for c in ("MA5", "MA20")], surge.alias("_v5"), *[((F.col("close") / F.lag("close", n).over(w) - F.lit(1.0)) * 100).alias(f"pct_{n}") for n in (5, 20)])
+    seen = averaged.select("*", *[F.lag(c).over(w).alias(f"_{c}") for c in ("MA5", "MA20")], surge.alias("_v5"),
+        *[((F.col("close") / F.lag("close", n).over(w) - F.lit(1.0)) * 100).alias(f"pct_{n}") for n in (5, 20)])
     flags = {
-        "golden_cross": (F.col("MA5") > F.col("MA20")) & (F.col("_MA5") <= F.col("_MA20")), "aligned": (F.col("MA5") > F.col("MA10")) & (F.col("MA10") > F.col("MA20")) & (F.col("MA20") > F.col("MA60")),
+        "golden_cross": (F.col("MA5") > F.col("MA20")) & (F.col("_MA5") <= F.col("_MA20")),
+        "aligned": (F.col("MA5") > F.col("MA10")) & (F.col("MA10") > F.col("MA20")) & (F.col("MA20") > F.col("MA60")),
         "surge": (F.col("_v5") > 0) & (F.col("volume") > F.col("_v5") * 2), "oversold": F.col(rsi) < 30, "overbought": F.col(rsi) > 70,
     }
     return seen.select(key, "date", *[F.coalesce(c, no).alias(k) for k, c in flags.items()], "pct_5", "pct_20")

@@ -85,9 +85,11 @@ def shape_metrics(bars: DataFrame, window: int) -> DataFrame:
     w = by_symbol()
     inside = w.rowsBetween(-(window - 1), 0)
     held = bars.select("symbol", "date", "close", ((F.col("high") - F.col("low")) / F.col("close")).alias("span"))
-    held = held.select("symbol", "date", "close", F.count("close").over(inside).alias("n"), F.first("close").over(inside).alias("start"), F.avg("span").over(inside).alias("mean_range"), F.collect_list("close").over(inside).alias("c")).where(F.col("n") == window)
+    held = held.select("symbol", "date", "close", F.count("close").over(inside).alias("n"), F.first("close").over(inside).alias("start"),
+        F.avg("span").over(inside).alias("mean_range"), F.collect_list("close").over(inside).alias("c")).where(F.col("n") == window)
     start = F.struct(lit(0).alias("peak"), lit(0).alias("fall"))
-    fall = F.aggregate("c", start, lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["fall"], x / F.greatest(a["peak"], x) - lit(1)).alias("fall")), lambda a: a["fall"])
+    fall = F.aggregate("c", start, lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"),
+        F.least(a["fall"], x / F.greatest(a["peak"], x) - lit(1)).alias("fall")), lambda a: a["fall"])
     return held.select("symbol", "date", (F.col("close") / F.col("start") - lit(1)).alias("total_return"), fall.alias("max_drawdown"), "mean_range")
 
 
@@ -114,7 +116,8 @@ def coarse(bars: DataFrame, query: np.ndarray, window: int, top: int = 10, befor
                 kept.append(int(i))
                 if len(kept) == top:
                     break
-        return pd.DataFrame({"symbol": rows["symbol"].iloc[0], "start": np.array(kept, np.int32), "end_date": [rows["date"][k + window - 1] for k in kept], "score": score[kept]})
+        return pd.DataFrame({"symbol": rows["symbol"].iloc[0], "start": np.array(kept, np.int32), "end_date": [rows["date"][k + window - 1] for k in kept],
+            "score": score[kept]})
 
     return bars.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, "symbol long, start int, end_date date, score double")
 
@@ -124,7 +127,8 @@ def coarse_native(bars: DataFrame, query: list[float], window: int) -> DataFrame
     target = standardise(np.log(np.asarray(query, float))).tolist()
     logs = bars.select("symbol", "date", F.log("close").alias("x"))
     w = by_symbol().rowsBetween(-(window - 1), 0)
-    seen = logs.select("symbol", "date", F.collect_list("x").over(w).alias("v"), F.avg("x").over(w).alias("m"), F.stddev_pop("x").over(w).alias("s")).where(F.size("v") == window)
+    seen = logs.select("symbol", "date", F.collect_list("x").over(w).alias("v"), F.avg("x").over(w).alias("m"),
+        F.stddev_pop("x").over(w).alias("s")).where(F.size("v") == window)
     diff = F.zip_with("v", F.array(*map(lit, target)), lambda x, q: F.pow(F.coalesce(ratio(x - F.col("m"), F.col("s")), lit(0)) - q, lit(2)))
     return seen.select("symbol", "date", F.exp(-F.sqrt(F.aggregate(diff, lit(0), lambda a, x: a + x) / lit(window))).alias("score"))
 
@@ -161,7 +165,9 @@ def without_overlap(matches: DataFrame, window: int) -> DataFrame:
 def forward_stats(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Return, best gain and worst fall after each bar by horizon, where the bars are there."""
     w = by_symbol()
-    each = [F.struct(F.lit(h).alias("horizon"), (ratio(F.lead("close", h).over(w), F.col("close")) - lit(1)).alias("ret"), (ratio(F.max("high").over(w.rowsBetween(1, h)), F.col("close")) - lit(1)).alias("max_gain"), (ratio(F.min("low").over(w.rowsBetween(1, h)), F.col("close")) - lit(1)).alias("max_fall")) for h in horizons]
+    each = [F.struct(F.lit(h).alias("horizon"), (ratio(F.lead("close", h).over(w), F.col("close")) - lit(1)).alias("ret"),
+        (ratio(F.max("high").over(w.rowsBetween(1, h)), F.col("close")) - lit(1)).alias("max_gain"),
+        (ratio(F.min("low").over(w.rowsBetween(1, h)), F.col("close")) - lit(1)).alias("max_fall")) for h in horizons]
     named = bars.select("symbol", "date", *[s.alias(f"h{i}") for i, s in enumerate(each)])
     return named.select("symbol", "date", F.explode(F.array(*[f"h{i}" for i in range(len(each))])).alias("o")).select("symbol", "date", "o.*").where("ret is not null")
 
@@ -178,7 +184,9 @@ def probabilities(matched: DataFrame, threshold: float = 0.02, weight: str = "sc
         return F.round(F.sum(F.when(c, w).otherwise(lit(0))) / F.sum(w) * 100, 4)
 
     out = matched.groupBy("horizon").agg(
-        F.count(F.lit(1)).alias("n"), share(up).alias("up"), share(down).alias("down"), share(~(up | down)).alias("sideways"), weighted(up).alias("up_weighted"), weighted(down).alias("down_weighted"),
-        share(F.col("max_gain") >= 0.05).alias("reached_up"), share(F.col("max_fall") <= -0.05).alias("reached_down"), F.round(F.avg("ret"), 6).alias("avg_ret"), F.round(F.percentile("ret", 0.5), 6).alias("median_ret"),
+        F.count(F.lit(1)).alias("n"), share(up).alias("up"), share(down).alias("down"), share(~(up | down)).alias("sideways"),
+        weighted(up).alias("up_weighted"), weighted(down).alias("down_weighted"),
+        share(F.col("max_gain") >= 0.05).alias("reached_up"), share(F.col("max_fall") <= -0.05).alias("reached_down"),
+        F.round(F.avg("ret"), 6).alias("avg_ret"), F.round(F.percentile("ret", 0.5), 6).alias("median_ret"),
     )
     return out.withColumn("confidence", F.when(F.col("n") >= 50, "high").when(F.col("n") >= 20, "medium").otherwise("low"))

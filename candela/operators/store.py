@@ -35,7 +35,8 @@ def coverage(bars: DataFrame, ready: int = 260) -> DataFrame:
 def status(basics: DataFrame, covered: DataFrame, gate: float = 0.95) -> DataFrame:
     """One row: symbols known, covered and ready, latest date, and whether the market is covered as far as the gate asks."""
     joined = basics.select("symbol").join(covered, "symbol", "left")
-    out = joined.agg(F.countDistinct("symbol").alias("total"), F.countDistinct(F.when(F.col("row_count") > 0, F.col("symbol"))).alias("covered"), F.sum(F.when(F.col("status") == "ready", 1).otherwise(0)).alias("ready"), F.max("last_date").alias("latest"))
+    out = joined.agg(F.countDistinct("symbol").alias("total"), F.countDistinct(F.when(F.col("row_count") > 0, F.col("symbol"))).alias("covered"),
+        F.sum(F.when(F.col("status") == "ready", 1).otherwise(0)).alias("ready"), F.max("last_date").alias("latest"))
     return out.withColumn("ratio", F.col("ready") / F.col("total").cast("double")).withColumn("full_market_ready", F.col("ratio") >= gate)
 
 
@@ -84,8 +85,10 @@ def signal_rows(signals: DataFrame, version: str, universe: str = "stocks") -> D
     """Signals as they are stored: one row for each universe, symbol, date and pattern, lists and maps as JSON text."""
     has = lambda c, default: F.col(c) if c in signals.columns else default
     return signals.select(
-        F.lit(universe).alias("universe"), "symbol", F.col("date").alias("signal_date"), "pattern", has("stage", F.lit("candidate")).alias("stage"), "score", F.coalesce(has("confirmed", F.lit(False)), F.lit(False)).cast("int").alias("confirmed"),
-        F.coalesce(F.to_json(has("fib_levels", F.lit(None).cast("map<string,double>"))), F.lit("{}")).alias("fib_levels_json"), F.coalesce(F.to_json(has("evidence", F.lit(None).cast("array<string>"))), F.lit("[]")).alias("evidence_json"),
+        F.lit(universe).alias("universe"), "symbol", F.col("date").alias("signal_date"), "pattern", has("stage", F.lit("candidate")).alias("stage"),
+        "score", F.coalesce(has("confirmed", F.lit(False)), F.lit(False)).cast("int").alias("confirmed"),
+        F.coalesce(F.to_json(has("fib_levels", F.lit(None).cast("map<string,double>"))), F.lit("{}")).alias("fib_levels_json"),
+        F.coalesce(F.to_json(has("evidence", F.lit(None).cast("array<string>"))), F.lit("[]")).alias("evidence_json"),
         F.coalesce(F.to_json(has("factors", F.lit(None).cast("map<string,double>"))), F.lit("{}")).alias("factors_json"), F.lit(version).alias("engine_version"),
     ).dropDuplicates(["universe", "symbol", "signal_date", "pattern"])
 
@@ -114,4 +117,5 @@ def conform(frame: DataFrame, schema: str, defaults: dict[str, object] | None =
     from pyspark.sql.types import _parse_datatype_string
 
     fields, given = _parse_datatype_string(schema), defaults or {}
-    return frame.select(*[(F.coalesce(F.col(f.name), F.lit(given.get(f.name))) if f.name in frame.columns else F.lit(given.get(f.name))).cast(f.dataType).alias(f.name) for f in fields])
+    return frame.select(*[(F.coalesce(F.col(f.name),
+        F.lit(given.get(f.name))) if f.name in frame.columns else F.lit(given.get(f.name))).cast(f.dataType).alias(f.name) for f in fields])

@@ -17,7 +17,8 @@ from candela.operators.pivots import SCALES, Pivot, extend
 POINTS, LINES, SEPARATION, SPAN, EXTENSION = 48, 8, 3, 120, 120
 MONITOR = {"fine": 120, "medium": 250, "coarse": 750}
 SCHEMA = (
-    "symbol long, scale string, kind string, id string, role string, status string, start_idx int, end_idx int, start_price double, end_price double, slope double, lower double, upper double, "
+    "symbol long, scale string, kind string, id string, role string, status string, start_idx int, end_idx int, start_price double, end_price double, "
+    "slope double, lower double, upper double, "
     "confirm_idx int, broken_idx int, touches array<int>, level double, valid_until int, score double"
 )
 
@@ -66,7 +67,9 @@ def trend_lines(found: list[Pivot], high: np.ndarray, low: np.ndarray, atr: np.n
                 status, kind = "converted", "horizontal_level"
                 level = b.price if span > SPAN else a.price + slope * (until - a.idx)
             score = min(1.0, 0.45 + 0.15 * (len(touches) - 2) + min(0.25, span / 200))
-            lines.append({"kind": kind, "id": name(scale, role, a.idx, a.price, b.idx, b.price), "role": role, "status": status, "start_idx": a.idx, "end_idx": b.idx, "start_price": a.price, "end_price": b.price, "slope": slope, "confirm_idx": confirm, "broken_idx": broken, "touches": touches, "level": level, "valid_until": until, "score": round(score, 4)})
+            lines.append({"kind": kind, "id": name(scale, role, a.idx, a.price, b.idx, b.price), "role": role, "status": status, "start_idx": a.idx,
+                "end_idx": b.idx, "start_price": a.price, "end_price": b.price, "slope": slope, "confirm_idx": confirm, "broken_idx": broken,
+                "touches": touches, "level": level, "valid_until": until, "score": round(score, 4)})
         lines.sort(key=lambda x: (x["status"] != "confirmed", x["status"] == "broken", -x["score"], -x["end_idx"]))
         for kind in ("trendline", "horizontal_level"):
             out += [x for x in lines if x["kind"] == kind][:LINES]
@@ -98,7 +101,9 @@ def channels(lines: list[dict], found: list[Pivot], high: np.ndarray, low: np.nd
         gone = np.flatnonzero((low[bars] < lower + slope * bars - 0.6 * atr[bars]) | (high[bars] > upper + slope * bars + 0.6 * atr[bars]))
         broken = int(bars[gone[0]]) if len(gone) else None
         status = "broken" if broken is not None else "confirmed" if confirm is not None else "candidate"
-        out.append({"kind": "channel", "id": name("channel", line["id"], edge.idx), "role": "up" if slope > 0 else "down", "status": status, "start_idx": line["start_idx"], "end_idx": edge.idx, "slope": slope, "lower": lower, "upper": upper, "confirm_idx": confirm, "broken_idx": broken, "touches": sorted({*below, *above}), "score": round(min(1.0, 0.35 + 0.1 * (len(below) + len(above))), 4)})
+        out.append({"kind": "channel", "id": name("channel", line["id"], edge.idx), "role": "up" if slope > 0 else "down", "status": status,
+            "start_idx": line["start_idx"], "end_idx": edge.idx, "slope": slope, "lower": lower, "upper": upper, "confirm_idx": confirm,
+            "broken_idx": broken, "touches": sorted({*below, *above}), "score": round(min(1.0, 0.35 + 0.1 * (len(below) + len(above))), 4)})
     return out
 
 
@@ -128,7 +133,9 @@ def ranges(found: list[Pivot], close: np.ndarray, scale: str, tolerance: float =
             broken = finish + 1 + int(left[0]) if len(left) else None
             role = None if broken is None else "up" if close[broken] > upper else "down"
             start = min(hs[0], ls[0])
-            out.append({"kind": "range", "id": name("range", scale, lower, upper, start), "role": role, "status": "broken" if broken is not None else "confirmed", "start_idx": start, "end_idx": finish, "lower": round(lower, 6), "upper": round(upper, 6), "broken_idx": broken, "touches": sorted({*hs, *ls}), "score": round(min(1.0, 0.4 + 0.1 * (len(hs) + len(ls))), 4)})
+            out.append({"kind": "range", "id": name("range", scale, lower, upper, start), "role": role,
+                "status": "broken" if broken is not None else "confirmed", "start_idx": start, "end_idx": finish, "lower": round(lower, 6),
+                "upper": round(upper, 6), "broken_idx": broken, "touches": sorted({*hs, *ls}), "score": round(min(1.0, 0.4 + 0.1 * (len(hs) + len(ls))), 4)})
     return sorted(out, key=lambda x: (x["status"] == "broken", -x["score"], -x["end_idx"]))[:most]
 
 
@@ -159,7 +166,8 @@ def compact(structures: DataFrame, lines: int = 2, others: int = 3) -> DataFrame
     """The best few of each kind by scale and role."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("symbol", "scale", "kind", F.when(F.col("kind") == "trendline", F.col("role"))).orderBy((F.col("status") != "confirmed"), (F.col("status") == "broken"), F.desc("score"), F.desc("end_idx"), "id")
+    w = Window.partitionBy("symbol", "scale", "kind", F.when(F.col("kind") == "trendline", F.col("role"))).orderBy((F.col("status") != "confirmed"),
+        (F.col("status") == "broken"), F.desc("score"), F.desc("end_idx"), "id")
     ranked = structures.withColumn("position", F.row_number().over(w))
     return ranked.where(F.col("position") <= F.when(F.col("kind") == "trendline", lines).otherwise(others))
 
@@ -182,7 +190,8 @@ def timeframes(bars: DataFrame) -> DataFrame:
 
 def timeframe_heads(bars: DataFrame) -> DataFrame:
     """How many bars a symbol has in each timeframe, up to which day, and whether the last may be incomplete."""
-    return timeframes(bars).groupBy("timeframe", "symbol").agg(F.count(F.lit(1)).alias("bar_count"), F.max("source_date").alias("as_of_date"), F.max_by(F.col("date") > F.col("source_date"), "date").alias("incomplete"))
+    return timeframes(bars).groupBy("timeframe", "symbol").agg(F.count(F.lit(1)).alias("bar_count"), F.max("source_date").alias("as_of_date"),
+        F.max_by(F.col("date") > F.col("source_date"), "date").alias("incomplete"))
 
 
 def multi_timeframe(bars: DataFrame) -> DataFrame:
@@ -250,7 +259,8 @@ def cluster_levels(levels: list[tuple[float, float, float, str, str]], gap: floa
     out = []
     for z in zones:
         depend, families = {x[4] for x in z}, sorted({x[3] for x in z})
-        out.append({"lower": round(min(x[1] for x in z), 8), "upper": round(max(x[2] for x in z), 8), "levels": len(z), "dependencies": len(depend), "families": families, "score": round(min(1.0, 0.25 * len(depend) + 0.1 * len(families)), 4)})
+        out.append({"lower": round(min(x[1] for x in z), 8), "upper": round(max(x[2] for x in z), 8), "levels": len(z), "dependencies": len(depend),
+            "families": families, "score": round(min(1.0, 0.25 * len(depend) + 0.1 * len(families)), 4)})
     return out
 
 

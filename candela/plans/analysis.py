@@ -26,7 +26,8 @@ def _simple(spark, d):
 def _box(spark, d):
     """Raw box breakouts as signals."""
     found = detectors.box_breakout_raw(_simple(spark, d))
-    return found.select("symbol", "date", F.lit("box_breakout").alias("pattern"), F.when(F.col("vol_ratio") >= 2, "strong").otherwise("plain").alias("variant"), F.lit("box_high, volume").alias("hit_levels"), "score", *rounded(list(FACTORS), 9))
+    return found.select("symbol", "date", F.lit("box_breakout").alias("pattern"),
+        F.when(F.col("vol_ratio") >= 2, "strong").otherwise("plain").alias("variant"), F.lit("box_high, volume").alias("hit_levels"), "score", *rounded(list(FACTORS), 9))
 
 
 def _box_events(spark, d):
@@ -40,7 +41,8 @@ cte("box", ("fac",), f"""
   FROM (SELECT *, {_WIDTH} AS width, {_BREAK} AS breakout
         FROM (SELECT *, {full(40, 'max(close)', 'close', True)} AS box_high, {full(40, 'min(close)', 'close', True)} AS box_low, max(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS high120 FROM fac))
   WHERE is_yang AND break_close40 AND vol_ratio >= 1.5 AND close > high120 * 0.999::DOUBLE AND width <= 0.25::DOUBLE AND breakout >= 0.003::DOUBLE AND {score_range('width', 0.05, 0.12, 0.02, 0.25)} > 0""")
-_FWD = ", ".join(f"lead(close, {1 + n}) {W} / nullif(lead(open) {W}, 0) - 1 AS ret_{n}, CASE WHEN lead(close, {1 + n}) {W} IS NOT NULL THEN max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {1 + n} FOLLOWING) / nullif(lead(open) {W}, 0) - 1 END AS max_gain_{n}" for n in (5, 10, 20))
+_FWD = ", ".join(f"lead(close, {1 + n}) {W} / nullif(lead(open) {W}, 0) - 1 AS ret_{n}, CASE WHEN lead(close, {1 + n}) {W} IS NOT NULL THEN max(high) OVER "
+    f"(PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {1 + n} FOLLOWING) / nullif(lead(open) {W}, 0) - 1 END AS max_gain_{n}" for n in (5, 10, 20))
 cte("fwd", ("bars",), f"SELECT symbol, date, lead(open) {W} AS entry, {_FWD} FROM bars")
 cte("events_", ("box", "fwd"), "SELECT * FROM box JOIN fwd USING (symbol, date)")
 
@@ -74,7 +76,8 @@ _SCALED = ", ".join(_fold(swing, source, f"_{scale}") for scale, source, swing i
 
 @query(
     with_ctes(
-        " UNION ALL ".join(f"SELECT '{k}' AS scale, symbol, ordinal, date, idx, typ, round(price, 6) AS price, confirm FROM line_{k}" for k in ("fine", "medium", "coarse")), "pivots", "pivots3", "pivots10", recursive=_SCALED
+        " UNION ALL ".join(f"SELECT '{k}' AS scale, symbol, ordinal, date, idx, typ, round(price, 6) AS price, confirm FROM line_{k}" for k in ("fine",
+        "medium", "coarse")), "pivots", "pivots3", "pivots10", recursive=_SCALED
     )
 )
 def zigzag_multiscale(spark, d):
@@ -97,9 +100,11 @@ _MOVES = f"""{_fold(0.04)},
  last_ AS (SELECT symbol, arg_max(close, idx) AS last_close, arg_max(atr, idx) AS last_atr FROM bars_n GROUP BY symbol)"""
 
 
-@query(with_ctes("SELECT symbol, ordinal, start_idx, end_idx, confirm, bars, direction, round(pct, 6) AS pct, round(atr_move, 5) AS atr_move FROM moves_", "pivots", "bars_n", recursive=_MOVES))
+@query(with_ctes("SELECT symbol, ordinal, start_idx, end_idx, confirm, bars, direction, round(pct, 6) AS pct, round(atr_move, 5) AS atr_move FROM moves_",
+    "pivots", "bars_n", recursive=_MOVES))
 def legs(spark, d):
-    return _legs(spark, d).select("symbol", "ordinal", "start_idx", "end_idx", "confirm", "bars", "direction", F.round("pct", 6).alias("pct"), F.round("atr_move", 5).alias("atr_move"))
+    return _legs(spark, d).select("symbol", "ordinal", "start_idx", "end_idx", "confirm", "bars", "direction", F.round("pct", 6).alias("pct"),
+        F.round("atr_move", 5).alias("atr_move"))
 
 
 @query(with_ctes("SELECT symbol, start_idx, end_idx, position, round(pct, 6) AS pct, round(1 / position, 6) AS rank FROM anchors_", "pivots", "bars_n", recursive=_MOVES))
@@ -113,7 +118,8 @@ _REACH = "greatest(abs(last_atr) * 0.15::DOUBLE, 0.01::DOUBLE)"
 
 @query(
     with_ctes(
-        f"SELECT symbol, start_idx, end_idx, ratio, round({_ZONE}, 6) AS level, round({_ZONE} - {_REACH}, 6) AS lower, round({_ZONE} + {_REACH}, 6) AS upper FROM anchors_ JOIN last_ USING (symbol), (SELECT unnest([0.236, 0.382, 0.5, 0.618, 0.786, 1]::DOUBLE[]) AS ratio)",
+        f"SELECT symbol, start_idx, end_idx, ratio, round({_ZONE}, 6) AS level, round({_ZONE} - {_REACH}, 6) AS lower, round({_ZONE} + {_REACH}, 6) AS "
+        f"upper FROM anchors_ JOIN last_ USING (symbol), (SELECT unnest([0.236, 0.382, 0.5, 0.618, 0.786, 1]::DOUBLE[]) AS ratio)",
         "pivots", "bars_n", recursive=_MOVES,
     )
 )
@@ -123,8 +129,10 @@ def fib_zones(spark, d):
 
 @query(
     with_ctes(
-        "SELECT a.symbol, a.start_idx, a.end_idx, n.end_idx AS from_idx, ratio, round(n.end_price + ratio * a.move, 6) AS target, round((last_close - n.end_price) / a.move, 6) AS projection "
-        "FROM anchors_ a JOIN legs_ n ON n.symbol = a.symbol AND n.start_idx = a.end_idx JOIN last_ l ON l.symbol = a.symbol, (SELECT unnest([1, 1.272, 1.618, 2, 2.618]::DOUBLE[]) AS ratio)",
+        "SELECT a.symbol, a.start_idx, a.end_idx, n.end_idx AS from_idx, ratio, round(n.end_price + ratio * a.move, 6) AS target, round((last_close - "
+        "n.end_price) / a.move, 6) AS projection "
+        "FROM anchors_ a JOIN legs_ n ON n.symbol = a.symbol AND n.start_idx = a.end_idx JOIN last_ l ON l.symbol = a.symbol, (SELECT unnest([1, 1.272, "
+        "1.618, 2, 2.618]::DOUBLE[]) AS ratio)",
         "pivots", "bars_n", recursive=_MOVES,
     )
 )
@@ -139,13 +147,15 @@ _BACK = """SELECT a.symbol, a.start_idx, a.end_idx, a.direction, (a.end_price -
 
 @query(
     with_ctes(
-        "SELECT symbol, start_idx, end_idx, direction, round(retracement, 6) AS retracement, round(position, 6) AS position, round(deepest, 6) AS deepest, CASE WHEN retracement > 1 THEN 'over_retraced' WHEN deepest > 0 AND position > 1 THEN 'resumed' "
+        "SELECT symbol, start_idx, end_idx, direction, round(retracement, 6) AS retracement, round(position, 6) AS position, round(deepest, 6) AS deepest, "
+        "CASE WHEN retracement > 1 THEN 'over_retraced' WHEN deepest > 0 AND position > 1 THEN 'resumed' "
         f"WHEN deepest > 0 AND retracement <= 0 THEN 'retracement_confirming' WHEN deepest > 0 THEN 'retracing' ELSE 'impulse' END AS phase FROM ({_BACK})",
         "pivots", "bars_n", recursive=_MOVES,
     )
 )
 def retracement_phases(spark, d):
-    return pv.retracements(pv.anchors(_legs(spark, d)), src.bars(spark, d)).select("symbol", "start_idx", "end_idx", "direction", *rounded(["retracement", "position", "deepest"]), "phase")
+    return pv.retracements(pv.anchors(_legs(spark, d)), src.bars(spark, d)).select("symbol", "start_idx", "end_idx", "direction",
+        *rounded(["retracement", "position", "deepest"]), "phase")
 
 
 _TURNS = """turns_ AS (SELECT *, span / before AS ratio, list_extract(list_sort([{'d': abs(span / before - x), 'x': x} FOR x IN [0.236, 0.382, 0.5, 0.618, 0.786]::DOUBLE[]]), 1)['x'] AS nearest
@@ -155,7 +165,8 @@ _TURNS = """turns_ AS (SELECT *, span / before AS ratio, list_extract(list_sort(
 
 @query(
     with_ctes(
-        "SELECT kind, nearest, n, sum(n) OVER w AS turns, round(sum(total) OVER w / sum(n) OVER w, 3) AS mean_ratio, first(nearest) OVER (PARTITION BY kind ORDER BY n DESC, nearest) AS commonest "
+        "SELECT kind, nearest, n, sum(n) OVER w AS turns, round(sum(total) OVER w / sum(n) OVER w, 3) AS mean_ratio, first(nearest) OVER (PARTITION BY "
+        "kind ORDER BY n DESC, nearest) AS commonest "
         "FROM (SELECT kind, nearest, count(*) AS n, sum(ratio) AS total FROM turns_ GROUP BY ALL) WINDOW w AS (PARTITION BY kind)",
         "pivots", "bars_n", recursive=f"{_MOVES}, {_TURNS}",
     ).replace("sum(n) OVER w AS turns", "(sum(n) OVER w)::BIGINT AS turns")
@@ -175,10 +186,13 @@ _TRIPLES = """triples AS (SELECT *, CASE WHEN typ = 'L' THEN mid_price / least(l
 
 @query(
     with_ctes(
-        "SELECT t.symbol, CASE WHEN typ = 'L' THEN 'w_bottom' ELSE 'm_top' END AS pattern, t.left_idx, mid_idx, t.right_idx, round(mid_price, 6) AS neckline, round(deviation, 6) AS deviation, round(depth, 6) AS depth, "
+        "SELECT t.symbol, CASE WHEN typ = 'L' THEN 'w_bottom' ELSE 'm_top' END AS pattern, t.left_idx, mid_idx, t.right_idx, round(mid_price, 6) AS "
+        "neckline, round(deviation, 6) AS deviation, round(depth, 6) AS depth, "
         "round(0.65::DOUBLE * greatest(0, 1 - deviation / 0.10::DOUBLE) + 0.35::DOUBLE * least(1, depth / 0.20::DOUBLE), 6) AS score, "
-        "CASE WHEN e.failed THEN 'invalidated' WHEN e.event_idx IS NULL THEN CASE WHEN typ = 'L' THEN 'right_bottom_confirmed' ELSE 'right_top_confirmed' END WHEN typ = 'L' THEN 'neckline_breakout' ELSE 'neckline_breakdown' END AS status, event_idx "
-        "FROM triples t LEFT JOIN events2 e ON e.symbol = t.symbol AND e.left_idx = t.left_idx AND e.right_idx = t.right_idx WHERE deviation <= 0.10::DOUBLE AND depth >= 0.05::DOUBLE",
+        "CASE WHEN e.failed THEN 'invalidated' WHEN e.event_idx IS NULL THEN CASE WHEN typ = 'L' THEN 'right_bottom_confirmed' ELSE 'right_top_confirmed' "
+        "END WHEN typ = 'L' THEN 'neckline_breakout' ELSE 'neckline_breakdown' END AS status, event_idx "
+        "FROM triples t LEFT JOIN events2 e ON e.symbol = t.symbol AND e.left_idx = t.left_idx AND e.right_idx = t.right_idx WHERE deviation <= "
+        "0.10::DOUBLE AND depth >= 0.05::DOUBLE",
         "pivots", "bars_n", recursive=f"{_fold(0.04)}, {_TRIPLES}",
     )
 )
@@ -193,7 +207,8 @@ _SIX = """six AS (SELECT symbol, count(*) AS n, arg_min(typ, back) = 'H' AS up,
 _IMPULSE = " + ".join(
     f"coalesce({c}, false)::INT"
     for c in (
-        "sg * (p3 - p5) > 0 AND sg * (p1 - p3) > 0", "sg * (p4 - p6) > 0 AND sg * (p2 - p4) > 0", "l5 / nullif(l6, 0) BETWEEN 0.236::DOUBLE AND 0.786::DOUBLE", "l3 / nullif(l4, 0) BETWEEN 0.236::DOUBLE AND 0.618::DOUBLE", "l4 >= least(l6, l2)",
+        "sg * (p3 - p5) > 0 AND sg * (p1 - p3) > 0", "sg * (p4 - p6) > 0 AND sg * (p2 - p4) > 0",
+        "l5 / nullif(l6, 0) BETWEEN 0.236::DOUBLE AND 0.786::DOUBLE", "l3 / nullif(l4, 0) BETWEEN 0.236::DOUBLE AND 0.618::DOUBLE", "l4 >= least(l6, l2)",
     )
 )
 _CORRECTION = "coalesce(l3 / nullif(l4, 0) BETWEEN 0.382::DOUBLE AND 0.786::DOUBLE, false)::INT + coalesce(l2 / nullif(l4, 0) BETWEEN 0.618::DOUBLE AND 1.618::DOUBLE, false)::INT"
@@ -201,8 +216,10 @@ _CORRECTION = "coalesce(l3 / nullif(l4, 0) BETWEEN 0.382::DOUBLE AND 0.786::DOUB
 
 @query(
     with_ctes(
-        f"SELECT symbol, CASE WHEN n = 6 THEN ({_IMPULSE}) * 20 END AS impulse_score, CASE WHEN n = 6 THEN CASE WHEN up THEN 'up' ELSE 'down' END END AS direction, round(CASE WHEN n = 6 THEN l5 / nullif(l6, 0) END, 6) AS wave2, "
-        f"round(CASE WHEN n = 6 THEN l3 / nullif(l4, 0) END, 6) AS wave4, CASE WHEN n = 6 THEN sg * (p2 - p5) <= 0 END AS overlap, CASE WHEN n >= 4 THEN ({_CORRECTION}) * 50 END AS abc_score, CASE WHEN n >= 4 THEN CASE WHEN up THEN 'up' ELSE 'down' END END AS abc_direction FROM lengths",
+        f"SELECT symbol, CASE WHEN n = 6 THEN ({_IMPULSE}) * 20 END AS impulse_score, CASE WHEN n = 6 THEN CASE WHEN up THEN 'up' ELSE 'down' END END AS "
+        f"direction, round(CASE WHEN n = 6 THEN l5 / nullif(l6, 0) END, 6) AS wave2, "
+        f"round(CASE WHEN n = 6 THEN l3 / nullif(l4, 0) END, 6) AS wave4, CASE WHEN n = 6 THEN sg * (p2 - p5) <= 0 END AS overlap, CASE WHEN n >= 4 THEN "
+        f"({_CORRECTION}) * 50 END AS abc_score, CASE WHEN n >= 4 THEN CASE WHEN up THEN 'up' ELSE 'down' END END AS abc_direction FROM lengths",
         "pivots", recursive=f"{_fold(0.04)}, {_SIX}",
     )
 )
@@ -212,12 +229,18 @@ def wave_scores(spark, d):
 
 @query(
     with_ctes(
-        "SELECT symbol, p.idx AS from_idx, p.typ AS from_type, round(p.price, 3) AS from_price, CASE WHEN last_close >= p.price THEN 'up' ELSE 'down' END AS direction, round((last_close / p.price - 1) * 100, 2) AS change_pct, "
-        "CASE WHEN p.typ = 'L' THEN 'prior_high' ELSE 'prior_low' END AS level, round(p.before, 3) AS price FROM (SELECT symbol, arg_max(struct_pack(idx := idx, typ := typ, price := price, before := before), ordinal) AS p "
-        "FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ordinal) AS before FROM line) GROUP BY symbol) JOIN last_ USING (symbol) WHERE p.before IS NOT NULL "
-        "UNION ALL SELECT symbol, p.idx, p.typ, round(p.price, 3), CASE WHEN last_close >= p.price THEN 'up' ELSE 'down' END, round((last_close / p.price - 1) * 100, 2), CASE WHEN p.typ = 'L' THEN 'retr_' ELSE 'fib_' END || (x * 1000)::INT, "
-        "round(p.price + CASE WHEN p.typ = 'L' THEN 1 ELSE -1 END * abs(p.price - p.before) * x, 3) FROM (SELECT symbol, arg_max(struct_pack(idx := idx, typ := typ, price := price, before := before), ordinal) AS p "
-        "FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ordinal) AS before FROM line) GROUP BY symbol) JOIN last_ USING (symbol), (SELECT unnest([0.236, 0.382, 0.5, 0.618, 0.786]::DOUBLE[]) AS x) "
+        "SELECT symbol, p.idx AS from_idx, p.typ AS from_type, round(p.price, 3) AS from_price, CASE WHEN last_close >= p.price THEN 'up' ELSE 'down' END "
+        "AS direction, round((last_close / p.price - 1) * 100, 2) AS change_pct, "
+        "CASE WHEN p.typ = 'L' THEN 'prior_high' ELSE 'prior_low' END AS level, round(p.before, 3) AS price FROM (SELECT symbol, arg_max(struct_pack(idx "
+        ":= idx, typ := typ, price := price, before := before), ordinal) AS p "
+        "FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ordinal) AS before FROM line) GROUP BY symbol) JOIN last_ USING (symbol) WHERE "
+        "p.before IS NOT NULL "
+        "UNION ALL SELECT symbol, p.idx, p.typ, round(p.price, 3), CASE WHEN last_close >= p.price THEN 'up' ELSE 'down' END, round((last_close / p.price "
+        "- 1) * 100, 2), CASE WHEN p.typ = 'L' THEN 'retr_' ELSE 'fib_' END || (x * 1000)::INT, "
+        "round(p.price + CASE WHEN p.typ = 'L' THEN 1 ELSE -1 END * abs(p.price - p.before) * x, 3) FROM (SELECT symbol, arg_max(struct_pack(idx := idx, "
+        "typ := typ, price := price, before := before), ordinal) AS p "
+        "FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ordinal) AS before FROM line) GROUP BY symbol) JOIN last_ USING (symbol), (SELECT "
+        "unnest([0.236, 0.382, 0.5, 0.618, 0.786]::DOUBLE[]) AS x) "
         "WHERE p.before IS NOT NULL AND (p.typ = 'H' OR x IN (0.382::DOUBLE, 0.5::DOUBLE, 0.618::DOUBLE))",
         "pivots", "bars_n", recursive=_MOVES,
     )
@@ -255,13 +278,16 @@ def forward_returns(spark, d):
 _SUM = [f"{k}_{n}" for n in (5, 10, 20) for k in ("win", "avg", "median")]
 
 
-@query(with_ctes("SELECT pattern, variant, n, " + r(" ".join(_SUM)) + " FROM (SELECT pattern, variant, count(*) AS n, " + ", ".join(f"avg((ret_{n} > 0)::INT::DOUBLE) AS win_{n}, avg(ret_{n}) AS avg_{n}, median(ret_{n}) AS median_{n}" for n in (5, 10, 20)) + " FROM events_ GROUP BY ALL)", "events_"))
+@query(with_ctes("SELECT pattern, variant, n, " + r(" ".join(_SUM)) + " FROM (SELECT pattern, variant, count(*) AS "
+    "n, " + ", ".join(f"avg((ret_{n} > 0)::INT::DOUBLE) AS win_{n}, avg(ret_{n}) AS avg_{n}, median(ret_{n}) AS median_{n}" for n in (5, 10,
+    20)) + " FROM events_ GROUP BY ALL)", "events_"))
 def event_summary(spark, d):
     return backtest.event_summary(_box_events(spark, d)).select("pattern", "variant", "n", *rounded(_SUM))
 
 
 _OVER = "win_5 win_10 win_20 avg_10 median_10 profit_loss avg_max_gain_10"
-_OVER_SQL = "count(*) AS n, " + ", ".join(f"avg((ret_{n} > 0)::INT::DOUBLE) AS win_{n}" for n in (5, 10, 20)) + ", avg(ret_10) AS avg_10, median(ret_10) AS median_10, CASE WHEN count(*) FILTER (ret_10 > 0) >= 2 AND count(*) FILTER (ret_10 <= 0) >= 2 THEN avg(ret_10) FILTER (ret_10 > 0) / nullif(abs(avg(ret_10) FILTER (ret_10 <= 0)), 0) END AS profit_loss, avg(max_gain_10) AS avg_max_gain_10"
+_OVER_SQL = "count(*) AS n, " + ", ".join(f"avg((ret_{n} > 0)::INT::DOUBLE) AS win_{n}" for n in (5, 10,
+    20)) + ", avg(ret_10) AS avg_10, median(ret_10) AS median_10, CASE WHEN count(*) FILTER (ret_10 > 0) >= 2 AND count(*) FILTER (ret_10 <= 0) >= 2 THEN avg(ret_10) FILTER (ret_10 > 0) / nullif(abs(avg(ret_10) FILTER (ret_10 <= 0)), 0) END AS profit_loss, avg(max_gain_10) AS avg_max_gain_10"
 
 
 @query(with_ctes(f"SELECT pattern, variant, n, {r(_OVER)} FROM (SELECT pattern, variant, {_OVER_SQL} FROM events_ GROUP BY ALL)", "events_"))
@@ -269,12 +295,14 @@ def report_overall(spark, d):
     return backtest.overall_report(_box_events(spark, d)).select("pattern", "variant", "n", *rounded(_OVER.split()))
 
 
-@query(with_ctes(f"SELECT pattern, level, n, {r(_OVER)} FROM (SELECT pattern, level, {_OVER_SQL} FROM (SELECT *, trim(unnest(string_split(hit_levels, ','))) AS level FROM events_) GROUP BY ALL HAVING count(*) >= 30)", "events_"))
+@query(with_ctes(f"SELECT pattern, level, n, {r(_OVER)} FROM (SELECT pattern, level, {_OVER_SQL} FROM (SELECT *, trim(unnest(string_split(hit_levels, "
+    f"','))) AS level FROM events_) GROUP BY ALL HAVING count(*) >= 30)", "events_"))
 def report_levels(spark, d):
     return backtest.level_report(_box_events(spark, d)).select("pattern", "level", "n", *rounded(_OVER.split()))
 
 
-@query(with_ctes("SELECT pattern, year(date) AS year, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM events_ WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_"))
+@query(with_ctes("SELECT pattern, year(date) AS year, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM events_ WHERE ret_10 IS NOT "
+    "NULL GROUP BY ALL", "events_"))
 def report_yearly(spark, d):
     return backtest.yearly_report(_box_events(spark, d)).withColumn("win_10", F.round("win_10", 6))
 
@@ -283,43 +311,63 @@ _LONG = "SELECT pattern, date, ret_10, factor, x FROM (UNPIVOT (SELECT pattern,
 _QLONG = f"long AS ({_LONG}), edges AS (SELECT pattern, factor, quantile_cont(x, [0, 0.25, 0.5, 0.75, 1]::DOUBLE[]) AS e FROM long GROUP BY ALL HAVING count(x) >= 100 AND count(DISTINCT x) >= 4), bins AS (SELECT pattern, factor, date, ret_10, x, greatest(len(list_filter(list_distinct(e), lambda v: v < x)), 1)::INT AS bin FROM long JOIN edges USING (pattern, factor))"
 
 
-@query(with_ctes("SELECT pattern, factor, bin, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10, round(avg(ret_10), 6) AS avg_10 FROM bins GROUP BY ALL", "events_", recursive=_QLONG))
+@query(with_ctes("SELECT pattern, factor, bin, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10, round(avg(ret_10), 6) AS avg_10 FROM "
+    "bins GROUP BY ALL", "events_", recursive=_QLONG))
 def report_factors_qcut(spark, d):
-    return backtest.quartile_report(_box_events(spark, d), FACTORS).select("pattern", "factor", "bin", "n", F.round("win_10", 6).alias("win_10"), F.round("avg_10", 6).alias("avg_10"))
+    return backtest.quartile_report(_box_events(spark, d), FACTORS).select("pattern", "factor", "bin", "n", F.round("win_10", 6).alias("win_10"),
+        F.round("avg_10", 6).alias("avg_10"))
 
 
-@query(with_ctes("SELECT pattern, factor, bin, count(*) FILTER (date < DATE '1999-01-01') AS n_train, count(*) FILTER (date >= DATE '1999-01-01') AS n_test, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date < DATE '1999-01-01'), 6) AS train, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date >= DATE '1999-01-01'), 6) AS test FROM bins WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_", recursive=_QLONG).replace("SELECT pattern, factor, bin, count(*) FILTER", "SELECT *, round(abs(test - train), 5) AS gap, abs(test - train) <= 0.10::DOUBLE AND test > 0.5::DOUBLE AS candidate FROM (SELECT pattern, factor, bin, count(*) FILTER") + ") WHERE n_train >= 10 AND n_test >= 5")
+@query(with_ctes("SELECT pattern, factor, bin, count(*) FILTER (date < DATE '1999-01-01') AS n_train, count(*) FILTER (date >= DATE '1999-01-01') AS "
+    "n_test, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date < DATE '1999-01-01'), 6) AS train, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date >= "
+    "DATE '1999-01-01'), 6) AS test FROM bins WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_",
+    recursive=_QLONG).replace("SELECT pattern, factor, bin, count(*) FILTER",
+    "SELECT *, round(abs(test - train), 5) AS gap, abs(test - train) <= 0.10::DOUBLE AND test > 0.5::DOUBLE AS candidate FROM (SELECT pattern, factor, "
+    "bin, count(*) FILTER") + ") WHERE n_train >= 10 AND n_test >= 5")
 def commonality(spark, d):
     out = backtest.commonality(_box_events(spark, d), FACTORS, "1999-01-01", least=(10, 5))
     return out.select("pattern", "factor", "bin", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("train", "test")], F.round("gap", 5).alias("gap"), "candidate")
 
 
-@query(with_ctes("SELECT CASE WHEN x < 0.2 THEN '<0.2' WHEN x < 0.5 THEN '0.2-0.5' WHEN x < 0.8 THEN '0.5-0.8' ELSE '>=0.8' END AS bin, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM (SELECT boll_pos AS x, ret_10 FROM fac JOIN fwd USING (symbol, date) WHERE boll_pos IS NOT NULL AND ret_10 IS NOT NULL) GROUP BY 1 HAVING count(*) > 10".replace("0.2 ", "0.2::DOUBLE ").replace("0.5 ", "0.5::DOUBLE ").replace("0.8 ", "0.8::DOUBLE "), "fac", "fwd"))
+@query(with_ctes("SELECT CASE WHEN x < 0.2 THEN '<0.2' WHEN x < 0.5 THEN '0.2-0.5' WHEN x < 0.8 THEN '0.5-0.8' ELSE '>=0.8' END AS bin, count(*) AS n, "
+    "round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM (SELECT boll_pos AS x, ret_10 FROM fac JOIN fwd USING (symbol, date) WHERE boll_pos IS NOT "
+    "NULL AND ret_10 IS NOT NULL) GROUP BY 1 HAVING count(*) > 10".replace("0.2 ", "0.2::DOUBLE ").replace("0.5 ", "0.5::DOUBLE ").replace("0.8 ",
+    "0.8::DOUBLE "), "fac", "fwd"))
 def fixed_bins(spark, d):
     x = F.col("boll_pos")
     label = F.when(x < lit(0.2), "<0.2").when(x < lit(0.5), "0.2-0.5").when(x < lit(0.8), "0.5-0.8").otherwise(">=0.8")
-    joined = _simple(spark, d).select("symbol", "date", "boll_pos").join(backtest.forward(src.bars(spark, d)), ["symbol", "date"]).where("boll_pos is not null and ret_10 is not null")
+    joined = _simple(spark, d).select("symbol", "date", "boll_pos").join(backtest.forward(src.bars(spark, d)),
+        ["symbol", "date"]).where("boll_pos is not null and ret_10 is not null")
     return joined.groupBy(label.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ret_10") > 0).cast("double")), 6).alias("win_10")).where("n > 10")
 
 
-@query(with_ctes("SELECT ma_bull + (vol_ratio > 1)::INT + (BIAS60 > 0)::INT + (boll_pos > 0.5)::INT + (up_days_ratio_20 >= 0.5)::INT AS good, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM fac JOIN fwd USING (symbol, date) WHERE BIAS60 IS NOT NULL AND boll_pos IS NOT NULL AND ret_10 IS NOT NULL GROUP BY 1", "fac", "fwd"))
+@query(with_ctes("SELECT ma_bull + (vol_ratio > 1)::INT + (BIAS60 > 0)::INT + (boll_pos > 0.5)::INT + (up_days_ratio_20 >= 0.5)::INT AS good, count(*) AS "
+    "n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM fac JOIN fwd USING (symbol, date) WHERE BIAS60 IS NOT NULL AND boll_pos IS NOT NULL AND "
+    "ret_10 IS NOT NULL GROUP BY 1", "fac", "fwd"))
 def factor_count(spark, d):
     """Win rate by how many of five factors are favourable."""
-    frame = _simple(spark, d).join(backtest.forward(src.bars(spark, d)).select("symbol", "date", "ret_10"), ["symbol", "date"]).where("BIAS60 is not null and boll_pos is not null and ret_10 is not null")
+    frame = _simple(spark, d).join(backtest.forward(src.bars(spark, d)).select("symbol", "date", "ret_10"),
+        ["symbol", "date"]).where("BIAS60 is not null and boll_pos is not null and ret_10 is not null")
     good = sum((F.expr(c).cast("int") for c in ("vol_ratio > 1", "BIAS60 > 0", "boll_pos > 0.5", "up_days_ratio_20 >= 0.5")), F.col("ma_bull"))
     return frame.groupBy(good.alias("good")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ret_10") > 0).cast("double")), 6).alias("win_10"))
 
 
-@query(with_ctes("SELECT sector_code, pattern, count(*) AS n, count(DISTINCT symbol) AS symbols, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM events_ JOIN members USING (symbol) WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_", "members"))
+@query(with_ctes("SELECT sector_code, pattern, count(*) AS n, count(DISTINCT symbol) AS symbols, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM "
+    "events_ JOIN members USING (symbol) WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_", "members"))
 def sector_pattern(spark, d):
     joined = _box_events(spark, d).where("ret_10 is not null").join(src.members(spark, d).select("symbol", "sector_code"), "symbol")
-    return joined.groupBy("sector_code", "pattern").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("symbol").alias("symbols"), F.round(F.avg((F.col("ret_10") > 0).cast("double")), 6).alias("win_10"))
+    return joined.groupBy("sector_code", "pattern").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("symbol").alias("symbols"),
+        F.round(F.avg((F.col("ret_10") > 0).cast("double")), 6).alias("win_10"))
 
 
-@query(with_ctes("SELECT ret_10 > 0 AS won, factor, count(x) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_samp(x), 6) AS std, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75, round(min(x), 6) AS low, round(max(x), 6) AS high FROM long WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_", recursive=f"long AS ({_LONG})"))
+@query(with_ctes("SELECT ret_10 > 0 AS won, factor, count(x) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_samp(x), 6) AS "
+    "std, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75, round(min(x), 6) AS low, round(max(x), 6) AS high FROM long "
+    "WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_", recursive=f"long AS ({_LONG})"))
 def winners_losers(spark, d):
-    long = _box_events(spark, d).where("ret_10 is not null").select((F.col("ret_10") > 0).alias("won"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in FACTORS])).alias("f")).select("won", "f.*").where("x is not null")
-    each = {"mean": F.avg("x"), "median": F.percentile("x", 0.5), "std": F.stddev_samp("x"), "p25": F.percentile("x", 0.25), "p75": F.percentile("x", 0.75), "low": F.min("x"), "high": F.max("x")}
+    long = _box_events(spark, d).where("ret_10 is not null").select((F.col("ret_10") > 0).alias("won"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in FACTORS])).alias("f")).select("won", "f.*").where("x is not null")
+    each = {"mean": F.avg("x"), "median": F.percentile("x", 0.5), "std": F.stddev_samp("x"), "p25": F.percentile("x", 0.25),
+        "p75": F.percentile("x", 0.75), "low": F.min("x"), "high": F.max("x")}
     return long.groupBy("won", "factor").agg(F.count("x").alias("n"), *[F.round(c, 6).alias(k) for k, c in each.items()])
 
 
@@ -350,7 +398,8 @@ def portfolio(spark, d):
     return backtest.portfolio(backtest.admit(_trades(spark, d)))
 
 
-@query(with_ctes("SELECT factor, unnest(list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]))) AS cut FROM long GROUP BY factor".replace("SELECT factor, unnest", "SELECT factor, round(cut, 6) AS cut FROM (SELECT factor, unnest") + ")", "events_", recursive=f"long AS ({_LONG})"))
+@query(with_ctes("SELECT factor, unnest(list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]))) AS cut FROM long GROUP "
+    "BY factor".replace("SELECT factor, unnest", "SELECT factor, round(cut, 6) AS cut FROM (SELECT factor, unnest") + ")", "events_", recursive=f"long AS ({_LONG})"))
 def decile_rules(spark, d):
     rules = optimize.decile_rules(_box_events(spark, d), FACTORS)
     return spark.createDataFrame([(x.field, float(x.value)) for x in rules if x.op == "<="], "factor string, cut double").select("factor", F.round("cut", 6).alias("cut"))
@@ -360,7 +409,8 @@ def decile_rules(spark, d):
 def beam_search(spark, d):
     events = _box_events(spark, d).where("ret_10 is not null")
     found = optimize.beam_search(events, optimize.decile_rules(events, FACTORS), least=50)
-    return spark.createDataFrame([(" and ".join(f"{x.field} {x.op} {x.value:.4f}" for x in rules), int(n), float(w)) for rules, n, w in found], "rules string, n long, win double")
+    return spark.createDataFrame([(" and ".join(f"{x.field} {x.op} {x.value:.4f}" for x in rules), int(n), float(w)) for rules, n, w in found],
+        "rules string, n long, win double")
 
 
 @query()
@@ -385,7 +435,9 @@ def confluence(spark, d):
     zones = pv.fib_zones(pv.anchors(_legs(spark, d)), src.bars(spark, d))
     zones = zones.select("symbol", F.col("level").alias("center"), "lower", "upper", F.lit("fibonacci").alias("family"), F.col("leg_id").alias("dependency"))
     last = screens.latest(ta.moving_averages(src.bars(spark, d)))
-    averages = last.select("symbol", F.explode(F.array(*[F.struct(F.lit(f"MA{n}").alias("dependency"), F.col(f"MA{n}").alias("center")) for n in (20, 60, 120, 250)])).alias("m")).select("symbol", "m.center", F.col("m.center").alias("lower"), F.col("m.center").alias("upper"), F.lit("average").alias("family"), "m.dependency").where("center is not null")
+    averages = last.select("symbol", F.explode(F.array(*[F.struct(F.lit(f"MA{n}").alias("dependency"), F.col(f"MA{n}").alias("center")) for n in (20, 60,
+        120, 250)])).alias("m")).select("symbol", "m.center", F.col("m.center").alias("lower"), F.col("m.center").alias("upper"),
+        F.lit("average").alias("family"), "m.dependency").where("center is not null")
     return structure.confluence(zones.unionByName(averages))
 
 
@@ -393,7 +445,10 @@ _QUERY = [100 * float(np.exp(0.004 * i + 0.03 * np.sin(i / 3))) for i in range(3
 _SHAPE = similarity.standardise(np.log(np.array(_QUERY))).tolist()
 
 
-@query(with_ctes(f"SELECT symbol, date, round(exp(-sqrt(list_sum([pow(coalesce((v[i] - m) / nullif(s, 0), 0) - q[i], 2) FOR i IN range(1, 31)]) / 30)), 5) AS score FROM (SELECT symbol, date, list(ln(close)) OVER w AS v, avg(ln(close)) OVER w AS m, stddev_pop(ln(close)) OVER w AS s, {_SHAPE}::DOUBLE[] AS q FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 29 PRECEDING)) WHERE len(v) = 30".replace("FOR i IN range(1, 31)", "FOR i IN range(1, 31)"), "bars"))
+@query(with_ctes(f"SELECT symbol, date, round(exp(-sqrt(list_sum([pow(coalesce((v[i] - m) / nullif(s, 0), 0) - q[i], 2) FOR i IN range(1, 31)]) / 30)), 5) "
+    f"AS score FROM (SELECT symbol, date, list(ln(close)) OVER w AS v, avg(ln(close)) OVER w AS m, stddev_pop(ln(close)) OVER w AS s, {_SHAPE}::DOUBLE[] "
+    f"AS q FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 29 PRECEDING)) WHERE len(v) = 30".replace("FOR i IN range(1, 31)",
+    "FOR i IN range(1, 31)"), "bars"))
 def similarity_coarse(spark, d):
     return similarity.coarse_native(src.bars(spark, d), _QUERY, 30).withColumn("score", F.round("score", 5))
 
@@ -423,8 +478,10 @@ def outcome_probs(spark, d):
 
 @query(
     with_ctes(
-        "SELECT symbol, date, round(close / first_close - 1, 6) AS total_return, round(list_min([v[i] / list_max(v[1:i]) - 1 FOR i IN range(1, 31)]), 6) AS max_drawdown, round(spans, 6) AS mean_range "
-        "FROM (SELECT symbol, date, close, first(close) OVER w AS first_close, list(close) OVER w AS v, avg((high - low) / close) OVER w AS spans FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 29 PRECEDING)) WHERE len(v) = 30",
+        "SELECT symbol, date, round(close / first_close - 1, 6) AS total_return, round(list_min([v[i] / list_max(v[1:i]) - 1 FOR i IN range(1, 31)]), 6) "
+        "AS max_drawdown, round(spans, 6) AS mean_range "
+        "FROM (SELECT symbol, date, close, first(close) OVER w AS first_close, list(close) OVER w AS v, avg((high - low) / close) OVER w AS spans FROM "
+        "bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 29 PRECEDING)) WHERE len(v) = 30",
         "bars",
     )
 )
@@ -432,14 +489,17 @@ def shape_metrics(spark, d):
     return similarity.shape_metrics(src.bars(spark, d), 30).select("symbol", "date", *rounded(["total_return", "max_drawdown", "mean_range"]))
 
 
-@query(with_ctes(f"SELECT symbol, date, h AS horizon, round(CASE h WHEN 5 THEN c5 WHEN 10 THEN c10 ELSE c20 END / close - 1, 6) AS ret FROM (SELECT symbol, date, close, lead(close, 5) {W} AS c5, lead(close, 10) {W} AS c10, lead(close, 20) {W} AS c20 FROM bars), (SELECT unnest([5, 10, 20]) AS h) WHERE CASE h WHEN 5 THEN c5 WHEN 10 THEN c10 ELSE c20 END IS NOT NULL", "bars"))
+@query(with_ctes(f"SELECT symbol, date, h AS horizon, round(CASE h WHEN 5 THEN c5 WHEN 10 THEN c10 ELSE c20 END / close - 1, 6) AS ret FROM (SELECT "
+    f"symbol, date, close, lead(close, 5) {W} AS c5, lead(close, 10) {W} AS c10, lead(close, 20) {W} AS c20 FROM bars), (SELECT unnest([5, 10, 20]) AS h) "
+    f"WHERE CASE h WHEN 5 THEN c5 WHEN 10 THEN c10 ELSE c20 END IS NOT NULL", "bars"))
 def forward_stats(spark, d):
     return similarity.forward_stats(src.bars(spark, d)).select("symbol", "date", "horizon", F.round("ret", 6).alias("ret"))
 
 
 def _daily_trend(spark, d):
     last = screens.latest(ta.moving_averages(src.bars(spark, d)))
-    return last.select("symbol", F.when(F.col("close") > F.col("MA20") * lit(1.01), "up").when(F.col("close") < F.col("MA20") * lit(0.99), "down").otherwise("range").alias("daily_trend"))
+    return last.select("symbol", F.when(F.col("close") > F.col("MA20") * lit(1.01), "up").when(F.col("close") < F.col("MA20") * lit(0.99),
+        "down").otherwise("range").alias("daily_trend"))
 
 
 def _sector_change(spark, d):
@@ -451,10 +511,12 @@ def rising_candidates(spark, d):
     frame = src.bars(spark, d)
     higher = resample.higher_score(resample.period_summary(resample.weekly(frame)), resample.period_summary(resample.monthly(frame)))
     as_of = frame.agg(F.max("date")).first()[0]
-    return research.rising_candidates(_signals(spark, d), as_of, 60, higher, research.sector_scores(src.members(spark, d), _sector_change(spark, d)), _daily_trend(spark, d))
+    return research.rising_candidates(_signals(spark, d), as_of, 60, higher, research.sector_scores(src.members(spark, d), _sector_change(spark, d)),
+        _daily_trend(spark, d))
 
 
-@query(with_ctes("SELECT symbol, least(10, 2 * count(*))::DOUBLE AS sector_score FROM members JOIN (SELECT sector_code, avg(change_rate) AS change FROM members JOIN spot USING (symbol) GROUP BY ALL) USING (sector_code) WHERE change > 0 GROUP BY symbol", "members", "spot"))
+@query(with_ctes("SELECT symbol, least(10, 2 * count(*))::DOUBLE AS sector_score FROM members JOIN (SELECT sector_code, avg(change_rate) AS change FROM "
+    "members JOIN spot USING (symbol) GROUP BY ALL) USING (sector_code) WHERE change > 0 GROUP BY symbol", "members", "spot"))
 def sector_scores(spark, d):
     return research.sector_scores(src.members(spark, d), _sector_change(spark, d))
 
@@ -462,19 +524,31 @@ def sector_scores(spark, d):
 _ALIGN = "round(greatest(-1, least(1, CASE WHEN st = se AND st IN ('up', 'down') THEN 0.45::DOUBLE WHEN st = 'range' OR se = 'range' THEN 0.15::DOUBLE ELSE -0.25::DOUBLE END + CASE WHEN sector_type = 'industry' THEN 0.15::DOUBLE ELSE 0 END + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, (breadth - 50) / 100)))), 4)"
 
 
-@query(with_ctes(f"SELECT symbol, sector_code, alignment, CASE WHEN st = se AND st IN ('up', 'down') AND alignment >= 0.35::DOUBLE THEN 'aligned' WHEN (st = 'up' AND se = 'down') OR (st = 'down' AND se = 'up') OR alignment < 0 THEN 'conflicting' ELSE 'mixed' END AS label FROM (SELECT *, {_ALIGN} AS alignment FROM (SELECT m.*, CASE WHEN s.change_rate > 0 THEN 'up' WHEN s.change_rate < 0 THEN 'down' ELSE 'range' END AS st, CASE WHEN x.change > 0 THEN 'up' WHEN x.change < 0 THEN 'down' ELSE 'range' END AS se, x.breadth FROM members m JOIN spot s USING (symbol) JOIN (SELECT sector_code, avg(change_rate) AS change, avg((change_rate > 0)::INT::DOUBLE) * 100 AS breadth FROM members JOIN spot USING (symbol) GROUP BY ALL) x USING (sector_code)))", "members", "spot"))
+@query(with_ctes(f"SELECT symbol, sector_code, alignment, CASE WHEN st = se AND st IN ('up', 'down') AND alignment >= 0.35::DOUBLE THEN 'aligned' WHEN (st "
+    f"= 'up' AND se = 'down') OR (st = 'down' AND se = 'up') OR alignment < 0 THEN 'conflicting' ELSE 'mixed' END AS label FROM (SELECT *, {_ALIGN} AS "
+    f"alignment FROM (SELECT m.*, CASE WHEN s.change_rate > 0 THEN 'up' WHEN s.change_rate < 0 THEN 'down' ELSE 'range' END AS st, CASE WHEN x.change > 0 "
+    f"THEN 'up' WHEN x.change < 0 THEN 'down' ELSE 'range' END AS se, x.breadth FROM members m JOIN spot s USING (symbol) JOIN (SELECT sector_code, "
+    f"avg(change_rate) AS change, avg((change_rate > 0)::INT::DOUBLE) * 100 AS breadth FROM members JOIN spot USING (symbol) GROUP BY ALL) x USING "
+    f"(sector_code)))", "members", "spot"))
 def sector_alignment(spark, d):
     spot, member = src.spot(spark, d).select("symbol", "change_rate"), src.members(spark, d)
-    sector = member.join(spot, "symbol").groupBy("sector_code").agg(F.avg("change_rate").alias("change"), (F.avg((F.col("change_rate") > 0).cast("double")) * 100).alias("breadth"))
+    sector = member.join(spot, "symbol").groupBy("sector_code").agg(F.avg("change_rate").alias("change"),
+        (F.avg((F.col("change_rate") > 0).cast("double")) * 100).alias("breadth"))
 
     def way(c):
         return F.when(F.col(c) > 0, "up").when(F.col(c) < 0, "down").otherwise("range")
 
-    joined = member.join(spot, "symbol").join(sector, "sector_code").select("symbol", "sector_code", "sector_type", "breadth", way("change_rate").alias("stock_trend"), way("change").alias("sector_trend"), F.lit(None).cast("double").alias("net_pct"))
+    joined = member.join(spot, "symbol").join(sector, "sector_code").select("symbol", "sector_code", "sector_type", "breadth",
+        way("change_rate").alias("stock_trend"), way("change").alias("sector_trend"), F.lit(None).cast("double").alias("net_pct"))
     return research.alignment(joined).select("symbol", "sector_code", "alignment", "label")
 
 
-@query(with_ctes("SELECT symbol, CASE WHEN MA5 > MA10 AND MA10 > MA20 AND MA20 > MA60 THEN 'bullish' WHEN MA5 < MA10 AND MA10 < MA20 THEN 'bearish' WHEN MA5 > MA20 THEN 'leaning_up' ELSE 'tangled' END AS arrangement, CASE WHEN p IS NULL THEN 'unknown' WHEN p > 90 THEN 'at_upper' WHEN p > 70 THEN 'upper_part' WHEN p < 10 THEN 'at_lower' WHEN p < 30 THEN 'lower_part' ELSE 'middle' END AS boll_status, CASE WHEN p5 IS NULL THEN 'unknown' WHEN p5 > 3 AND p20 > 0 THEN 'strong_rise' WHEN p5 < -3 AND p20 < 0 THEN 'steady_fall' WHEN p5 > 0 THEN 'recovering' WHEN p5 < 0 THEN 'pulling_back' ELSE 'sideways' END AS direction FROM (SELECT *, (close - BOLL_LOWER) / nullif(BOLL_UPPER - BOLL_LOWER, 0) * 100 AS p, RETURN_5 * 100 AS p5, RETURN_20 * 100 AS p20, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM ind) WHERE rn = 1", "ind"))
+@query(with_ctes("SELECT symbol, CASE WHEN MA5 > MA10 AND MA10 > MA20 AND MA20 > MA60 THEN 'bullish' WHEN MA5 < MA10 AND MA10 < MA20 THEN 'bearish' WHEN "
+    "MA5 > MA20 THEN 'leaning_up' ELSE 'tangled' END AS arrangement, CASE WHEN p IS NULL THEN 'unknown' WHEN p > 90 THEN 'at_upper' WHEN p > 70 THEN "
+    "'upper_part' WHEN p < 10 THEN 'at_lower' WHEN p < 30 THEN 'lower_part' ELSE 'middle' END AS boll_status, CASE WHEN p5 IS NULL THEN 'unknown' WHEN p5 "
+    "> 3 AND p20 > 0 THEN 'strong_rise' WHEN p5 < -3 AND p20 < 0 THEN 'steady_fall' WHEN p5 > 0 THEN 'recovering' WHEN p5 < 0 THEN 'pulling_back' ELSE "
+    "'sideways' END AS direction FROM (SELECT *, (close - BOLL_LOWER) / nullif(BOLL_UPPER - BOLL_LOWER, 0) * 100 AS p, RETURN_5 * 100 AS p5, RETURN_20 * "
+    "100 AS p20, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM ind) WHERE rn = 1", "ind"))
 def report_ladders(spark, d):
     return research.report(research.last_rows(ta.all_indicators(src.bars(spark, d)))).select("symbol", "arrangement", "boll_status", "direction")
 
@@ -489,17 +563,21 @@ def parse_props_json(spark, d):
     return src.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS label, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), 1) - 1 AS position FROM pages) SELECT page_id, href, min(position)::INT AS position, arg_min(label, position) AS label FROM m GROUP BY page_id, href")
+@query("WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a "
+    "href=\"([^\"]*)\">([^<]*)</a>', 2)) AS label, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), 1) - 1 AS position "
+    "FROM pages) SELECT page_id, href, min(position)::INT AS position, arg_min(label, position) AS label FROM m GROUP BY page_id, href")
 def parse_html_links(spark, d):
     return parsers.links(src.table(spark, d, "pages"))
 
 
-@query(with_ctes(f"SELECT symbol, date, round((close - lag(close) {W}) / nullif(lag(close) {W}, 0) * 100, 4) AS change_rate, round((high - low) / nullif(lag(close) {W}, 0) * 100, 4) AS amplitude FROM bars", "bars"))
+@query(with_ctes(f"SELECT symbol, date, round((close - lag(close) {W}) / nullif(lag(close) {W}, 0) * 100, 4) AS change_rate, round((high - low) / "
+    f"nullif(lag(close) {W}, 0) * 100, 4) AS amplitude FROM bars", "bars"))
 def normalise_rows_change(spark, d):
     return parsers.with_lagged_change(src.bars(spark, d)).select("symbol", "date", "change_rate", "amplitude")
 
 
-@query("SELECT s_suppkey AS symbol, CASE WHEN left(c, 1) = '6' THEN 'sh' WHEN left(c, 1) IN ('8', '9') THEN 'bj' ELSE 'sz' END || c AS code FROM (SELECT s_suppkey, lpad(((s_suppkey * 7919) % 1000000)::VARCHAR, 6, '0') AS c FROM supplier)")
+@query("SELECT s_suppkey AS symbol, CASE WHEN left(c, 1) = '6' THEN 'sh' WHEN left(c, 1) IN ('8', '9') THEN 'bj' ELSE 'sz' END || c AS code FROM (SELECT "
+    "s_suppkey, lpad(((s_suppkey * 7919) % 1000000)::VARCHAR, 6, '0') AS c FROM supplier)")
 def symbol_normalise(spark, d):
     raw = F.concat(F.lit(" SZ"), F.lpad(((F.col("s_suppkey") * 7919) % 1000000).cast("string"), 6, "0"))
     return src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), parsers.prefixed(raw).alias("code"))
@@ -508,8 +586,10 @@ def symbol_normalise(spark, d):
 @query(with_ctes("SELECT symbol, date, round(close, 6) AS close, round(volume, 6) AS volume FROM bars", "bars"))
 def comma_bar_lines(spark, d):
     """Bars written as provider lines and read back."""
-    text = F.concat_ws(",", F.col("date").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("open", "close", "high", "low", "volume", "amount")], *[F.lit("-")] * 4)
-    return parsers.comma_bars(src.bars(spark, d).select("symbol", text.alias("line"))).select("symbol", F.to_date("date").alias("date"), F.round("close", 6).alias("close"), F.round("volume", 6).alias("volume"))
+    text = F.concat_ws(",", F.col("date").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("open", "close", "high", "low",
+        "volume", "amount")], *[F.lit("-")] * 4)
+    return parsers.comma_bars(src.bars(spark, d).select("symbol", text.alias("line"))).select("symbol", F.to_date("date").alias("date"),
+        F.round("close", 6).alias("close"), F.round("volume", 6).alias("volume"))
 
 
 @query(with_ctes("SELECT symbol, date, round(close, 6) AS close, CASE WHEN symbol % 2 = 0 THEN 0 ELSE 1 END AS priority FROM bars", "bars"))
@@ -518,22 +598,29 @@ def source_fallback(spark, d):
     return parsers.first_available(frame.where("symbol % 2 = 0"), frame).select("symbol", "date", F.round("close", 6).alias("close"), "priority")
 
 
-@query("SELECT event_type, date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end, count(*) AS n, round(sum(value), 6) AS total, max(value) AS peak FROM events GROUP BY ALL")
+@query("SELECT event_type, date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end, count(*) AS n, round(sum(value), 6) AS total, "
+    "max(value) AS peak FROM events GROUP BY ALL")
 def window_tumbling(spark, d):
     return windows.tumbling(src.table(spark, d, "events"))
 
 
-@query("SELECT event_type, s AS start, s + INTERVAL 2 HOUR AS end, count(*) AS n, round(sum(value), 6) AS total, max(value) AS peak FROM (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL")
+@query("SELECT event_type, s AS start, s + INTERVAL 2 HOUR AS end, count(*) AS n, round(sum(value), 6) AS total, max(value) AS peak FROM (SELECT *, "
+    "unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL")
 def window_sliding(spark, d):
     return windows.sliding(src.table(spark, d, "events"))
 
 
-@query("SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS end, count(*) AS n, round(sum(value), 6) AS total, max(value) AS peak FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+@query("SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS end, count(*) AS n, round(sum(value), 6) AS total, max(value) AS peak FROM (SELECT "
+    "*, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, "
+    "event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
 def window_session(spark, d):
     return windows.sessions(src.table(spark, d, "events"))
 
 
-@query("SELECT symbol, start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM (SELECT user_id % 50 AS symbol, time_bucket(INTERVAL 15 MINUTE, ts) AS start, * FROM events) GROUP BY symbol, start".replace("arg_min(value, (ts, event_id))", "arg_min(value, struct_pack(a := ts, b := event_id))").replace("arg_max(value, (ts, event_id))", "arg_max(value, struct_pack(a := ts, b := event_id))"))
+@query("SELECT symbol, start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, "
+    "count(*) AS volume FROM (SELECT user_id % 50 AS symbol, time_bucket(INTERVAL 15 MINUTE, ts) AS start, * FROM events) GROUP BY symbol, "
+    "start".replace("arg_min(value, (ts, event_id))", "arg_min(value, struct_pack(a := ts, b := event_id))").replace("arg_max(value, (ts, event_id))",
+    "arg_max(value, struct_pack(a := ts, b := event_id))"))
 def intraday_bars(spark, d):
     events = src.table(spark, d, "events").select((F.col("user_id") % 50).alias("symbol"), "ts", "event_id", F.col("value").alias("price"), F.lit(1).alias("size"))
     return resample.intraday(events, 15).withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -544,13 +631,15 @@ def alert_events(spark, d):
     """Zone alerts over the event values of each group of users, as the stream would raise them."""
     events = src.table(spark, d, "events")
     updates = events.select(
-        (F.col("user_id") % 20).cast("string").alias("zone_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("close"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"),
+        (F.col("user_id") % 20).cast("string").alias("zone_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("close"),
+        F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"),
         (F.col("event_id") % 3 != 0).alias("closed"), lit(40).alias("lower"), lit(60).alias("upper"), F.lit(False).alias("invalidated"),
     )
     return alerts.alert_batch(updates)
 
 
-@query(with_ctes(f"SELECT symbol, date, round(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), 6) AS ma20, round(close / nullif(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), 0) - 1, 6) AS away FROM weekly", "weekly"))
+@query(with_ctes(f"SELECT symbol, date, round(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), 6) AS ma20, round(close / "
+    f"nullif(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), 0) - 1, 6) AS away FROM weekly", "weekly"))
 def weekly_average(spark, d):
     mean = F.avg("close").over(trailing(20))
     return resample.weekly(src.bars(spark, d)).select("symbol", "date", F.round(mean, 6).alias("ma20"), F.round(ratio(F.col("close"), mean) - 1, 6).alias("away"))

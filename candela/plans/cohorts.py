@@ -20,7 +20,8 @@ from candela.sources import parsers
 _OUTCOMES = (
     "count(*) AS n, "
     + ", ".join(f"avg((ret_{n} > 0)::INT::DOUBLE) AS win_{n}" for n in (5, 10, 20))
-    + ", avg(ret_10) AS avg_10, median(ret_10) AS median_10, CASE WHEN count(*) FILTER (ret_10 > 0) >= 2 AND count(*) FILTER (ret_10 <= 0) >= 2 THEN avg(ret_10) FILTER (ret_10 > 0) / nullif(abs(avg(ret_10) FILTER (ret_10 <= 0)), 0) END AS profit_loss, avg(max_gain_10) AS avg_max_gain_10"
+    + ", avg(ret_10) AS avg_10, median(ret_10) AS median_10, CASE WHEN count(*) FILTER (ret_10 > 0) >= 2 AND count(*) FILTER (ret_10 <= 0) >= 2 THEN "
+    "avg(ret_10) FILTER (ret_10 > 0) / nullif(abs(avg(ret_10) FILTER (ret_10 <= 0)), 0) END AS profit_loss, avg(max_gain_10) AS avg_max_gain_10"
 )
 _OUTCOME_NAMES = "win_5 win_10 win_20 avg_10 median_10 profit_loss avg_max_gain_10"
 
@@ -36,7 +37,8 @@ def _phased(spark, d):
     return _box_events(spark, d).join(backtest.wave_phase(frame, pv.pivots(frame)), ["symbol", "date"])
 
 
-@query(with_ctes(f"SELECT pattern, wave_phase, n, {r(_OUTCOME_NAMES)} FROM (SELECT pattern, wave_phase, {_OUTCOMES} FROM phased GROUP BY ALL HAVING count(*) >= 10)", "phased"))
+@query(with_ctes(f"SELECT pattern, wave_phase, n, {r(_OUTCOME_NAMES)} FROM (SELECT pattern, wave_phase, {_OUTCOMES} FROM phased GROUP BY ALL HAVING "
+    f"count(*) >= 10)", "phased"))
 def report_wave(spark, d):
     return backtest.wave_report(_phased(spark, d), 10).select("pattern", "wave_phase", "n", *rounded(_OUTCOME_NAMES.split()))
 
@@ -56,7 +58,8 @@ def _cohort(name: str, keys: tuple[str, ...], source: str, frame, *needs: str, l
         return backtest.cohort(frame(spark, d), keys, least).select(*keys, "n", "symbols", *rounded(_COHORT.split()))
 
     names = ", ".join(keys)
-    query(with_ctes(f"SELECT {names}, n, symbols, {r(_COHORT)} FROM (SELECT {names}, {_COHORT_SQL} FROM {source} WHERE ret_5 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least})", *needs), name)(run)
+    query(with_ctes(f"SELECT {names}, n, symbols, {r(_COHORT)} FROM (SELECT {names}, {_COHORT_SQL} FROM {source} WHERE ret_5 IS NOT NULL GROUP BY ALL "
+        f"HAVING count(*) >= {least})", *needs), name)(run)
 
 
 def _in_sectors(spark, d):
@@ -71,14 +74,17 @@ _cohort("cohort_sector", ("sector_code",), "phased JOIN members USING (symbol)",
 _cohort("cohort_variant", ("pattern", "variant"), "phased", _phased, "phased")
 
 
-@query(with_ctes("SELECT pattern, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(max(score), 6) AS high, round(min(score), 6) AS low FROM box WHERE score IS NOT NULL GROUP BY pattern", "box"))
+@query(with_ctes("SELECT pattern, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(max(score), 6) AS high, "
+    "round(min(score), 6) AS low FROM box WHERE score IS NOT NULL GROUP BY pattern", "box"))
 def summary_scores(spark, d):
     return backtest.score_distribution(_box(spark, d)).select("pattern", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "high", "low")])
 
 
-@query(with_ctes("SELECT pattern, year(date) AS year, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE) * 100, 6) AS win_rate_10, round(avg(ret_10) * 100, 6) AS avg_ret_10 FROM events_ GROUP BY ALL HAVING count(*) >= 30", "events_"))
+@query(with_ctes("SELECT pattern, year(date) AS year, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE) * 100, 6) AS win_rate_10, round(avg(ret_10) * "
+    "100, 6) AS avg_ret_10 FROM events_ GROUP BY ALL HAVING count(*) >= 30", "events_"))
 def summary_years(spark, d):
-    return backtest.yearly_returns(_box_events(spark, d)).select("pattern", "year", "n", F.round("win_rate_10", 6).alias("win_rate_10"), F.round("avg_ret_10", 6).alias("avg_ret_10"))
+    return backtest.yearly_returns(_box_events(spark, d)).select("pattern", "year", "n", F.round("win_rate_10", 6).alias("win_rate_10"),
+        F.round("avg_ret_10", 6).alias("avg_ret_10"))
 
 
 @query(with_ctes("SELECT symbol FROM basics ORDER BY md5('42:' || symbol) LIMIT 20", "basics"))
@@ -106,8 +112,10 @@ _LAST_MA = f"last_ma AS (SELECT * FROM (SELECT symbol, close, row_number() OVER
 
 @query(
     with_ctes(
-        "SELECT symbol, name, round(value, 6) AS value, distance_pct, side, position FROM (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY abs(distance_pct), ordinal, name) AS position FROM (SELECT *, CASE WHEN distance_pct > 0 THEN 'resistance' ELSE 'support' END AS side "
-        "FROM (SELECT l.*, round((value / close - 1) * 100, 2) + 0::DOUBLE AS distance_pct FROM levels_ l JOIN last_ma USING (symbol) WHERE value IS NOT NULL))) WHERE position <= 6",
+        "SELECT symbol, name, round(value, 6) AS value, distance_pct, side, position FROM (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY "
+        "abs(distance_pct), ordinal, name) AS position FROM (SELECT *, CASE WHEN distance_pct > 0 THEN 'resistance' ELSE 'support' END AS side "
+        "FROM (SELECT l.*, round((value / close - 1) * 100, 2) + 0::DOUBLE AS distance_pct FROM levels_ l JOIN last_ma USING (symbol) WHERE value IS NOT "
+        "NULL))) WHERE position <= 6",
         "bars", "pivots", recursive=f"{_fold(0.03)}, {_LAST_MA}, {_LEVELS}",
     )
 )
@@ -126,7 +134,8 @@ def key_levels(spark, d):
 
 @query(
     with_ctes(
-        " UNION ALL ".join(f"SELECT '{k}' AS timeframe, symbol, count(*) AS bar_count, max(source_date) AS as_of_date, arg_max(date > source_date, date) AS incomplete FROM {t} GROUP BY symbol" for k, t in (("daily", "(SELECT *, date AS source_date FROM bars)"), ("weekly", "weekly"), ("monthly", "monthly"))),
+        " UNION ALL ".join(f"SELECT '{k}' AS timeframe, symbol, count(*) AS bar_count, max(source_date) AS as_of_date, arg_max(date > source_date, date) "
+        f"AS incomplete FROM {t} GROUP BY symbol" for k, t in (("daily", "(SELECT *, date AS source_date FROM bars)"), ("weekly", "weekly"), ("monthly", "monthly"))),
         "bars", "weekly", "monthly",
     )
 )
@@ -149,15 +158,18 @@ def structure_audit(spark, d):
 # sectors
 
 
-@query(with_ctes("SELECT sector_code, sector_name, sector_type, count(*) AS member_count, count(*) FILTER (change_rate > 0) AS gainer_count, count(*) FILTER (change_rate < 0) AS loser_count FROM members LEFT JOIN spot USING (symbol) GROUP BY ALL", "members", "spot"))
+@query(with_ctes("SELECT sector_code, sector_name, sector_type, count(*) AS member_count, count(*) FILTER (change_rate > 0) AS gainer_count, count(*) "
+    "FILTER (change_rate < 0) AS loser_count FROM members LEFT JOIN spot USING (symbol) GROUP BY ALL", "members", "spot"))
 def sector_overview(spark, d):
     return screens.sector_overview(src.members(spark, d), src.spot(spark, d))
 
 
 @query(
     with_ctes(
-        "SELECT m.sector_code, m.symbol, position, round(turnover_rate, 6) AS turnover_rate, k.rank AS popularity_rank FROM (SELECT sector_code, symbol, turnover_rate, row_number() OVER (PARTITION BY sector_code ORDER BY coalesce(turnover_rate, -9999) DESC, symbol) AS position "
-        "FROM members LEFT JOIN spot USING (symbol)) m LEFT JOIN (SELECT symbol, rank FROM ranks WHERE rank_date = (SELECT max(rank_date) FROM ranks)) k USING (symbol) WHERE position <= 5",
+        "SELECT m.sector_code, m.symbol, position, round(turnover_rate, 6) AS turnover_rate, k.rank AS popularity_rank FROM (SELECT sector_code, symbol, "
+        "turnover_rate, row_number() OVER (PARTITION BY sector_code ORDER BY coalesce(turnover_rate, -9999) DESC, symbol) AS position "
+        "FROM members LEFT JOIN spot USING (symbol)) m LEFT JOIN (SELECT symbol, rank FROM ranks WHERE rank_date = (SELECT max(rank_date) FROM ranks)) k "
+        "USING (symbol) WHERE position <= 5",
         "members", "spot", "ranks",
     )
 )
@@ -168,8 +180,10 @@ def sector_members_ranked(spark, d):
 
 @query(
     with_ctes(
-        "SELECT sector_code, count(*) AS analysed, count(*) FILTER (good) AS good_trend FROM (SELECT sector_code, good, row_number() OVER (PARTITION BY sector_code ORDER BY symbol) AS position FROM members JOIN (SELECT symbol, coalesce(close > MA20 AND MA20 > before, false) AS good "
-        f"FROM (SELECT *, lag(MA20, 5) {W} AS before, count(*) {W} AS n, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM ind) WHERE rn = 1 AND n >= 20) USING (symbol)) WHERE position <= 10 GROUP BY sector_code",
+        "SELECT sector_code, count(*) AS analysed, count(*) FILTER (good) AS good_trend FROM (SELECT sector_code, good, row_number() OVER (PARTITION BY "
+        "sector_code ORDER BY symbol) AS position FROM members JOIN (SELECT symbol, coalesce(close > MA20 AND MA20 > before, false) AS good "
+        f"FROM (SELECT *, lag(MA20, 5) {W} AS before, count(*) {W} AS n, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM ind) WHERE "
+        f"rn = 1 AND n >= 20) USING (symbol)) WHERE position <= 10 GROUP BY sector_code",
         "members", "ind",
     )
 )
@@ -189,8 +203,11 @@ def wilder_rsi(spark, d):
 
 @query(
     with_ctes(
-        f"SELECT i.symbol, i.date, coalesce(MA5 > MA20 AND p5 <= p20, false) AS golden_cross, coalesce(MA5 > MA10 AND MA10 > MA20 AND MA20 > MA60, false) AS aligned, coalesce(v5 > 0 AND volume > v5 * 2, false) AS surge, coalesce(rsi < 30, false) AS oversold, coalesce(rsi > 70, false) AS overbought, "
-        f"round((i.close / c5 - 1) * 100, 6) AS pct_5, round((i.close / c20 - 1) * 100, 6) AS pct_20 FROM (SELECT *, lag(MA5) {W} AS p5, lag(MA20) {W} AS p20, lag(close, 5) {W} AS c5, lag(close, 20) {W} AS c20, {full(5, 'avg(volume)', 'volume', True)} AS v5 FROM ind) i JOIN d USING (symbol, date) LEFT JOIN wr USING (symbol, rn)",
+        f"SELECT i.symbol, i.date, coalesce(MA5 > MA20 AND p5 <= p20, false) AS golden_cross, coalesce(MA5 > MA10 AND MA10 > MA20 AND MA20 > MA60, false) "
+        f"AS aligned, coalesce(v5 > 0 AND volume > v5 * 2, false) AS surge, coalesce(rsi < 30, false) AS oversold, coalesce(rsi > 70, false) AS overbought, "
+        f"round((i.close / c5 - 1) * 100, 6) AS pct_5, round((i.close / c20 - 1) * 100, 6) AS pct_20 FROM (SELECT *, lag(MA5) {W} AS p5, lag(MA20) {W} AS "
+        f"p20, lag(close, 5) {W} AS c5, lag(close, 20) {W} AS c20, {full(5, 'avg(volume)', 'volume', True)} AS v5 FROM ind) i JOIN d USING (symbol, date) "
+        f"LEFT JOIN wr USING (symbol, rn)",
         "ind", recursive=_WILDER,
     )
 )
@@ -212,14 +229,16 @@ def _joined(name: str, how: str) -> None:
         return src.bars(spark, d).join(_kept_indicators(spark, d), ["symbol", "date"], how).select("symbol", "date", *rounded(["close", "MA5", "BOLL_MID"]))
 
     side = "LEFT JOIN" if how == "left" else "JOIN"
-    query(with_ctes(f"SELECT b.symbol, b.date, {r('b.close').replace('AS b.close', 'AS close')}, {r('MA5 BOLL_MID')} FROM bars b {side} (SELECT symbol, date, MA5, BOLL_MID FROM ind WHERE day(date) <> 15) i USING (symbol, date)", "bars", "ind"), name)(run)
+    query(with_ctes(f"SELECT b.symbol, b.date, {r('b.close').replace('AS b.close', 'AS close')}, {r('MA5 BOLL_MID')} FROM bars b {side} (SELECT symbol, "
+        f"date, MA5, BOLL_MID FROM ind WHERE day(date) <> 15) i USING (symbol, date)", "bars", "ind"), name)(run)
 
 
 _joined("bars_with_indicators", "left")
 _joined("indicators_with_bars", "inner")
 
 
-@query(with_ctes("SELECT symbol, date, round(close, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31') WHERE back <= 100", "bars"))
+@query(with_ctes("SELECT symbol, date, round(close, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM "
+    "bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31') WHERE back <= 100", "bars"))
 def clipped_bars(spark, d):
     return store.clip(src.bars(spark, d), "1996-01-01", "1999-12-31", 100).select("symbol", "date", F.round("close", 6).alias("close"))
 
@@ -227,10 +246,12 @@ def clipped_bars(spark, d):
 def _variants(spark, d):
     """Every symbol has forward-adjusted bars, and one in three backward-adjusted ones too."""
     frame = src.bars(spark, d)
-    return frame.withColumn("adjust_type", F.lit("qfq")).unionByName(frame.where("symbol % 3 = 0").withColumn("close", F.col("close") * 3).withColumn("adjust_type", F.lit("hfq")))
+    return frame.withColumn("adjust_type", F.lit("qfq")).unionByName(frame.where("symbol % 3 = 0").withColumn("close",
+        F.col("close") * 3).withColumn("adjust_type", F.lit("hfq")))
 
 
-@query(with_ctes("SELECT symbol, date, CASE WHEN symbol % 3 = 0 THEN 'hfq' ELSE 'qfq' END AS adjust_type, round(close * CASE WHEN symbol % 3 = 0 THEN 3 ELSE 1 END, 6) AS close FROM bars", "bars"))
+@query(with_ctes("SELECT symbol, date, CASE WHEN symbol % 3 = 0 THEN 'hfq' ELSE 'qfq' END AS adjust_type, round(close * CASE WHEN symbol % 3 = 0 THEN 3 "
+    "ELSE 1 END, 6) AS close FROM bars", "bars"))
 def adjusted_bars(spark, d):
     return store.adjusted(_variants(spark, d), "hfq").select("symbol", "date", "adjust_type", F.round("close", 6).alias("close"))
 
@@ -249,14 +270,18 @@ _FIELDS = ("open", "close", "change_amount", "change_rate", "low", "high", "volu
 
 
 def _percent_fields(spark, d):
-    frame = src.with_change(src.bars(spark, d)).withColumn("change_amount", F.col("close") - F.lag("close").over(by_symbol())).withColumn("amount", F.col("amount") / 10_000)
+    frame = src.with_change(src.bars(spark, d)).withColumn("change_amount", F.col("close") - F.lag("close").over(by_symbol())).withColumn("amount",
+        F.col("amount") / 10_000)
     text = [F.coalesce(F.concat(F.round(c, 6).cast("string"), F.lit("%" if c in ("change_rate", "turnover") else "")), F.lit("-")) for c in _FIELDS]
-    return frame.select("symbol", F.array(F.col("date").cast("string"), *text).alias("fields")).unionByName(frame.limit(0).select("symbol", F.array(F.lit("short")).alias("fields")))
+    return frame.select("symbol", F.array(F.col("date").cast("string"), *text).alias("fields")).unionByName(frame.limit(0).select("symbol",
+        F.array(F.lit("short")).alias("fields")))
 
 
 @query(
     with_ctes(
-        f"SELECT symbol, date, round(close, 5) AS close, round(volume, 5) AS volume, round(round(amount / 10000, 6) * 10000, 3) AS amount, round((high - low) / lag(close) {W} * 100, 4) AS amplitude FROM (SELECT symbol, date, round(close, 6) AS close, round(high, 6) AS high, round(low, 6) AS low, round(volume, 6) AS volume, amount FROM bars)",
+        f"SELECT symbol, date, round(close, 5) AS close, round(volume, 5) AS volume, round(round(amount / 10000, 6) * 10000, 3) AS amount, round((high - "
+        f"low) / lag(close) {W} * 100, 4) AS amplitude FROM (SELECT symbol, date, round(close, 6) AS close, round(high, 6) AS high, round(low, 6) AS low, "
+        f"round(volume, 6) AS volume, amount FROM bars)",
         "bars",
     )
 )
@@ -266,7 +291,8 @@ def percent_rows(spark, d):
     return out.select("symbol", "date", F.round("close", 5).alias("close"), F.round("volume", 5).alias("volume"), F.round("amount", 3).alias("amount"), "amplitude")
 
 
-@query(with_ctes(f"SELECT symbol, date, round(volume / 100, 6) AS volume, round(turnover * 100, 6) AS turnover, round((close / lag(close) {W} - 1) * 100, 6) AS change_rate, round(close - lag(close) {W}, 6) AS change_amount, round((high - low) / lag(close) {W} * 100, 6) AS amplitude FROM changed", "changed"))
+@query(with_ctes(f"SELECT symbol, date, round(volume / 100, 6) AS volume, round(turnover * 100, 6) AS turnover, round((close / lag(close) {W} - 1) * 100, "
+    f"6) AS change_rate, round(close - lag(close) {W}, 6) AS change_amount, round((high - low) / lag(close) {W} * 100, 6) AS amplitude FROM changed", "changed"))
 def frame_rows(spark, d):
     out = parsers.frame_rows(src.with_change(src.bars(spark, d)))
     return out.select("symbol", "date", *[F.round(c, 6).alias(c) for c in ("volume", "turnover", "change_rate", "change_amount", "amplitude")])
@@ -277,20 +303,26 @@ def _member_texts(spark, d):
     frame = src.table(spark, d, "supplier")
     code = F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("x"), F.col("s_suppkey").cast("string"))).otherwise(F.lpad(F.col("s_suppkey").cast("string"), 6, "0"))
     settled = F.when(F.col("s_suppkey") % 7 == 0, F.lit("0")).otherwise(F.col("s_suppkey").cast("string"))
-    fields = {"trade": F.lit("9.5"), "changepercent": F.lit("1.25%"), "pricechange": F.lit("-"), "volume": (F.col("s_suppkey") * 1000).cast("string"), "amount": F.lit("1,000.5"), "turnoverratio": F.lit(""), "high": (F.col("s_suppkey") + 2).cast("string"), "low": F.col("s_suppkey").cast("string")}
+    fields = {"trade": F.lit("9.5"), "changepercent": F.lit("1.25%"), "pricechange": F.lit("-"), "volume": (F.col("s_suppkey") * 1000).cast("string"),
+        "amount": F.lit("1,000.5"), "turnoverratio": F.lit(""), "high": (F.col("s_suppkey") + 2).cast("string"), "low": F.col("s_suppkey").cast("string")}
     rest = {"open": F.lit("9"), "settlement": settled, "pb": F.lit("1"), "per": F.col("s_acctbal").cast("string")}
-    return frame.select(F.lit("BK1").alias("sector_code"), code.alias("code"), F.concat(F.lit(" "), "s_name").alias("name"), *[v.alias(k) for k, v in {**fields, **rest}.items()])
+    return frame.select(F.lit("BK1").alias("sector_code"), code.alias("code"), F.concat(F.lit(" "), "s_name").alias("name"),
+        *[v.alias(k) for k, v in {**fields, **rest}.items()])
 
 
-@query("SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS stock_code, s_name AS stock_name, 1.25::DOUBLE AS change_rate, NULL::DOUBLE AS change_amount, s_suppkey * 10::DOUBLE AS volume, 1000.5::DOUBLE AS turnover, round(CASE WHEN s_suppkey % 7 <> 0 THEN 2 / s_suppkey::DOUBLE * 100 END, 4) AS amplitude FROM supplier WHERE s_suppkey % 5 <> 0")
+@query("SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS stock_code, s_name AS stock_name, 1.25::DOUBLE AS change_rate, NULL::DOUBLE AS change_amount, s_suppkey "
+    "* 10::DOUBLE AS volume, 1000.5::DOUBLE AS turnover, round(CASE WHEN s_suppkey % 7 <> 0 THEN 2 / s_suppkey::DOUBLE * 100 END, 4) AS amplitude FROM "
+    "supplier WHERE s_suppkey % 5 <> 0")
 def member_rows(spark, d):
     return parsers.member_rows(_member_texts(spark, d)).select("stock_code", "stock_name", "change_rate", "change_amount", "volume", "turnover", "amplitude")
 
 
-@query("SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS stock_code, CASE WHEN s_suppkey % 2 = 0 THEN round(s_acctbal, 2) END AS latest_price FROM supplier WHERE s_suppkey % 5 <> 0")
+@query("SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS stock_code, CASE WHEN s_suppkey % 2 = 0 THEN round(s_acctbal, 2) END AS latest_price FROM supplier "
+    "WHERE s_suppkey % 5 <> 0")
 def member_quotes(spark, d):
     """Members with the price of their quote, for those that have one."""
-    quotes = src.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("sz"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("code"), F.round("s_acctbal", 2).alias("quoted"))
+    quotes = src.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("sz"),
+        F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("code"), F.round("s_acctbal", 2).alias("quoted"))
     found = parsers.enriched(parsers.member_rows(_member_texts(spark, d)).select("stock_code"), quotes, ("quoted",))
     return found.select("stock_code", F.col("quoted").alias("latest_price"))
 
@@ -300,7 +332,8 @@ def node_maps(spark, d):
     """Scripts that map node codes to names, read back."""
     nation = src.table(spark, d, "nation").withColumn("kind", F.when(F.col("n_regionkey") % 2 == 0, "industry").otherwise("concept"))
     entry = F.concat(F.lit('"node_'), F.col("n_nationkey").cast("string"), F.lit('": "id, '), "n_name", F.lit(',19"'))
-    scripts = nation.groupBy("kind").agg(F.concat(F.lit("var S_Finance = {"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("text"))  # 25 nations
+    scripts = nation.groupBy("kind").agg(F.concat(F.lit("var S_Finance = {"), F.array_join(F.array_sort(F.collect_list(entry)), ","),
+        F.lit("}")).alias("text"))  # 25 nations
     return parsers.node_maps(scripts)
 
 
@@ -316,7 +349,8 @@ def tilde_quotes(spark, d):
 
 @query(
     with_ctes(
-        "SELECT 'stocks' AS universe, symbol, date AS signal_date, pattern, 'candidate' AS stage, round(score, 6) AS score, 0 AS confirmed, '{}' AS fib_levels_json, '[\"' || replace(hit_levels, ', ', '\",\"') || '\"]' AS evidence_json, '{}' AS factors_json, 'v1' AS engine_version FROM box",
+        "SELECT 'stocks' AS universe, symbol, date AS signal_date, pattern, 'candidate' AS stage, round(score, 6) AS score, 0 AS confirmed, '{}' AS "
+        "fib_levels_json, '[\"' || replace(hit_levels, ', ', '\",\"') || '\"]' AS evidence_json, '{}' AS factors_json, 'v1' AS engine_version FROM box",
         "box",
     )
 )
@@ -334,7 +368,9 @@ def _downloads(spark, d):
 
 @query(
     with_ctes(
-        "SELECT symbol, coalesce(fetched, 0) AS fetched, first_date, last_date, row_count, CASE WHEN fetched IS NULL THEN 'empty' WHEN symbol % 2 = 0 THEN 'degraded' WHEN row_count >= 260 THEN 'ready' ELSE 'partial' END AS status FROM (SELECT symbol, nullif(count(*) FILTER (symbol % 3 = 0 AND date >= DATE '1999-01-01'), 0) AS fetched, "
+        "SELECT symbol, coalesce(fetched, 0) AS fetched, first_date, last_date, row_count, CASE WHEN fetched IS NULL THEN 'empty' WHEN symbol % 2 = 0 THEN "
+        "'degraded' WHEN row_count >= 260 THEN 'ready' ELSE 'partial' END AS status FROM (SELECT symbol, nullif(count(*) FILTER (symbol % 3 = 0 AND date "
+        ">= DATE '1999-01-01'), 0) AS fetched, "
         "min(date) AS first_date, max(date) AS last_date, count(*) AS row_count FROM bars GROUP BY symbol)",
         "bars",
     )
@@ -346,7 +382,9 @@ def sync_coverage(spark, d):
 
 @query(
     with_ctes(
-        "SELECT symbol, date, round(ma20, 6) AS MA20 FROM (SELECT symbol, date, CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS ma20, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM (SELECT symbol, date, close * CASE WHEN date >= DATE '1999-01-01' THEN 1.01::DOUBLE ELSE 1 END AS close FROM bars WHERE symbol % 3 = 0) "
+        "SELECT symbol, date, round(ma20, 6) AS MA20 FROM (SELECT symbol, date, CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS ma20, "
+        "row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM (SELECT symbol, date, close * CASE WHEN date >= DATE '1999-01-01' THEN "
+        "1.01::DOUBLE ELSE 1 END AS close FROM bars WHERE symbol % 3 = 0) "
         "WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)) WHERE back <= 5",
         "bars",
     )
@@ -370,12 +408,14 @@ def rule_union(spark, d):
     return _box(spark, d).where(reduce(or_, map(mask, pools))).select("symbol", "date")
 
 
-_RULES = {"calm": ("vol_ratio <= 2", (("vol_ratio", "<=", 2.0),)), "wide": ("boll_width >= 0.2", (("boll_width", ">=", 0.2),)), "both": ("vol_ratio <= 2 AND boll_width >= 0.2", (("vol_ratio", "<=", 2.0), ("boll_width", ">=", 0.2)))}
+_RULES = {"calm": ("vol_ratio <= 2", (("vol_ratio", "<=", 2.0),)), "wide": ("boll_width >= 0.2", (("boll_width", ">=", 0.2),)),
+    "both": ("vol_ratio <= 2 AND boll_width >= 0.2", (("vol_ratio", "<=", 2.0), ("boll_width", ">=", 0.2)))}
 
 
 @query(
     with_ctes(
-        "SELECT name, part, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win, round(avg(ret_10), 6) AS avg FROM (SELECT name, ret_10, unnest(['all', CASE WHEN date >= DATE '1998-06-01' THEN 'test' ELSE 'train' END]) AS part FROM ("
+        "SELECT name, part, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win, round(avg(ret_10), 6) AS avg FROM (SELECT name, ret_10, "
+        "unnest(['all', CASE WHEN date >= DATE '1998-06-01' THEN 'test' ELSE 'train' END]) AS part FROM ("
         + " UNION ALL ".join(f"SELECT '{k}' AS name, date, ret_10 FROM events_ WHERE {v.replace('0.2', '0.2::DOUBLE')}" for k, (v, _) in _RULES.items())
         + ") WHERE ret_10 IS NOT NULL) GROUP BY ALL",
         "events_",
@@ -393,23 +433,27 @@ def rule_train_test(spark, d):
 def rank_history(spark, d):
     """Rank histories, encrypted as a provider sends them, and read back."""
     ranked = src.ranks(src.bars(spark, d)).where("rank_date >= date'2001-01-01'")
-    texts = ranked.groupBy("symbol").agg(F.to_json(F.collect_list(F.struct(F.concat(F.col("rank_date").cast("string"), F.lit(" 15:00")).alias("calcTime"), "rank"))).alias("text"))  # the bars of one symbol
+    texts = ranked.groupBy("symbol").agg(F.to_json(F.collect_list(F.struct(F.concat(F.col("rank_date").cast("string"), F.lit(" 15:00")).alias("calcTime"),
+        "rank"))).alias("text"))  # the bars of one symbol
     key = "0123456789abcdef"
     sealed = F.base64(F.aes_encrypt(F.col("text").cast("binary"), F.lit(key.encode()), F.lit("CBC"), F.lit("PKCS")))
     return parsers.rank_history(texts.select("symbol", sealed.alias("payload")), key)
 
 
-@query(with_ctes("SELECT symbol, date, 'qfq' AS adjust_type, round(close, 6) AS close, NULL::DOUBLE AS turnover_rate, coalesce(CASE WHEN symbol % 2 = 0 THEN 'first' END, 'derived') AS source FROM bars", "bars"))
+@query(with_ctes("SELECT symbol, date, 'qfq' AS adjust_type, round(close, 6) AS close, NULL::DOUBLE AS turnover_rate, coalesce(CASE WHEN symbol % 2 = 0 "
+    "THEN 'first' END, 'derived') AS source FROM bars", "bars"))
 def typed_sink_rows(spark, d):
     """Bars in the schema of the bar table: adjustment and source by default, what is not there null."""
     frame = src.bars(spark, d).withColumn("source", F.when(F.col("symbol") % 2 == 0, "first"))
-    out = store.conform(frame, "symbol long, date date, adjust_type string, close double, turnover_rate double, source string", {"adjust_type": "qfq", "source": "derived"})
+    out = store.conform(frame, "symbol long, date date, adjust_type string, close double, turnover_rate double, source string",
+        {"adjust_type": "qfq", "source": "derived"})
     return out.withColumn("close", F.round("close", 6))
 
 
 @query(
     with_ctes(
-        "SELECT t.symbol, count(*) AS pivot_count, max(w.impulse) AS impulse_score, arg_max(t.typ, t.ordinal) AS last_type, round(max(l.last_close), 6) AS close FROM line t JOIN (SELECT symbol, arg_max(close, date) AS last_close FROM bars GROUP BY symbol) l USING (symbol) "
+        "SELECT t.symbol, count(*) AS pivot_count, max(w.impulse) AS impulse_score, arg_max(t.typ, t.ordinal) AS last_type, round(max(l.last_close), 6) AS "
+        "close FROM line t JOIN (SELECT symbol, arg_max(close, date) AS last_close FROM bars GROUP BY symbol) l USING (symbol) "
         "LEFT JOIN (SELECT symbol, CASE WHEN n = 6 THEN (" + _IMPULSE + ") * 20 END AS impulse FROM lengths) w USING (symbol) GROUP BY t.symbol",
         "pivots", recursive=f"{_fold(0.03)}, {_SIX}",
     )

@@ -42,21 +42,25 @@ def first_category(spark, d):
     return src.table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("other")).alias("category"))
 
 
-@query("SELECT o_orderkey, o_custkey, 'first' AS part FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey, 'second' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+@query("SELECT o_orderkey, o_custkey, 'first' AS part FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey, 'second' FROM orders "
+    "WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
 def append_dedupe(spark, d):
     """A second list of results added to a first, whose rows stay."""
     orders = src.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return store.insert_ignore(orders.where("o_orderkey % 3 = 0").withColumn("part", F.lit("first")), orders.where("o_orderkey % 2 = 0").withColumn("part", F.lit("second")), ["o_orderkey"])
+    return store.insert_ignore(orders.where("o_orderkey % 3 = 0").withColumn("part", F.lit("first")),
+        orders.where("o_orderkey % 2 = 0").withColumn("part", F.lit("second")), ["o_orderkey"])
 
 
-@query(with_ctes("SELECT sector_code, count(*) AS rising, array_to_string(list(name ORDER BY name)[1:3], ',') AS examples FROM members JOIN spot USING (symbol) WHERE change_rate > 0 GROUP BY sector_code", "members", "spot"))
+@query(with_ctes("SELECT sector_code, count(*) AS rising, array_to_string(list(name ORDER BY name)[1:3], ',') AS examples FROM members JOIN spot USING "
+    "(symbol) WHERE change_rate > 0 GROUP BY sector_code", "members", "spot"))
 def rising_examples(spark, d):
     """Rising members of each sector and three of their names; the names of one sector's members are few."""
     joined = src.members(spark, d).select("sector_code", "symbol").join(src.spot(spark, d).select("symbol", "name", "change_rate"), "symbol").where("change_rate > 0")
     return joined.groupBy("sector_code").agg(F.count(F.lit(1)).alias("rising"), F.array_join(F.slice(F.array_sort(F.collect_list("name")), 1, 3), ",").alias("examples"))
 
 
-@query(with_ctes("SELECT symbol, date, round(close, 6) AS close FROM bars JOIN (SELECT symbol, max(date) FILTER (volume < 2) AS bad FROM bars GROUP BY symbol) USING (symbol) WHERE bad IS NULL OR date > bad", "bars"))
+@query(with_ctes("SELECT symbol, date, round(close, 6) AS close FROM bars JOIN (SELECT symbol, max(date) FILTER (volume < 2) AS bad FROM bars GROUP BY "
+    "symbol) USING (symbol) WHERE bad IS NULL OR date > bad", "bars"))
 def repaired_bars(spark, d):
     """Bars after each symbol's last bad one."""
     frame = src.bars(spark, d)
@@ -64,11 +68,14 @@ def repaired_bars(spark, d):
     return frame.join(bad, "symbol").where("bad is null or date > bad").select("symbol", "date", F.round("close", 6).alias("close"))
 
 
-@query(with_ctes(f"SELECT symbol, round(MA20 / nullif(m5, 0) - 1, 6) AS slope20, round(VOL_MA5 / nullif(VOL_MA20, 0), 6) AS vol5_20, round(close / nullif(HIGH_60, 0) - 1, 6) AS from_high, round(close / nullif(LOW_60, 0) - 1, 6) AS from_low FROM (SELECT *, lag(MA20, 5) {W} AS m5, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM ind) WHERE rn = 1", "ind"))
+@query(with_ctes(f"SELECT symbol, round(MA20 / nullif(m5, 0) - 1, 6) AS slope20, round(VOL_MA5 / nullif(VOL_MA20, 0), 6) AS vol5_20, round(close / "
+    f"nullif(HIGH_60, 0) - 1, 6) AS from_high, round(close / nullif(LOW_60, 0) - 1, 6) AS from_low FROM (SELECT *, lag(MA20, 5) {W} AS m5, row_number() "
+    f"OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM ind) WHERE rn = 1", "ind"))
 def review_metrics(spark, d):
     frame = ta.native_indicators(src.with_change(src.bars(spark, d))).withColumn("m5", F.lag("MA20", 5).over(by_symbol()))
     last = screens.latest(frame)
-    each = {"slope20": ratio(F.col("MA20"), F.col("m5")) - lit(1), "vol5_20": ratio(F.col("VOL_MA5"), F.col("VOL_MA20")), "from_high": ratio(F.col("close"), F.col("HIGH_60")) - lit(1), "from_low": ratio(F.col("close"), F.col("LOW_60")) - lit(1)}
+    each = {"slope20": ratio(F.col("MA20"), F.col("m5")) - lit(1), "vol5_20": ratio(F.col("VOL_MA5"), F.col("VOL_MA20")),
+        "from_high": ratio(F.col("close"), F.col("HIGH_60")) - lit(1), "from_low": ratio(F.col("close"), F.col("LOW_60")) - lit(1)}
     return last.select("symbol", *[F.round(c, 6).alias(k) for k, c in each.items()])
 
 
@@ -83,7 +90,8 @@ for _column in ("change_rate", "volume", "turnover_rate"):
     _top(_column)
 
 
-@query(with_ctes("SELECT symbol, n >= 0.8::DOUBLE * 250 AND last >= (SELECT max(date) FROM bars) - 7 AS usable FROM (SELECT symbol, count(*) AS n, max(date) AS last FROM bars GROUP BY symbol)", "bars"))
+@query(with_ctes("SELECT symbol, n >= 0.8::DOUBLE * 250 AND last >= (SELECT max(date) FROM bars) - 7 AS usable FROM (SELECT symbol, count(*) AS n, "
+    "max(date) AS last FROM bars GROUP BY symbol)", "bars"))
 def usable_history(spark, d):
     """Whether a symbol's bars are enough and fresh enough to be used as they are."""
     frame = src.bars(spark, d)
@@ -96,24 +104,29 @@ def stale_symbols(spark, d):
     return store.stale_symbols(store.coverage(src.bars(spark, d)), "2001-11-01")
 
 
-@query(with_ctes("SELECT year(date) AS year, month(date) AS month, count(*) AS n, round(sum(amount), 2) AS amount FROM bars GROUP BY ROLLUP (year(date), month(date))", "bars"))
+@query(with_ctes("SELECT year(date) AS year, month(date) AS month, count(*) AS n, round(sum(amount), 2) AS amount FROM bars GROUP BY ROLLUP (year(date), "
+    "month(date))", "bars"))
 def amount_rollup(spark, d):
     frame = src.bars(spark, d).select(F.year("date").alias("year"), F.month("date").alias("month"), "amount")
     return frame.rollup("year", "month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
-@query(with_ctes(f"SELECT symbol, date, volume > 2 * v5 AS surge, MA5 > MA10 AND MA10 > MA20 AND MA20 > MA60 AS aligned FROM (SELECT *, {full(5, 'avg(volume)', 'volume', True)} AS v5 FROM ind) WHERE MA60 IS NOT NULL", "ind"))
+@query(with_ctes(f"SELECT symbol, date, volume > 2 * v5 AS surge, MA5 > MA10 AND MA10 > MA20 AND MA20 > MA60 AS aligned FROM (SELECT "
+    f"*, {full(5, 'avg(volume)', 'volume', True)} AS v5 FROM ind) WHERE MA60 IS NOT NULL", "ind"))
 def quick_signals(spark, d):
     """Volume above twice the five bars before, and four averages in order."""
     from candela.functions.series import prior
 
-    frame = ta.moving_averages(src.bars(spark, d)).withColumn("v5", F.when(F.count("volume").over(prior(5)) == 5, F.avg("volume").over(prior(5)))).where("MA60 is not null")
+    frame = ta.moving_averages(src.bars(spark, d)).withColumn("v5", F.when(F.count("volume").over(prior(5)) == 5,
+        F.avg("volume").over(prior(5)))).where("MA60 is not null")
     return frame.select("symbol", "date", (F.col("volume") > 2 * F.col("v5")).alias("surge"), F.expr("MA5 > MA10 and MA10 > MA20 and MA20 > MA60").alias("aligned"))
 
 
-@query(with_ctes("SELECT symbol, date, round(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 59 PRECEDING), 6) AS mean60, ntile(4) OVER (PARTITION BY symbol ORDER BY close, date) AS quartile FROM bars", "bars"))
+@query(with_ctes("SELECT symbol, date, round(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 59 PRECEDING), 6) AS mean60, ntile(4) OVER (PARTITION "
+    "BY symbol ORDER BY close, date) AS quartile FROM bars", "bars"))
 def price_quartiles(spark, d):
     from pyspark.sql import Window
 
     frame = src.bars(spark, d)
-    return frame.select("symbol", "date", F.round(F.avg("close").over(trailing(60)), 6).alias("mean60"), F.ntile(4).over(Window.partitionBy("symbol").orderBy("close", "date")).alias("quartile"))
+    return frame.select("symbol", "date", F.round(F.avg("close").over(trailing(60)), 6).alias("mean60"),
+        F.ntile(4).over(Window.partitionBy("symbol").orderBy("close", "date")).alias("quartile"))

@@ -47,7 +47,8 @@ def with_change(frame: DataFrame) -> DataFrame:
 
 def basics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, name, nation, balance)."""
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"),
+        F.col("s_acctbal").alias("balance"))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,8 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = stock.join(F.broadcast(nation), F.col("nation") == F.col("n_nationkey"))  # 25 nations
 
     def sector(prefix: str, key: str, name: str, kind: str) -> DataFrame:
-        return placed.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("sector_code"), F.col(name).alias("sector_name"), F.lit(kind).alias("sector_type"), "symbol")
+        return placed.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("sector_code"), F.col(name).alias("sector_name"),
+            F.lit(kind).alias("sector_type"), "symbol")
 
     return sector("N", "n_nationkey", "n_name", "industry").unionByName(sector("R", "r_regionkey", "r_name", "concept"))
 
@@ -75,7 +77,8 @@ def spot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))).alias("rn"),
     ).where("rn = 1")
     return last.join(basics(spark, sf_dir), "symbol").select(
-        "symbol", "name", F.col("date").alias("trade_date"), F.col("close").alias("latest_price"), "change_rate", "volume", "amount", "amplitude", "volume_ratio", F.col("turnover").alias("turnover_rate"),
+        "symbol", "name", F.col("date").alias("trade_date"), F.col("close").alias("latest_price"), "change_rate", "volume", "amount", "amplitude",
+        "volume_ratio", F.col("turnover").alias("turnover_rate"),
         (F.col("balance") / lit(100)).alias("pe_dynamic"), (F.abs("balance") / lit(1000)).alias("pb"), (F.col("close") * F.col("shares")).alias("total_market_cap"),
         (F.col("close") * F.col("shares") * lit(0.7)).alias("float_market_cap"), "change_60d", "change_ytd",
     )
@@ -96,7 +99,8 @@ def sector_bars(frame: DataFrame, member: DataFrame) -> DataFrame:
     window = by_symbol("sector_code")
     closed = mean.withColumn("close", lit(1000) * F.exp(F.sum(F.log(lit(1) + F.col("r"))).over(window.rowsBetween(Window.unboundedPreceding, 0))))
     opened = closed.withColumn("open", F.coalesce(F.lag("close").over(window), lit(1000)))
-    return opened.select("sector_code", "date", "open", (F.greatest("open", "close") * (lit(1) + F.col("span") / lit(4))).alias("high"), (F.least("open", "close") * (lit(1) - F.col("span") / lit(4))).alias("low"), "close", "volume", "amount")
+    return opened.select("sector_code", "date", "open", (F.greatest("open", "close") * (lit(1) + F.col("span") / lit(4))).alias("high"),
+        (F.least("open", "close") * (lit(1) - F.col("span") / lit(4))).alias("low"), "close", "volume", "amount")
 
 
 def flows(frame: DataFrame) -> DataFrame:

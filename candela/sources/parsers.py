@@ -52,7 +52,8 @@ def tilde_quotes(frame: DataFrame, fields: dict[str, int], text: str = "text") -
 def with_lagged_change(frame: DataFrame) -> DataFrame:
     """change_rate, change_amount and amplitude from the close before; null on a symbol's first row."""
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))
-    return frame.select("*", F.round(ratio(F.col("close") - before, before) * lit(100), 4).alias("change_rate"), F.round(F.col("close") - before, 4).alias("change_amount"), F.round(ratio(F.col("high") - F.col("low"), before) * lit(100), 4).alias("amplitude"))
+    return frame.select("*", F.round(ratio(F.col("close") - before, before) * lit(100), 4).alias("change_rate"),
+        F.round(F.col("close") - before, 4).alias("change_amount"), F.round(ratio(F.col("high") - F.col("low"), before) * lit(100), 4).alias("amplitude"))
 
 
 def first_available(*sources: DataFrame, key: str = "symbol") -> DataFrame:
@@ -90,7 +91,8 @@ def percent_rows(frame: DataFrame, line: str = "fields") -> DataFrame:
     """
     field = lambda i: number(F.try_element_at(line, F.lit(i + 1)))
     rows = frame.where(F.size(line) >= 9).select(
-        "symbol", F.to_date(F.element_at(line, 1)).alias("date"), field(1).alias("open"), field(6).alias("high"), field(5).alias("low"), field(2).alias("close"), field(7).alias("volume"), (field(8) * lit(10_000)).alias("amount"),
+        "symbol", F.to_date(F.element_at(line, 1)).alias("date"), field(1).alias("open"), field(6).alias("high"), field(5).alias("low"),
+        field(2).alias("close"), field(7).alias("volume"), (field(8) * lit(10_000)).alias("amount"),
         field(4).alias("change_rate"), field(3).alias("change_amount"), field(9).alias("turnover"),
     ).where("close is not null")
     before = F.coalesce(F.lag("close").over(Window.partitionBy("symbol").orderBy("date")), F.col("close") - F.col("change_amount"))
@@ -101,8 +103,10 @@ def frame_rows(frame: DataFrame) -> DataFrame:
     """Bars whose volume is in single shares and whose turnover is a share: in hundreds and per cent, with change and amplitude."""
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))
     return frame.select(
-        "symbol", "date", "open", "high", "low", "close", (F.col("volume") / lit(100)).alias("volume"), "amount", (ratio(F.col("high") - F.col("low"), before) * lit(100)).alias("amplitude"),
-        ((ratio(F.col("close"), before) - lit(1)) * lit(100)).alias("change_rate"), (F.col("close") - before).alias("change_amount"), (F.col("turnover") * lit(100)).alias("turnover"),
+        "symbol", "date", "open", "high", "low", "close", (F.col("volume") / lit(100)).alias("volume"), "amount",
+        (ratio(F.col("high") - F.col("low"), before) * lit(100)).alias("amplitude"),
+        ((ratio(F.col("close"), before) - lit(1)) * lit(100)).alias("change_rate"), (F.col("close") - before).alias("change_amount"),
+        (F.col("turnover") * lit(100)).alias("turnover"),
     )
 
 
@@ -111,8 +115,10 @@ def member_rows(frame: DataFrame) -> DataFrame:
     code = F.trim("code")
     n = {c: number(F.col(c)) for c in ("trade", "changepercent", "pricechange", "volume", "amount", "turnoverratio", "high", "low", "open", "settlement", "pb", "per")}
     return frame.where(code.rlike(r"^\d{6}$")).select(
-        "sector_code", code.alias("stock_code"), F.trim("name").alias("stock_name"), n["trade"].alias("latest_price"), n["changepercent"].alias("change_rate"), n["pricechange"].alias("change_amount"), (n["volume"] / lit(100)).alias("volume"),
-        n["amount"].alias("turnover"), n["turnoverratio"].alias("turnover_rate"), n["high"].alias("high"), n["low"].alias("low"), n["open"].alias("open_today"), n["settlement"].alias("close_yesterday"), n["pb"].alias("pb"), n["per"].alias("pe_dynamic"),
+        "sector_code", code.alias("stock_code"), F.trim("name").alias("stock_name"), n["trade"].alias("latest_price"),
+        n["changepercent"].alias("change_rate"), n["pricechange"].alias("change_amount"), (n["volume"] / lit(100)).alias("volume"),
+        n["amount"].alias("turnover"), n["turnoverratio"].alias("turnover_rate"), n["high"].alias("high"), n["low"].alias("low"),
+        n["open"].alias("open_today"), n["settlement"].alias("close_yesterday"), n["pb"].alias("pb"), n["per"].alias("pe_dynamic"),
         F.round(ratio(n["high"] - n["low"], n["settlement"]) * lit(100), 4).alias("amplitude"),
     )
 
@@ -121,7 +127,8 @@ def node_maps(frame: DataFrame, text: str = "text") -> DataFrame:
     """(kind, name, node) of scripts ``var x = {"node": "id,name,..."}``; of nodes with one name the first in the script counts."""
     body = F.regexp_extract(F.col(text), r"(?s)=\s*(\{.*\})", 1)
     entries = F.map_entries(F.from_json(body, "map<string,string>"))
-    each = frame.select("kind", F.posexplode(entries).alias("position", "e")).select("kind", "position", F.col("e.key").alias("node"), F.trim(F.try_element_at(F.split("e.value", ","), F.lit(2))).alias("name"))
+    each = frame.select("kind", F.posexplode(entries).alias("position", "e")).select("kind", "position", F.col("e.key").alias("node"),
+        F.trim(F.try_element_at(F.split("e.value", ","), F.lit(2))).alias("name"))
     return each.where("name <> ''").groupBy("kind", "name").agg(F.min_by("node", "position").alias("node"))
 
 

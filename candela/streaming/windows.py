@@ -13,7 +13,8 @@ def timed(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def windowed(events: DataFrame, window: Column, *keys: str) -> DataFrame:
     out = timed(events).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("peak"))
-    return out.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 6).alias("total"), "peak")
+    return out.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n",
+        F.round("total", 6).alias("total"), "peak")
 
 
 def tumbling(events: DataFrame, size: str = "1 hour") -> DataFrame:

@@ -26,7 +26,8 @@ def ramp(corners, loud=(), symbol=1):
     at = np.arange(corners[-1][0] + 1)
     close = np.interp(at, *zip(*corners, strict=True))
     opened = np.concatenate([[close[0] * 0.999], close[:-1]])
-    return [(symbol, d, float(o), float(max(o, c) * 1.003), float(min(o, c) * 0.997), float(c), 4e5 * (4 if i in loud else 1), 1e6) for i, (d, o, c) in enumerate(zip(days(len(at)), opened, close, strict=True))]
+    return [(symbol, d, float(o), float(max(o, c) * 1.003), float(min(o, c) * 0.997), float(c), 4e5 * (4 if i in loud else 1), 1e6) for i,
+        (d, o, c) in enumerate(zip(days(len(at)), opened, close, strict=True))]
 
 
 def signals_of(spark, rows, **over):
@@ -72,9 +73,11 @@ def test_fib_levels():
 SCENES = {
     1: ([(0, 64), (190, 104), (262, 63), (276, 72), (290, 64.5), (304, 70)], (), ("w_bottom", "right_bottom", 295, "down", "base_rebound")),
     2: ([(0, 60), (70, 46), (270, 83), (283, 75), (296, 82), (306, 76.5), (316, 80)], (), ("m_neckline", "neckline_hold", 310, "up", "second_pullback")),
-    3: ([(0, 40), (120, 44), (170, 55), (185, 51), (240, 66), (255, 62), (300, 80), (309, 75.5), (318, 79)], (), ("trend_pullback", "near_level", 260, "up", "second_pullback")),
+    3: ([(0, 40), (120, 44), (170, 55), (185, 51), (240, 66), (255, 62), (300, 80), (309, 75.5), (318, 79)], (),
+    ("trend_pullback", "near_level", 260, "up", "second_pullback")),
     4: ([(0, 58), (240, 61), (275, 82), (300, 63.5), (316, 64.5), (324, 67)], (), ("ma_rebound", "MA120_hold", 317, "down", "downtrend_ma_support")),
-    5: ([(0, 30), (150, 45), (230, 47), (240, 46), (250, 47.2), (262, 46.2), (272, 47), (275, 49)], (273, 274, 275), ("box_breakout", "box_breakout", 273, "range", "box_breakout")),
+    5: ([(0, 30), (150, 45), (230, 47), (240, 46), (250, 47.2), (262, 46.2), (272, 47), (275, 49)], (273, 274, 275),
+    ("box_breakout", "box_breakout", 273, "range", "box_breakout")),
 }
 
 
@@ -96,7 +99,8 @@ def test_detectors_do_not_look_ahead(spark, cut):
     rng = np.random.default_rng(7)
     close = 50 * np.exp(np.cumsum(rng.normal(0, 0.02, 500)))
     opened = np.concatenate([[50], close[:-1]])
-    rows = [(1, d, float(o), float(max(o, c) * 1.005), float(min(o, c) * 0.995), float(c), float(v), 1.0) for d, o, c, v in zip(days(500), opened, close, rng.uniform(1e5, 1e6, 500), strict=True)]
+    rows = [(1, d, float(o), float(max(o, c) * 1.005), float(min(o, c) * 0.995), float(c), float(v), 1.0) for d, o, c,
+        v in zip(days(500), opened, close, rng.uniform(1e5, 1e6, 500), strict=True)]
     whole = [(r.date, r.pattern, r.score) for r in signals_of(spark, rows) if r.date <= rows[cut - 1][1]]
     assert whole == [(r.date, r.pattern, r.score) for r in signals_of(spark, rows[:cut])]
 
@@ -130,11 +134,14 @@ def test_horizontal_range():
 def test_audit_finds_what_is_wrong(spark):
     frame = spark.createDataFrame(ramp([(0, 50), (60, 80)]), BARS)
     shape = {"scale": "fine", "status": "confirmed", "score": 0.5}
-    good = shape | {"symbol": 1, "kind": "trendline", "id": "good", "role": "support", "start_idx": 0, "end_idx": 10, "start_price": 45.0, "slope": 0.4, "touches": [0, 10, 20], "confirm_idx": 23}
-    rows = [good, good | {"id": "two", "touches": [0, 10]}, good | {"id": "crossed", "start_price": 49.0, "slope": 0.6}, shape | {"symbol": 1, "kind": "channel", "id": "narrow", "slope": 0.5, "lower": 40.0, "upper": 49.0, "confirm_idx": 20}]
+    good = shape | {"symbol": 1, "kind": "trendline", "id": "good", "role": "support", "start_idx": 0, "end_idx": 10, "start_price": 45.0, "slope": 0.4,
+        "touches": [0, 10, 20], "confirm_idx": 23}
+    rows = [good, good | {"id": "two", "touches": [0, 10]}, good | {"id": "crossed", "start_price": 49.0, "slope": 0.6},
+        shape | {"symbol": 1, "kind": "channel", "id": "narrow", "slope": 0.5, "lower": 40.0, "upper": 49.0, "confirm_idx": 20}]
     names = [x.split()[0] for x in structure.SCHEMA.split(", ")]
     structures = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], structure.SCHEMA)
-    assert {(r.id, r.reason) for r in structure.audit(structures, frame).collect()} == {("two", "no_third_touch"), ("crossed", "wick_crossing"), ("narrow", "wick_crossing")}
+    assert {(r.id, r.reason) for r in structure.audit(structures, frame).collect()} == {("two", "no_third_touch"), ("crossed", "wick_crossing"),
+        ("narrow", "wick_crossing")}
 
 
 def legs_frame(spark, ups):
@@ -145,13 +152,15 @@ def legs_frame(spark, ups):
 
 @pytest.mark.parametrize(
     ("path", "phase", "ratio"),
-    [([60, 60], "impulse", 0.0), ([60, 56, 58], "retracing", 0.1), ([60, 52, 60], "retracement_confirming", 0.0), ([60, 52, 63], "resumed", -0.15), ([60, 52, 38], "over_retraced", 1.1)],
+    [([60, 60], "impulse", 0.0), ([60, 56, 58], "retracing", 0.1), ([60, 52, 60], "retracement_confirming", 0.0), ([60, 52, 63], "resumed", -0.15),
+    ([60, 52, 38], "over_retraced", 1.1)],
 )
 @pytest.mark.parametrize("down", [False, True])
 def test_retracement_phases(spark, path, phase, ratio, down):
     """A move from 40 to 60, or its mirror image, and the closes after it."""
     turn = (lambda p: 100 - p) if down else (lambda p: p)
-    anchored = spark.createDataFrame([(1, "leg", 0, float(turn(40)), 1, float(turn(60)), "down" if down else "up")], "symbol long, leg_id string, start_idx int, start_price double, end_idx int, end_price double, direction string")
+    anchored = spark.createDataFrame([(1, "leg", 0, float(turn(40)), 1, float(turn(60)), "down" if down else "up")],
+        "symbol long, leg_id string, start_idx int, start_price double, end_idx int, end_price double, direction string")
     closes = [turn(40), *map(turn, path)]
     frame = spark.createDataFrame([(1, d, float(c), float(c), float(c), float(c), 1.0, 1.0) for d, c in zip(days(len(closes)), closes, strict=True)], BARS)
     got = pivots.retracements(anchored, frame).first()
@@ -160,7 +169,8 @@ def test_retracement_phases(spark, path, phase, ratio, down):
 
 def test_anchors_need_length_and_size(spark):
     moves = pivots.legs(legs_frame(spark, [30, 50, 40, 70, 65]))
-    sized = moves.withColumn("atr_move", F.element_at(F.array(*map(F.lit, (4.0, 0.9, 9.0, 2.0))), F.col("ordinal") + 1)).withColumn("bars", F.when(F.col("ordinal") == 3, 2).otherwise(F.col("bars")))
+    sized = moves.withColumn("atr_move", F.element_at(F.array(*map(F.lit, (4.0, 0.9, 9.0, 2.0))), F.col("ordinal") + 1)).withColumn("bars",
+        F.when(F.col("ordinal") == 3, 2).otherwise(F.col("bars")))
     assert [(r.ordinal, r.position, r.rank) for r in pivots.anchors(sized).orderBy("position").collect()] == [(2, 1, 1.0), (0, 2, 0.5)]
 
 
@@ -187,7 +197,8 @@ def test_correction_scores(spark, prices, score):
 
 
 def test_double_patterns_of_both_kinds(spark):
-    for mirror, (kind, broken, failed, open_) in ((False, ("w_bottom", "neckline_breakout", "invalidated", "right_bottom_confirmed")), (True, ("m_top", "neckline_breakdown", "invalidated", "right_top_confirmed"))):
+    for mirror, (kind, broken, failed, open_) in ((False, ("w_bottom", "neckline_breakout", "invalidated", "right_bottom_confirmed")),
+        (True, ("m_top", "neckline_breakdown", "invalidated", "right_top_confirmed"))):
         turn = (lambda p: 100 - p) if mirror else (lambda p: p)
         line = legs_frame(spark, [turn(40), turn(46), turn(41)])
         for after, status in ((47.5, broken), (38.0, failed), (43.0, open_)):
@@ -199,7 +210,8 @@ def test_double_patterns_of_both_kinds(spark):
 
 def test_turns_and_the_open_leg(spark):
     moves = pivots.legs(legs_frame(spark, [40, 60, 50, 66, 56]))
-    assert [(r.kind, r.nearest, round(r.ratio, 3)) for r in pivots.turns(moves).orderBy("ordinal").collect()] == [("up_pullback", 0.5, 0.5), ("down_rebound", 0.786, 1.6), ("up_pullback", 0.618, 0.625)]
+    assert [(r.kind, r.nearest, round(r.ratio, 3)) for r in pivots.turns(moves).orderBy("ordinal").collect()] == [("up_pullback", 0.5, 0.5),
+        ("down_rebound", 0.786, 1.6), ("up_pullback", 0.618, 0.625)]
     frame = spark.createDataFrame(ramp([(0, 56), (50, 58)]), BARS)
     got = pivots.active_leg(legs_frame(spark, [40, 60, 50, 66, 56]), frame).first()
     assert (got.from_type, got.direction, got.change_pct) == ("L", "up", 3.57)
@@ -247,14 +259,16 @@ def test_likeness_warps_prices_only():
 
 
 def test_probabilities_sum(spark):
-    frame = spark.createDataFrame([(5, r, 0.06 if r > 0 else 0.0, -0.06 if r < 0 else 0.0, 0.5 + i / 100) for i, r in enumerate([0.03, -0.03, 0.0, 0.05, 0.01] * 5)], "horizon int, ret double, max_gain double, max_fall double, score double")
+    frame = spark.createDataFrame([(5, r, 0.06 if r > 0 else 0.0, -0.06 if r < 0 else 0.0, 0.5 + i / 100) for i,
+        r in enumerate([0.03, -0.03, 0.0, 0.05, 0.01] * 5)], "horizon int, ret double, max_gain double, max_fall double, score double")
     got = similarity.probabilities(frame).first()
     assert abs(got.up + got.down + got.sideways - 100) < 0.02 and got.confidence == "medium" and got.n == 25
 
 
 def test_portfolio_takes_ten(spark):
     day = datetime.date(2024, 1, 2)
-    trades = spark.createDataFrame([(i, "p", day, day + datetime.timedelta(5), 0.01) for i in range(15)], "symbol long, pattern string, entry_date date, exit_date date, net_return double")
+    trades = spark.createDataFrame([(i, "p", day, day + datetime.timedelta(5), 0.01) for i in range(15)],
+        "symbol long, pattern string, entry_date date, exit_date date, net_return double")
     assert backtest.admit(trades).count() == 10
 
 
@@ -286,7 +300,8 @@ def test_alert_stream_equals_batch_and_is_idempotent(spark, tmp_path):
     schema = "zone_id string, ts timestamp, close double, high double, low double, closed boolean, lower double, upper double, invalidated boolean"
     stamp = datetime.datetime(2024, 1, 1)
     rng = np.random.default_rng(5)
-    rows = [(f"z{i % 3}", stamp + datetime.timedelta(minutes=i), float(10 + rng.normal(0, 0.4)), None, None, bool(i % 4), 9.8, 10.2, i > 280 and i % 3 == 1) for i in range(300)]
+    rows = [(f"z{i % 3}", stamp + datetime.timedelta(minutes=i), float(10 + rng.normal(0, 0.4)), None, None, bool(i % 4), 9.8, 10.2,
+        i > 280 and i % 3 == 1) for i in range(300)]
     frame = spark.createDataFrame(rows, schema)
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     want = {r.idempotency_key for r in alerts.alert_batch(frame).collect()}
@@ -309,7 +324,8 @@ def test_parsers(spark):
     lines = spark.createDataFrame([("2024-01-02,1,2,3,0.5,100,1e4,-,5%,1,0.2",), ("2024-01-03,1",), ("2024-01-04" + ",-" * 10,)], "line string")
     got = parsers.comma_bars(lines).orderBy("date").collect()
     assert len(got) == 2 and got[0].change_rate == 5.0 and got[0].amplitude is None and got[1].close is None
-    codes = spark.createDataFrame([("sh600000",), ("430001",), ("x",)], "c string").select(parsers.prefixed(F.col("c")).alias("a"), parsers.prefixed(F.col("c"), True).alias("b")).collect()
+    codes = spark.createDataFrame([("sh600000",), ("430001",), ("x",)], "c string").select(parsers.prefixed(F.col("c")).alias("a"),
+        parsers.prefixed(F.col("c"), True).alias("b")).collect()
     assert [tuple(r) for r in codes] == [("sh600000", "sh600000"), ("sz430001", "bj430001"), (None, None)]
     quotes = spark.createDataFrame([('v_sh600000="1~Name~600000~9.5";v_sz000001="51~Other~000001~";',)], "text string")
     assert [tuple(r) for r in parsers.tilde_quotes(quotes, {"name": 1, "price": 3}).collect()] == [("sh600000", "Name", "9.5"), ("sz000001", "Other", "")]
@@ -326,7 +342,8 @@ def test_registry_and_functions(spark):
     finally:
         del registry.FEATURES["twice"]
     registry.register_functions(spark)
-    row = spark.sql("SELECT score_range(0.5D, 1D, 2D, 0D, 4D) AS a, score_range(3D, 1D, 2D, 0D, 4D) AS b, score_range(NULL, 1D, 2D, 0D, 4D) AS c, warp(array(0D, 1D), array(0D, 2D)) AS w").first()
+    row = spark.sql("SELECT score_range(0.5D, 1D, 2D, 0D, 4D) AS a, score_range(3D, 1D, 2D, 0D, 4D) AS b, score_range(NULL, 1D, 2D, 0D, 4D) AS c, "
+        "warp(array(0D, 1D), array(0D, 2D)) AS w").first()
     assert (row.a, row.b, row.c, row.w) == (0.5, 0.5, 0.0, 0.5)
 
 
@@ -360,7 +377,8 @@ def test_structures_do_not_look_ahead(spark):
 
 def test_alert_events_are_listed(spark):
     stamp = datetime.datetime(2024, 1, 1)
-    events = spark.createDataFrame([(f"z{i % 2}", stamp + datetime.timedelta(hours=i), f"k{i}") for i in range(6)], "zone_id string, ts timestamp, idempotency_key string")
+    events = spark.createDataFrame([(f"z{i % 2}", stamp + datetime.timedelta(hours=i), f"k{i}") for i in range(6)],
+        "zone_id string, ts timestamp, idempotency_key string")
     assert [r.idempotency_key for r in alerts.list_events(events, "z1", 2).collect()] == ["k5", "k3"]
 
 
