@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from candela.functions.series import full, lit, prior, score_range, typed
 from candela.operators.pivots import Pivot, extend
 
+#: The tables and limits below, and those in the detectors, are fixed values.
 MIN_BARS = 260
 #: Bars a pattern rests after a signal.
 COOLDOWN = {"trend_pullback": 10, "ma_rebound": 20, "w_bottom": 15, "m_neckline": 15, "box_breakout": 15}
@@ -271,12 +272,13 @@ def scan(rows: pd.DataFrame, found: list[Pivot], patterns: tuple[str, ...] = tup
     """Signals of one symbol's ascending rows, given its pivots in the order of their confirmation."""
     b, out, rests, at = Bars(rows), [], {}, 0
     dates, symbol = rows["date"].tolist(), rows["symbol"].iloc[0]
-    for i in range(MIN_BARS, b.n):
+    locked = (b.high == b.low) & (b.change_rate >= 9.5)
+    eligible = (b.volume > 0) & (b.close >= 1.5) & ~np.isnan(b.MA5) & ~np.isnan(b.VOL_MA5) & ~locked
+    worth = np.flatnonzero(eligible & (b.rebound | b.strong))  # no detector does anything on other bars
+    for i in worth[worth >= MIN_BARS].tolist():
         while at < len(found) and found[at].confirm <= i:
             extend(b.line, found[at], swing)
             at += 1
-        if not (b.volume[i] > 0 and b.close[i] >= 1.5 and b.MA5[i] == b.MA5[i] and b.VOL_MA5[i] == b.VOL_MA5[i]) or (b.high[i] == b.low[i] and b.change_rate[i] >= 9.5):
-            continue
         for pattern in patterns:
             if i - rests.get(pattern, -MIN_BARS) < COOLDOWN[pattern]:
                 continue
@@ -285,8 +287,9 @@ def scan(rows: pd.DataFrame, found: list[Pivot], patterns: tuple[str, ...] = tup
                 rests[pattern] = i
                 base = {"symbol": symbol, "date": dates[i], "pattern": pattern, "close": round(b.close[i], 3), "fib_level": "", "break_days": 0,
                     "break_depth": 0.0, "macd_div": 0}
-                out.append(base | {c: _known(b.columns[c][i]) for c in CARRIED} | {c: int(b.columns[c][i]) for c in FLAGS} | {k: _known(v) for k,
-                    v in signal.items()} | {"score": round(signal["score"], 3)})
+                carried = {c: _known(b.columns[c][i]) for c in CARRIED} | {c: int(b.columns[c][i]) for c in FLAGS}
+                found_here = {k: _known(v) for k, v in signal.items()} | {"score": round(signal["score"], 3)}
+                out.append(base | carried | found_here)
     return out
 
 
@@ -295,8 +298,9 @@ def detect(factors: DataFrame, patterns: tuple[str, ...] = tuple(DETECTORS), min
     needed = [c for c in dict.fromkeys(["symbol", "date", "open", "high", "low", "close", "volume", "MA5", "MA20", "MA60", "MA120", "MA250", "VOL_MA5",
         "DIF", "is_yang", "above_ma5", "break_high5", "break_close40", *CARRIED, *FLAGS])]
     whole = Window.partitionBy("symbol")
-    gated = factors.select(*needed, F.count(F.lit(1)).over(whole).alias("_n"),
-        F.max("is_yang").over(whole).alias("_any")).where(F.col("_any") & (F.col("_n") >= MIN_BARS))
+    candidate = F.expr("is_yang and ((above_ma5 and break_high5) or coalesce(vol_ratio >= 1.5D, false))")
+    counted = factors.select(*needed, F.count(F.lit(1)).over(whole).alias("_n"), F.max(candidate).over(whole).alias("_any"))
+    gated = counted.where(F.col("_any") & (F.col("_n") >= MIN_BARS))
     flags = [F.col(c).cast("int").alias(c) if c in ("is_yang", "above_ma5", "break_high5", "break_close40") else F.col(c) for c in needed]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
