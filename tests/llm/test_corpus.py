@@ -181,6 +181,20 @@ def test_pipeline_drops_near_duplicates_from_four_fifths(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4]
 
 
+def test_stages_on_awkward_and_empty_tables(spark, awkward, empty):
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, awkward, "")
+        assert name == "best_fit_packing" or out.columns == awkward.columns, name
+        left[name] = Counter(r.doc_id for r in out.select("doc_id").collect())
+        assert stage(spark, empty, "").count() == 0, name
+    assert not {1, 2, 3, 5} & set(left["language_id"]) and {6, 7, 8} <= set(left["language_id"]) and left["language_id"][7] == 2
+    assert left["near_dedup"] == Counter([1, 2, 3, 4, 5, 6, 8, 9, None])
+    assert left["personal_data"] == Counter([1, 2, 3, 4, 5, 6, 7, 7, 8, 9, None])
+    assert set(left["mix_sources"]) <= set(left["personal_data"])
+    assert set(left["best_fit_packing"]) == set(left["personal_data"]) and left["best_fit_packing"][8] > 1
+
+
 def test_pipeline(spark, sample):
     docs = spark.read.parquet(f"{sample}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "personal_data", "mix_sources", "best_fit_packing"]
