@@ -29,7 +29,10 @@ PRIOR_STRENGTH = 0.02
 _SCALE = 1000
 #: Words of class, id and role names that speak against and for content.
 AGAINST = frozenset(
-    "ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice sidebar rail menu nav navbar navigation footer breadcrumb breadcrumbs share sharing social related recommended teaser comment comments discussion discussions thread reply replies respond disqus widget popup modal overlay subscribe newsletter login signin signup toolbar pagination pager disclaimer copyright contentinfo complementary search form dialog alert hidden masthead topbar".split()
+    "ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice sidebar rail menu nav navbar "
+    "navigation footer breadcrumb breadcrumbs share sharing social related recommended teaser comment comments discussion discussions thread reply replies "
+    "respond disqus widget popup modal overlay subscribe newsletter login signin signup toolbar pagination pager disclaimer copyright contentinfo "
+    "complementary search form dialog alert hidden masthead topbar".split()
 )
 FOR = frozenset("article content post entry main story text body prose".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -58,13 +61,15 @@ def surroundings(line: tuple[tuple[str, str], ...]) -> tuple[bool, ...]:
         hidden |= "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
     inner = tags[-1] if tags else ""
     outer = bool(_OUTER & set(tags))
-    return "article" in tags, "main" in tags, outer, "header" in tags and "article" not in tags, against, for_ and not against, hidden, "p" in tags or "blockquote" in tags, inner in ("h1", "h2", "h3", "h4", "h5", "h6"), "li" in tags
+    return "article" in tags, "main" in tags, outer, "header" in tags and "article" not in tags, against, for_ and not against, hidden, "p" in tags or "blockquote" in tags, inner in ("h1",
+        "h2", "h3", "h4", "h5", "h6"), "li" in tags
 
 
 def features(block: Block) -> list[float]:
     article, main, outer, header, against, for_, hidden, paragraph, heading, item = surroundings(block.path[-1].line if block.path else ())
     n, text = len(block.text), block.text
-    return [1.0, article, main, outer, header, against, for_, hidden, block.linked / n, min(n, 400) / 200, text[-1] in ".!?…:;\"'»”", paragraph, heading, item, text[0] == "©" or "all rights reserved" in text[-200:].lower()]
+    return [1.0, article, main, outer, header, against, for_, hidden, block.linked / n, min(n, 400) / 200, text[-1] in ".!?…:;\"'»”", paragraph, heading,
+        item, text[0] == "©" or "all rights reserved" in text[-200:].lower()]
 
 
 def weak_label(block: Block) -> int:
@@ -174,7 +179,8 @@ def _examples(batches):
     for batch in batches:
         rows = [(weak_label(b), features(b)) for page in batch.column(0) for b in blocks(page.as_py()) if b.src is None]
         rows = [r for r in rows if r[0] >= 0]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([[float(v) for v in r[1]] for r in rows], pa.list_(pa.float64()))], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
+            pa.array([[float(v) for v in r[1]] for r in rows], pa.list_(pa.float64()))], ["y", "x"])
 
 
 def train(pages: DataFrame) -> np.ndarray:

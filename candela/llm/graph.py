@@ -35,6 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = checkpoint(_small_star(_large_star(edges)))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"),
+                F.col("v").alias("label")).distinct())
         seen = state
     raise RuntimeError(f"components did not settle in {rounds} rounds")

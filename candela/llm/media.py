@@ -89,7 +89,8 @@ def _items(pages: pd.Series) -> pd.Series:
         items = []
         for i, b in enumerate(blocks(page)):
             digest = b.src[len(SCHEME) :].lower() if b.src and b.src.startswith(SCHEME) else None
-            items.append({"position": i, "kind": "text" if b.src is None else "media", "text": b.text if b.src is None else b.src, "digest": digest, "caption": b.caption or None})
+            items.append({"position": i, "kind": "text" if b.src is None else "media", "text": b.text if b.src is None else b.src, "digest": digest,
+                "caption": b.caption or None})
         out.append(items)
     return pd.Series(out)
 
@@ -123,7 +124,8 @@ def interleave(pages: DataFrame, media: DataFrame, key: str = "page_id", page: s
     for each digest.
     """
     listed = pages.select(F.col(key), F.pandas_udf(_items, ITEMS)(F.col(page).cast("string")).alias("items"))
-    items = listed.select(key, F.size("items").alias("n_items"), F.explode("items").alias("item")).select(key, "item.position", "n_items", "item.kind", "item.text", "item.digest", "item.caption")
+    items = listed.select(key, F.size("items").alias("n_items"), F.explode("items").alias("item")).select(key, "item.position", "n_items", "item.kind",
+        "item.text", "item.digest", "item.caption")
     return items.join(media, "digest", "left")
 
 
@@ -133,7 +135,8 @@ def _escaped(text: Column) -> Column:
 
 def _figure(digest: str, n_bytes: str) -> Column:
     """Mark-up of a stored text's figure."""
-    return F.concat(F.lit('<figure><img src="'), F.lit(SCHEME), F.col(digest), F.lit('" alt="stored text"><figcaption>'), F.col(n_bytes).cast("string"), F.lit(" bytes of text</figcaption></figure>"))
+    return F.concat(F.lit('<figure><img src="'), F.lit(SCHEME), F.col(digest), F.lit('" alt="stored text"><figcaption>'), F.col(n_bytes).cast("string"),
+        F.lit(" bytes of text</figcaption></figure>"))
 
 
 def document_media(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -147,18 +150,21 @@ def document_media(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame
     repeated rows, are kept as they are; null texts are empty.
     """
     text = utf8("text")
-    told = docs.select("doc_id", F.octet_length(F.encode(text, "UTF-8")).cast("long").alias("n_bytes"), payload_of().alias("payload"), text.alias("text")).withColumn("digest", F.sha2("payload", 256))
+    told = docs.select("doc_id", F.octet_length(F.encode(text, "UTF-8")).cast("long").alias("n_bytes"), payload_of().alias("payload"),
+        text.alias("text")).withColumn("digest", F.sha2("payload", 256))
     features = examine(store(told.select("digest", "payload")))
     line = F.substring_index("text", "\n", 1)
     rest = F.substring(F.col("text"), F.length(line) + 2, F.length("text"))
     paragraphs = F.replace(_escaped(rest), F.lit("\n"), F.lit("</p><p>"))
     own = F.concat(F.lit("<article><p>"), _escaped(line), F.lit("</p>"), _figure("digest", "n_bytes"), F.lit("<p>"), paragraphs, F.lit("</p></article>"))
-    shown = interleave(told.select(F.struct("doc_id", "n_bytes", "digest").alias("page_id"), own.alias("html")), features).where("kind = 'media' and digest = page_id.digest")
+    shown = interleave(told.select(F.struct("doc_id", "n_bytes", "digest").alias("page_id"), own.alias("html")),
+        features).where("kind = 'media' and digest = page_id.digest")
     names = [x.split()[0] for x in FEATURES.split(", ")]
     out = shown.select("page_id.doc_id", "page_id.n_bytes", *names, "position", "n_items", "caption")
     if pages is None:
         return out
-    html = pages.where("page_id is not null").groupBy(F.col("page_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col("html").cast("string"), F.lit(""))).alias("html"))
+    html = pages.where("page_id is not null").groupBy(F.col("page_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col("html").cast("string"),
+        F.lit(""))).alias("html"))
     ids = told.select("doc_id", "n_bytes", "digest").distinct()  # rows that repeat a doc_id with another text show another figure
     with_figure = html.join(ids, "doc_id").select(F.struct("doc_id", "n_bytes", "digest").alias("page_id"), F.concat("html", _figure("digest", "n_bytes")).alias("html"))
     none = features.select("digest").limit(0)

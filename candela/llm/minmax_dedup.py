@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> Da
     buckets = materialise(buckets.withColumn("deals", F.ceil(F.col("m") / hot).cast("int")), "buckets")
     # by the pigeonhole principle at most BANDS / HOT_BUCKET buckets are hot
     crowded = F.broadcast(buckets.where("deals > 1").select("key", "deals"))
-    dealt = spread.join(crowded, "key", "left").withColumn("deal", F.when(F.col("deals").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int"))).drop("deals")
+    dealt = spread.join(crowded, "key", "left").withColumn("deal", F.when(F.col("deals").isNull(),
+        0).otherwise(F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int"))).drop("deals")
     members = materialise(dealt.join(_for_each_deal(buckets), ["key", "deal"]), "members")
     smaller, larger = F.least("n", "leader_n"), F.greatest("n", "leader_n")
     pairs = members.where((F.col("rep") != F.col("leader")) & (smaller * 100 >= larger * link)).select("leader", "rep").distinct()
@@ -175,13 +176,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> Da
     right = texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("b"))
     confirmed = pairs.join(left, "leader").join(right, "rep").where(_confirm(width, link)("a", "b"))
     first = components(confirmed.select(F.col("rep").alias("u"), F.col("leader").alias("v")))
-    labelled = members.where("m > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("key", "deal", "deals", "rep", "label")
+    labelled = members.where("m > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label",
+        F.coalesce("label", "rep")).select("key", "deal", "deals", "rep", "label")
     labelled = checkpoint(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.first("deals").alias("deals")).where("lo <> hi")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"),
+        F.first("deals").alias("deals")).where("lo <> hi")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     mixed = _for_each_deal(mixed.select("key", "deals", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))).drop("deals")
     rest = labelled.join(mixed, ["key", "deal"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select("rep", "label", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rest = rest.select("rep", "label", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"))
     blocks = rest.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     found = blocks.groupBy("key", "i", "j").applyInPandas(_blocks(width, link), "u long, v long")
     second = components(found)

@@ -219,7 +219,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     spark = docs.sparkSession
     # pieces of one length are ranked in as many parts as a part has pieces
     parts = spark.createDataFrame([(s, isqrt(n - 1) + 1) for s, n in lengths.items()] or [(0, 1)], "length long, parts long")
-    slots = spark.createDataFrame([tuple(x) for x in plan(lengths, capacity)] or [(0, 0, 0, 0, 0)], "length long, first_rank long, n long, first_sequence long, `offset` long")
+    slots = spark.createDataFrame([tuple(x) for x in plan(lengths, capacity)] or [(0, 0, 0, 0, 0)],
+        "length long, first_rank long, n long, first_sequence long, `offset` long")
     salted = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")))
     by_part = salted.groupBy("length", "part").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -228,4 +229,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     ranked = salted.withColumn("rn", F.row_number().over(inside) - 1).join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("rn"))
     slot = F.broadcast(slots.withColumnRenamed("length", "size"))  # bounded by the capacity
     placed = ranked.join(slot, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32",
+        (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")

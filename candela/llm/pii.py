@@ -25,12 +25,15 @@ CREDENTIAL_CUES = (
     "access_key", "access-key", "access key", "accesskey", "private_key", "private key", "token", "auth_key", "auth key", "bearer", "credential",
 )
 ACCOUNT_CUES = {
-    "iban": "iban", "ssn": "ssn", "social security number": "ssn", "social security no": "ssn", "account number": "number", "account no": "number", "account #": "number", "account id": "number",
-    "acct": "number", "a/c no": "number", "routing number": "number", "customer number": "number", "card number": "number", "passport": "passport", "tax id": "number", "licence number": "passport", "license number": "passport",
+    "iban": "iban", "ssn": "ssn", "social security number": "ssn", "social security no": "ssn", "account number": "number", "account no": "number",
+    "account #": "number", "account id": "number",
+    "acct": "number", "a/c no": "number", "routing number": "number", "customer number": "number", "card number": "number", "passport": "passport",
+    "tax id": "number", "licence number": "passport", "license number": "passport",
 }
 #: Secrets that are known by how they begin, and how they go on.
 TOKEN_FORMS = {
-    "akia": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])", "ghp_": r"ghp_[0-9A-Za-z]{36}", "gho_": r"gho_[0-9A-Za-z]{36}", "github_pat_": r"github_pat_[0-9A-Za-z_]{22,}", "xoxb-": r"xoxb-[0-9A-Za-z-]{10,}", "xoxp-": r"xoxp-[0-9A-Za-z-]{10,}",
+    "akia": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])", "ghp_": r"ghp_[0-9A-Za-z]{36}", "gho_": r"gho_[0-9A-Za-z]{36}",
+    "github_pat_": r"github_pat_[0-9A-Za-z_]{22,}", "xoxb-": r"xoxb-[0-9A-Za-z-]{10,}", "xoxp-": r"xoxp-[0-9A-Za-z-]{10,}",
     "eyj": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]+", "-----begin": r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
 }
 _TOKENS = {cue: re.compile(form, re.S) for cue, form in TOKEN_FORMS.items()}

@@ -199,7 +199,8 @@ def _columns(docs: DataFrame) -> list:
 def _features(batches):
     for batch in batches:
         a, b = views(*(batch.column(i).to_pylist() for i in range(1, 5)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["doc_id", "a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in a], pa.binary()),
+            pa.array([x.tobytes() for x in b], pa.binary())], ["doc_id", "a", "b"])
 
 
 def _arrays(batch, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +216,8 @@ def _sums(chosen):
             found = [moments(x, y) for x, y in chosen(batch)]
             total = found if total is None else [t + f for t, f in zip(total, found, strict=True)]
         for k, values in enumerate(total or []):
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), pa.int32()), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["view", "i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), pa.int32()), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)],
+                ["view", "i", "v"])
 
     return run
 

@@ -55,7 +55,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     added = [count(kind) for kind in pii.KINDS if kind not in pii.BASE]
     return found.select(
-        "doc_id", *map(count, pii.BASE), F.sha2(digest(pii.BASE).cast("binary"), 256).alias("base_sha256"), digest(pii.KINDS).alias("spans"), *added, F.size("found").cast("long").alias("n_spans"),
+        "doc_id", *map(count, pii.BASE), F.sha2(digest(pii.BASE).cast("binary"), 256).alias("base_sha256"), digest(pii.KINDS).alias("spans"), *added,
+        F.size("found").cast("long").alias("n_spans"),
     )
 
 
@@ -81,5 +82,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_language_id, op4_mixing, op5_minmax_dedup, op6_quality, op7_pii, op8_media, op9_extraction, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_language_id, op4_mixing, op5_minmax_dedup, op6_quality, op7_pii, op8_media,
+    op9_extraction, op10_packing, pipeline)}
 ORACLES = {"op4_mixing": mixing.ORACLE_SQL}

@@ -130,9 +130,11 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, spare: int
     spread = slots(classes)
     # by the pigeonhole principle at most len(chosen) / HOT_SLOT slots are hot
     crowded = F.broadcast(spread.groupBy("slot").count().where(F.col("count") > hot).select("slot", F.ceil(F.col("count") / hot).cast("int").alias("parts")))
-    table = spread.join(crowded, "slot", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int"))).drop("parts")
+    table = spread.join(crowded, "slot", "left").withColumn("part", F.when(F.col("parts").isNull(),
+        0).otherwise(F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int"))).drop("parts")
     asked = slots(queries.select("hi", "lo").distinct()).join(crowded, "slot", "left")
-    asked = asked.select("slot", "t", F.col("hi").alias("query_hi"), F.col("lo").alias("query_lo"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    asked = asked.select("slot", "t", F.col("hi").alias("query_hi"), F.col("lo").alias("query_lo"),
+        F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     agreeing = sum((F.when(reduce(and_, zero), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, zero) in enumerate(blocks)), F.lit(0))
     leading = F.array(*[F.lit(sum(1 << i for i in c)) for c in chosen])[F.col("t")]
     below = F.array(*[F.lit((1 << (c[-1] + 1)) - 1) for c in chosen])[F.col("t")]
@@ -151,7 +153,8 @@ def with_neighbours(prints: DataFrame, step: int = QUERY_STEP, radius: int = RAD
     parts = dealt.groupBy("hi", "lo", "deal").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") % step == 0).alias("asked"))
     parts = checkpoint(parts)
     classes = parts.groupBy("hi", "lo").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.max("asked").alias("asked"))
-    found = near(classes, classes.where("asked"), radius).groupBy(F.col("query_hi").alias("hi"), F.col("query_lo").alias("lo")).agg(F.count(F.lit(1)).alias("n_near"), F.min("distance").alias("nearest_bits"))
+    found = near(classes, classes.where("asked"), radius).groupBy(F.col("query_hi").alias("hi"),
+        F.col("query_lo").alias("lo")).agg(F.count(F.lit(1)).alias("n_near"), F.min("distance").alias("nearest_bits"))
     told = classes.join(found, ["hi", "lo"], "left").drop("asked")
     by_part = parts.select("hi", "lo", "deal").join(told, ["hi", "lo"])
     query = F.coalesce(F.col("doc_id") % step == 0, F.lit(False))
@@ -167,7 +170,8 @@ def half_edits(docs: DataFrame) -> DataFrame:
     document's next is the first.  Null texts are empty.  Rows that repeat a doc_id are documents of their own in the
     order of their texts; rows without a doc_id come first, by a hash of their texts.  A single document is its own next.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).withColumn("id",
+        F.coalesce("doc_id", F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
     group = F.shiftright("id", NEAR_IDS)
     firsts = checkpoint(rows.groupBy(group.alias("g")).agg(F.min("id").alias("id")).select("id"))
     n = firsts.count()
@@ -185,12 +189,15 @@ def half_edits(docs: DataFrame) -> DataFrame:
     near = near.join(F.broadcast(beyond) if n <= FEW_TEXTS else beyond, "g", "left")
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
-    near = near.withColumn("n_chars", size.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), size - half), F.substring(F.coalesce("lead", "beyond"), F.lit(1), half)))
+    near = near.withColumn("n_chars", size.cast("long")).withColumn("edited",
+        F.concat(F.substring("text", F.lit(1), size - half), F.substring(F.coalesce("lead", "beyond"), F.lit(1), half)))
     digest = F.sha2(F.col("edited").cast("binary"), 256)
     sha = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)]
-    versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")), F.struct(F.lit(2).alias("v"), F.when(F.col("lead").isNull(), F.col("beyond")).alias("t")))
+    versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")),
+        F.struct(F.lit(2).alias("v"), F.when(F.col("lead").isNull(), F.col("beyond")).alias("t")))
     carried = ("doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3")
-    told = near.select("g", "rn", "doc_id", "n_chars", *sha, F.explode(versions).alias("x")).select("g", "rn", *carried, "x.v", F.col("x.t").alias("text")).where("v < 2 or text is not null")
+    told = near.select("g", "rn", "doc_id", "n_chars", *sha, F.explode(versions).alias("x")).select("g", "rn", *carried, "x.v",
+        F.col("x.t").alias("text")).where("v < 2 or text is not null")
     prints = fingerprints(told, ["g", "rn", "v"], carried=carried)
     sides = [F.max(F.when(F.col("v") == v, F.col(half))).alias(f"{half}{v}") for v in range(3) for half in ("hi", "lo")]
     whole = prints.groupBy("g", "rn").agg(*[F.max(c).alias(c) for c in carried], *sides)
@@ -202,7 +209,8 @@ def half_edits(docs: DataFrame) -> DataFrame:
 
     edited = F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)]))
     told = whole.select(
-        "doc_id", "n_chars", edited.alias("edited_sha256"), hexed(F.col("hi0"), F.col("lo0")).alias("fingerprint"), hexed(F.col("hi1"), F.col("lo1")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", edited.alias("edited_sha256"), hexed(F.col("hi0"), F.col("lo0")).alias("fingerprint"),
+        hexed(F.col("hi1"), F.col("lo1")).alias("edited_fingerprint"),
         near_to("hi1", "lo1").alias("near_edited"), near_to("next_hi", "next_lo").alias("near_next"), F.col("hi0").alias("hi"), F.col("lo0").alias("lo"),
     )
     return with_neighbours(materialise(told, "fingerprints")).drop("hi", "lo")

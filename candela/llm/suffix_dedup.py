@@ -102,7 +102,8 @@ def _scan(groups: int):
             settled = [c[repeat] for c in columns[2:]]
             if len(settled[0]):
                 rows.append((int(settled[0][0]) % groups, False, _join(settled)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["part", "open", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]),
+                pa.array([r[2] for r in rows], pa.binary())], ["part", "open", "blob"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -148,7 +149,8 @@ def _cut(batches):
             docs += [doc] * len(group)
             places += lo
             texts += [data[a : a + w + LEAST - 1].to_pybytes() for a, w in zip(lo, n, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.binary())], ["part", "doc", "lo", "frag"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()),
+            pa.array(texts, pa.binary())], ["part", "doc", "lo", "frag"])
 
 
 _SIDES = "key long, at int, left int, right int, doc long, lo long, frag binary"
@@ -236,7 +238,8 @@ def _crowds(crowd: DataFrame) -> DataFrame:
     windows = (F.octet_length("frag") - (LEAST - 1)).cast("long").alias("n")
     while True:
         rows = materialise(rows, "sides")
-        firsts = rows.groupBy("key", "frag").agg(F.min(F.struct("doc", "lo")).alias("place"), F.first("at").alias("at"), F.first("left").alias("left"), F.first("right").alias("right"), F.count(F.lit(1)).alias("n"))
+        firsts = rows.groupBy("key", "frag").agg(F.min(F.struct("doc", "lo")).alias("place"), F.first("at").alias("at"), F.first("left").alias("left"),
+            F.first("right").alias("right"), F.count(F.lit(1)).alias("n"))
         firsts = materialise(firsts, "first-sides")
         again = rows.join(firsts.where("n > 1").select("key", "frag", "place"), ["key", "frag"]).where("doc <> place.doc or lo <> place.lo").select("doc", "lo", windows)
         counts = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")

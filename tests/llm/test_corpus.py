@@ -43,7 +43,8 @@ def test_media_stands_where_the_pages_show_it(spark, sample):
 
 
 def test_interleave_aligns(spark):
-    pages = spark.createDataFrame([(1, '<p>a<img src="sha256:d1" alt="one">b</p>'), (2, None), (3, '<img src="http://x/y.png"><img src="sha256:none">')], "page_id long, html string")
+    pages = spark.createDataFrame([(1, '<p>a<img src="sha256:d1" alt="one">b</p>'), (2, None), (3, '<img src="http://x/y.png"><img src="sha256:none">')],
+        "page_id long, html string")
     store = spark.createDataFrame([("d1", b"zz")], "digest string, media binary")
     got = sorted((r.page_id, r.position, r.kind, r.caption, None if r.media is None else bytes(r.media)) for r in media.interleave(pages, store).collect())
     assert got == [(1, 0, "text", None, None), (1, 1, "media", "one", b"zz"), (1, 2, "text", None, None), (3, 0, "media", None, None), (3, 1, "media", None, None)]
@@ -158,13 +159,15 @@ def test_pack_round_trip(spark, sample, awkward, empty):
 
 def test_tokens_of_odd_texts():
     ids, plain = packing._ids(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
-    for text in ("  a\n\n b  \t c's 12 34!! <|endoftext|> é日本 ", "one <|endoftext|> two", "<|endoftext|>", "<|endoftext", "x" * 300, " a\u0085b", "²½ ªº", "don't  DON'T  ", ""):
+    for text in ("  a\n\n b  \t c's 12 34!! <|endoftext|> é日本 ", "one <|endoftext|> two", "<|endoftext|>", "<|endoftext", "x" * 300, " a\u0085b", "²½ ªº",
+        "don't  DON'T  ", ""):
         assert np.frombuffer(ids.of(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_mixing_keeps_clashing_columns(spark):
     names = ["rate", "copies", "copy", "steps", "u", "Shuffle_Key", "source_key", "all_size", "uniform"]
-    docs = spark.createDataFrame([(i, "text", "s", *[f"mine{k}" for k in range(len(names))]) for i in range(40)] + [(None, f"t{i}", "s", *["x"] * len(names)) for i in range(40)], ["doc_id", "text", "source", *names])
+    docs = spark.createDataFrame([(i, "text", "s", *[f"mine{k}" for k in range(len(names))]) for i in range(40)] + [(None, f"t{i}", "s",
+        *["x"] * len(names)) for i in range(40)], ["doc_id", "text", "source", *names])
     out = mixing.replicate(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and {"rate_", "copies_", "copy_", "shuffle_key_"} <= {c.lower() for c in out.columns}
     rows = out.collect()
