@@ -100,11 +100,11 @@ _MOVES = f"""{_fold(0.04)},
  last_ AS (SELECT symbol, arg_max(close, idx) AS last_close, arg_max(atr, idx) AS last_atr FROM bars_n GROUP BY symbol)"""
 
 
-@query(with_ctes("SELECT symbol, ordinal, start_idx, end_idx, confirm, bars, direction, round(pct, 6) AS pct, round(atr_move, 5) AS atr_move FROM moves_",
+@query(with_ctes("SELECT symbol, ordinal, start_idx, end_idx, confirm, bars, direction, round(pct, 6) AS pct, atr_move FROM moves_",
     "pivots", "bars_n", recursive=_MOVES))
 def legs(spark, d):
     return _legs(spark, d).select("symbol", "ordinal", "start_idx", "end_idx", "confirm", "bars", "direction", F.round("pct", 6).alias("pct"),
-        F.round("atr_move", 5).alias("atr_move"))
+        "atr_move")
 
 
 @query(with_ctes("SELECT symbol, start_idx, end_idx, position, round(pct, 6) AS pct, round(1 / position, 6) AS rank FROM anchors_", "pivots", "bars_n", recursive=_MOVES))
@@ -118,19 +118,19 @@ _REACH = "greatest(abs(last_atr) * 0.15::DOUBLE, 0.01::DOUBLE)"
 
 @query(
     with_ctes(
-        f"SELECT symbol, start_idx, end_idx, ratio, round({_ZONE}, 6) AS level, round({_ZONE} - {_REACH}, 6) AS lower, round({_ZONE} + {_REACH}, 6) AS "
+        f"SELECT symbol, start_idx, end_idx, ratio, round({_ZONE}, 8) AS level, round({_ZONE} - {_REACH}, 8) AS lower, round({_ZONE} + {_REACH}, 8) AS "
         f"upper FROM anchors_ JOIN last_ USING (symbol), (SELECT unnest([0.236, 0.382, 0.5, 0.618, 0.786, 1]::DOUBLE[]) AS ratio)",
         "pivots", "bars_n", recursive=_MOVES,
     )
 )
 def fib_zones(spark, d):
-    return pv.fib_zones(pv.anchors(_legs(spark, d)), src.bars(spark, d)).select("symbol", "start_idx", "end_idx", "ratio", *rounded(["level", "lower", "upper"]))
+    return pv.fib_zones(pv.anchors(_legs(spark, d)), src.bars(spark, d)).select("symbol", "start_idx", "end_idx", "ratio", *rounded(["level", "lower", "upper"], 8))
 
 
 @query(
     with_ctes(
-        "SELECT a.symbol, a.start_idx, a.end_idx, n.end_idx AS from_idx, ratio, round(n.end_price + ratio * a.move, 6) AS target, round((last_close - "
-        "n.end_price) / a.move, 6) AS projection "
+        "SELECT a.symbol, a.start_idx, a.end_idx, n.end_idx AS from_idx, ratio, round(n.end_price + ratio * a.move, 8) AS target, round((last_close - "
+        "n.end_price) / a.move, 8) AS projection "
         "FROM anchors_ a JOIN legs_ n ON n.symbol = a.symbol AND n.start_idx = a.end_idx JOIN last_ l ON l.symbol = a.symbol, (SELECT unnest([1, 1.272, "
         "1.618, 2, 2.618]::DOUBLE[]) AS ratio)",
         "pivots", "bars_n", recursive=_MOVES,
@@ -138,7 +138,7 @@ def fib_zones(spark, d):
 )
 def projection_targets(spark, d):
     moves = _legs(spark, d)
-    return pv.projections(pv.anchors(moves), moves, src.bars(spark, d)).select("symbol", "start_idx", "end_idx", "from_idx", "ratio", *rounded(["target", "projection"]))
+    return pv.projections(pv.anchors(moves), moves, src.bars(spark, d)).select("symbol", "start_idx", "end_idx", "from_idx", "ratio", *rounded(["target", "projection"], 8))
 
 
 _BACK = """SELECT a.symbol, a.start_idx, a.end_idx, a.direction, (a.end_price - last_close) / a.move AS retracement, (last_close - a.start_price) / a.move AS position, max((a.end_price - b.close) / a.move) AS deepest
@@ -318,15 +318,22 @@ def report_factors_qcut(spark, d):
         F.round("avg_10", 6).alias("avg_10"))
 
 
-@query(with_ctes("SELECT pattern, factor, bin, count(*) FILTER (date < DATE '1999-01-01') AS n_train, count(*) FILTER (date >= DATE '1999-01-01') AS "
-    "n_test, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date < DATE '1999-01-01'), 6) AS train, round(avg((ret_10 > 0)::INT::DOUBLE) FILTER (date >= "
-    "DATE '1999-01-01'), 6) AS test FROM bins WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_",
-    recursive=_QLONG).replace("SELECT pattern, factor, bin, count(*) FILTER",
-    "SELECT *, round(abs(test - train), 5) AS gap, abs(test - train) <= 0.10::DOUBLE AND test > 0.5::DOUBLE AS candidate FROM (SELECT pattern, factor, "
-    "bin, count(*) FILTER") + ") WHERE n_train >= 10 AND n_test >= 5")
+_HALVES = ", ".join(
+    f"count(*) FILTER ({w}) AS n_{k}, avg((ret_10 > 0)::INT::DOUBLE) FILTER ({w}) AS {k}" for k, w in (("train", "date < DATE '1999-01-01'"), ("test", "date >= DATE '1999-01-01'"))
+)
+
+
+@query(
+    with_ctes(
+        "SELECT pattern, factor, bin, n_train, n_test, round(train, 6) AS train, round(test, 6) AS test, round(abs(test - train), 6) AS gap, "
+        f"abs(test - train) <= 0.10::DOUBLE AND test > 0.5::DOUBLE AS candidate FROM (SELECT pattern, factor, bin, {_HALVES} FROM bins WHERE ret_10 IS NOT NULL GROUP BY ALL) "
+        "WHERE n_train >= 10 AND n_test >= 5",
+        "events_", recursive=_QLONG,
+    )
+)
 def commonality(spark, d):
     out = backtest.commonality(_box_events(spark, d), FACTORS, "1999-01-01", least=(10, 5))
-    return out.select("pattern", "factor", "bin", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("train", "test")], F.round("gap", 5).alias("gap"), "candidate")
+    return out.select("pattern", "factor", "bin", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("train", "test")], F.round("gap", 6).alias("gap"), "candidate")
 
 
 @query(with_ctes("SELECT CASE WHEN x < 0.2 THEN '<0.2' WHEN x < 0.5 THEN '0.2-0.5' WHEN x < 0.8 THEN '0.5-0.8' ELSE '>=0.8' END AS bin, count(*) AS n, "

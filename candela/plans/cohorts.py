@@ -279,7 +279,7 @@ def _percent_fields(spark, d):
 
 @query(
     with_ctes(
-        f"SELECT symbol, date, round(close, 5) AS close, round(volume, 5) AS volume, round(round(amount / 10000, 6) * 10000, 3) AS amount, round((high - "
+        f"SELECT symbol, date, close, round(volume, 5) AS volume, round(round(amount / 10000, 6) * 10000, 3) AS amount, round((high - "
         f"low) / lag(close) {W} * 100, 4) AS amplitude FROM (SELECT symbol, date, round(close, 6) AS close, round(high, 6) AS high, round(low, 6) AS low, "
         f"round(volume, 6) AS volume, amount FROM bars)",
         "bars",
@@ -288,7 +288,7 @@ def _percent_fields(spark, d):
 def percent_rows(spark, d):
     """Bars written as provider rows with per cent signs and amounts in ten thousands, and read back."""
     out = parsers.percent_rows(_percent_fields(spark, d))
-    return out.select("symbol", "date", F.round("close", 5).alias("close"), F.round("volume", 5).alias("volume"), F.round("amount", 3).alias("amount"), "amplitude")
+    return out.select("symbol", "date", "close", F.round("volume", 5).alias("volume"), F.round("amount", 3).alias("amount"), "amplitude")
 
 
 @query(with_ctes(f"SELECT symbol, date, round(volume / 100, 6) AS volume, round(turnover * 100, 6) AS turnover, round((close / lag(close) {W} - 1) * 100, "

@@ -159,9 +159,9 @@ _RSI_REC = "e(symbol, rn, {cols}) AS (SELECT symbol, rn, {first} FROM d WHERE rn
 
 
 def _ema(cols: dict[str, tuple[str, str]]) -> str:
-    """A recursive relation of exponential averages: name -> (value in d, alpha)."""
+    """A recursive relation of exponential averages: name -> (value in d, alpha); an average that equals the value stays as it is."""
     first = ", ".join(f"{v}::DOUBLE" for v, _ in cols.values())
-    step = ", ".join(f"e.{n} * (1 - ({a})::DOUBLE) + d.{v} * ({a})::DOUBLE" for n, (v, a) in cols.items())
+    step = ", ".join(f"CASE WHEN e.{n} = d.{v} THEN e.{n} ELSE e.{n} * (1 - ({a})::DOUBLE) + d.{v} * ({a})::DOUBLE END" for n, (v, a) in cols.items())
     return _RSI_REC.format(cols=", ".join(cols), first=first, step=step)
 
 
@@ -178,7 +178,7 @@ def rsi(spark, d):
 _CLOSES = f"d AS (SELECT symbol, date, close, row_number() {W} AS rn FROM bars)"
 _MACD = _CLOSES + ", " + _ema({"a": ("close", "2.0::DOUBLE / 13"), "b": ("close",
     "2.0::DOUBLE "
-    "/ 27")}) + ", d2 AS (SELECT symbol, rn, a - b AS dif FROM e), e2(symbol, rn, dea) AS (SELECT symbol, rn, dif FROM d2 WHERE rn = 1 UNION ALL SELECT d2.symbol, d2.rn, e2.dea * (1 - 2.0::DOUBLE / 10) + d2.dif * (2.0::DOUBLE / 10) FROM e2 JOIN d2 ON d2.symbol = e2.symbol AND d2.rn = e2.rn + 1)"
+    "/ 27")}) + ", d2 AS (SELECT symbol, rn, a - b AS dif FROM e), e2(symbol, rn, dea) AS (SELECT symbol, rn, dif FROM d2 WHERE rn = 1 UNION ALL SELECT d2.symbol, d2.rn, CASE WHEN e2.dea = d2.dif THEN e2.dea ELSE e2.dea * (1 - 2.0::DOUBLE / 10) + d2.dif * (2.0::DOUBLE / 10) END FROM e2 JOIN d2 ON d2.symbol = e2.symbol AND d2.rn = e2.rn + 1)"
 
 
 @query(with_ctes("SELECT symbol, date, round(dif, 6) AS DIF, round(dea, 6) AS DEA, round(2 * (dif - dea), 6) AS MACD FROM d JOIN d2 USING (symbol, rn) "
