@@ -21,7 +21,7 @@ from candela.llm.html import blocks
 #: Samples in a row of a stored image; payloads are padded to a positive multiple of it.
 ROW = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+ITEMS = "array<struct<position:int,n_items:int,kind:string,text:string,digest:string,caption:string>>"
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 SCHEME = "sha256:"
 
@@ -83,16 +83,22 @@ def _examine(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURES.split(", ")])
 
 
-def _items(pages: pd.Series) -> pd.Series:
-    out = []
-    for page in pages:
-        items = []
-        for i, b in enumerate(blocks(page)):
-            digest = b.src[len(SCHEME) :].lower() if b.src and b.src.startswith(SCHEME) else None
-            items.append({"position": i, "kind": "text" if b.src is None else "media", "text": b.text if b.src is None else b.src, "digest": digest,
-                "caption": b.caption or None})
-        out.append(items)
-    return pd.Series(out)
+def _items(media_only: bool):
+    def run(pages: pd.Series) -> pd.Series:
+        out = []
+        for page in pages:
+            found = blocks(page)
+            items = []
+            for i, b in enumerate(found):
+                if b.src is None and media_only:
+                    continue
+                digest = b.src[len(SCHEME) :].lower() if b.src and b.src.startswith(SCHEME) else None
+                kind, text = ("text", b.text) if b.src is None else ("media", b.src)
+                items.append({"position": i, "n_items": len(found), "kind": kind, "text": text, "digest": digest, "caption": b.caption or None})
+            out.append(items)
+        return pd.Series(out)
+
+    return run
 
 
 def payload_of(text: str = "text") -> Column:
@@ -114,19 +120,18 @@ def examine(media: DataFrame) -> DataFrame:
     return media.select("digest", F.pandas_udf(_examine, FEATURES)("media").alias("x")).select("digest", "x.*")
 
 
-def interleave(pages: DataFrame, media: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
+def interleave(pages: DataFrame, media: DataFrame, key: str = "page_id", page: str = "html", media_only: bool = False) -> DataFrame:
     """A row for each item of each page: key, position, n_items, kind, text, digest, caption and the matching columns of ``media``.
 
     Items keep their order on the page; ``n_items`` is how many the page has.  A media reference is written
     ``sha256:<digest>``; its text column has the reference as written.  References without such a digest, or with one that
     ``media`` lacks, stay with null payload columns.  Captions come from the figure around a reference, else from its
-    alternative text.  Null or empty pages give no rows; repeated pages repeat their rows; ``media`` must have one row
-    for each digest.
+    alternative text.  With ``media_only`` the rows of texts are left out, and positions stay what they are.  Null or
+    empty pages give no rows; repeated pages repeat their rows; ``media`` must have one row for each digest.
     """
-    listed = pages.select(F.col(key), F.pandas_udf(_items, ITEMS)(F.col(page).cast("string")).alias("items"))
-    items = listed.select(key, F.size("items").alias("n_items"), F.explode("items").alias("item")).select(key, "item.position", "n_items", "item.kind",
-        "item.text", "item.digest", "item.caption")
-    return items.join(media, "digest", "left")
+    items = pages.select(F.col(key), F.explode(F.pandas_udf(_items(media_only), ITEMS)(F.col(page).cast("string"))).alias("item"))
+    fields = [f"item.{c}" for c in ("position", "n_items", "kind", "text", "digest", "caption")]
+    return items.select(key, *fields).join(media, "digest", "left")
 
 
 def _escaped(text: Column) -> Column:
@@ -158,7 +163,7 @@ def document_media(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame
     paragraphs = F.replace(_escaped(rest), F.lit("\n"), F.lit("</p><p>"))
     own = F.concat(F.lit("<article><p>"), _escaped(line), F.lit("</p>"), _figure("digest", "n_bytes"), F.lit("<p>"), paragraphs, F.lit("</p></article>"))
     shown = interleave(told.select(F.struct("doc_id", "n_bytes", "digest").alias("page_id"), own.alias("html")),
-        features).where("kind = 'media' and digest = page_id.digest")
+        features, media_only=True).where("digest = page_id.digest")
     names = [x.split()[0] for x in FEATURES.split(", ")]
     out = shown.select("page_id.doc_id", "page_id.n_bytes", *names, "position", "n_items", "caption")
     if pages is None:
@@ -168,6 +173,6 @@ def document_media(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame
     ids = told.select("doc_id", "n_bytes", "digest").distinct()  # rows that repeat a doc_id with another text show another figure
     with_figure = html.join(ids, "doc_id").select(F.struct("doc_id", "n_bytes", "digest").alias("page_id"), F.concat("html", _figure("digest", "n_bytes")).alias("html"))
     none = features.select("digest").limit(0)
-    placed = interleave(with_figure, none).where("kind = 'media' and digest = page_id.digest").groupBy("page_id.doc_id", "page_id.n_bytes")
+    placed = interleave(with_figure, none, media_only=True).where("digest = page_id.digest").groupBy("page_id.doc_id", "page_id.n_bytes")
     placed = placed.agg(F.max("position").alias("page_position"), F.max("n_items").alias("page_items"), F.max("caption").alias("page_caption"))
     return out.join(placed, ["doc_id", "n_bytes"], "left")
