@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import extraction, langid, media, minmax_dedup, mixing, packing, pii, quality, simhash, suffix_dedup
+from candela.llm import divergence, extraction, filter_audit, langid, media, minmax_dedup, mixing, packing, pii, quality, simhash, suffix_dedup, warc
 from candela.llm.common import documents
 
 
@@ -75,6 +75,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the content-addressed archive of all pages says of each once its records are read back; null pages are empty."""
+    return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of each of their 120 orders, by language; null texts are empty."""
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language and their ten most distinctive terms; null text, lang and source are empty."""
+    return divergence.audit_sources(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -83,5 +98,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_language_id, op4_mixing, op5_minmax_dedup, op6_quality, op7_pii, op8_media,
-    op9_extraction, op10_packing, pipeline)}
-ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
+    op9_extraction, op10_packing, op11_warc, op12_filter_audit, op13_source_divergence, pipeline)}
+ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL}
