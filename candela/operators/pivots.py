@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.series import by_symbol, lit, ratio
@@ -77,13 +76,47 @@ def zigzag(found: DataFrame, swing: float = 0.03) -> DataFrame:
     return found.groupBy("symbol").applyInPandas(run, ZIGZAG)
 
 
-def multiscale(bars: DataFrame) -> DataFrame:
-    """Zigzags of all scales."""
-    out = None
+FACTS = "atr double, rest_low double, rest_high double, last_close double, last_atr double, last_idx int"
+
+
+def scaled_pivots(bars: DataFrame) -> DataFrame:
+    """Pivots of all scales from one pass over the bars, with scale, swing and what later steps want to know of their bar.
+
+    These facts are the mean true range there, the extremes of the closes from there on, and close, range and number of
+    the symbol's last bar; carried along, they spare a join of legs with bars.
+    """
+    w = by_symbol()
+    rest = w.rowsBetween(0, Window.unboundedFollowing)
+    columns, kinds = [], []
     for scale, (left, right, swing) in SCALES.items():
-        line = zigzag(pivots(bars, left, right), swing).withColumn("scale", F.lit(scale))
-        out = line if out is None else out.unionByName(line)
-    return out
+        window = w.rowsBetween(-left, right)
+        hi, lo, n = (f"{scale}_{c}" for c in ("hi", "lo", "n"))
+        columns += [F.max("high").over(window).alias(hi), F.min("low").over(window).alias(lo), F.count("high").over(window).alias(n)]
+        whole = F.col(n) == left + right + 1
+        kinds += [
+            F.struct(F.lit(scale).alias("scale"), lit(swing).alias("swing"), F.lit(t).alias("typ"), F.col(own).alias("price"), (F.col("idx") + right).alias("confirm"),
+                (whole & (F.col(own) == F.col(edge))).alias("yes")) for t, own, edge in (("H", "high", hi), ("L", "low", lo))
+        ]
+    facts = [F.min("close").over(rest).alias("rest_low"), F.max("close").over(rest).alias("rest_high"), F.last("close").over(rest).alias("last_close"),
+        F.last("atr").over(rest).alias("last_atr"), F.last("idx").over(rest).alias("last_idx")]
+    seen = with_range(bars).select("symbol", "date", "idx", "high", "low", "close", "atr", *columns).select("*", *facts)
+    found = seen.select("symbol", "date", "idx", F.explode(F.filter(F.array(*kinds), lambda p: p["yes"])).alias("p"), *[f.split()[0] for f in FACTS.split(", ")])
+    return found.select("symbol", "date", "idx", "p.scale", "p.swing", "p.typ", "p.price", "p.confirm", *[f.split()[0] for f in FACTS.split(", ")])
+
+
+def multiscale(bars: DataFrame) -> DataFrame:
+    """Zigzags of all scales, with the facts of each pivot's bar."""
+    schema = f"{ZIGZAG}, scale string, {FACTS}"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["confirm", "idx", "typ"])
+        swing, line = rows["swing"].iloc[0], []
+        for row in rows.itertuples(index=False):
+            extend(line, row, swing)
+        out = pd.DataFrame(line, columns=rows.columns)
+        return out.assign(ordinal=range(len(out)))[[f.split()[0] for f in schema.split(", ")]]
+
+    return scaled_pivots(bars).groupBy("symbol", "scale").applyInPandas(run, schema)
 
 
 def with_range(bars: DataFrame) -> DataFrame:
@@ -99,7 +132,7 @@ def legs(line: DataFrame, bars: DataFrame | None = None, scale: str = "medium",
     w = Window.partitionBy(*key).orderBy("ordinal")
     ahead = [F.lead(c).over(w).alias(f"end_{c}") for c in ("idx", "typ", "price", "confirm")]
     ends = line.select("*", *ahead).where("end_idx is not null")
-    name = F.format_string("%s:%d:%s:%.8f:%d:%s:%.8f", F.lit(scale), "idx", "typ", "price", "end_idx", "end_typ", "end_price")
+    name = F.format_string("%s:%d:%s:%.8f:%d:%s:%.8f", F.col("scale") if "scale" in key else F.lit(scale), "idx", "typ", "price", "end_idx", "end_typ", "end_price")
     out = ends.select(
         *key, "ordinal", F.col("idx").alias("start_idx"), F.col("price").alias("start_price"), "end_idx", "end_price", F.col("end_confirm").alias("confirm"),
         F.when(F.col("end_price") > F.col("price"), "up").otherwise("down").alias("direction"), (F.col("end_idx") - F.col("idx")).alias("bars"),
@@ -112,13 +145,13 @@ def legs(line: DataFrame, bars: DataFrame | None = None, scale: str = "medium",
     return out.join(ranges, ["symbol", "end_idx"], "left").withColumn("atr_move", F.round(moved, 6)).drop("atr").select(*out.columns, "atr_move")
 
 
-def anchors(moves: DataFrame, n: int = 5) -> DataFrame:
-    """The n largest legs that are long enough in bars and in average ranges, with the rank 1, 1/2, 1/3, ...
+def anchors(moves: DataFrame, n: int = 5, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The n largest legs of each key that are long enough in bars and in average ranges, with the rank 1, 1/2, 1/3, ...
 
     Largest is by average ranges, or by per cent where these are not known, then by length, recency and id.
     """
     size = F.coalesce("atr_move", F.abs(F.col("pct") * 100))
-    w = Window.partitionBy("symbol").orderBy(F.desc(size), F.desc("bars"), F.desc("end_idx"), "leg_id")
+    w = Window.partitionBy(*key).orderBy(F.desc(size), F.desc("bars"), F.desc("end_idx"), "leg_id")
     eligible = moves.where((F.col("bars") >= LEAST_BARS) & (F.col("atr_move").isNull() | (F.col("atr_move") >= LEAST_MOVE)))
     return eligible.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).withColumn("rank", F.round(lit(1) / F.col("position"), 6))
 
@@ -128,22 +161,22 @@ def latest_range(bars: DataFrame) -> DataFrame:
     return with_range(bars).groupBy("symbol").agg(F.max_by("close", "idx").alias("last_close"), F.max_by("atr", "idx").alias("last_atr"))
 
 
-def fib_zones(anchored: DataFrame, bars: DataFrame) -> DataFrame:
+def fib_zones(anchored: DataFrame, bars: DataFrame, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Retracement levels of each anchor with a band of a share of the symbol's present average range."""
     out = anchored.withColumn("ratio", F.explode(F.array(*map(lit, FIB_RATIOS)))).join(latest_range(bars), "symbol")
     level = F.col("end_price") - F.col("ratio") * (F.col("end_price") - F.col("start_price"))
     reach = F.greatest(F.abs("last_atr") * lit(ZONE_RANGES), lit(TICK))
-    return out.select("symbol", "leg_id", "start_idx", "end_idx", "direction", "ratio", F.round(level, 8).alias("level"),
+    return out.select(*key, "leg_id", "start_idx", "end_idx", "direction", "ratio", F.round(level, 8).alias("level"),
         F.round(level - reach, 8).alias("lower"), F.round(level + reach, 8).alias("upper"))
 
 
-def projections(anchored: DataFrame, moves: DataFrame, bars: DataFrame) -> DataFrame:
+def projections(anchored: DataFrame, moves: DataFrame, bars: DataFrame, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Targets of each anchor's move from where the leg after it ended, and how far price has come towards them."""
-    after = moves.select("symbol", F.col("start_idx").alias("end_idx"), F.col("end_idx").alias("from_idx"), F.col("end_price").alias("from_price"))
-    out = anchored.join(after, ["symbol", "end_idx"]).join(latest_range(bars), "symbol").withColumn("ratio", F.explode(F.array(*map(lit, PROJECTIONS))))
+    after = moves.select(*key, F.col("start_idx").alias("end_idx"), F.col("end_idx").alias("from_idx"), F.col("end_price").alias("from_price"))
+    out = anchored.join(after, [*key, "end_idx"]).join(latest_range(bars), "symbol").withColumn("ratio", F.explode(F.array(*map(lit, PROJECTIONS))))
     move = F.col("end_price") - F.col("start_price")
     return out.select(
-        "symbol", "leg_id", "start_idx", "end_idx", "from_idx", "ratio", F.round(F.col("from_price") + F.col("ratio") * move, 8).alias("target"),
+        *key, "leg_id", "start_idx", "end_idx", "from_idx", "ratio", F.round(F.col("from_price") + F.col("ratio") * move, 8).alias("target"),
         F.round((F.col("last_close") - F.col("from_price")) / move, 8).alias("projection"),
     )
 
@@ -157,7 +190,7 @@ def phase_of(retracement, deepest, position, resume: float = 0.0, over: float =
     )
 
 
-def retracements(anchored: DataFrame, bars: DataFrame) -> DataFrame:
+def retracements(anchored: DataFrame, bars: DataFrame, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """How far closes have come back over each anchor since its end, at most and now, and in which phase that puts it.
 
     The extremes of the closes from a bar on are windows over the bars, so anchors meet them by their end alone.
@@ -168,7 +201,7 @@ def retracements(anchored: DataFrame, bars: DataFrame) -> DataFrame:
     move = F.col("end_price") - F.col("start_price")
     extreme = F.when(move > 0, F.col("lo")).otherwise(F.col("hi"))
     out = anchored.join(since, ["symbol", "end_idx"]).select(
-        "symbol", "leg_id", "start_idx", "end_idx", "direction", ((F.col("end_price") - F.col("price")) / move).alias("retracement"),
+        *key, "leg_id", "start_idx", "end_idx", "direction", ((F.col("end_price") - F.col("price")) / move).alias("retracement"),
         ((F.col("price") - F.col("start_price")) / move).alias("position"), ((F.col("end_price") - extreme) / move).alias("deepest"),
     )
     return out.withColumn("phase", phase_of(F.col("retracement"), F.col("deepest"), F.col("position")))
@@ -203,46 +236,37 @@ def fib_turns(moves: DataFrame) -> DataFrame:
 ENDS_APART, LEAST_DEPTH, BREAK, FAILURE, DEEP = 0.10, 0.05, 0.01, 0.03, 0.20
 
 
-def _first_events(patterns: pd.DataFrame, bars: pd.DataFrame) -> pd.DataFrame:
-    """What happened first to each pattern from its confirmation on: failure by a wick, or a close beyond the neckline."""
-    bars = bars.sort_values("date")
-    close, high, low = (bars[c].to_numpy(float) for c in ("close", "high", "low"))
-    status, at = [], []
-    for p in patterns.itertuples(index=False):
-        c, h, w = close[p.confirm :], high[p.confirm :], low[p.confirm :]
-        is_w = p.pattern == "w_bottom"
-        failed = w < min(p.left_price, p.right_price) * (1 - FAILURE) if is_w else h > max(p.left_price, p.right_price) * (1 + FAILURE)
-        broke = c > p.mid_price * (1 + BREAK) if is_w else c < p.mid_price * (1 - BREAK)
-        hit = np.flatnonzero(failed | broke)
-        if not len(hit):
-            status.append("right_bottom_confirmed" if is_w else "right_top_confirmed")
-            at.append(None)
-            continue
-        status.append("invalidated" if failed[hit[0]] else "neckline_breakout" if is_w else "neckline_breakdown")
-        at.append(int(hit[0]) + p.confirm)
-    return patterns.assign(status=status, event_idx=pd.array(at, "Int32"))
-
-
-def double_patterns(line: DataFrame, bars: DataFrame) -> DataFrame:
+def double_patterns(line: DataFrame, bars: DataFrame, key: tuple[str, ...] = ("symbol",), monitor: Column | None = None) -> DataFrame:
     """W and M skeletons: triples of pivots with like ends and a deep middle, and what happens first after them.
 
-    A symbol's patterns meet its bars in one group, which the bars of one symbol bound.
+    First is a wick beyond both ends (failure) or a close beyond the neckline, from the confirmation on; of one bar the
+    wick counts.  Skeletons confirmed more than ``monitor`` bars before the last are left out.  A skeleton meets only the
+    bars that decide it, so no pair of skeleton and bar is kept.
     """
-    w = Window.partitionBy("symbol").orderBy("ordinal")
+    w = Window.partitionBy(*key).orderBy("ordinal")
     t = line.select(
-        "symbol", F.when(F.col("typ") == "L", "w_bottom").otherwise("m_top").alias("pattern"), F.col("idx").alias("left_idx"),
+        *key, F.when(F.col("typ") == "L", "w_bottom").otherwise("m_top").alias("pattern"), F.col("idx").alias("left_idx"),
         F.col("price").alias("left_price"), F.lead("idx", 1).over(w).alias("mid_idx"), F.lead("price", 1).over(w).alias("mid_price"),
         F.lead("idx", 2).over(w).alias("right_idx"), F.lead("price", 2).over(w).alias("right_price"), F.lead("confirm", 2).over(w).alias("confirm"),
     ).where("right_idx is not null")
+    is_w = F.col("pattern") == "w_bottom"
     apart = F.abs(F.col("right_price") - F.col("left_price")) / F.abs("left_price")
-    depth = F.when(F.col("pattern") == "w_bottom", F.col("mid_price") / F.least("left_price",
-        "right_price") - lit(1)).otherwise(lit(1) - F.col("mid_price") / F.greatest("left_price", "right_price"))
+    depth = F.when(is_w, F.col("mid_price") / F.least("left_price", "right_price") - lit(1)).otherwise(lit(1) - F.col("mid_price") / F.greatest("left_price", "right_price"))
     t = t.select("*", apart.alias("deviation"), depth.alias("depth")).where((F.col("deviation") <= lit(ENDS_APART)) & (F.col("depth") >= lit(LEAST_DEPTH)))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema) + ", status string, event_idx int"
-    seen = t.groupBy("symbol").cogroup(bars.select("symbol", "date", "close", "high", "low").groupBy("symbol")).applyInPandas(_first_events, schema)
+    rows = numbered(bars).select(F.col("symbol").alias("_symbol"), F.col("idx").alias("_idx"), "close", "high", "low")
+    if monitor is not None:
+        last = rows.groupBy(F.col("_symbol").alias("symbol")).agg(F.max("_idx").alias("_last"))
+        t = t.join(last, "symbol").where(F.col("_last") - F.col("confirm") <= monitor).drop("_last")
+    failed = F.when(is_w, F.col("low") < F.least("left_price", "right_price") * lit(1 - FAILURE)).otherwise(F.col("high") > F.greatest("left_price",
+        "right_price") * lit(1 + FAILURE))
+    broke = F.when(is_w, F.col("close") > F.col("mid_price") * lit(1 + BREAK)).otherwise(F.col("close") < F.col("mid_price") * lit(1 - BREAK))
+    met = t.join(rows, (F.col("symbol") == F.col("_symbol")) & (F.col("_idx") >= F.col("confirm")) & (failed | broke), "left")
+    seen = met.groupBy(*t.columns).agg(F.min(F.when(F.col("_idx").isNotNull(), F.struct(F.col("_idx").alias("at"), failed.alias("failed")))).alias("x"))
+    status = F.when(F.col("x").isNull(), F.when(is_w, "right_bottom_confirmed").otherwise("right_top_confirmed")).when(F.col("x.failed"),
+        "invalidated").otherwise(F.when(is_w, "neckline_breakout").otherwise("neckline_breakdown"))
     score = lit(0.65) * F.greatest(lit(0), lit(1) - F.col("deviation") / lit(ENDS_APART)) + lit(0.35) * F.least(lit(1), F.col("depth") / lit(DEEP))
-    return seen.select("symbol", "pattern", "left_idx", "mid_idx", "right_idx", F.col("mid_price").alias("neckline"), "deviation", "depth",
-        score.alias("score"), "status", "event_idx")
+    return seen.select(*key, "pattern", "left_idx", "mid_idx", "right_idx", F.col("mid_price").alias("neckline"), "deviation", "depth",
+        score.alias("score"), status.alias("status"), F.col("x.at").alias("event_idx"), "left_price", "right_price", "confirm")
 
 
 def waves(line: DataFrame) -> DataFrame:

@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.functions.series import typed
+from candela.functions.series import lit, typed
 from candela.operators.detectors import local_extremes
-from candela.operators.pivots import SCALES, Pivot, extend
+from candela.operators.pivots import SCALES, Pivot, extend, with_range
 
 POINTS, LINES, SEPARATION, SPAN, EXTENSION = 48, 8, 3, 120, 120
-MONITOR = {"fine": 120, "medium": 250, "coarse": 750}
+#: Cells of the table of lines and bars that are looked at together.
+CELLS = 1 << 21
 SCHEMA = (
     "symbol long, scale string, kind string, id string, role string, status string, start_idx int, end_idx int, start_price double, end_price double, "
     "slope double, lower double, upper double, "
-    "confirm_idx int, broken_idx int, touches array<int>, level double, valid_until int, score double"
+    "confirm_idx int, broken_idx int, touches array<int>, level double, valid_until int, score double, baseline string, construction string, source_line string"
 )
 
 
-def name(*parts) -> str:
-    return hashlib.sha1(":".join(f"{p:.8f}" if isinstance(p, float) else str(p) for p in parts).encode()).hexdigest()[:16]
+def name(kind: str, *parts) -> str:
+    """A stable id from what makes a structure what it is; prices with eight digits."""
+    return kind + hashlib.sha1(":".join(f"{p:.8f}" if isinstance(p, float) else str(p) for p in parts).encode()).hexdigest()[:16]
 
 
 def average_range(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> np.ndarray:
@@ -41,51 +42,74 @@ def trend_lines(found: list[Pivot], high: np.ndarray, low: np.ndarray, atr: np.n
     """Rising lines under lows and falling lines over highs through two pivots, confirmed by a third touch.
 
     The first bar that pierces a line by half a range breaks it, wherever on the line it is.  A confirmed line that has
-    run past its span counts as the level it reached.
+    run past its span counts as the level it reached.  All lines of one role are compared with all bars at once.
     """
     end, out = len(high) - 1, []
     for typ, role, side, edge in (("L", "support", 1.0, low), ("H", "resistance", -1.0, high)):
         points = [p for p in found if p.typ == typ][-POINTS:]
+        if len(points) < 2:
+            continue
+        idx, price = np.array([p.idx for p in points]), np.array([p.price for p in points])
+        a, b = np.triu_indices(len(points), 1)
+        span = idx[b] - idx[a]
+        slope = (price[b] - price[a]) / np.maximum(span, 1)
+        sound = (span >= SEPARATION) & (slope * side > 0)
+        a, b, span, slope = a[sound], b[sound], span[sound], slope[sound]
+        at = price[a][:, None] + slope[:, None] * (idx[None, :] - idx[a][:, None])
+        near = np.abs(price[None, :] - at) <= np.maximum(0.35 * atr[idx][None, :], np.abs(at) * 0.002)
+        near &= idx[None, :] > idx[b][:, None]
+        broken = np.full(len(a), -1)
+        bars, step = np.arange(end + 1), max(1, CELLS // (end + 1))
+        for i in range(0, len(a), step):
+            rows = slice(i, i + step)
+            line = price[a[rows]][:, None] + slope[rows][:, None] * (bars[None, :] - idx[a[rows]][:, None])
+            pierced = (side * (edge[None, :] - line) < -0.5 * atr[None, :]) & (bars[None, :] > idx[a[rows]][:, None])
+            broken[rows] = np.where(pierced.any(1), pierced.argmax(1), -1)
         lines = []
-        for a, b in combinations(points, 2):
-            span = b.idx - a.idx
-            slope = (b.price - a.price) / span if span >= SEPARATION else 0.0
-            if slope * side <= 0:
-                continue
-            touches, confirm = [a.idx, b.idx], None
-            for p in points:
-                at = a.price + slope * (p.idx - a.idx)
-                if p.idx > b.idx and p.idx - touches[-1] >= SEPARATION and abs(p.price - at) <= max(0.35 * atr[p.idx], abs(at) * 0.002):
-                    touches.append(p.idx)
-                    confirm = p.confirm if confirm is None else confirm
-            bars = np.arange(a.idx + 1, end + 1)
-            pierced = np.flatnonzero(side * (edge[bars] - (a.price + slope * (bars - a.idx))) < -0.5 * atr[bars])
-            broken = int(bars[pierced[0]]) if len(pierced) else None
-            until = b.idx + max(20, min(EXTENSION, span))
-            status, kind, level = "broken" if broken is not None else "confirmed" if confirm is not None else "candidate", "trendline", None
-            if status == "confirmed" and (span > SPAN or end > until):
+        for i in range(len(a)):
+            one, two = points[a[i]], points[b[i]]
+            touches, confirm = [one.idx, two.idx], None
+            for k in np.flatnonzero(near[i]):
+                if points[k].idx - touches[-1] >= SEPARATION:
+                    touches.append(points[k].idx)
+                    confirm = points[k].confirm if confirm is None else confirm
+            gone = int(broken[i]) if broken[i] >= 0 else None
+            until = two.idx + max(20, min(EXTENSION, int(span[i])))
+            status, kind, level = "broken" if gone is not None else "confirmed" if confirm is not None else "candidate", "trendline", None
+            if status == "confirmed" and (span[i] > SPAN or end > until):
                 status, kind = "converted", "horizontal_level"
-                level = b.price if span > SPAN else a.price + slope * (until - a.idx)
-            score = min(1.0, 0.45 + 0.15 * (len(touches) - 2) + min(0.25, span / 200))
-            lines.append({"kind": kind, "id": name(scale, role, a.idx, a.price, b.idx, b.price), "role": role, "status": status, "start_idx": a.idx,
-                "end_idx": b.idx, "start_price": a.price, "end_price": b.price, "slope": slope, "confirm_idx": confirm, "broken_idx": broken,
-                "touches": touches, "level": level, "valid_until": until, "score": round(score, 4)})
-        lines.sort(key=lambda x: (x["status"] != "confirmed", x["status"] == "broken", -x["score"], -x["end_idx"]))
-        for kind in ("trendline", "horizontal_level"):
-            out += [x for x in lines if x["kind"] == kind][:LINES]
-    return out
+                level = round(two.price if span[i] > SPAN else one.price + float(slope[i]) * (until - one.idx), 6)
+            score = min(1.0, 0.45 + 0.15 * (len(touches) - 2) + min(0.25, int(span[i]) / 200))
+            lines.append({"kind": kind, "pair": (one, two), "role": role, "status": status, "start_idx": one.idx, "end_idx": two.idx,
+                "start_price": one.price, "end_price": two.price, "slope": float(slope[i]), "confirm_idx": confirm, "broken_idx": gone, "touches": touches,
+                "level": level, "valid_until": until, "score": round(score, 4)})
+        lines.sort(key=_order)
+        kept = [x for kind in ("trendline", "horizontal_level") for x in [x for x in lines if x["kind"] == kind][:LINES]]
+        for x in kept:
+            one, two = x.pop("pair")
+            x["id"] = name("line_", scale, role, one.idx, one.price, two.idx, two.price)
+        out += kept
+    return sorted(out, key=_order)
+
+
+def _order(x: dict) -> tuple:
+    """Confirmed lines first, broken ones last, then by score and recency."""
+    return x["status"] != "confirmed", x["status"] == "broken", -x["score"], -x["end_idx"]
 
 
 def channels(lines: list[dict], found: list[Pivot], high: np.ndarray, low: np.ndarray, atr: np.ndarray) -> list[dict]:
-    """A parallel through the most extreme opposite pivot of each confirmed line; two touches of both sides confirm it."""
-    out = []
-    for line in lines:
-        if line["status"] != "confirmed" or line["kind"] != "trendline":
-            continue
+    """A parallel through the most extreme opposite pivot of each confirmed line; two touches of both sides confirm it.
+
+    Where a confirmed line of the other role runs along the parallel, the channel is built of two independent lines, and
+    it names the second; else its second side is the first one moved.
+    """
+    out, end = [], len(high) - 1
+    confirmed = [x for x in lines if x["status"] == "confirmed" and x["kind"] == "trendline"]
+    for line in confirmed:
         support, slope = line["role"] == "support", line["slope"]
         base = line["start_price"] - slope * line["start_idx"]
         inside = [p for p in found if p.idx >= line["start_idx"]]
-        offsets = [(p.price - base - slope * p.idx, p) for p in inside if (p.typ == "H") == support]
+        offsets = [(p.price - (base + slope * p.idx), p) for p in inside if (p.typ == "H") == support]
         offsets = [(o, p) for o, p in offsets if (o > 0) == support and o != 0]
         if not offsets:
             continue
@@ -93,18 +117,23 @@ def channels(lines: list[dict], found: list[Pivot], high: np.ndarray, low: np.nd
         lower, upper = sorted((base, base + offset))
 
         def touches(typ, intercept):
-            return sorted({p.idx for p in inside if p.typ == typ and abs(p.price - intercept - slope * p.idx) <= max(0.45 * atr[p.idx], p.price * 0.002)})  # noqa: B023
+            return sorted({p.idx for p in inside if p.typ == typ and abs(p.price - (intercept + slope * p.idx)) <= max(0.45 * atr[p.idx], p.price * 0.002)})  # noqa: B023
 
         below, above = touches("L", lower), touches("H", upper)
         confirm = max(below[1], above[1]) if len(below) > 1 and len(above) > 1 else None
-        bars = np.arange(confirm or edge.confirm, len(high))
+        bars = np.arange(confirm or edge.confirm, end + 1)
         gone = np.flatnonzero((low[bars] < lower + slope * bars - 0.6 * atr[bars]) | (high[bars] > upper + slope * bars + 0.6 * atr[bars]))
         broken = int(bars[gone[0]]) if len(gone) else None
         status = "broken" if broken is not None else "confirmed" if confirm is not None else "candidate"
-        out.append({"kind": "channel", "id": name("channel", line["id"], edge.idx), "role": "up" if slope > 0 else "down", "status": status,
+        other = base + offset
+        second = next((x for x in confirmed if x["role"] != line["role"] and abs(x["slope"] - slope) <= max(atr[end] * 0.01, abs(slope) * 0.15)
+            and abs(x["start_price"] - x["slope"] * x["start_idx"] - other) <= max(atr[end] * 0.45, abs(other) * 0.002)), None)
+        out.append({"kind": "channel", "id": name("channel_", line["id"], edge.idx), "role": "up" if slope > 0 else "down", "status": status,
             "start_idx": line["start_idx"], "end_idx": edge.idx, "slope": slope, "lower": lower, "upper": upper, "confirm_idx": confirm,
-            "broken_idx": broken, "touches": sorted({*below, *above}), "score": round(min(1.0, 0.35 + 0.1 * (len(below) + len(above))), 4)})
-    return out
+            "broken_idx": broken, "touches": sorted({*below, *above}), "score": round(min(1.0, 0.35 + 0.1 * (len(below) + len(above))), 4),
+            "baseline": line["id"], "construction": "translated" if second is None else "independent_trendlines",
+            "source_line": None if second is None else second["id"]})
+    return sorted(out, key=lambda x: (x["status"] != "confirmed", x["status"] == "broken", -x["score"]))
 
 
 def price_clusters(points: list[Pivot], tolerance: float = 0.025) -> list[list[Pivot]]:
@@ -133,43 +162,60 @@ def ranges(found: list[Pivot], close: np.ndarray, scale: str, tolerance: float =
             broken = finish + 1 + int(left[0]) if len(left) else None
             role = None if broken is None else "up" if close[broken] > upper else "down"
             start = min(hs[0], ls[0])
-            out.append({"kind": "range", "id": name("range", scale, lower, upper, start), "role": role,
+            out.append({"kind": "range", "id": name("range_", scale, str(round(lower, 6)), str(round(upper, 6)), start), "role": role,
                 "status": "broken" if broken is not None else "confirmed", "start_idx": start, "end_idx": finish, "lower": round(lower, 6),
                 "upper": round(upper, 6), "broken_idx": broken, "touches": sorted({*hs, *ls}), "score": round(min(1.0, 0.4 + 0.1 * (len(hs) + len(ls))), 4)})
     return sorted(out, key=lambda x: (x["status"] == "broken", -x["score"], -x["end_idx"]))[:most]
 
 
-def structure(high: np.ndarray, low: np.ndarray, close: np.ndarray, scale: str) -> list[dict]:
-    """All structures of one scale, as they are known at the last bar."""
+def structure(high: np.ndarray, low: np.ndarray, close: np.ndarray, scale: str, as_of: list[int] | None = None) -> list[dict]:
+    """All structures of one scale, as they are known at the last bar, or at each of the bars ``as_of``.
+
+    The zigzag is carried from one of these bars to the next; what is found at a bar depends on nothing after it.
+    """
     left, right, swing = SCALES[scale]
-    atr, line = average_range(high, low, close), []
-    for p in local_extremes(high, low, left, right):
-        extend(line, p, swing)
-    recent = [p for p in line if p.idx >= len(close) - MONITOR[scale]]
-    lines = trend_lines(recent, high, low, atr, scale)
-    return lines + channels(lines, recent, high, low, atr) + ranges(recent, close, scale)
+    atr, line, at, out = average_range(high, low, close), [], 0, []
+    found = local_extremes(high, low, left, right)
+    for last in [len(close) - 1] if as_of is None else sorted({min(i, len(close) - 1) for i in as_of}):
+        while at < len(found) and found[at].confirm <= last:
+            extend(line, found[at], swing)
+            at += 1
+        seen = slice(0, last + 1)
+        lines = trend_lines(line, high[seen], low[seen], atr[seen], scale)
+        shapes = lines + channels(lines, line, high[seen], low[seen], atr[seen]) + ranges(line, close[seen], scale)
+        out += [x | {"as_of_idx": last} for x in shapes]
+    return out
 
 
-def market_structure(bars: DataFrame) -> DataFrame:
-    """Structures of each symbol on all scales."""
+def market_structure(bars: DataFrame, as_of: DataFrame | None = None) -> DataFrame:
+    """Structures of each symbol on all scales, with the bar as of which they are known.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    ``as_of(symbol, as_of_idx)`` asks for other bars than the last, any number a symbol; a symbol without any gives no
+    rows, and a number beyond the last bar means the last.
+    """
+    schema = f"{SCHEMA}, as_of_idx int"
+
+    def told(rows: pd.DataFrame, at: list[int] | None) -> pd.DataFrame:
         rows = rows.sort_values("date", ignore_index=True)
         data = [rows[c].to_numpy(float) for c in ("high", "low", "close")]
-        found = [{"symbol": int(rows["symbol"].iloc[0]), "scale": s} | x for s in SCALES for x in structure(*data, s)]
-        return typed(found, SCHEMA)
+        return typed([{"symbol": int(rows["symbol"].iloc[0]), "scale": s} | x for s in SCALES for x in structure(*data, s, at)] if len(rows) else [], schema)
 
-    return bars.select("symbol", "date", "high", "low", "close").groupBy("symbol").applyInPandas(run, SCHEMA)
+    rows = bars.select("symbol", "date", "high", "low", "close").groupBy("symbol")
+    if as_of is None:
+        return rows.applyInPandas(lambda r: told(r, None), schema)
+    asked = as_of.select("symbol", "as_of_idx").where("as_of_idx >= 0").groupBy("symbol")
+    return rows.cogroup(asked).applyInPandas(lambda r, a: told(r, a["as_of_idx"].tolist()), schema)
 
 
 def compact(structures: DataFrame, lines: int = 2, others: int = 3) -> DataFrame:
-    """The best few of each kind by scale and role."""
+    """The best few: lines and converted levels of each scale and role, channels and ranges of each scale."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("symbol", "scale", "kind", F.when(F.col("kind") == "trendline", F.col("role"))).orderBy((F.col("status") != "confirmed"),
+    by_role = F.col("kind").isin("trendline", "horizontal_level")
+    w = Window.partitionBy("symbol", "scale", "kind", F.when(by_role, F.col("role"))).orderBy((F.col("status") != "confirmed"),
         (F.col("status") == "broken"), F.desc("score"), F.desc("end_idx"), "id")
     ranked = structures.withColumn("position", F.row_number().over(w))
-    return ranked.where(F.col("position") <= F.when(F.col("kind") == "trendline", lines).otherwise(others))
+    return ranked.where(F.col("position") <= F.when(by_role, lines).otherwise(others))
 
 
 TIMEFRAMES = ("daily", "weekly", "monthly")
@@ -196,7 +242,7 @@ def timeframe_heads(bars: DataFrame) -> DataFrame:
 
 def multi_timeframe(bars: DataFrame) -> DataFrame:
     """Structures of each symbol in each timeframe, every timeframe on its own bars, with ``timeframe_heads``."""
-    schema = "timeframe string, " + SCHEMA
+    schema = f"timeframe string, {SCHEMA}, as_of_idx int"
 
     def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date", ignore_index=True)
@@ -207,68 +253,68 @@ def multi_timeframe(bars: DataFrame) -> DataFrame:
     return found.join(timeframe_heads(bars), ["timeframe", "symbol"])
 
 
-AUDIT = "symbol long, id string, kind string, reason string, idx int"
-
-
 def audit(structures: DataFrame, bars: DataFrame) -> DataFrame:
-    """What confirmed lines and channels are not supposed to show: too few touches, or a wick beyond their limits."""
+    """What confirmed lines and channels are not supposed to show: too few touches, or a wick beyond their limits.
 
-    def run(lines: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date", ignore_index=True)
-        high, low, close = (rows[c].to_numpy(float) for c in ("high", "low", "close"))
-        atr, at, out = average_range(high, low, close), np.arange(len(rows)), []
-        for x in lines.itertuples(index=False):
-            fault = {"symbol": x.symbol, "id": x.id, "kind": x.kind}
-            if x.kind == "trendline":
-                if len(x.touches) < 3 or x.touches[2] <= int(x.end_idx):
-                    out.append(fault | {"reason": "no_third_touch"})
-                    continue
-                line, beyond = x.start_price + x.slope * (at - x.start_idx), 0.5 * atr
-                crossed = low < line - beyond if x.role == "support" else high > line + beyond
-                first = int(x.start_idx) + 1
-            else:
-                line, beyond = x.slope * at, 0.6 * atr
-                crossed = (low < x.lower + line - beyond) | (high > x.upper + line + beyond)
-                first = int(x.confirm_idx)
-            hit = np.flatnonzero(crossed[first:])
-            if len(hit):
-                out.append(fault | {"reason": "wick_crossing", "idx": first + int(hit[0])})
-        return typed(out, AUDIT)
-
-    wanted = structures.where("status = 'confirmed' and kind in ('trendline', 'channel')")
-    return wanted.groupBy("symbol").cogroup(bars.select("symbol", "date", "high", "low", "close").groupBy("symbol")).applyInPandas(run, AUDIT)
-
-
-ZONES = "symbol long, lower double, upper double, levels int, dependencies int, families array<string>, score double"
-
-
-def cluster_levels(levels: list[tuple[float, float, float, str, str]], gap: float = 0.01) -> list[dict]:
-    """Zones of (center, lower, upper, family, dependency) levels: bands that overlap, or lie within a gap without growing too wide."""
-    zones: list[list[tuple]] = []
-    low = high = 0.0
-    for level in sorted(levels):
-        center, lower, upper = level[:3]
-        if zones:
-            base = max(abs(low + high) / 2, 1e-12)
-            if (lower <= high and upper >= low) or ((center - high) / base <= gap and (max(high, upper) - low) / base <= 2 * gap):
-                zones[-1].append(level)
-                low, high = min(low, lower), max(high, upper)
-                continue
-        zones.append([level])
-        low, high = lower, upper
-    out = []
-    for z in zones:
-        depend, families = {x[4] for x in z}, sorted({x[3] for x in z})
-        out.append({"lower": round(min(x[1] for x in z), 8), "upper": round(max(x[2] for x in z), 8), "levels": len(z), "dependencies": len(depend),
-            "families": families, "score": round(min(1.0, 0.25 * len(depend) + 0.1 * len(families)), 4)})
-    return out
+    A structure meets the bars of its symbol from its start on; only bars that pierce it are kept, and the first counts.
+    """
+    wanted = structures.where("status = 'confirmed' and kind in ('trendline', 'channel')").select("symbol", "scale", "id", "kind", "role", "start_idx", "end_idx",
+        "start_price", "slope", "lower", "upper", "confirm_idx", "touches")
+    is_line = F.col("kind") == "trendline"
+    few = is_line & ((F.size("touches") < 3) | (F.try_element_at("touches", F.lit(3)) <= F.col("end_idx")))
+    rows = with_range(bars).select(F.col("symbol").alias("_symbol"), F.col("idx").alias("_idx"), "high", "low", "atr")
+    at = F.col("start_price") + F.col("slope") * (F.col("_idx") - F.col("start_idx"))
+    support = F.col("role") == "support"
+    of_line = F.when(support, F.col("low") < at - lit(0.5) * F.col("atr")).otherwise(F.col("high") > at + lit(0.5) * F.col("atr"))
+    moved, reach = F.col("slope") * F.col("_idx"), lit(0.6) * F.col("atr")
+    of_channel = (F.col("low") < F.col("lower") + moved - reach) | (F.col("high") > F.col("upper") + moved + reach)
+    since = F.when(is_line, F.col("start_idx") + 1).otherwise(F.col("confirm_idx"))
+    key = ["symbol", "scale", "id", "kind"]
+    crossed = wanted.where(~F.coalesce(few, F.lit(False))).join(rows, (F.col("symbol") == F.col("_symbol")) & (F.col("_idx") >= since) & F.when(is_line,
+        of_line).otherwise(of_channel)).groupBy(*key).agg(F.min("_idx").alias("idx"))
+    lacking = wanted.where(few).select(*key, F.lit("no_third_touch").alias("reason"), F.lit(None).cast("int").alias("idx"))
+    return lacking.unionByName(crossed.select(*key, F.lit("wick_crossing").alias("reason"), "idx"))
+
+
+def audit_zones(zones: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Zones whose level is not where their anchor and ratio put it: (symbol, scale, anchor_id, ratio, level, expected).
+
+    ``zones(symbol, scale, anchor_id, ratio, level)``, ``anchors(symbol, scale, anchor_id, start_price, end_price)``.
+    """
+    met = zones.join(anchors.select("symbol", "scale", "anchor_id", "start_price", "end_price"), ["symbol", "scale", "anchor_id"])
+    expected = F.round(F.col("end_price") - F.col("ratio") * (F.col("end_price") - F.col("start_price")), 8)
+    return met.withColumn("expected", expected).where(F.abs(F.col("level") - F.col("expected")) > lit(1e-6)).select("symbol", "scale", "anchor_id", "ratio", "level", "expected")
 
 
-def confluence(levels: DataFrame, gap: float = 0.01) -> DataFrame:
-    """Zones of ``levels(symbol, center, lower, upper, family, dependency)``; the score counts what is independent."""
+def zone_clusters(packed: DataFrame, gap: float = 0.01) -> DataFrame:
+    """Zones of each symbol's array of ``levels`` that overlap or lie within a gap of one another.
+
+    A level is a struct (center, lower, upper, family, dependency, ...).  From the lowest center up, it joins the last
+    zone if their bands overlap, or if it is near and the zone does not grow too wide; a fold over the sorted array says
+    which zone each level is in.  The score counts what is independent; each zone keeps its levels as ``sources``.
+    """
+    kind = packed.schema["levels"].dataType.elementType
+    start = F.struct(lit(0).alias("low"), lit(0).alias("high"), F.lit(0).alias("no"), F.array().cast(f"array<struct<no:int,level:{kind.simpleString()}>>").alias("placed"))
+
+    def step(acc: Column, x: Column) -> Column:
+        base = F.greatest(F.abs((acc["low"] + acc["high"]) / lit(2)), lit(1e-12))
+        overlaps = (x["lower"] <= acc["high"]) & (x["upper"] >= acc["low"])
+        near = ((x["center"] - acc["high"]) / base <= lit(gap)) & ((F.greatest(acc["high"], x["upper"]) - acc["low"]) / base <= lit(2 * gap))
+        joins = (acc["no"] > 0) & (overlaps | near)
+        no = acc["no"] + F.when(joins, 0).otherwise(1)
+        return F.struct(F.when(joins, F.least(acc["low"], x["lower"])).otherwise(x["lower"]).alias("low"),
+            F.when(joins, F.greatest(acc["high"], x["upper"])).otherwise(x["upper"]).alias("high"), no.alias("no"),
+            F.concat(acc["placed"], F.array(F.struct(no.alias("no"), x.alias("level")))).alias("placed"))
+
+    placed = packed.select("symbol", F.explode(F.aggregate(F.array_sort("levels"), start, step, lambda acc: acc["placed"])).alias("p")).select("symbol", "p.no", "p.level")
+    depend, families = F.array_sort(F.collect_set("level.dependency")), F.array_sort(F.collect_set("level.family"))
+    out = placed.groupBy("symbol", "no").agg(F.round(F.min("level.lower"), 8).alias("lower"), F.round(F.max("level.upper"), 8).alias("upper"),
+        F.count(F.lit(1)).cast("int").alias("levels"), depend.alias("dependency_groups"), families.alias("families"), F.array_sort(F.collect_list("level")).alias("sources"))
+    score = F.round(F.least(lit(1), lit(0.25) * F.size("dependency_groups") + lit(0.1) * F.size("families")), 4)
+    return out.withColumn("score", score)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = cluster_levels(list(rows[["center", "lower", "upper", "family", "dependency"]].itertuples(index=False, name=None)), gap)
-        return pd.DataFrame(found).assign(symbol=rows["symbol"].iloc[0])[["symbol", "lower", "upper", "levels", "dependencies", "families", "score"]]
 
-    return levels.groupBy("symbol").applyInPandas(run, ZONES)
+def confluence(levels: DataFrame, gap: float = 0.01) -> DataFrame:
+    """Zones of ``levels(symbol, center, lower, upper, family, dependency)``; a symbol has few levels, its anchors' and averages'."""
+    packed = levels.groupBy("symbol").agg(F.collect_list(F.struct("center", "lower", "upper", "family", "dependency")).alias("levels"))
+    return zone_clusters(packed, gap).select("symbol", "lower", "upper", "levels", F.size("dependency_groups").alias("dependencies"), "families", "score")

@@ -81,7 +81,8 @@ _SCALED = ", ".join(_fold(swing, source, f"_{scale}") for scale, source, swing i
     )
 )
 def zigzag_multiscale(spark, d):
-    return pv.multiscale(src.bars(spark, d)).withColumn("price", F.round("price", 6))
+    line = pv.multiscale(src.bars(spark, d))
+    return line.select("scale", "symbol", "ordinal", "date", "idx", "typ", F.round("price", 6).alias("price"), "confirm")
 
 
 def _line(spark, d):

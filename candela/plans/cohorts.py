@@ -148,13 +148,6 @@ def multi_timeframe_structure(spark, d):
     return structure.multi_timeframe(src.bars(spark, d))
 
 
-@query("SELECT NULL::BIGINT AS symbol, NULL::VARCHAR AS id, NULL::VARCHAR AS kind, NULL::VARCHAR AS reason, NULL::INT AS idx WHERE false")
-def structure_audit(spark, d):
-    """Faults of confirmed lines and channels; there are none to find."""
-    frame = src.bars(spark, d)
-    return structure.audit(structure.market_structure(frame), frame)
-
-
 # sectors
 
 

@@ -1,6 +1,7 @@
 """Scenarios with known answers."""
 
 import datetime
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -218,12 +219,87 @@ def test_turns_and_the_open_leg(spark):
     assert [(x.name, x.price) for x in got.levels] == [("retr_382", 59.82), ("retr_500", 61.0), ("retr_618", 62.18), ("prior_high", 66.0)]
 
 
-def test_confluence_counts_what_is_independent():
+def test_confluence_counts_what_is_independent(spark):
+    schema = "symbol long, center double, lower double, upper double, family string, dependency string"
+
+    def zones(*levels):
+        return structure.confluence(spark.createDataFrame([(1, *x) for x in levels], schema)).orderBy("lower").collect()
+
     level = (70.0, 69.3, 70.7, "fibonacci", "leg1")
-    assert [(z["levels"], z["dependencies"]) for z in structure.cluster_levels([level, level])] == [(2, 1)]
+    assert [(z["levels"], z["dependencies"], z["score"]) for z in zones(level, level)] == [(2, 1, 0.35)]
     near, far = (70.7, 70.63, 70.77, "average", "MA20"), (84.0, 84.0, 84.0, "average", "MA60")
-    assert len(structure.cluster_levels([(70.0, 69.86, 70.14, "fibonacci", "leg1"), near, far])) == 2  # within the gap
-    assert len(structure.cluster_levels([(70.0, 68.6, 70.14, "fibonacci", "leg1"), near, far])) == 3  # would grow too wide
+    assert len(zones((70.0, 69.86, 70.14, "fibonacci", "leg1"), near, far)) == 2  # within the gap
+    assert len(zones((70.0, 68.6, 70.14, "fibonacci", "leg1"), near, far)) == 3  # would grow too wide
+
+
+def two_walks(spark, n=420):
+    """Bars of two symbols that wander."""
+    rng, rows = np.random.default_rng(29), []
+    for symbol in (1, 2):
+        close = 40 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+        rows += [(symbol, d, float(c), float(c * 1.01), float(c * 0.99), float(c), 1.0, 1.0) for d, c in zip(days(n), close, strict=True)]
+    return spark.createDataFrame(rows, BARS)
+
+
+def test_structures_are_those_of_the_bars_so_far(spark):
+    """Lines, channels, ranges, skeletons and positions as of a bar are those of the table that ends there."""
+    from candela.operators import snapshot
+
+    frame = two_walks(spark)
+    asked = spark.createDataFrame([(1, 200), (1, 333), (2, 260), (2, 10_000), (3, 5)], "symbol long, as_of_idx int")
+    got = defaultdict(list)
+    for r in structure.market_structure(frame, asked).collect():
+        got[r.symbol, r.as_of_idx].append(tuple(r))
+    assert set(got) == {(1, 200), (1, 333), (2, 260), (2, 419)}
+    kinds = set()
+    for (symbol, at), rows in got.items():
+        here = snapshot.cut(frame, spark.createDataFrame([(symbol, at)], "symbol long, as_of_idx int"))
+        want = structure.market_structure(here).collect()
+        assert here.count() == at + 1 and sorted(map(repr, map(tuple, want))) == sorted(map(repr, rows))
+        kinds |= {r.kind for r in want}
+        known = pivots.multiscale(frame).where(f"symbol = {symbol} and scale = 'fine'") if at == 419 else pivots.multiscale(here).where("scale = 'fine'")
+        assert known.agg(F.max("confirm")).first()[0] <= at
+    assert {"trendline", "range"} <= kinds
+    one = spark.createDataFrame([(1, 333), (2, 260)], "symbol long, as_of_idx int")
+    whole, parts = snapshot.snapshot(frame, one).orderBy("symbol").collect(), []
+    for symbol, at in ((1, 333), (2, 260)):
+        first = frame.where(F.col("symbol") == symbol).orderBy("date").limit(at + 1)
+        parts.append(snapshot.snapshot(first).first())
+    assert whole == parts
+
+
+def test_compact_snapshot_keeps_what_stems_from_its_anchors(spark):
+    from candela.operators import snapshot
+
+    full = snapshot.snapshot(two_walks(spark)).orderBy("symbol").collect()
+    small = snapshot.compact(snapshot.snapshot(two_walks(spark))).orderBy("symbol").collect()
+    for f, c in zip(full, small, strict=True):
+        shown = {a.anchor_id for s in f.scales for a in s.anchors[:3]}
+        assert {a.anchor_id for s in c.scales for a in s.anchors} == shown == {z.anchor_id for s in c.scales for z in s.zones}
+        assert [(s.pivot_count, s.pivots) for s in c.scales] == [(len(s.pivots), s.pivots[-20:]) for s in f.scales]
+        for kind, rows in (("trendline", c.trendlines), ("horizontal_level", c.converted_levels)):
+            want = [x for s in ("fine", "medium", "coarse") for r in ("support", "resistance")
+                for x in [x for x in f.trendlines if (x.scale, x.role, x.kind) == (s, r, kind)][:2]]
+            assert rows == want
+        near = [z for z in f.confluence_zones if any(x.anchor_id in shown for x in z.sources)]
+        near.sort(key=lambda z: (abs((z.lower + z.upper) / 2 - f.current_price), -z.score, z.lower))
+        assert [(z.lower, z.upper) for z in c.confluence_zones] == [(z.lower, z.upper) for z in near[:12]]
+        for z, w in zip(c.confluence_zones, near, strict=False):
+            assert [x.id for x in z.source_refs] == [x.id for x in w.sources if x.anchor_id in shown]
+        assert c.counts.anchors == sum(len(s.anchors) for s in f.scales) and c.counts.trendlines == len(f.trendlines)
+
+
+def test_channels_of_two_lines():
+    """A channel's second side is the first one moved, or a line of its own that runs there."""
+    found = sorted(line_of("L", [(4, 20.0), (14, 22.0), (26, 24.4)]) + line_of("H", [(8, 25.8), (20, 28.2), (30, 30.2)]), key=lambda p: p.idx)
+    at = np.arange(34)
+    low, high, atr = 19.2 + 0.2 * at + 0.05, 19.2 + 0.2 * at + 4.9, np.full(34, 0.5)
+    support = next(x for x in structure.trend_lines(found, high, low, atr, "fine") if x["touches"] == [4, 14, 26])
+    one = structure.channels([support], found, high, low, atr)[0]
+    assert (one["construction"], one["source_line"], one["baseline"]) == ("translated", None, support["id"])
+    other = support | {"id": "other", "role": "resistance", "start_idx": 8, "start_price": 25.8}
+    two = structure.channels([support, other], found, high, low, atr)[0]
+    assert (two["construction"], two["source_line"]) == ("independent_trendlines", "other")
 
 
 def test_resample(spark):
@@ -366,15 +442,6 @@ def test_names_of_patterns():
     assert parsers.pattern_names("bottom, box_breakout,double bottom, x", known) == ["w_bottom", "box_breakout"]
 
 
-def test_structures_do_not_look_ahead(spark):
-    rng = np.random.default_rng(3)
-    close = 40 * np.exp(np.cumsum(rng.normal(0, 0.02, 300)))
-    high, low = close * 1.01, close * 0.99
-    for cut in (200, 260):
-        whole = [p for p in detectors.local_extremes(high, low) if p.confirm < cut]
-        assert whole == detectors.local_extremes(high[:cut], low[:cut])
-
-
 def test_alert_events_are_listed(spark):
     stamp = datetime.datetime(2024, 1, 1)
     events = spark.createDataFrame([(f"z{i % 2}", stamp + datetime.timedelta(hours=i), f"k{i}") for i in range(6)],
