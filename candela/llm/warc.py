@@ -1,13 +1,16 @@
 """Content-addressed web archive.
 
-A record's payload is stored once under its SHA-256, and its header, byte for byte, in a table of its own; a join of the
-two gives the record back as it would stand in a WARC file.  Records whose payload another one holds already become
+A record's payload is stored once, as a gzip member under the SHA-256 of its bytes, and its header, byte for byte, in a
+table of its own; a join of the two gives the record back as it would stand in a WARC file.  Records whose payload another one holds already become
 revisits.  Whatever is read back is checked: the payload against its address, the record against its own length and
 digest.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,26 @@ MIN_BYTES = 0
 DATE = "2000-01-01T00:00:00Z"
 
 
+#: Container of a gzip member, and how hard it is packed.
+GZIP, LEVEL = 31, 6
+
+
+def pack(payload: bytes) -> bytes:
+    return zlib.compress(payload, LEVEL, GZIP)
+
+
+def unpack(stored: bytes) -> bytes:
+    return zlib.decompress(stored, GZIP)
+
+
+def _packed(payloads: pd.Series) -> pd.Series:
+    return payloads.map(pack)
+
+
+def _unpacked(stored: pd.Series) -> pd.Series:
+    return stored.map(unpack, na_action="ignore")
+
+
 def base32(sha1: Column) -> Column:
     """Base 32 of a SHA-1 in hexadecimal: five hexadecimal digits are four of base 32."""
     parts = [F.lpad(F.conv(F.substring(sha1, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
@@ -76,32 +99,28 @@ def headers(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 def archive(pages: DataFrame, page: str = "html", min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(headers, payloads)`` of a record for each row of ``pages(page_id, url, <page>)``, written to the shared folder.
 
-    ``payloads(digest, payload)`` has each distinct payload once.  The payload is the page in UTF-8; a null page is empty.
+    ``payloads(digest, stored)`` has each distinct payload once, packed after copies have been left out.  The payload is
+    the page in UTF-8; a null page is empty.
     Rows that repeat are records of their own; other columns are not read; an empty table gives two empty tables.
     """
     payload = _binary(F.coalesce(F.col(page).cast("string"), F.lit("")))
     told = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     names = told.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n_bytes"))
-    return materialise(headers(names, min_bytes), "warc-headers"), materialise(told.select("digest", "payload").dropDuplicates(["digest"]), "warc-payloads")
-
-
-def verified(payloads: DataFrame) -> DataFrame:
-    """``payloads`` whose bytes give their address; any other stops the job."""
-    wrong = F.raise_error(F.concat(F.lit("payload does not match its address "), F.col("digest")))
-    return payloads.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(wrong.cast("binary")))
+    store = told.select("digest", "payload").dropDuplicates(["digest"]).select("digest", F.pandas_udf(_packed, "binary")("payload").alias("stored"))
+    return materialise(headers(names, min_bytes), "warc-headers"), materialise(store, "warc-payloads")
 
 
 def restore(heads: DataFrame, payloads: DataFrame) -> DataFrame:
     """``heads`` with ``payload`` and ``record``: the record's exact bytes, of a revisit without its payload.
 
-    Each header must have its payload in the store; a missing one stops the job.  Where ``heads`` has a column of one of
-    these names, the added one has an underscore after it.
+    Each header must have its payload in the store, and a payload's bytes must give its address; else the job stops.
+    Payloads are moved packed.  Where ``heads`` has a column of one of these names, the added one has an underscore after it.
     """
-    payload, record = free_names(heads.columns, "payload", "record")
-    store = verified(payloads).select("digest", F.col("payload").alias(payload))
-    missing = F.raise_error(F.concat(F.lit("no payload at address "), F.col("digest"))).cast("binary")
+    stored, payload, record = free_names(heads.columns, "stored", "payload", "record")
+    met = heads.join(payloads.select("digest", F.col("stored").alias(stored)), "digest", "left").withColumn(payload, F.pandas_udf(_unpacked, "binary")(stored))
+    wrong = F.raise_error(F.concat(F.when(F.col(payload).isNull(), "no payload at address ").otherwise("payload does not match its address "), F.col("digest")))
+    met = met.withColumn(payload, F.when(F.sha2(payload, 256) == F.col("digest"), F.col(payload)).otherwise(wrong.cast("binary")))
     body = F.when(content_length(F.col("header")) > 0, F.col(payload)).otherwise(_binary(F.lit("")))
-    met = heads.join(store, "digest", "left").withColumn(payload, F.coalesce(F.col(payload), missing))
     return met.withColumn(record, F.concat(F.col("header"), body, _binary(F.lit(END * 2)))).select(*heads.columns, payload, record)
 
 
