@@ -16,17 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.llm.common import materialise, utf8
-from candela.llm.trie import RadixTrie
+from candela.llm.trie import SourceTrie
 
 #: Documents of a language that a kept term is in, and terms listed of each source.
 MIN_DOCS, TOP = 10, 10
-#: Leaves that a partition's tries hold before they are sent on, and entries of one range of the merged trie.
-HELD_LEAVES, RANGE_ENTRIES = 200_000, 50_000
+#: Entries that a partition counts before its tries are sent on, rows that are sent at once, entries of one range of the merged trie.
+HELD, SENT, RANGE_ENTRIES = 400_000, 100_000, 50_000
 #: Sources of which one task sums the pairs with all others.
 BLOCK = 512
 #: Cells of the table of shares that are looked at together.
@@ -37,42 +39,38 @@ KEPT = "lang string, range_no long, term binary, source string, n long, first lo
 PARTS = "lang string, part string, source string, item string, value long"
 
 
-def terms(text: str | None) -> list[bytes]:
-    """Runs of ASCII letters and of anything beyond ASCII, A-Z lower-cased, as UTF-8."""
-    return _TERM.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
+def terms(text: bytes | None) -> list[bytes]:
+    """Runs of ASCII letters and of anything beyond ASCII in a text's UTF-8, A-Z lower-cased."""
+    return _TERM.findall(text.lower()) if text else []
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves of the tries of a partition's documents; the empty term stands for the documents themselves."""
-    tries: dict[str, RadixTrie] = {}
+    counters: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-    def leaves() -> Iterator[pd.DataFrame]:
+    def leaves() -> Iterator[pa.RecordBatch]:
+        tries: dict[str, SourceTrie] = {}
+        for (lang, source), (occurrences, documents) in counters.items():
+            tries.setdefault(lang, SourceTrie()).add(source, occurrences, documents)
+        counters.clear()
         for lang in sorted(tries):
-            rows = [(lang, term, source, n, docs) for term, leaf in tries[lang].walk() for source, (n, docs) in sorted(leaf.items())]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAVES.split(", ")])
-        tries.clear()
-
-    for frame in frames:
-        for (lang, source), texts in frame.groupby(["lang", "source"], sort=False)["text"]:
-            trie, occurrences, documents, held = tries.setdefault(lang, RadixTrie()), Counter(), Counter(), 0
-
-            def put():
-                for term, n in occurrences.items():
-                    trie.add(term, source, n, documents[term])
-                occurrences.clear(), documents.clear()
-
-            for text in texts:
-                found = terms(text)
-                occurrences.update(found)
-                documents.update(set(found))
-                held += len(found)
-                if held > HELD_LEAVES:
-                    put()
-                    held = 0
-            put()
-            trie.add(b"", source, 0, len(texts))
-            if sum(t.size for t in tries.values()) > HELD_LEAVES:
-                yield from leaves()
+            words, sources, term, source, n, docs = tries.pop(lang).leaves()
+            words, sources = pa.array(words, pa.binary()), pa.array(sources, pa.string())
+            for i in range(0, len(term), SENT):
+                part = slice(i, i + SENT)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(term[part])), words.take(pa.array(term[part])), sources.take(pa.array(source[part])),
+                    pa.array(n[part]), pa.array(docs[part])], [c.split()[0] for c in LEAVES.split(", ")])
+
+    for batch in batches:
+        columns = [batch.column(c) for c in ("lang", "source")]
+        for lang, source, text in zip(*[c.to_pylist() for c in columns], batch.column("text").cast(pa.binary()), strict=True):
+            occurrences, documents = counters.get((lang, source)) or counters.setdefault((lang, source), (Counter(), Counter()))
+            found = terms(text.as_py())
+            occurrences.update(found)
+            documents.update(set(found))
+            documents[b""] += 1
+        if sum(len(c) for _, c in counters.values()) > HELD:
+            yield from leaves()
     yield from leaves()
 
 
@@ -84,45 +82,55 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _changes(column: pa.Array) -> np.ndarray:
+    """A number a run of equal values, in order."""
+    if len(column) < 2:
+        return np.zeros(len(column), np.int64)
+    return np.concatenate([[0], np.cumsum(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False))])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up equal leaves of a stream in the order of lang, term and source, and numbers ranges of those that are kept.
 
     The rows of the last term of a batch wait for the next one; a term has a row for each source and trie at most.
     """
     task = TaskContext.get().partitionId() << 32
     number, filled, lang_now = 0, 0, None
-    waiting: pd.DataFrame | None = None
+    waiting: pa.RecordBatch | None = None
 
-    def kept(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def kept(rows: pa.RecordBatch, of_lang: np.ndarray, of_term: np.ndarray) -> pa.RecordBatch:
         nonlocal number, filled, lang_now
-        lang, term, source = (rows[c].to_numpy(object) for c in ("lang", "term", "source"))
-        at = _runs(lang, term, source)
-        n, docs = (np.add.reduceat(rows[c].to_numpy(np.int64), at) for c in ("n", "docs"))
-        lang, term, source = lang[at], term[at], source[at]
-        heads = _runs(lang, term)
-        sizes = np.diff(np.append(heads, len(lang)))
-        in_docs = np.add.reduceat(docs, heads)
-        ranges = np.zeros(len(heads), np.int64)
-        stays = (in_docs >= MIN_DOCS) & np.fromiter((t != b"" for t in term[heads]), np.bool_, len(heads))
-        for i in np.flatnonzero(stays):
-            if lang[heads[i]] != lang_now or filled >= RANGE_ENTRIES:
-                number, filled, lang_now = number + 1, 0, lang[heads[i]]
+        at = _runs(of_lang, of_term, _changes(rows.column("source")))
+        n, docs = (np.add.reduceat(rows.column(c).to_numpy(), at) for c in ("n", "docs"))
+        heads = _runs(of_lang[at], of_term[at])
+        sizes = np.diff(np.append(heads, len(at)))
+        named = pc.binary_length(rows.column("term").take(pa.array(at[heads]))).to_numpy() > 0
+        stays = np.flatnonzero((np.add.reduceat(docs, heads) >= MIN_DOCS) & named)
+        langs, ranges = rows.column("lang").take(pa.array(at[heads[stays]])).to_pylist(), np.zeros(len(heads), np.int64)
+        for i, lang in zip(stays, langs, strict=True):
+            if lang != lang_now or filled >= RANGE_ENTRIES:
+                number, filled, lang_now = number + 1, 0, lang
             filled += sizes[i]
             ranges[i] = task + number
-        first = np.zeros(len(lang), np.int64)
+        first = np.zeros(len(at), np.int64)
         first[heads] = 1
-        take = np.repeat(stays, sizes) & ((n > 0) | (first == 1))
-        yield pd.DataFrame({"lang": lang, "range_no": np.repeat(ranges, sizes), "term": term, "source": source, "n": n, "first": first})[take]
-
-    for frame in frames:
-        rows = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
-        if len(rows):
-            heads = _runs(rows["lang"].to_numpy(object), rows["term"].to_numpy(object))
-            waiting = rows.iloc[heads[-1] :]
-            if heads[-1]:
-                yield from kept(rows.iloc[: heads[-1]])
-    if waiting is not None and len(waiting):
-        yield from kept(waiting)
+        stay = np.zeros(len(heads), np.bool_)
+        stay[stays] = True
+        take = np.repeat(stay, sizes)
+        rows = rows.take(pa.array(at[take]))
+        return pa.RecordBatch.from_arrays([rows.column("lang"), pa.array(np.repeat(ranges, sizes)[take]), rows.column("term"), rows.column("source"), pa.array(n[take]),
+            pa.array(first[take])], [c.split()[0] for c in KEPT.split(", ")])
+
+    for batch in batches:
+        rows = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+        if rows.num_rows:
+            of_lang, of_term = _changes(rows.column("lang")), _changes(rows.column("term"))
+            last = int(_runs(of_lang, of_term)[-1])
+            waiting = rows.slice(last)
+            if last:
+                yield kept(rows.slice(0, last), of_lang[:last], of_term[:last])
+    if waiting is not None:
+        yield kept(waiting, _changes(waiting.column("lang")), _changes(waiting.column("term")))
 
 
 def share(count: np.ndarray, total: np.ndarray | int, kept: int) -> np.ndarray:
@@ -189,9 +197,9 @@ def audit_sources(docs: DataFrame) -> DataFrame:
     """
     blank = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source")}
     read = docs.select(blank["lang"].alias("lang"), blank["source"].alias("source"), utf8("text").alias("text"))
-    leaves = materialise(read.mapInPandas(_count, LEAVES), "divergence-leaves")
+    leaves = materialise(read.mapInArrow(_count, LEAVES), "divergence-leaves")
     ordered = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source")
-    kept = materialise(ordered.mapInPandas(_merge, KEPT), "divergence-terms")
+    kept = materialise(ordered.mapInArrow(_merge, KEPT), "divergence-terms")
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum("first").alias("kept_terms"))
     occurring = leaves.where(F.octet_length("term") == 0).select("lang", "source").distinct()

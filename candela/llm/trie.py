@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+
+import numpy as np
 
 
 class _Node:
     __slots__ = ("label", "children", "leaf")
 
-    def __init__(self, label: bytes, leaf: dict | None = None):
-        self.label, self.children, self.leaf = label, {}, leaf
+    def __init__(self, label: bytes):
+        self.label, self.children, self.leaf = label, {}, -1
 
 
 def _shared(a: bytes, b: bytes, at: int) -> int:
@@ -21,7 +23,7 @@ def _shared(a: bytes, b: bytes, at: int) -> int:
 
 
 class RadixTrie:
-    """Terms as paths of byte strings; a term's leaf maps a source to ``[occurrences, documents]``.
+    """Terms as paths of byte strings; leaves are numbered in the order in which they were made.
 
     Paths are followed with a stack of their own, so terms may be of any length and nest to any depth.
     """
@@ -30,8 +32,8 @@ class RadixTrie:
         self.root = _Node(b"")
         self.size = 0
 
-    def leaf(self, term: bytes) -> dict:
-        """The counters of a term, made if it is new."""
+    def leaf(self, term: bytes) -> int:
+        """The number of a term's leaf, made if it is new."""
         node, at = self.root, 0
         while at < len(term):
             child = node.children.get(term[at])
@@ -46,23 +48,12 @@ class RadixTrie:
                 fork.children[child.label[0]] = child
                 node.children[term[at]] = child = fork
             node, at = child, at + n
-        if node.leaf is None:
-            node.leaf = {}
+        if node.leaf < 0:
+            node.leaf = self.size
             self.size += 1
         return node.leaf
 
-    def add(self, term: bytes, source: str, occurrences: int, documents: int) -> None:
-        count = self.leaf(term).setdefault(source, [0, 0])
-        count[0] += occurrences
-        count[1] += documents
-
-    def merge(self, other: RadixTrie) -> None:
-        """Add another trie's counters to this one's."""
-        for term, leaf in other.walk():
-            for source, (occurrences, documents) in leaf.items():
-                self.add(term, source, occurrences, documents)
-
-    def walk(self, start: bytes = b"", end: bytes | None = None) -> Iterator[tuple[bytes, dict]]:
+    def walk(self, start: bytes = b"", end: bytes | None = None) -> Iterator[tuple[bytes, int]]:
         """Terms from ``start`` up to, but without, ``end`` in the order of their bytes, which is that of their code points in UTF-8."""
         stack = [(b"", self.root)]
         while stack:
@@ -72,6 +63,45 @@ class RadixTrie:
                 continue
             if path < start and not start.startswith(path):
                 continue
-            if node.leaf is not None and path >= start:
+            if node.leaf >= 0 and path >= start:
                 yield path, node.leaf
             stack.extend((path, node.children[b]) for b in sorted(node.children, reverse=True))
+
+
+class SourceTrie:
+    """A trie whose leaves count each source's occurrences and documents; two of them merge into one."""
+
+    def __init__(self) -> None:
+        self.trie = RadixTrie()
+        self.parts: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, source: str, occurrences: Mapping[bytes, int], documents: Mapping[bytes, int]) -> None:
+        """Count a source's terms; ``documents`` has the terms of ``occurrences`` and perhaps more."""
+        leaf, n = self.trie.leaf, len(documents)
+        at = np.fromiter((leaf(t) for t in documents), np.int64, n)
+        counts = np.fromiter((occurrences.get(t, 0) for t in documents), np.int64, n)
+        self.parts.append((source, at, counts, np.fromiter(documents.values(), np.int64, n)))
+
+    def merge(self, other: SourceTrie) -> None:
+        """Take in another trie's counters."""
+        moved = np.zeros(other.trie.size, np.int64)
+        for term, number in other.trie.walk():
+            moved[number] = self.trie.leaf(term)
+        self.parts += [(source, moved[at], n, docs) for source, at, n, docs in other.parts]
+
+    def leaves(self) -> tuple[list[bytes], list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms in order and sources in order, then for each leaf and source that occur together: their places, occurrences, documents."""
+        walked = list(self.trie.walk())
+        place = np.zeros(self.trie.size, np.int64)
+        place[np.fromiter((k for _, k in walked), np.int64, len(walked))] = np.arange(len(walked))
+        sources = sorted({p[0] for p in self.parts})
+        number = {s: i for i, s in enumerate(sources)}
+        term = np.concatenate([place[p[1]] for p in self.parts] or [np.zeros(0, np.int64)])
+        source = np.concatenate([np.full(len(p[1]), number[p[0]]) for p in self.parts] or [np.zeros(0, np.int64)])
+        key, at = np.unique(term * max(1, len(sources)) + source, return_inverse=True)
+        sums = []
+        for k in (2, 3):
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, at, np.concatenate([p[k] for p in self.parts] or [np.zeros(0, np.int64)]))
+            sums.append(total)
+        return [t for t, _ in walked], sources, *np.divmod(key, max(1, len(sources))), *sums
