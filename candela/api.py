@@ -137,7 +137,7 @@ def generate_stock_report(spark, sf_dir, symbol: int) -> DataFrame:
 @tool
 def scan_patterns(spark, sf_dir, patterns: list | None = None, min_score: float = 0.6, strict: bool = False) -> DataFrame:
     """Signals of the latest trading day."""
-    found = detectors.with_filters(detectors.detect(_factors(spark, sf_dir), tuple(patterns or detectors.DETECTORS), min_score))
+    found = detectors.with_filters(detectors.detect(_factors(spark, sf_dir), tuple(patterns or detectors.PATTERNS), min_score))
     last = found.agg(F.max("date").alias("date"))
     found = found.join(F.broadcast(last), "date")
     return found.where("strict_pass") if strict else found

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -26,6 +28,30 @@ def full(n: int, value: Column, window: WindowSpec, over: str) -> Column:
     return F.when(F.count(over).over(window) == n, value.over(window))
 
 
+def sliding_extremes(frame: DataFrame, wanted: dict[str, tuple[str, Callable, int]]) -> DataFrame:
+    """``frame`` with the extremes of each symbol's last n rows: name -> (column, ``F.greatest`` or ``F.least``, n).
+
+    A frame of 2p rows is two frames of p, and one of n rows two that overlap; so a row costs a few steps back instead of
+    the n comparisons of a sliding frame.  Rows before the first do not count.
+    """
+    w, made = by_symbol(), {}
+    kinds = {(column, pick): max(n for c, f, n in wanted.values() if (c, f) == (column, pick)) for column, pick, _ in wanted.values()}
+    for i, (kind, most) in enumerate(kinds.items()):
+        made[kind] = f"_x{i}"
+        frame = frame.withColumn(f"_x{i}_1", F.col(kind[0]))
+    p = 1
+    while any(2 * p <= most for most in kinds.values()):
+        frame = frame.withColumns({f"{made[k]}_{2 * p}": k[1](F.col(f"{made[k]}_{p}"), F.lag(f"{made[k]}_{p}", p).over(w)) for k, most in kinds.items() if 2 * p <= most})
+        p *= 2
+    out = {}
+    for name, (column, pick, n) in wanted.items():
+        half = f"{made[column, pick]}_{1 << (n.bit_length() - 1)}"
+        rest = n - (1 << (n.bit_length() - 1))
+        out[name] = pick(F.col(half), F.lag(half, rest).over(w)) if rest else F.col(half)
+    kept = frame.columns
+    return frame.withColumns(out).select(*[c for c in kept if not c.startswith("_x")], *out)
+
+
 def lit(x: float) -> Column:
     """A double literal; decimals would change the arithmetic."""
     return F.lit(float(x))

@@ -261,16 +261,6 @@ def _signals(spark, d):
     return detectors.with_filters(detectors.detect(ta.factors(src.with_change(src.bars(spark, d)))))
 
 
-@query()
-def pattern_signals(spark, d):
-    return _signals(spark, d)
-
-
-@query()
-def pattern_history_latest(spark, d):
-    return research.best_signal(_signals(spark, d))
-
-
 @query(with_ctes("SELECT symbol, date, " + r("entry ret_5 max_gain_5 ret_10 max_gain_10 ret_20 max_gain_20") + " FROM events_", "events_"))
 def forward_returns(spark, d):
     return _box_events(spark, d).select("symbol", "date", *rounded("entry ret_5 max_gain_5 ret_10 max_gain_10 ret_20 max_gain_20".split()))

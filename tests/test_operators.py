@@ -63,11 +63,13 @@ def test_pivots_native_equal_arrays(spark):
     assert all(c == i + 5 for i, _, _, c in native) and {(30, "H"), (41, "L")} <= {(i, t) for i, t, _, _ in native}
 
 
-def test_fib_levels():
-    up = detectors.fib_levels(Pivot(90, "H", 75.0, 95), Pivot(20, "L", 55.0, 25))
-    assert {k: round(v, 2) for k, v in up.items()} == {"fib_382": 67.36, "fib_500": 65.0, "fib_618": 62.64, "fib_786": 59.28}
-    assert round(detectors.fib_levels(Pivot(90, "H", 75.0, 95), Pivot(20, "L", 55.0, 25), 80.0)["fib_500"], 2) == 67.5
-    assert round(detectors.fib_levels(Pivot(20, "H", 75.0, 25), Pivot(90, "L", 55.0, 95))["retr_618"], 2) == 67.36
+def test_fib_levels(spark):
+    pivot = "struct<price:double,idx:int>"
+    cases = [(1, (75.0, 90), (55.0, 20), None), (2, (75.0, 90), (55.0, 20), 80.0), (3, (75.0, 20), (55.0, 90), None), (4, None, (55.0, 20), 80.0)]
+    frame = spark.createDataFrame(cases, f"k int, top {pivot}, bottom {pivot}, peak double")
+    got = {r.k: r.x and {x.name: round(x.value, 2) for x in r.x} for r in frame.select("k", detectors.fib_levels(F.col("top"), F.col("bottom"), F.col("peak")).alias("x")).collect()}
+    assert got[1] == {"fib_382": 67.36, "fib_500": 65.0, "fib_618": 62.64, "fib_786": 59.28}
+    assert got[2]["fib_500"] == 67.5 and got[3]["retr_618"] == 67.36 and got[4] is None
 
 
 #: Corners of a path, its loud bars, and the signal it leads to: pattern, variant, bar, trend, phase.
