@@ -51,6 +51,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def leaves() -> Iterator[pa.RecordBatch]:
         tries: dict[str, SourceTrie] = {}
         for (lang, source), (occurrences, documents) in counters.items():
+            occurrences[b""] = 0
             tries.setdefault(lang, SourceTrie()).add(source, occurrences, documents)
         counters.clear()
         for lang in sorted(tries):

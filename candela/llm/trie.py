@@ -73,13 +73,16 @@ class SourceTrie:
 
     def __init__(self) -> None:
         self.trie = RadixTrie()
+        self.numbers: dict[bytes, int] = {}  # leaves that were reached before
         self.parts: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, source: str, occurrences: Mapping[bytes, int], documents: Mapping[bytes, int]) -> None:
-        """Count a source's terms; ``documents`` has the terms of ``occurrences`` and perhaps more."""
-        leaf, n = self.trie.leaf, len(documents)
-        at = np.fromiter((leaf(t) for t in documents), np.int64, n)
-        counts = np.fromiter((occurrences.get(t, 0) for t in documents), np.int64, n)
+        """Count a source's terms, the same in ``occurrences`` and ``documents``."""
+        n, numbers = len(documents), self.numbers
+        for term in documents.keys() - numbers.keys():
+            numbers[term] = self.trie.leaf(term)
+        at = np.fromiter(map(numbers.__getitem__, documents), np.int64, n)
+        counts = np.fromiter(map(occurrences.__getitem__, documents), np.int64, n)
         self.parts.append((source, at, counts, np.fromiter(documents.values(), np.int64, n)))
 
     def merge(self, other: SourceTrie) -> None:
