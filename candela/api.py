@@ -203,14 +203,16 @@ def render_stock_charts(spark, sf_dir, symbol: int, period: str = "daily") -> Da
 
 
 @tool
-def screen_rising_candidates(spark, sf_dir, top_n: int = 20, lookback_days: int = 60) -> DataFrame:
-    from candela.plans.analysis import _daily_trend, _sector_change, _signals
-
-    frame = src.bars(spark, sf_dir)
-    higher = resample.higher_score(resample.period_summary(resample.weekly(frame)), resample.period_summary(resample.monthly(frame)))
-    as_of = frame.agg(F.max("date")).first()[0]
-    scores = research.sector_scores(src.members(spark, sf_dir), _sector_change(spark, sf_dir))
-    return research.rising_candidates(_signals(spark, sf_dir), as_of, lookback_days, higher, scores, _daily_trend(spark, sf_dir), top_n)
+def screen_rising_candidates(spark, sf_dir, top_n: int = 20, lookback_days: int = 20, patterns: list | None = None, min_score: float = 0.6, strict: bool = True,
+    symbols: list | None = None) -> DataFrame:
+    """The best recent signals with score, its parts, evidence and sectors."""
+    from candela.plans.analysis import rising_inputs
+
+    signals = detectors.with_filters(detectors.detect(_factors(spark, sf_dir), min_score=min_score))
+    signals = signals.where(F.col("symbol").isin(list(symbols))) if symbols else signals
+    found = research.rising_candidates(signals, lookback=lookback_days, n=top_n, patterns=patterns, strict=strict, **rising_inputs(spark, sf_dir))
+    near = src.members(spark, sf_dir).groupBy("symbol").agg(F.slice(F.array_sort(F.collect_list("sector_code")), 1, 10).alias("sectors"))
+    return found.join(near, "symbol", "left").orderBy(F.desc("total_score"), F.desc("date"), "symbol")
 
 
 @tool

@@ -105,8 +105,8 @@ def quartile_report(events: DataFrame, factors: tuple[str, ...], keys: tuple[str
         F.min("x").alias("low"), F.max("x").alias("high"))
 
 
-def commonality(events: DataFrame, factors: tuple[str, ...], split: str, keys: tuple[str, ...] = ("pattern",), least: tuple[int, int] = (50, 20)) -> DataFrame:
-    """Win rates by quantile before and from a date on, where both have enough events, their gap, and which quantiles deserve review."""
+def commonality(events: DataFrame, factors: tuple[str, ...], split: str, keys: tuple[str, ...] = (), least: tuple[int, int] = (50, 20)) -> DataFrame:
+    """Win rates by quantile, of all patterns together unless ``keys`` say otherwise, before and from a date on, where both have enough events, their gap, and which quantiles deserve review."""
     edges = quantile_edges(events, factors, keys)
     long = events.select(*keys, "date", "ret_10", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"),
         F.col(f).cast("double").alias("x")) for f in factors])).alias("f")).select(*keys, "date", "ret_10", "f.factor",
@@ -154,15 +154,15 @@ def simulate(signals: DataFrame, bars_with_change: DataFrame) -> DataFrame:
 
 
 def admit(trades: DataFrame, most: int = 10) -> DataFrame:
-    """Trades a portfolio of ``most`` positions takes, by entry and symbol, never two of one symbol at once.
+    """Trades that one portfolio of ``most`` positions takes, by entry and symbol, never two of one symbol at once.
 
-    Whether one fits depends on the ones before that may still be held, so trades are folded in order; a stretch begins
-    wherever all earlier trades have ended, and stretches are folded apart.
+    Whether a trade fits depends on those still held, so trades are folded in order.  On a day at most ``most`` symbols are
+    held and at most ``most`` can be taken, and of a symbol only the first trade of the day counts; so the first
+    2 * ``most`` symbols of each day decide, and the fold sees no more than these, whatever the number of trades.
     """
-    before = Window.partitionBy("pattern").orderBy("entry_date", "symbol").rowsBetween(Window.unboundedPreceding, -1)
-    until = Window.partitionBy("pattern").orderBy("entry_date", "symbol").rowsBetween(Window.unboundedPreceding, 0)
-    fresh = F.coalesce(F.max("exit_date").over(before) < F.col("entry_date"), F.lit(True)).cast("int")
-    trades_ = trades.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(until)).drop("_fresh")
+    first = Window.partitionBy("entry_date", "symbol").orderBy("pattern", "exit_date")
+    place = Window.partitionBy("entry_date").orderBy("symbol")
+    decisive = trades.withColumn("_first", F.row_number().over(first)).where("_first = 1").withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= 2 * most)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["entry_date", "symbol"], ignore_index=True)
@@ -173,27 +173,29 @@ def admit(trades: DataFrame, most: int = 10) -> DataFrame:
             if len(held) < most and row.symbol not in held:
                 held[row.symbol] = row.exit_date
                 kept.append(i)
-        return rows.iloc[kept].drop(columns="_stretch")
+        return rows.iloc[kept]
 
-    return trades_.groupBy("pattern", "_stretch").applyInPandas(run, trades.schema)
+    return decisive.drop("_first", "_place").groupBy().applyInPandas(run, trades.schema)
 
 
 def portfolio(accepted: DataFrame, most: int = 10) -> DataFrame:
-    """Return, drawdown and quality of each strategy's accepted trades, gains booked on the exit day at equal weights."""
-    daily = accepted.groupBy("pattern", "exit_date").agg((F.sum("net_return") / lit(most)).alias("r"))
-    w = Window.partitionBy("pattern").orderBy("exit_date").rowsBetween(Window.unboundedPreceding, 0)
+    """Return, drawdown and quality of the accepted trades, gains booked on the exit day at equal weights; one row, without trades one of zeros.
+
+    Its windows run over exit days, whose number does not grow with the trades.
+    """
+    daily = accepted.groupBy("exit_date").agg((F.sum("net_return") / lit(most)).alias("r"))
+    w = Window.orderBy("exit_date").rowsBetween(Window.unboundedPreceding, 0)
     curve = daily.withColumn("equity", F.exp(F.sum(F.log1p("r")).over(w)))
     curve = curve.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(w), lit(1)) - lit(1))
-    shape = curve.groupBy("pattern").agg(F.max_by("equity", "exit_date").alias("final"), F.min("drawdown").alias("max_drawdown"),
+    shape = curve.agg(F.coalesce(F.max_by("equity", "exit_date"), lit(1)).alias("final"), F.coalesce(F.min("drawdown"), lit(0)).alias("max_drawdown"),
         (ratio(F.avg("r"), F.stddev_samp("r")) * F.sqrt(lit(252))).alias("sharpe"), F.datediff(F.max("exit_date"), F.min("exit_date")).alias("days"),
         F.count(F.lit(1)).alias("exits"))
     r = F.col("net_return")
-    trade = accepted.groupBy("pattern").agg(F.count(F.lit(1)).alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"),
+    trade = accepted.agg(F.count(F.lit(1)).alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"), F.avg(r).alias("avg_return"),
         ratio(F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r <= 0, r)))).alias("payoff"))
-    joined = shape.join(trade, "pattern")
-    return joined.select("pattern", "trades", (F.col("final") - lit(1)).alias("total_return"),
+    return shape.crossJoin(trade).select("trades", (F.col("final") - lit(1)).alias("total_return"),  # one row each
         F.when(F.col("exits") > 1, F.pow("final", lit(365.25) / F.greatest("days", F.lit(1))) - lit(1)).alias("annual_return"), "max_drawdown", "sharpe",
-        "win_rate", "payoff")
+        "win_rate", "avg_return", "payoff")
 
 
 def wave_report(events: DataFrame, least: int = 30) -> DataFrame:

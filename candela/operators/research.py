@@ -7,33 +7,53 @@ from pyspark.sql import functions as F
 
 from candela.functions.series import by_symbol, lit, ratio
 
-ALIASES = {"m_neckline": "neckline_reclaim", "trend_pullback": "pullback_support", "box_breakout": "platform_breakout", "w_bottom": "double_bottom",
-    "ma_rebound": "average_rebound"}
-
-
-def stage(variant: str = "variant") -> Column:
-    """Where in its life a signal is; any hold counts as a retest."""
-    v = F.col(variant)
-    return F.when(v.contains("hold"), "retesting").when(v.contains("breakout"), "breakout").when(v.isin("right_bottom", "near_level", "soft_pullback"),
-        "candidate").when(v == "fake_break", "reclaimed").otherwise("watching")
-
-
-def enrich(signals: DataFrame, higher: DataFrame, sector_scores: DataFrame, daily_trend: DataFrame) -> DataFrame:
-    """A hundred-point score of each signal: pattern, daily and higher trend, volume, sector, confluence, less penalties."""
-    joined = signals.join(higher.select("symbol", "higher_score"), "symbol", "left").join(sector_scores.select("symbol", "sector_score"), "symbol",
-        "left").join(daily_trend.select("symbol", "daily_trend"), "symbol", "left")
-    pattern = F.least(lit(30), lit(30) * F.col("score"))
-    daily = F.when(F.col("daily_trend") == "up", 20).when(F.col("daily_trend") == "range", 10).otherwise(3).cast("double")
-    volume = F.greatest(lit(0), F.least(lit(15), lit(7.5) * F.coalesce("vol_ratio", lit(0))))
-    meet = F.least(lit(10), lit(3.5) * F.col("resonance") + F.when(F.col("fib_level") != "", 2).otherwise(0))
-    confirmed = F.col("variant").isin("neckline_breakout", "box_breakout", "neckline_hold")
-    penalty = F.when(F.col("daily_trend") == "down", 15).otherwise(0) + F.when(confirmed & (F.col("vol_ratio") < 1), 10).otherwise(0)
-    total = pattern + daily + F.coalesce("higher_score", lit(7.5)) + volume + F.coalesce("sector_score", lit(0)) + meet - penalty
-    invalid = F.when(F.col("pattern") == "m_neckline", lit(0.98) * F.col("neckline_value")).when(F.col("pattern") == "w_bottom",
-        lit(0.98) * F.col("neckline_value") / (lit(1) + F.col("potential_gain"))).otherwise(F.col("key_level_value"))
+#: Names of patterns in answers; they are taken as arguments too.
+ALIASES = {"m_neckline": "neckline_reclaim", "ma_rebound": "major_ma_rebound"}
+#: Asks for candidates with a known retracement, whatever their pattern.
+FIB = "fibonacci_confluence"
+
+
+def stage(variant: str = "variant", pattern: str = "pattern") -> Column:
+    """Where in its life a signal is; any hold, and each hold of a neckline, counts as a retest."""
+    v = F.coalesce(F.col(variant), F.lit(""))
+    return F.when(v.contains("retest") | v.contains("hold") | (F.col(pattern) == "m_neckline"), "retesting").when(v.contains("breakout"), "confirmed").when(v == "right_bottom",
+        "candidate").otherwise("triggered")
+
+
+def enrich(signals: DataFrame, higher: DataFrame, sector_scores: DataFrame, levels: DataFrame) -> DataFrame:
+    """A hundred-point score of each signal: pattern, daily and higher trend, volume, sector, confluence, less penalties.
+
+    ``higher(symbol, higher_score)``, ``sector_scores(symbol, sector_score)`` and ``levels(symbol, level_trend, near_support,
+    near_resistance)`` may lack symbols.  The trend is the signal's own, else that of the levels.  ``invalid_level`` is
+    where the signal would be wrong: a little under a bottom or neckline, the top of a box, else its support.
+    """
+    joined = signals.join(higher.select("symbol", "higher_score"), "symbol", "left").join(sector_scores.select("symbol", "sector_score"), "symbol", "left")
+    joined = joined.join(levels.select("symbol", "level_trend", "near_support", "near_resistance"), "symbol", "left")
+    way = F.coalesce(F.nullif(F.col("trend"), F.lit("")), "level_trend", F.lit("range"))
+    told = joined.withColumns({"stage": stage(), "trend_state": way, "raw_score": F.coalesce("score", lit(0))})
+    told = told.withColumn("confirmed", F.col("stage").isin("retesting", "confirmed"))
+    weak = F.coalesce(F.col("confirmed") & (F.col("vol_ratio") < 1), F.lit(False))
+    down = F.col("trend_state") == "down"
+    parts = {
+        "pattern_part": F.least(lit(30), lit(30) * F.col("raw_score")), "daily_part": F.when(F.col("trend_state") == "up", lit(20)).when(F.col("trend_state") == "range",
+            lit(10)).otherwise(lit(3)), "higher_part": F.coalesce("higher_score", lit(7.5)), "volume_part": F.least(lit(15), F.greatest(lit(0), F.coalesce("vol_ratio", lit(0)) * lit(7.5))),
+        "sector_part": F.least(lit(10), F.coalesce("sector_score", lit(0))),
+        "confluence_part": F.least(lit(10), F.coalesce("resonance", F.lit(0)) * lit(3.5) + F.when(F.col("fib_level") != "", lit(2)).otherwise(lit(0))),
+        "penalty": F.when(down, lit(15)).otherwise(lit(0)) + F.when(weak, lit(10)).otherwise(lit(0)),
+    }
+    told = told.withColumns(parts)
+    total = sum((F.col(c) for c in list(parts)[:-1]), lit(0)) - F.col("penalty")
+    support = F.coalesce(F.nullif(F.col("key_level_value"), lit(0)), "near_support")
+    invalid = F.coalesce(F.when(F.col("pattern") == "w_bottom", F.round(F.nullif(F.col("right_bottom_price"), lit(0)) * lit(0.98), 3)).when(F.col("pattern") == "m_neckline",
+        F.round(F.nullif(F.col("neckline_value"), lit(0)) * lit(0.98), 3)).when(F.col("pattern") == "box_breakout", F.nullif(F.col("box_high"), lit(0))), support)
     alias = F.coalesce(F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.lit(v))])[F.col("pattern")], F.col("pattern"))
-    return joined.select("*", F.greatest(lit(0), F.least(lit(100), total)).alias("total_score"), stage().alias("stage"), alias.alias("alias"),
-        confirmed.alias("confirmed"), invalid.alias("invalid_level"))
+    said = F.array(F.format_string("pattern score %.2f", "raw_score"), F.concat(F.lit("daily trend "), "trend_state"),
+        F.format_string("levels that meet %d", F.coalesce("resonance", F.lit(0))), F.when(F.col("vol_ratio").isNotNull(), F.format_string("volume ratio %.2f", "vol_ratio")),
+        F.when(F.col("hit_levels") != "", F.concat(F.lit("touches "), "hit_levels")))
+    warned = F.array(F.when(down, "the daily trend is weak"), F.when(weak, "too little volume to confirm"))
+    return told.select("*", F.round(F.greatest(lit(0), F.least(lit(100), total)), 2).alias("total_score"), alias.alias("alias"),
+        F.when(F.col("confirmed"), "actionable").otherwise("wait_confirmation").alias("entry_status"), support.alias("support"), F.col("near_resistance").alias("resistance"),
+        invalid.alias("invalid_level"), F.array_compact(said).alias("evidence"), F.array_compact(warned).alias("warnings"))
 
 
 def best_signal(signals: DataFrame) -> DataFrame:
@@ -42,9 +62,20 @@ def best_signal(signals: DataFrame) -> DataFrame:
     return signals.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def rising_candidates(signals: DataFrame, as_of, lookback: int, higher: DataFrame, sector_scores: DataFrame, daily_trend: DataFrame, n: int = 20) -> DataFrame:
-    recent = signals.where(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), max(2 * lookback, 30)))
-    return enrich(best_signal(recent), higher, sector_scores, daily_trend).orderBy(F.desc("total_score"), F.desc("date"), "symbol").limit(max(1, min(100, n)))
+def rising_candidates(signals: DataFrame, as_of: DataFrame, higher: DataFrame, sector_scores: DataFrame, levels: DataFrame, lookback: int = 20, n: int = 20,
+    patterns: list[str] | None = None, strict: bool = True, fib: DataFrame | None = None) -> DataFrame:
+    """The best of the symbols' latest signals of the last weeks, by their enriched score.
+
+    ``as_of`` has one row with the day ``as_of``; ``signals`` those of all patterns with ``strict_pass``.  ``patterns`` may name
+    patterns by their own names or those of answers; ``fibonacci_confluence`` alone asks for symbols of ``fib(symbol)``.
+    """
+    asked = [{v: k for k, v in ALIASES.items()}.get(p, p) for p in patterns or [] if p != FIB]
+    recent = signals.crossJoin(F.broadcast(as_of)).where(F.col("date") >= F.date_sub("as_of", max(2 * lookback, 30))).drop("as_of")  # one row
+    recent = recent.where(F.col("pattern").isin(asked)) if asked else recent
+    recent = recent.where("strict_pass") if strict else recent
+    if patterns == [FIB] and fib is not None:
+        recent = recent.join(fib.select("symbol").distinct(), "symbol", "left_semi")
+    return enrich(best_signal(recent), higher, sector_scores, levels).orderBy(F.desc("total_score"), F.desc("date"), "symbol").limit(max(1, min(100, n)))
 
 
 def sector_scores(members: DataFrame, sector_change: DataFrame) -> DataFrame:

@@ -81,16 +81,16 @@ def candidates(bars: DataFrame, query: np.ndarray, window: int, pool: int = 100,
 
 
 def shape_metrics(bars: DataFrame, window: int) -> DataFrame:
-    """(symbol, date, total_return, max_drawdown, mean_range) of the window that ends at each bar with enough before it."""
+    """(symbol, date, total_return, max_drawdown, price_range) of the window that ends at each bar with enough before it; the range is the highest high over the lowest low, less one."""
     w = by_symbol()
     inside = w.rowsBetween(-(window - 1), 0)
-    held = bars.select("symbol", "date", "close", ((F.col("high") - F.col("low")) / F.col("close")).alias("span"))
-    held = held.select("symbol", "date", "close", F.count("close").over(inside).alias("n"), F.first("close").over(inside).alias("start"),
-        F.avg("span").over(inside).alias("mean_range"), F.collect_list("close").over(inside).alias("c")).where(F.col("n") == window)
+    spread = ratio(F.max("high").over(inside), F.min("low").over(inside)) - lit(1)
+    held = bars.select("symbol", "date", "close", F.count("close").over(inside).alias("n"), F.first("close").over(inside).alias("start"), spread.alias("price_range"),
+        F.collect_list("close").over(inside).alias("c")).where(F.col("n") == window)
     start = F.struct(lit(0).alias("peak"), lit(0).alias("fall"))
     fall = F.aggregate("c", start, lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"),
         F.least(a["fall"], x / F.greatest(a["peak"], x) - lit(1)).alias("fall")), lambda a: a["fall"])
-    return held.select("symbol", "date", (F.col("close") / F.col("start") - lit(1)).alias("total_return"), fall.alias("max_drawdown"), "mean_range")
+    return held.select("symbol", "date", (F.col("close") / F.col("start") - lit(1)).alias("total_return"), fall.alias("max_drawdown"), "price_range")
 
 
 def coarse(bars: DataFrame, query: np.ndarray, window: int, top: int = 10, before: str | None = None) -> DataFrame:
@@ -172,6 +172,16 @@ def forward_stats(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> Data
     return named.select("symbol", "date", F.explode(F.array(*[f"h{i}" for i in range(len(each))])).alias("o")).select("symbol", "date", "o.*").where("ret is not null")
 
 
+#: Matches that outcomes are told from.
+BEST = 100
+
+
+def horizon_summary(matched: DataFrame) -> DataFrame:
+    """(horizon, samples, win_rate, avg_return, median_return, best, worst, avg_max_fall) of what followed matches."""
+    return matched.groupBy("horizon").agg(F.count(F.lit(1)).alias("samples"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg("ret").alias("avg_return"),
+        F.median("ret").alias("median_return"), F.max("ret").alias("best"), F.min("ret").alias("worst"), F.avg("max_fall").alias("avg_max_fall"))
+
+
 def probabilities(matched: DataFrame, threshold: float = 0.02, weight: str = "score") -> DataFrame:
     """Shares of rises, falls and neither by horizon, equally and by likeness, with a word on how much they rest on."""
     up, down = F.col("ret") > threshold, F.col("ret") < -threshold
@@ -186,7 +196,7 @@ def probabilities(matched: DataFrame, threshold: float = 0.02, weight: str = "sc
     out = matched.groupBy("horizon").agg(
         F.count(F.lit(1)).alias("n"), share(up).alias("up"), share(down).alias("down"), share(~(up | down)).alias("sideways"),
         weighted(up).alias("up_weighted"), weighted(down).alias("down_weighted"),
-        share(F.col("max_gain") >= 0.05).alias("reached_up"), share(F.col("max_fall") <= -0.05).alias("reached_down"),
+        share(F.col("ret") > 0).alias("positive"), share(F.col("max_gain") >= 0.05).alias("reached_up"), share(F.col("max_fall") <= -0.05).alias("reached_down"),
         F.round(F.avg("ret"), 6).alias("avg_ret"), F.round(F.percentile("ret", 0.5), 6).alias("median_ret"),
     )
     return out.withColumn("confidence", F.when(F.col("n") >= 50, "high").when(F.col("n") >= 20, "medium").otherwise("low"))

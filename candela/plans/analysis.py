@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from candela.functions.series import lit, ratio, rounded, trailing
-from candela.operators import backtest, detectors, optimize, research, resample, screens, similarity, structure
+from candela.operators import backtest, detectors, levels, optimize, research, resample, screens, similarity, structure
 from candela.operators import indicators as ta
 from candela.operators import pivots as pv
 from candela.plans.oracle import W, cte, full, score_range, with_ctes
@@ -309,24 +309,6 @@ def report_factors_qcut(spark, d):
         F.round("avg_10", 6).alias("avg_10"))
 
 
-_HALVES = ", ".join(
-    f"count(*) FILTER ({w}) AS n_{k}, avg((ret_10 > 0)::INT::DOUBLE) FILTER ({w}) AS {k}" for k, w in (("train", "date < DATE '1999-01-01'"), ("test", "date >= DATE '1999-01-01'"))
-)
-
-
-@query(
-    with_ctes(
-        "SELECT pattern, factor, bin, n_train, n_test, round(train, 6) AS train, round(test, 6) AS test, round(abs(test - train), 6) AS gap, "
-        f"abs(test - train) <= 0.10::DOUBLE AND test > 0.5::DOUBLE AS candidate FROM (SELECT pattern, factor, bin, {_HALVES} FROM bins WHERE ret_10 IS NOT NULL GROUP BY ALL) "
-        "WHERE n_train >= 10 AND n_test >= 5",
-        "events_", recursive=_QLONG,
-    )
-)
-def commonality(spark, d):
-    out = backtest.commonality(_box_events(spark, d), FACTORS, "1999-01-01", least=(10, 5))
-    return out.select("pattern", "factor", "bin", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("train", "test")], F.round("gap", 6).alias("gap"), "candidate")
-
-
 @query(with_ctes("SELECT CASE WHEN x < 0.2 THEN '<0.2' WHEN x < 0.5 THEN '0.2-0.5' WHEN x < 0.8 THEN '0.5-0.8' ELSE '>=0.8' END AS bin, count(*) AS n, "
     "round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win_10 FROM (SELECT boll_pos AS x, ret_10 FROM fac JOIN fwd USING (symbol, date) WHERE boll_pos IS NOT "
     "NULL AND ret_10 IS NOT NULL) GROUP BY 1 HAVING count(*) > 10".replace("0.2 ", "0.2::DOUBLE ").replace("0.5 ", "0.5::DOUBLE ").replace("0.8 ",
@@ -391,9 +373,30 @@ def trade_sim(spark, d):
     return _trades(spark, d).select("symbol", "signal_date", "entry_date", "exit_date", "reason", "holding_days", F.round("net_return", 6).alias("net_return"))
 
 
-@query()
+_ADMIT = """trades_ AS MATERIALIZED (SELECT symbol, signal_date, entry_date, exit_date, net_return, row_number() OVER (ORDER BY entry_date, symbol, signal_date) AS k FROM sold),
+taken(k, held, won) AS (SELECT 0::BIGINT, []::STRUCT(s BIGINT, e DATE)[], false UNION ALL
+  SELECT k, CASE WHEN ok THEN list_append(live, {'s': symbol, 'e': exit_date}) ELSE live END, ok
+  FROM (SELECT *, len(live) < 10 AND NOT list_contains(list_transform(live, lambda x: x.s), symbol) AS ok
+        FROM (SELECT t.k, t.symbol, t.exit_date, list_filter(a.held, lambda x: x.e >= t.entry_date) AS live FROM taken a JOIN trades_ t ON t.k = a.k + 1))),
+kept_ AS (SELECT t.* FROM trades_ t JOIN taken USING (k) WHERE won),
+daily_ AS (SELECT exit_date, sum(net_return) / 10 AS r FROM kept_ GROUP BY exit_date),
+curve_ AS (SELECT exit_date, r, exp(sum(ln(1 + r)) OVER (ORDER BY exit_date)) AS equity FROM daily_),
+falls_ AS (SELECT *, equity / greatest(max(equity) OVER (ORDER BY exit_date), 1) - 1 AS drawdown FROM curve_)"""
+
+
+_SOLD = _TRADE_SQL.strip().removeprefix("WITH x AS (SELECT 1), ").replace("round(CASE WHEN f.hit IS NULL THEN q.c", "(CASE WHEN f.hit IS NULL THEN q.c").replace(
+    "- 0.0021::DOUBLE, 6)", "- 0.0021::DOUBLE)")
+
+
+@query(with_ctes("""SELECT (SELECT count(*) FROM kept_) AS trades, round(arg_max(equity, exit_date) - 1, 6) AS total_return, round(min(drawdown), 6) AS max_drawdown,
+  (SELECT round(avg((net_return > 0)::INT::DOUBLE), 6) FROM kept_) AS win_rate, (SELECT round(avg(net_return), 6) FROM kept_) AS avg_return,
+  (SELECT round(avg(net_return) FILTER (net_return > 0) / nullif(abs(avg(net_return) FILTER (net_return <= 0)), 0), 6) FROM kept_) AS payoff,
+  round(CASE WHEN count(*) > 1 THEN pow(arg_max(equity, exit_date), 365.25::DOUBLE / greatest(max(exit_date) - min(exit_date), 1)) - 1 END, 6) AS annual_return,
+  round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 6) AS sharpe FROM falls_""", "box", "changed", recursive=f"sold AS (WITH {_SOLD}), {_ADMIT}"))
 def portfolio(spark, d):
-    return backtest.portfolio(backtest.admit(_trades(spark, d)))
+    """One portfolio of ten places over the trades of all patterns."""
+    names = ("total_return", "max_drawdown", "win_rate", "avg_return", "payoff", "annual_return", "sharpe")
+    return backtest.portfolio(backtest.admit(_trades(spark, d))).select("trades", *[F.round(c, 6).alias(c) for c in names])
 
 
 @query(with_ctes("SELECT factor, unnest(list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]))) AS cut FROM long GROUP "
@@ -469,22 +472,23 @@ def similarity_rerank(spark, d):
 
 @query()
 def outcome_probs(spark, d):
-    """What followed the matches that are left after the full comparison, by likeness."""
-    followed = _matches(spark, d).withColumnRenamed("end_date", "date").join(similarity.forward_stats(src.bars(spark, d)), ["symbol", "date"])
+    """What followed the hundred best matches that are left after the full comparison, by likeness."""
+    best = screens.top(_matches(spark, d), "likeness", similarity.BEST)
+    followed = best.withColumnRenamed("end_date", "date").join(similarity.forward_stats(src.bars(spark, d)), ["symbol", "date"])
     return similarity.probabilities(followed, weight="likeness")
 
 
 @query(
     with_ctes(
         "SELECT symbol, date, round(close / first_close - 1, 6) AS total_return, round(list_min([v[i] / list_max(v[1:i]) - 1 FOR i IN range(1, 31)]), 6) "
-        "AS max_drawdown, round(spans, 6) AS mean_range "
-        "FROM (SELECT symbol, date, close, first(close) OVER w AS first_close, list(close) OVER w AS v, avg((high - low) / close) OVER w AS spans FROM "
+        "AS max_drawdown, round(top / bottom - 1, 6) AS price_range "
+        "FROM (SELECT symbol, date, close, first(close) OVER w AS first_close, list(close) OVER w AS v, max(high) OVER w AS top, min(low) OVER w AS bottom FROM "
         "bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 29 PRECEDING)) WHERE len(v) = 30",
         "bars",
     )
 )
 def shape_metrics(spark, d):
-    return similarity.shape_metrics(src.bars(spark, d), 30).select("symbol", "date", *rounded(["total_return", "max_drawdown", "mean_range"]))
+    return similarity.shape_metrics(src.bars(spark, d), 30).select("symbol", "date", *rounded(["total_return", "max_drawdown", "price_range"]))
 
 
 @query(with_ctes(f"SELECT symbol, date, h AS horizon, round(CASE h WHEN 5 THEN c5 WHEN 10 THEN c10 ELSE c20 END / close - 1, 6) AS ret FROM (SELECT "
@@ -494,23 +498,22 @@ def forward_stats(spark, d):
     return similarity.forward_stats(src.bars(spark, d)).select("symbol", "date", "horizon", F.round("ret", 6).alias("ret"))
 
 
-def _daily_trend(spark, d):
-    last = screens.latest(ta.moving_averages(src.bars(spark, d)))
-    return last.select("symbol", F.when(F.col("close") > F.col("MA20") * lit(1.01), "up").when(F.col("close") < F.col("MA20") * lit(0.99),
-        "down").otherwise("range").alias("daily_trend"))
-
-
 def _sector_change(spark, d):
     return src.members(spark, d).join(src.spot(spark, d).select("symbol", "change_rate"), "symbol").groupBy("sector_code").agg(F.avg("change_rate").alias("change"))
 
 
-@query()
-def rising_candidates(spark, d):
+def rising_inputs(spark, d) -> dict:
+    """What signals are enriched with: the day, higher timeframes, sectors, nearest levels, and symbols with a retracement."""
     frame = src.bars(spark, d)
     higher = resample.higher_score(resample.period_summary(resample.weekly(frame)), resample.period_summary(resample.monthly(frame)))
-    as_of = frame.agg(F.max("date")).first()[0]
-    return research.rising_candidates(_signals(spark, d), as_of, 60, higher, research.sector_scores(src.members(spark, d), _sector_change(spark, d)),
-        _daily_trend(spark, d))
+    line = pv.zigzag(pv.pivots(frame))
+    return {"as_of": frame.agg(F.max("date").alias("as_of")), "higher": higher, "sector_scores": research.sector_scores(src.members(spark, d), _sector_change(spark, d)),
+        "levels": levels.nearest_pair(levels.key_levels(frame, line)), "fib": levels.swing_levels(frame, line).where("name is not null")}
+
+
+@query()
+def rising_candidates(spark, d):
+    return research.rising_candidates(_signals(spark, d), lookback=60, strict=False, **rising_inputs(spark, d))
 
 
 @query(with_ctes("SELECT symbol, least(10, 2 * count(*))::DOUBLE AS sector_score FROM members JOIN (SELECT sector_code, avg(change_rate) AS change FROM "

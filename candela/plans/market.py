@@ -395,19 +395,23 @@ def set_ops(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query(with_ctes(f"SELECT symbol, date, trend FROM (SELECT symbol, date, CASE WHEN coalesce(ma20, ma10, ma5) IS NULL THEN 'unknown' WHEN close >= "
-    f"coalesce(ma20, ma10, ma5) THEN 'up' ELSE 'down' END AS trend, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM (SELECT "
-    f"*, {', '.join(f'{full(n, chr(97) + 'vg(close)', 'close')} AS ma{n}' for n in (5, 10, 20))} FROM weekly)) WHERE rn = 1", "weekly"))
+def _ways(bars: str) -> str:
+    """(symbol, date, ma20, ma60, trend) of each symbol's last bar in a relation of bars."""
+    return (f"SELECT symbol, date, ma20, ma60, CASE WHEN close > ma20 AND (ma60 IS NULL OR ma20 > ma60) THEN 'up' ELSE 'down' END AS trend FROM (SELECT symbol, date, close, "
+        f"CASE WHEN n20 = 20 THEN round(m20, 3) END AS ma20, CASE WHEN n60 = 60 THEN round(m60, 3) END AS ma60, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn "
+        f"FROM (SELECT symbol, date, close, count(*) OVER w20 AS n20, avg(close) OVER w20 AS m20, count(*) OVER w60 AS n60, avg(close) OVER w60 AS m60 FROM {bars} "
+        f"WINDOW w20 AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), w60 AS (PARTITION BY symbol ORDER BY date ROWS 59 PRECEDING))) WHERE rn = 1")
+
+
+_HIGHER = f"SELECT w.symbol, (CASE WHEN w.trend = 'up' THEN 8 ELSE 2 END + CASE WHEN m.trend = 'up' THEN 7 ELSE 1 END)::DOUBLE AS higher_score FROM ({_ways('weekly')}) w JOIN ({_ways('monthly')}) m USING (symbol)"
+
+
+@query(with_ctes(_ways("weekly"), "weekly"))
 def period_summary(spark, d):
-    return resample.period_summary(resample.weekly(src.bars(spark, d))).select("symbol", "date", "trend")
+    return resample.period_summary(resample.weekly(src.bars(spark, d))).select("symbol", "date", "ma20", "ma60", "trend")
 
 
-@query(with_ctes("SELECT symbol, CASE WHEN wt = 'up' THEN 8.0 ELSE 2.0 END + CASE WHEN mt = 'up' THEN 7.0 ELSE 1.0 END AS higher_score FROM (SELECT "
-    "symbol, " + ", ".join(f"(SELECT CASE WHEN count(*) < 5 THEN 'unknown' WHEN arg_max(close, date) >= coalesce(CASE WHEN count(*) >= 20 THEN avg(close) "
-    f"FILTER (rn <= 20) END, CASE WHEN count(*) >= 10 THEN avg(close) FILTER (rn <= 10) END, avg(close) FILTER (rn <= 5)) THEN 'up' ELSE 'down' END FROM "
-    f"(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM {t}) q WHERE q.symbol = s.symbol) AS {a}" for t,
-    a in (("weekly", "wt"), ("monthly", "mt"))) + " FROM (SELECT DISTINCT symbol FROM bars) s)", "weekly", "monthly", "bars").replace("8.0",
-    "8::DOUBLE").replace("2.0", "2::DOUBLE").replace("7.0", "7::DOUBLE").replace("1.0", "1::DOUBLE"))
+@query(with_ctes(_HIGHER, "weekly", "monthly"))
 def higher_score(spark, d):
     frame = src.bars(spark, d)
     return resample.higher_score(resample.period_summary(resample.weekly(frame)), resample.period_summary(resample.monthly(frame))).select("symbol", "higher_score")

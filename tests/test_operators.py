@@ -343,6 +343,31 @@ def test_probabilities_sum(spark):
     assert abs(got.up + got.down + got.sideways - 100) < 0.02 and got.confidence == "medium" and got.n == 25
 
 
+def test_portfolio_admits_as_if_it_saw_all_trades(spark):
+    """Against a fold over every trade: many symbols and patterns a day, some at once, some ending as others begin."""
+    rng, calendar = np.random.default_rng(41), days(60)
+    rows = {}
+    for _ in range(2500):
+        at, symbol, pattern = int(rng.integers(0, 45)), int(rng.integers(0, 60)), str(rng.choice(["a", "b"]))
+        rows[at, symbol, pattern] = (symbol, pattern, calendar[at], calendar[at + int(rng.integers(0, 12))], float(round(rng.normal(0, 0.05), 6)))
+    schema = "symbol long, pattern string, entry_date date, exit_date date, net_return double"
+    held, want = {}, []
+    for symbol, pattern, start, end, net in sorted(rows.values(), key=lambda r: (r[2], r[0], r[1])):
+        held = {s: e for s, e in held.items() if e >= start}
+        if len(held) < 10 and symbol not in held:
+            held[symbol] = end
+            want.append((symbol, pattern, start, end, net))
+    accepted = backtest.admit(spark.createDataFrame(list(rows.values()), schema))
+    assert sorted(tuple(r) for r in accepted.collect()) == sorted(want)
+    got = backtest.portfolio(accepted).first()
+    daily = pd.Series([r[4] / 10 for r in want]).groupby([r[3] for r in want]).sum().sort_index()
+    equity = (1 + daily).cumprod()
+    assert got.trades == len(want) and got.total_return == pytest.approx(equity.iloc[-1] - 1) and got.avg_return == pytest.approx(np.mean([r[4] for r in want]))
+    assert got.max_drawdown == pytest.approx(min(0, (equity / np.maximum(equity.cummax(), 1) - 1).min()))
+    none = backtest.portfolio(backtest.admit(spark.createDataFrame([], schema))).first()
+    assert (none.trades, none.total_return, none.max_drawdown, none.win_rate) == (0, 0.0, 0.0, None)
+
+
 def test_portfolio_takes_ten(spark):
     day = datetime.date(2024, 1, 2)
     trades = spark.createDataFrame([(i, "p", day, day + datetime.timedelta(5), 0.01) for i in range(15)],
