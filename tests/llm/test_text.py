@@ -74,11 +74,29 @@ def test_language_models_match_the_textbook(spark, monkeypatch):
                 assert got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected
             else:
                 best = min(sorted(entropy), key=entropy.get)
-                assert got[i].lang_pred == best and np.isclose(got[i].xent, entropy[best], rtol=1e-5)
+                assert got[i].lang_pred == best and np.isclose(got[i].xent, entropy[best], rtol=1e-8)
                 score = 1 / sum(np.exp(-(x - entropy[best]) * got[i].n_symbols / langid.ORDER) for x in entropy.values())
-                assert np.isclose(got[i].score, score, rtol=1e-3)
-        results.append({i: (p.lang_pred, p.rejected, p.n_symbols) for i, p in got.items()})
-    assert results[0] == results[1]
+                assert np.isclose(got[i].score, score, rtol=1e-6)
+        results.append({i: tuple(p) for i, p in got.items()})
+    assert results[0] == results[1]  # in all columns
+
+
+def test_both_ways_agree_on_whole_documents(spark, sample, monkeypatch):
+    docs = spark.read.parquet(f"{sample}/documents.parquet").where("doc_id % 4 = 0")
+    results = []
+    for cells in (langid.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(langid, "BROADCAST_CELLS", cells)
+        results.append({r.doc_id: tuple(r.language_id) for r in langid.identify(docs).collect()})
+    assert results[0] == results[1] and len(results[0]) > 40
+
+
+def test_unknown_languages_are_rejected(spark, sample):
+    docs = spark.read.parquet(f"{sample}/documents.parquet").select("doc_id", "text", "lang")
+    strange = ["Ez a mondat olyan nyelven van, amelyet a modell sohasem tanult meg. " * 10, "кот и собака и ещё один дом на улице " * 10, "qzx vvk wjq pfz hhg " * 30]
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(strange)], "doc_id long, text string, lang string")
+    told = {r.doc_id: r.language_id for r in langid.identify(docs.unionByName(more)).collect()}
+    assert all(told[10**6 + i].rejected for i in range(len(strange)))
+    assert sum(v.rejected for v in told.values()) < 0.2 * len(told)
 
 
 def test_symbols_keep_scripts_and_marks_apart():
