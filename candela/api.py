@@ -107,9 +107,17 @@ def get_kline_local_or_net(spark, sf_dir, symbol: int, days: int = 250) -> DataF
 
 
 @tool
-def get_stock_kline_period(spark, sf_dir, symbol: int, period: str = "weekly") -> DataFrame:
-    frame = src.bars(spark, sf_dir).where(F.col("symbol") == symbol)
-    return {"weekly": resample.weekly, "monthly": resample.monthly}[period](frame).orderBy("date")
+def get_stock_kline_period(spark, sf_dir, symbol: int, period: str = "weekly", count: int = 0) -> DataFrame:
+    """A symbol's bars in a period: daily, weekly, monthly, or minutes (5, 15, 30, 60) of its events; the last ``count`` of them, or all."""
+    if period.isdigit() and int(period) in (5, 15, 30, 60):
+        events = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), F.lit(1).alias("size"))
+        frame, order = resample.intraday(events.where(F.col("symbol") == symbol), int(period)), "start"
+    elif period in structure.TIMEFRAMES:
+        frame, order = src.bars(spark, sf_dir).where(F.col("symbol") == symbol), "date"
+        frame = frame if period == "daily" else {"weekly": resample.weekly, "monthly": resample.monthly}[period](frame)
+    else:
+        raise ValueError(f"unknown period: {period}")
+    return (screens.top(frame, order, count) if count > 0 else frame).orderBy(order)
 
 
 @tool
@@ -225,13 +233,27 @@ def prepare_stock_analysis(spark, sf_dir, symbol: int) -> DataFrame:
 
 
 @tool
-def find_cross_timeframe_similar_patterns(spark, sf_dir, symbol: int, window: int = 30, top_n: int = 10) -> DataFrame:
-    """Where other symbols, or this one earlier, moved like its last ``window`` bars."""
-    frame = src.bars(spark, sf_dir)
-    query = screens.top(frame.where(F.col("symbol") == symbol), "date", window).orderBy("date").toPandas()  # one window
-    shape = {c: query[c].to_numpy(float) for c in ("close", "high", "low", "volume")}
-    best = similarity.candidates(frame, shape["close"], window, 10 * top_n, before=str(query["date"].iloc[0]))
-    return screens.top(similarity.without_overlap(similarity.rerank(best, frame, shape, window), window), "likeness", top_n)
+def find_cross_timeframe_similar_patterns(spark, sf_dir, symbol: int, query_period: str = "daily", candidate_periods: list | None = None, query_bars: int = 30,
+    candidate_window_bars: list | None = None, top_n: int = 10, min_score: float = 0.55, candidate_scope: str = "market", candidate_symbols: list | None = None,
+    search_mode: str = "history") -> DataFrame:
+    """Where other symbols, some of them, or this one itself moved like its last bars, in any timeframe and window length."""
+    periods = candidate_periods or [query_period]
+    if unknown := {query_period, *periods} - set(structure.TIMEFRAMES):
+        raise ValueError(f"unknown periods: {sorted(unknown)}")
+    if candidate_scope not in ("self", "symbols", "market") or search_mode not in ("history", "latest"):
+        raise ValueError("candidate_scope is self, symbols or market; search_mode history or latest")
+    windows = tuple(sorted({int(w) for w in candidate_window_bars or [query_bars] if int(w) >= 12}))
+    if not windows:
+        raise ValueError("candidate_window_bars needs a window of 12 bars or more")
+    frame = structure.timeframes(src.bars(spark, sf_dir)).withColumn("series", F.concat_ws(":", "timeframe", "symbol"))
+    own = screens.top(frame.where((F.col("symbol") == symbol) & (F.col("timeframe") == query_period)), "date", query_bars).orderBy("date").toPandas()  # one window
+    if len(own) < query_bars:
+        raise ValueError(f"the query has {len(own)} bars")
+    among = F.col("symbol") == symbol if candidate_scope == "self" else (F.col("symbol") != symbol)
+    among &= F.col("symbol").isin(list(candidate_symbols or [])) if candidate_scope == "symbols" else F.lit(True)
+    shape = {c: own[c].to_numpy(float) for c in ("close", "high", "low", "volume")}
+    found = similarity.search(frame.where(among & F.col("timeframe").isin(periods)), shape, windows, own["date"].iloc[0], top_n, min_score, search_mode == "latest")
+    return found.where(F.col("rank") <= top_n).orderBy("rank")
 
 
 @tool

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.series import by_symbol, lit, ratio
@@ -172,6 +172,58 @@ def forward_stats(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> Data
     return named.select("symbol", "date", F.explode(F.array(*[f"h{i}" for i in range(len(each))])).alias("o")).select("symbol", "date", "o.*").where("ret is not null")
 
 
+def search(series: DataFrame, query: dict[str, np.ndarray], windows: tuple[int, ...], query_start, top_n: int = 10, least: float = LEAST_SCORE, latest: bool = False) -> DataFrame:
+    """Where any of ``series(series, date, close, high, low, volume)`` moved like the query, in windows of several lengths.
+
+    Columns: rank, series, start, bars, start_date, end_date, coarse, likeness.  A series is one symbol in one timeframe.
+    In history a window and its longest horizon end before the day ``query_start``; with ``latest`` each series offers its
+    last window of each length alone.  Each series sends on no more than the pool that is compared in full holds, the pool
+    is the best of all, and of windows of a series that overlap by half of the shorter or more the likest stays.
+    """
+    pool, target, whole = max(1000, 100 * top_n), standardise(resampled(np.log(query["close"]))), paths(query)
+    tail, begins = 0 if latest else max(HORIZONS), pd.Timestamp(query_start)
+    schema = "series string, start int, bars int, start_date date, end_date date, coarse double"
+
+    def offered(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date", ignore_index=True)
+        end = len(rows) - tail if latest else min(len(rows), int((pd.to_datetime(rows["date"]) < begins).sum())) - tail
+        close, found = np.log(rows["close"].to_numpy(float)[: max(0, end)]), []
+        for bars in windows:
+            if len(close) < bars:
+                continue
+            first = len(close) - bars if latest else 0
+            shapes = standardise(resampled(np.lib.stride_tricks.sliding_window_view(close[first:], bars)))
+            score = np.exp(-np.sqrt(((shapes - target) ** 2).mean(1)))
+            best = np.argsort(-score, kind="stable")[:pool]
+            found.append(pd.DataFrame({"start": best + first, "bars": bars, "coarse": score[best]}))
+        out = pd.concat(found, ignore_index=True) if found else pd.DataFrame({"start": [], "bars": [], "coarse": []}).astype({"start": int, "bars": int, "coarse": float})
+        dates = rows["date"].to_numpy(object)
+        at = out["start"].to_numpy(int)
+        return pd.DataFrame({"series": rows["series"].iloc[0], "start": at, "bars": out["bars"], "start_date": dates[at], "end_date": dates[at + out["bars"].to_numpy(int) - 1],
+            "coarse": out["coarse"]})
+
+    found = series.select("series", "date", "close").groupBy("series").applyInPandas(offered, schema)
+    best = found.orderBy(F.desc("coarse"), "series", "bars", "start").limit(pool)
+
+    def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("date", ignore_index=True)
+        data = {c: right[c].to_numpy(float) for c in ("close", "high", "low", "volume")}
+        left = left.assign(likeness=[likeness(whole, paths({k: v[s : s + n] for k, v in data.items()})) for s, n in zip(left["start"], left["bars"], strict=True)])
+        left = left[left["likeness"] >= least].sort_values(["likeness", "start", "bars"], ascending=[False, True, True], ignore_index=True)
+        kept: list[int] = []
+        for i, (start, bars) in enumerate(zip(left["start"], left["bars"], strict=True)):
+            spans = [(left["start"][k], left["bars"][k]) for k in kept]
+            if all(min(start + bars, s + n) - max(start, s) < 0.5 * min(bars, n) for s, n in spans):
+                kept.append(i)
+        return left.iloc[kept]
+
+    held = series.select("series", "date", "close", "high", "low", "volume").join(best.select("series").distinct(), "series", "left_semi")
+    matched = best.groupBy("series").cogroup(held.groupBy("series")).applyInPandas(compared, schema + ", likeness double")
+    chosen = matched.orderBy(F.desc("likeness"), "series", "start", "bars").limit(max(top_n, BEST))
+    order = Window.orderBy(F.desc("likeness"), "series", "start", "bars")  # a hundred rows or so
+    return chosen.select(F.row_number().over(order).alias("rank"), "*")
+
+
 #: Matches that outcomes are told from.
 BEST = 100
 

@@ -478,6 +478,32 @@ def outcome_probs(spark, d):
     return similarity.probabilities(followed, weight="likeness")
 
 
+def _series(spark, d):
+    """Bars of all symbols in all timeframes, by one key."""
+    return structure.timeframes(src.bars(spark, d)).withColumn("series", F.concat_ws(":", "timeframe", "symbol"))
+
+
+def _cross_matches(spark, d):
+    """What moved like the last 30 days of the first symbol, among all others."""
+    frame = src.bars(spark, d)
+    own = screens.top(frame.where("symbol = 1"), "date", 30).orderBy("date").toPandas()  # one window
+    shape = {c: own[c].to_numpy(float) for c in ("close", "high", "low", "volume")}
+    return similarity.search(_series(spark, d).where("symbol <> 1"), shape, (20, 30), own["date"].iloc[0])
+
+
+@query()
+def cross_timeframe_matches(spark, d):
+    return _cross_matches(spark, d).where("rank <= 10")
+
+
+@query()
+def match_horizons(spark, d):
+    """What followed the matches across timeframes, by horizon in bars of their own timeframe."""
+    series = _series(spark, d).withColumn("symbol", F.col("series"))
+    followed = _cross_matches(spark, d).select(F.col("series").alias("symbol"), F.col("end_date").alias("date")).join(similarity.forward_stats(series), ["symbol", "date"])
+    return similarity.horizon_summary(followed)
+
+
 @query(
     with_ctes(
         "SELECT symbol, date, round(close / first_close - 1, 6) AS total_return, round(list_min([v[i] / list_max(v[1:i]) - 1 FOR i IN range(1, 31)]), 6) "

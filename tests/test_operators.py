@@ -469,6 +469,35 @@ def test_names_of_patterns():
     assert parsers.pattern_names("bottom, box_breakout,double bottom, x", known) == ["w_bottom", "box_breakout"]
 
 
+def test_search_across_series_and_lengths(spark):
+    """Against a plain loop over all windows of all series."""
+    rng, rows = np.random.default_rng(53), []
+    for k, name in enumerate(("daily:2", "weekly:2", "daily:3", "short:4")):
+        n = (90, 60, 75, 14)[k]
+        close = 40 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+        rows += [(name, d, float(c), float(c * 1.01), float(c * 0.98), float(rng.integers(1, 50))) for d, c in zip(days(n), close, strict=True)]
+    series = spark.createDataFrame(rows, "series string, date date, close double, high double, low double, volume double")
+    own = 30 * np.exp(np.cumsum(rng.normal(0, 0.02, 16)))
+    query = {"close": own, "high": own * 1.01, "low": own * 0.98, "volume": rng.integers(1, 50, 16).astype(float)}
+    begins = days(90)[70]
+    for latest in (False, True):
+        target, every = similarity.paths(query), []
+        for name in sorted({r[0] for r in rows}):
+            data = [r for r in rows if r[0] == name]
+            last = len(data) - 1 if latest else sum(r[1] < begins for r in data) - 1 - 20
+            for bars in (12, 16):
+                for start in range(max(0, last - bars + 1) if latest else 0, last - bars + 2):
+                    cut = {c: np.array([r[i] for r in data[start : start + bars]]) for c, i in (("close", 2), ("high", 3), ("low", 4), ("volume", 5))}
+                    every.append((similarity.likeness(target, similarity.paths(cut)), name, start, bars))
+        want = []
+        for score, name, start, bars in sorted((x for x in every if x[0] >= 0.3), key=lambda x: (-x[0], x[1], x[2], x[3])):
+            if all(n != name or min(start + bars, s + b) - max(start, s) < 0.5 * min(bars, b) for _, n, s, b in want):
+                want.append((score, name, start, bars))
+        got = similarity.search(series, query, (12, 16), begins, least=0.3, latest=latest).orderBy("rank").collect()
+        assert [(r.series, r.start, r.bars, round(r.likeness, 9)) for r in got] == [(n, s, b, round(x, 9)) for x, n, s, b in want] and len(want) > 2
+        assert all(latest or r.end_date < begins for r in got)
+
+
 def test_alert_events_are_listed(spark):
     stamp = datetime.datetime(2024, 1, 1)
     events = spark.createDataFrame([(f"z{i % 2}", stamp + datetime.timedelta(hours=i), f"k{i}") for i in range(6)],
@@ -482,6 +511,10 @@ def test_api_envelope(spark):
     assert api.call(spark, d, "nothing")["error"]["type"] == "invalid"
     assert api.call(spark, d, "get_kline_local_or_net")["error"]["message"].startswith("missing")
     assert api.call(spark, d, "get_kline_local_or_net", symbol="x")["error"]["type"] == "invalid"
+    assert api.call(spark, d, "get_stock_kline_period", symbol=1, period="yearly")["error"]["type"] == "invalid"
+    assert api.call(spark, d, "get_stock_kline_period", symbol=1, period="daily", count=7)["meta"]["rows"] == 7
+    assert api.call(spark, d, "get_stock_kline_period", symbol=1, period="15")["error"] is None
+    assert api.call(spark, d, "find_cross_timeframe_similar_patterns", symbol=1, candidate_scope="galaxy")["error"]["type"] == "invalid"
     ok = api.call(spark, d, "get_kline_local_or_net", symbol=1, days=5)
     assert ok["error"] is None and ok["meta"]["rows"] == 5
     assert api.call(spark, d, "get_key_levels", symbol=1)["data"]
