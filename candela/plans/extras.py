@@ -130,3 +130,26 @@ def price_quartiles(spark, d):
     frame = src.bars(spark, d)
     return frame.select("symbol", "date", F.round(F.avg("close").over(trailing(60)), 6).alias("mean60"),
         F.ntile(4).over(Window.partitionBy("symbol").orderBy("close", "date")).alias("quartile"))
+
+
+_ASKED = """asked AS (SELECT DISTINCT CASE s_suppkey % 5 WHEN 0 THEN ' BK' || lpad(s_suppkey::VARCHAR, 5, '0') WHEN 1 THEN 'sh' || lpad(s_suppkey::VARCHAR, 5, '0')
+   WHEN 2 THEN 'bk' || lpad(s_suppkey::VARCHAR, 5, '0') WHEN 3 THEN 'pLiEr#' || right(s_name, 4) ELSE '#' || right(s_name, 1) || 'z' END AS query FROM supplier
+   UNION SELECT right(c_name, 3) FROM customer),
+ idx AS (SELECT 'BK' || lpad(s_suppkey::VARCHAR, 5, '0') AS code, replace(s_name, '#00000', '#') AS name FROM supplier)"""
+
+
+@query(f"""WITH {_ASKED}, told AS (SELECT query, trim(query) AS t, regexp_replace(query, '[^0-9]', '', 'g') AS digits FROM asked),
+ tried AS (SELECT query, t, (SELECT min(code) FROM idx WHERE code = t) AS c0, (SELECT min(code) FROM idx WHERE code = digits) AS c1,
+   (SELECT min(code) FROM idx WHERE digits <> '' AND NOT starts_with(upper(t), 'BK') AND code = 'BK' || digits) AS c2,
+   (SELECT min(code) FROM idx WHERE t <> '' AND contains(lower(name), lower(t))) AS c3 FROM told)
+ SELECT query, coalesce(c0, c1, c2, c3) AS code, (SELECT name FROM idx WHERE code = coalesce(c0, c1, c2, c3)) AS name,
+   CASE WHEN c0 IS NOT NULL THEN 'code' WHEN c1 IS NOT NULL THEN 'digits' WHEN c2 IS NOT NULL THEN 'prefix' WHEN c3 IS NOT NULL THEN 'name' END AS how FROM tried""")
+def resolve_symbols(spark, d):
+    """Codes, bare digits and pieces of names, some of them unknown, looked up among suppliers."""
+    key = F.lpad(F.col("s_suppkey").cast("string"), 5, "0")
+    text = F.when(F.col("k") == 0, F.concat(F.lit(" BK"), key)).when(F.col("k") == 1, F.concat(F.lit("sh"), key)).when(F.col("k") == 2, F.concat(F.lit("bk"), key)).when(
+        F.col("k") == 3, F.concat(F.lit("pLiEr#"), F.right("s_name", F.lit(4)))).otherwise(F.concat(F.lit("#"), F.right("s_name", F.lit(1)), F.lit("z")))
+    supplier = src.table(spark, d, "supplier").withColumn("k", F.col("s_suppkey") % 5)
+    asked = supplier.select(text.alias("query")).unionByName(src.table(spark, d, "customer").select(F.right("c_name", F.lit(3)).alias("query")))
+    index = supplier.select(F.concat(F.lit("BK"), key).alias("code"), F.replace("s_name", F.lit("#00000"), F.lit("#")).alias("name"))
+    return parsers.resolve_symbols(asked, index, "BK")

@@ -83,6 +83,48 @@ def resolve(wanted: DataFrame, index: DataFrame) -> DataFrame:
     return wanted.join(found.groupBy("name").agg(F.min_by("code", "priority").alias("code")), "name", "left")
 
 
+#: Longest gram that names are looked up by.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct pieces of a text of so many characters."""
+    places = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size))))
+
+
+def resolve_symbols(queries: DataFrame, index: DataFrame, prefix: str = "") -> DataFrame:
+    """``(query, code, name, how)``: what each distinct query of ``queries(query)`` means among ``index(code, name)``.
+
+    In this order: the code itself, the query's digits as a code, the digits after ``prefix`` unless the query begins with
+    it, and the smallest code whose name holds the query, whatever the case.  Every step is a join on equal keys: a name
+    is found by the query's rarest gram, so a query meets only names that share it.  Empty and unknown queries have nulls.
+    """
+    asked = queries.select("query").distinct().withColumns({"_text": F.trim("query"), "_digits": F.regexp_replace("query", "[^0-9]", "")})
+    steps = [F.struct(F.lit(0).alias("step"), F.col("_text").alias("code")), F.struct(F.lit(1).alias("step"), F.nullif("_digits", F.lit("")).alias("code"))]
+    if prefix:
+        bare = (F.col("_digits") != "") & ~F.startswith(F.upper("_text"), F.lit(prefix))
+        steps.append(F.struct(F.lit(2).alias("step"), F.when(bare, F.concat(F.lit(prefix), "_digits")).alias("code")))
+    tried = asked.select("query", F.explode(F.array(*steps)).alias("t")).select("query", "t.*").where("code is not null")
+    by_code = tried.join(index, "code").groupBy("query").agg(F.min(F.struct("step", "code", "name")).alias("hit"))
+    open_ = asked.join(by_code, "query", "left_anti").select("query", F.lower("_text").alias("low")).where("low <> ''")
+    size = F.least(F.length("low"), F.lit(GRAM))
+    wanted = open_.select("query", "low", F.explode(_grams(F.col("low"), size)).alias("gram"))
+    names = index.select("code", "name", F.lower("name").alias("low_name"))
+    held = None
+    for n in range(1, GRAM + 1):
+        part = names.select("code", F.explode(_grams(F.col("low_name"), F.lit(n))).alias("gram"))
+        held = part if held is None else held.unionByName(part)
+    known = held.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    rarest = wanted.join(known.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left").groupBy("query", "low").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).select("query", "low", "least.gram")
+    found = rarest.join(known, "gram").join(names, "code").where(F.contains("low_name", "low"))
+    by_name = found.groupBy("query").agg(F.min(F.struct(F.lit(3).alias("step"), "code", "name")).alias("hit"))
+    how = F.element_at(F.array(*map(F.lit, ("code", "digits", "prefix", "name"))), F.col("hit.step") + 1)
+    told = by_code.unionByName(by_name).select("query", "hit.code", "hit.name", how.alias("how"))
+    return asked.select("query").join(told, "query", "left")
+
+
 def percent_rows(frame: DataFrame, line: str = "fields") -> DataFrame:
     """Rows [date, open, close, change, per cent, low, high, volume, amount in ten thousands, turnover] of text fields by symbol.
 
