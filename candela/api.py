@@ -257,7 +257,34 @@ def find_cross_timeframe_similar_patterns(spark, sf_dir, symbol: int, query_peri
 
 
 @tool
-def backtest_pattern_strategy(spark, sf_dir, min_score: float = 0.6) -> DataFrame:
-    """Portfolio results of each pattern's simulated trades."""
-    signals = detectors.detect(_factors(spark, sf_dir), min_score=min_score)
-    return backtest.portfolio(backtest.admit(backtest.simulate(signals, src.with_change(src.bars(spark, sf_dir)))))
+def backtest_pattern_strategy(spark, sf_dir, start: str = "", end: str = "", patterns: list | None = None, mode: str = "both", split: str = "2022-01-01",
+    buy_cost_bps: float = 8.0, sell_cost_bps: float = 13.0, min_score: float = 0.6) -> DataFrame:
+    """One row: assumptions, number of signals, event summary, portfolio, first trades and candidate factors of a pattern strategy.
+
+    ``mode`` is event, trading or both; what it leaves out is null.
+    """
+    if mode not in ("event", "trading", "both"):
+        raise ValueError("mode must be event, trading or both")
+    if unknown := set(patterns or ()) - set(detectors.PATTERNS):
+        raise ValueError(f"unknown patterns: {sorted(unknown)}")
+    bars = src.with_change(src.bars(spark, sf_dir))
+    signals = detectors.detect(_factors(spark, sf_dir), tuple(patterns or detectors.PATTERNS), min_score)
+    signals = signals.where(F.col("date") >= F.lit(start).cast("date")) if start else signals
+    signals = signals.where(F.col("date") <= F.lit(end).cast("date")) if end else signals
+    events = backtest.outcomes(signals, bars)
+    assumed = F.struct(F.lit("next_open").alias("entry"), F.lit(backtest.HOLD).alias("max_holding_days"), F.lit("2R").alias("target"),
+        F.lit("min(2 ATR, 8 %)").alias("fallback_stop"), F.lit(float(buy_cost_bps)).alias("buy_cost_bps"), F.lit(float(sell_cost_bps)).alias("sell_cost_bps"),
+        F.lit(10).alias("max_positions"))
+    out = signals.agg(F.count(F.lit(1)).alias("signals")).select(F.lit(mode).alias("mode"), F.lit(split).alias("split"), assumed.alias("assumptions"), "signals")
+
+    def packed(frame: DataFrame, name: str) -> DataFrame:
+        return frame.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(name))  # summaries: a row for each group
+
+    if mode != "trading":
+        out = out.crossJoin(packed(backtest.event_summary(events), "event_summary"))
+    if mode != "event":
+        trades = backtest.simulate(signals, bars, buy_cost_bps, sell_cost_bps)
+        preview = screens.top(trades, "net_return", 500)
+        out = out.crossJoin(backtest.portfolio(backtest.admit(trades)).select(F.struct("*").alias("portfolio"))).crossJoin(packed(preview, "trades_preview"))
+    common = backtest.commonality(events, ("score", "vol_ratio", "BIAS60", "RSI14", "resonance", "change_rate"), split)
+    return out.crossJoin(packed(common.orderBy(F.desc("candidate"), F.desc("test")), "commonality_candidates"))

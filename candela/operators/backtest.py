@@ -119,7 +119,7 @@ def commonality(events: DataFrame, factors: tuple[str, ...], split: str, keys: t
     return out.withColumn("candidate", (F.col("gap") <= lit(0.10)) & (F.col("test") > lit(0.5)))
 
 
-def simulate(signals: DataFrame, bars_with_change: DataFrame) -> DataFrame:
+def simulate(signals: DataFrame, bars_with_change: DataFrame, buy_bps: float = BUY_BPS, sell_bps: float = SELL_BPS) -> DataFrame:
     """One trade for each signal: bought at the next open, sold at the stop, at twice the risk, or after 20 bars.
 
     The stop comes first on a bar that touches both; a bar locked at its lower limit cannot be sold, one locked at the
@@ -150,7 +150,7 @@ def simulate(signals: DataFrame, bars_with_change: DataFrame) -> DataFrame:
     gross = F.col("x.exit") / F.col("entry") - lit(1)
     return done.select("symbol", "pattern", F.col("date").alias("signal_date"), "entry_date", F.col("x.day").alias("exit_date"), "entry", "stop", "target",
         F.col("x.exit").alias("exit"), F.col("x.reason").alias("reason"), (F.col("x.at") - F.col("rn")).alias("holding_days"),
-        (gross - lit((BUY_BPS + SELL_BPS) / 1e4)).alias("net_return"))
+        (gross - lit((buy_bps + sell_bps) / 1e4)).alias("net_return"))
 
 
 def admit(trades: DataFrame, most: int = 10) -> DataFrame:
