@@ -422,10 +422,10 @@ def rule_train_test(spark, d):
     return out.select("name", "part", "n", F.round("win", 6).alias("win"), F.round("avg", 6).alias("avg"))
 
 
-@query(with_ctes("SELECT symbol, rank_date AS date, rank::INT AS rank FROM ranks WHERE rank_date >= DATE '2001-01-01'", "ranks"))
+@query(with_ctes("SELECT symbol, rank_date AS date, rank::INT AS rank FROM ranks", "ranks"))
 def rank_history(spark, d):
     """Rank histories, encrypted as a provider sends them, and read back."""
-    ranked = src.ranks(src.bars(spark, d)).where("rank_date >= date'2001-01-01'")
+    ranked = src.ranks(src.bars(spark, d))
     texts = ranked.groupBy("symbol").agg(F.to_json(F.collect_list(F.struct(F.concat(F.col("rank_date").cast("string"), F.lit(" 15:00")).alias("calcTime"),
         "rank"))).alias("text"))  # the bars of one symbol
     key = "0123456789abcdef"

@@ -377,10 +377,9 @@ def combined_merge(spark, d):
     return store.merge_coalesce(day, snapshot, ["symbol", "trade_date"]).select("trade_date", "symbol", "name", "rank", *rounded(["close", "volume", "pe_dynamic"]))
 
 
-@query(with_ctes("SELECT o_custkey AS symbol, o_custkey IN (SELECT symbol FROM bars) AS present FROM (SELECT DISTINCT o_custkey FROM orders WHERE "
-    "o_custkey <= 500)", "bars"))
+@query(with_ctes("SELECT o_custkey AS symbol, o_custkey IN (SELECT symbol FROM bars) AS present FROM (SELECT DISTINCT o_custkey FROM orders)", "bars"))
 def resume_semi_anti(spark, d):
-    done, stale = store.resume(src.table(spark, d, "orders").select(F.col("o_custkey").alias("symbol")).where("symbol <= 500").distinct(), src.bars(spark, d))
+    done, stale = store.resume(src.table(spark, d, "orders").select(F.col("o_custkey").alias("symbol")).distinct(), src.bars(spark, d))
     return done.withColumn("present", F.lit(True)).unionByName(stale.withColumn("present", F.lit(False)))
 
 
