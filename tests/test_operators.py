@@ -498,6 +498,30 @@ def test_search_across_series_and_lengths(spark):
         assert all(latest or r.end_date < begins for r in got)
 
 
+def test_extremes_by_doubling(spark):
+    from candela.functions.series import sliding_extremes
+
+    rng = np.random.default_rng(61)
+    values = {1: rng.integers(0, 50, 70).astype(float), 2: rng.integers(0, 50, 3).astype(float)}
+    frame = spark.createDataFrame([(k, d, float(x)) for k, xs in values.items() for d, x in zip(days(len(xs)), xs, strict=True)], "symbol long, date date, x double")
+    wanted = {f"{kind}_{n}": ("x", pick, n) for n in (1, 2, 3, 7, 8, 31, 60) for kind, pick in (("most", F.greatest), ("least", F.least))}
+    got = sliding_extremes(frame, wanted)
+    assert got.columns == ["symbol", "date", "x", *wanted]
+    for symbol, xs in values.items():
+        for i, r in enumerate(got.where(F.col("symbol") == symbol).orderBy("date").collect()):
+            for n in (1, 2, 3, 7, 8, 31, 60):
+                part = xs[max(0, i - n + 1) : i + 1]
+                assert (r[f"most_{n}"], r[f"least_{n}"]) == (part.max(), part.min())
+
+
+def test_symbols_resolve_in_order(spark):
+    index = spark.createDataFrame([("BK1090", "Solar Power"), ("600000", "Bank of Solar"), ("BK77", "77 Bank"), ("000001", "")], "code string, name string")
+    asked = spark.createDataFrame([(x,) for x in (" BK1090 ", "sh600000", "1090", "solar", "nk", "b", "", "zzz", "77", None, "sh600000")], "query string")
+    got = {r.query: (r.code, r.how) for r in parsers.resolve_symbols(asked, index, "BK").collect()}
+    assert got == {" BK1090 ": ("BK1090", "code"), "sh600000": ("600000", "digits"), "1090": ("BK1090", "prefix"), "solar": ("600000", "name"), "nk": ("600000", "name"),
+        "b": ("600000", "name"), "": (None, None), "zzz": (None, None), "77": ("BK77", "prefix"), None: (None, None)}
+
+
 def test_alert_events_are_listed(spark):
     stamp = datetime.datetime(2024, 1, 1)
     events = spark.createDataFrame([(f"z{i % 2}", stamp + datetime.timedelta(hours=i), f"k{i}") for i in range(6)],
