@@ -35,9 +35,9 @@ def _win(column: str):
 
 def event_summary(events: DataFrame, keys: tuple[str, ...] = ("pattern", "variant")) -> DataFrame:
     """Count, win rate, mean and median by group and horizon; missing keys are groups of their own."""
-    aggregates = [x for n in HORIZONS for x in (_win(f"ret_{n}").alias(f"win_{n}"), F.avg(f"ret_{n}").alias(f"avg_{n}"),
-        F.percentile(f"ret_{n}", 0.5).alias(f"median_{n}"))]
-    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggregates)
+    aggregates = [x for n in HORIZONS for x in (_win(f"ret_{n}").alias(f"win_{n}"), F.avg(f"ret_{n}").alias(f"avg_{n}"))]
+    counts = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggregates)
+    return _meet(counts, medians(events, keys, {f"median_{n}": f"ret_{n}" for n in HORIZONS}), list(keys), "left")
 
 
 def overall_report(events: DataFrame, keys: tuple[str, ...] = ("pattern", "variant"), least: int = 1) -> DataFrame:
@@ -47,10 +47,9 @@ def overall_report(events: DataFrame, keys: tuple[str, ...] = ("pattern", "varia
     enough = (F.count_if(r > 0) >= 2) & (F.count_if(r <= 0) >= 2)
     out = events.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[_win(f"ret_{n}").alias(f"win_{n}") for n in HORIZONS], F.avg("ret_10").alias("avg_10"),
-        F.percentile("ret_10", 0.5).alias("median_10"),
         F.when(enough, ratio(gains, F.abs(losses))).alias("profit_loss"), F.avg("max_gain_10").alias("avg_max_gain_10"),
     )
-    return out.where(F.col("n") >= least)
+    return _meet(out.where(F.col("n") >= least), medians(events, keys, {"median_10": "ret_10"}), list(keys), "left")
 
 
 def level_report(events: DataFrame, least: int = 30) -> DataFrame:
@@ -68,25 +67,51 @@ def factor_values(events: DataFrame, factors: tuple[str, ...], keys: tuple[str,
     return events.select(*keys, F.explode(each).alias("f")).select(*keys, "f.factor", "f.x").where("x is not null")
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """The rows of ``left`` with what ``right`` has besides the keys; missing keys are keys like others."""
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return left.alias("l").join(right.alias("r"), same, how).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
+
+
+#: Ranges that a group's different values are cut into; only those that hold a wanted rank are put in order.
+RANGES = 64
+
+
 def quantiles(values: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
     """(keys, n, kinds, quantiles): exact quantiles of x between its ranks, with the number of values and of different ones.
 
-    Ranks are windows, which spill; nothing holds a group's values in memory.
+    Found by selection: equal values are counted, a sketch of bounded size cuts each group into ranges, counts say which
+    ranges hold the wanted ranks, and those alone are put in order, each by itself.  So no task sorts or holds a group,
+    and a value that most rows share is one row.  Groups without values give no row.
     """
-    w = Window.partitionBy(*keys)
-    ranked = values.select(*keys, "x", (F.row_number().over(w.orderBy("x")) - 1).alias("rn"), F.dense_rank().over(w.orderBy("x")).alias("kind"),
-        F.count(F.lit(1)).over(w).alias("n"))
-    places = [lit(s) * (F.col("n") - 1) for s in shares]
-    wanted = F.col("rn") == F.col("n") - 1
-    for at in places:
-        wanted |= (F.col("rn") == F.floor(at)) | (F.col("rn") == F.ceil(at))
-    kept = ranked.where(wanted)
-    out = []
-    for at in places:
+    counted = values.where("x is not null").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_c"))
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"), F.sum("_c").alias("n"),
+        F.count(F.lit(1)).alias("kinds"))
+    ranged = _meet(counted, cuts, keys).select(*keys, "x", "_c", "n", "kinds", F.size(F.filter("_cuts", lambda e: e < F.col("x"))).alias("_range"))
+    along = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_held"), F.first("n").alias("n")).withColumn("_before", F.coalesce(F.sum("_held").over(along), F.lit(0)))
+    places = []
+    for i, share in enumerate(shares):
+        at = lit(share) * (F.col("n") - 1)
         part = at - F.floor(at)
-        out.append(F.sum(F.when(F.col("rn") == F.floor(at),
-            F.col("x") * (lit(1) - part))) + F.coalesce(F.sum(F.when((F.col("rn") == F.ceil(at)) & (part > 0), F.col("x") * part)), lit(0)))
-    return kept.groupBy(*keys).agg(F.first("n").alias("n"), F.max("kind").alias("kinds"), F.array(*out).alias("quantiles"))
+        places += [F.struct(F.lit(i).alias("i"), F.floor(at).alias("at"), (lit(1) - part).alias("weight")), F.struct(F.lit(i).alias("i"), F.ceil(at).alias("at"),
+            part.alias("weight"))]
+    inside = F.filter(F.array(*places), lambda p: (p["weight"] > 0) & (p["at"] >= F.col("_before")) & (p["at"] < F.col("_before") + F.col("_held")))
+    wanted = totals.select(*keys, "_range", "_before", inside.alias("_places")).where(F.size("_places") > 0)
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = _meet(ranged, wanted, [*keys, "_range"]).withColumn("_upto", upto)
+    found = ordered.select(*keys, "n", "kinds", "x", F.explode(F.filter("_places", lambda p: (p["at"] >= F.col("_upto") - F.col("_c")) & (p["at"] < F.col("_upto")))).alias("_p"))
+    each = found.groupBy(*keys, "_p.i").agg(F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.sum(F.col("x") * F.col("_p.weight")).alias("q"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"])  # one for each share
+    return each.groupBy(*keys).agg(F.first("n").alias("n"), F.first("kinds").alias("kinds"), listed.alias("quantiles"))
+
+
+def medians(events: DataFrame, keys: tuple[str, ...], columns: dict[str, str]) -> DataFrame:
+    """(keys, names): exact medians of columns, name -> column, from one selection."""
+    found = quantiles(factor_values(events, tuple(columns.values()), keys), [*keys, "factor"], [0.5])
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("factor") == c, F.col("quantiles")[0])).alias(name) for name, c in columns.items()])
 
 
 def quantile_edges(events: DataFrame, factors: tuple[str, ...], keys: tuple[str, ...] = ("pattern",), parts: int = 4) -> DataFrame:
@@ -215,8 +240,18 @@ def cohort(events: DataFrame, keys: tuple[str, ...], least: int = 1) -> DataFram
 
 def score_distribution(events: DataFrame) -> DataFrame:
     """Count, mean, median and range of each pattern's scores."""
-    each = {"mean": F.avg("score"), "median": F.median("score"), "high": F.max("score"), "low": F.min("score")}
-    return events.where("score is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in each.items()])
+    scored = events.where("score is not null")
+    each = {"mean": F.avg("score"), "high": F.max("score"), "low": F.min("score")}
+    out = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in each.items()])
+    return _meet(out, medians(scored, ("pattern",), {"median": "score"}), ["pattern"], "left")
+
+
+def group_shapes(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean, median, std, p25, p75, low, high) of x in each group."""
+    out = values.where("x is not null").groupBy(*keys).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("low"),
+        F.max("x").alias("high"))
+    at = quantiles(values, keys, [0.25, 0.5, 0.75]).select(*keys, *[F.col("quantiles")[i].alias(c) for i, c in enumerate(("p25", "median", "p75"))])
+    return _meet(out, at, keys, "left")
 
 
 def yearly_returns(events: DataFrame, least: int = 30) -> DataFrame:

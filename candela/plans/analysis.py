@@ -345,10 +345,9 @@ def sector_pattern(spark, d):
     "WHERE ret_10 IS NOT NULL GROUP BY ALL", "events_", recursive=f"long AS ({_LONG})"))
 def winners_losers(spark, d):
     long = _box_events(spark, d).where("ret_10 is not null").select((F.col("ret_10") > 0).alias("won"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in FACTORS])).alias("f")).select("won", "f.*").where("x is not null")
-    each = {"mean": F.avg("x"), "median": F.percentile("x", 0.5), "std": F.stddev_samp("x"), "p25": F.percentile("x", 0.25),
-        "p75": F.percentile("x", 0.75), "low": F.min("x"), "high": F.max("x")}
-    return long.groupBy("won", "factor").agg(F.count("x").alias("n"), *[F.round(c, 6).alias(k) for k, c in each.items()])
+        F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in FACTORS])).alias("f")).select("won", "f.factor", "f.x")
+    names = ("mean", "median", "std", "p25", "p75", "low", "high")
+    return backtest.group_shapes(long, ["won", "factor"]).select("won", "factor", "n", *[F.round(c, 6).alias(c) for c in names])
 
 
 def _trades(spark, d):
