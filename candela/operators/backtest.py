@@ -96,14 +96,13 @@ def quantiles(values: DataFrame, keys: list[str], shares: list[float]) -> DataFr
     for i, share in enumerate(shares):
         at = lit(share) * (F.col("n") - 1)
         part = at - F.floor(at)
-        places += [F.struct(F.lit(i).alias("i"), F.floor(at).alias("at"), (lit(1) - part).alias("weight")), F.struct(F.lit(i).alias("i"), F.ceil(at).alias("at"),
-            part.alias("weight"))]
-    inside = F.filter(F.array(*places), lambda p: (p["weight"] > 0) & (p["at"] >= F.col("_before")) & (p["at"] < F.col("_before") + F.col("_held")))
+        places += [F.struct(F.lit(i).alias("i"), rank(at).alias("at"), part.alias("part")) for rank in (F.floor, F.ceil)]
+    inside = F.filter(F.array(*places), lambda p: (p["at"] >= F.col("_before")) & (p["at"] < F.col("_before") + F.col("_held")))
     wanted = totals.select(*keys, "_range", "_before", inside.alias("_places")).where(F.size("_places") > 0)
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     ordered = _meet(ranged, wanted, [*keys, "_range"]).withColumn("_upto", upto)
     found = ordered.select(*keys, "n", "kinds", "x", F.explode(F.filter("_places", lambda p: (p["at"] >= F.col("_upto") - F.col("_c")) & (p["at"] < F.col("_upto")))).alias("_p"))
-    each = found.groupBy(*keys, "_p.i").agg(F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.sum(F.col("x") * F.col("_p.weight")).alias("q"))
+    each = found.groupBy(*keys, "_p.i").agg(F.first("n").alias("n"), F.first("kinds").alias("kinds"), (F.min("x") + (F.max("x") - F.min("x")) * F.first("_p.part")).alias("q"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"])  # one for each share
     return each.groupBy(*keys).agg(F.first("n").alias("n"), F.first("kinds").alias("kinds"), listed.alias("quantiles"))
 

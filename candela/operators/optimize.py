@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.series import lit
@@ -34,13 +34,28 @@ def mask(rules: tuple[Rule, ...]) -> Column:
 
 def decile_rules(events: DataFrame, factors: tuple[str, ...], categories: tuple[str, ...] = (), most: int = 12) -> list[Rule]:
     """Both directions of each distinct decile of each factor with 30 values and 3 distinct ones, and the commonest categories."""
-    rows = quantiles(factor_values(events, factors), ["factor"], [i / 10 for i in range(1, 10)]).collect()  # a row for each factor
-    cuts = {r.factor: sorted(set(r.quantiles)) for r in rows if r.n >= 30 and r.kinds >= 3}
-    out = [Rule(f, op, v) for f in factors if f in cuts for v in cuts[f] for op in ("<=", ">=")]
-    for c in categories:
-        top = events.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(most).collect()
-        out += [Rule(c, "==", r[0]) for r in top]
-    return out
+    return node_rules(events, [()], factors, categories, most)[0]
+
+
+def node_rules(events: DataFrame, nodes: list[tuple[Rule, ...]], factors: tuple[str, ...], categories: tuple[str, ...] = (), most: int = 12) -> list[list[Rule]]:
+    """For each rule set the rules that the rows it keeps suggest, as ``decile_rules`` does; all sets in one selection.
+
+    A row comes to the driver for each set and factor, and for each set and common category.
+    """
+    kept = events.withColumn("_node", F.explode(F.array_compact(F.array(*[F.when(mask(rules), F.lit(i)) for i, rules in enumerate(nodes)]))))
+    cuts: dict[tuple[int, str], list[float]] = {}
+    for r in quantiles(factor_values(kept, factors, ("_node",)), ["_node", "factor"], [i / 10 for i in range(1, 10)]).collect():
+        if r.n >= 30 and r.kinds >= 3:
+            cuts[r["_node"], r.factor] = sorted(set(r.quantiles))
+    common: dict[tuple[int, str], list[str]] = {}
+    if categories:
+        each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in categories])
+        counts = kept.select("_node", F.explode(each).alias("_c")).select("_node", "_c.*").where("value is not null").groupBy("_node", "field", "value").count()
+        top = Window.partitionBy("_node", "field").orderBy(F.desc("count"), "value")
+        for r in counts.withColumn("_rn", F.row_number().over(top)).where(F.col("_rn") <= most).orderBy("_rn").collect():
+            common.setdefault((r["_node"], r.field), []).append(r.value)
+    return [[Rule(f, op, v) for f in factors for v in cuts.get((i, f), ()) for op in ("<=", ">=")] + [Rule(c, "==", v) for c in categories for v in common.get((i, c), ())]
+        for i in range(len(nodes))]
 
 
 def evaluate(events: DataFrame, candidates: list[tuple[Rule, ...]], ret: str = "ret_10") -> list[tuple[int, float | None]]:
@@ -51,25 +66,48 @@ def evaluate(events: DataFrame, candidates: list[tuple[Rule, ...]], ret: str = "
     return [(row[f"n{i}"], row[f"w{i}"]) for i in range(len(candidates))]
 
 
-def beam_search(events: DataFrame, rules: list[Rule], depth: int = DEPTH, beam: int = BEAM, least: int = LEAST,
-    target: float = 1.0) -> list[tuple[tuple[Rule, ...], int, float]]:
-    """The best rule sets found by extending the best so far one rule at a time; each must narrow its parent by 5 % at least."""
-    events = events.cache()
-    front: list[tuple[tuple[Rule, ...], int, float]] = [((), *evaluate(events, [()])[0])]
-    best = list(front)
-    for _ in range(depth):
-        grown = {tuple(sorted((*rules_, r), key=str)): n for rules_, n, _ in front for r in rules if all((r.field, r.op) != (x.field, x.op) for x in rules_)}
-        sets = list(grown)
-        found = []
-        for at in range(0, len(sets), 200):
-            part = sets[at : at + 200]
-            found += [(c, n, w) for c, (n, w) in zip(part, evaluate(events, part), strict=True) if w is not None and least <= n <= MOST_SHARE * grown[c]]
-        front = sorted(found, key=lambda x: (-x[2], -x[1], str(x[0])))[:beam]
-        best += front
-        if not front or front[0][2] >= target:
-            break
-    events.unpersist()
-    return sorted(best, key=lambda x: (-(x[2] or 0), -x[1], str(x[0])))[:beam]
+class Found(NamedTuple):
+    rules: tuple[Rule, ...]
+    n: int
+    win: float
+
+
+def beam_search(events: DataFrame, factors: tuple[str, ...], categories: tuple[str, ...] = (), depth: int = DEPTH, beam: int = BEAM, least: int = LEAST,
+    target: float = 0.8) -> list[Found]:
+    """The best rule sets of each depth, found by extending the best so far by the rules their own rows suggest.
+
+    A rule must leave ``least`` events and narrow its set by 5 % at least; equal rates keep the order in which they were
+    found.  The search ends once a set reaches ``target``.
+    """
+    events = events.where("ret_10 is not null").persist()
+    try:
+        front = [Found((), events.count(), 0.0)]
+        best: list[Found] = []
+        for _ in range(depth):
+            front = [x for x in front if x.n >= least]
+            if not front:
+                break
+            grown: dict[tuple[Rule, ...], int] = {}
+            for x, rules in zip(front, node_rules(events, [x.rules for x in front], factors, categories), strict=True):
+                grown.update({(*x.rules, r): x.n for r in rules})
+            sets, found = list(grown), []
+            for at in range(0, len(sets), 200):
+                part = sets[at : at + 200]
+                found += [Found(c, n, w) for c, (n, w) in zip(part, evaluate(events, part), strict=True) if least <= n <= MOST_SHARE * grown[c]]
+            front = sorted(found, key=lambda x: -x.win)[:beam]
+            best += front
+            if not front or front[0].win >= target:
+                break
+        return best
+    finally:
+        events.unpersist()
+
+
+def strict_rules(events: DataFrame, split: str, patterns: list[str], factors: tuple[str, ...], categories: tuple[str, ...] = (), **limits) -> dict[str, tuple[Rule, ...]]:
+    """The best rule set of each pattern before ``split``, the larger of equally good ones; patterns without any are left out."""
+    early = events.where(F.col("date") < F.lit(split).cast("date"))
+    found = {p: beam_search(early.where(F.col("pattern") == p), factors, categories, **limits) for p in patterns}
+    return {p: max(sets, key=lambda x: (x.win, x.n)).rules for p, sets in found.items() if sets}
 
 
 def greedy_filter(events: DataFrame, factors: tuple[str, ...], steps: int = 2, lift: float = 0.005, least: int = 100) -> list[tuple[Rule, int, float]]:
@@ -90,11 +128,15 @@ def greedy_filter(events: DataFrame, factors: tuple[str, ...], steps: int = 2, l
     return chosen
 
 
-def train_test(events: DataFrame, rule_sets: dict[str, tuple[Rule, ...]], split: str, ret: str = "ret_10") -> DataFrame:
-    """(name, part, n, win, avg): outcomes of each rule set before a date, from it on, and in all."""
+def train_test(events: DataFrame, rule_sets: dict[str, tuple[Rule, ...]], split: str, ret: str = "ret_10", gain: str = "max_gain_10") -> DataFrame:
+    """(name, part, n, win, avg, ever_up2, avg_max_gain): outcomes of each rule set before a date, from it on, and in all.
+
+    ``ever_up2`` is the share whose best gain was over 2 %.
+    """
     won = (F.col(ret) > 0).cast("double")
     late = F.col("date") >= F.lit(split).cast("date")
     named = [F.when(mask(rules), F.lit(name)) for name, rules in rule_sets.items()]
     held = events.where(F.col(ret).isNotNull()).withColumn("name", F.explode(F.array_compact(F.array(*named))))
     both = held.withColumn("part", F.explode(F.array(F.lit("all"), F.when(late, "test").otherwise("train"))))
-    return both.groupBy("name", "part").agg(F.count(F.lit(1)).alias("n"), F.avg(won).alias("win"), F.avg(ret).alias("avg"))
+    return both.groupBy("name", "part").agg(F.count(F.lit(1)).alias("n"), F.avg(won).alias("win"), F.avg(ret).alias("avg"),
+        F.avg((F.col(gain) > lit(0.02)).cast("double")).alias("ever_up2"), F.avg(gain).alias("avg_max_gain"))

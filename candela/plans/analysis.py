@@ -405,12 +405,32 @@ def decile_rules(spark, d):
     return spark.createDataFrame([(x.field, float(x.value)) for x in rules if x.op == "<="], "factor string, cut double").select("factor", F.round("cut", 6).alias("cut"))
 
 
+#: The best single rule that the deciles and categories of all events suggest, by win rate.
+_DEPTH_ONE = f"""long AS ({_LONG}), cuts AS (SELECT factor, unnest(list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]))) AS cut
+  FROM long WHERE ret_10 IS NOT NULL GROUP BY factor HAVING count(x) >= 30 AND count(DISTINCT x) >= 3),
+tried AS (SELECT factor, op, cut, count(*) AS n, avg((ret_10 > 0)::INT::DOUBLE) AS win FROM long JOIN cuts USING (factor), (VALUES ('<='), ('>=')) o(op)
+  WHERE ret_10 IS NOT NULL AND CASE op WHEN '<=' THEN x <= cut ELSE x >= cut END GROUP BY ALL
+  UNION ALL SELECT 'variant', '==', NULL, count(*), avg((ret_10 > 0)::INT::DOUBLE) FROM events_ WHERE ret_10 IS NOT NULL GROUP BY variant)"""
+
+
+@query(with_ctes("SELECT round(win, 6) AS win FROM tried WHERE n >= 20 AND n <= 0.95::DOUBLE * (SELECT count(*) FROM events_ WHERE ret_10 IS NOT NULL) ORDER BY win DESC LIMIT 6",
+    "events_", recursive=_DEPTH_ONE))
+def beam_front(spark, d):
+    """Win rates of the six best single rules: the first step of the beam search."""
+    found = optimize.beam_search(_box_events(spark, d), FACTORS, ("variant",), depth=1, least=20)
+    return spark.createDataFrame([(float(x.win),) for x in found], "win double").select(F.round("win", 6).alias("win"))
+
+
 @query()
 def beam_search(spark, d):
+    """The best rule sets of each pattern before a date, four rules deep, and how they did before it, from it on and in all."""
     events = _box_events(spark, d).where("ret_10 is not null")
-    found = optimize.beam_search(events, optimize.decile_rules(events, FACTORS), least=50)
-    return spark.createDataFrame([(" and ".join(f"{x.field} {x.op} {x.value:.4f}" for x in rules), int(n), float(w)) for rules, n, w in found],
-        "rules string, n long, win double")
+    rules = optimize.strict_rules(events, "1998-06-01", ["box_breakout"], FACTORS, ("variant",), least=50)
+    told = {p: " and ".join(f"{x.field} {x.op} {x.value}" for x in found) for p, found in rules.items()}
+    if not told:
+        return spark.createDataFrame([], "name string, part string, n long, win double, avg double, ever_up2 double, avg_max_gain double, rules string")
+    name = F.create_map(*[x for kv in told.items() for x in map(F.lit, kv)])
+    return optimize.train_test(events, rules, "1998-06-01").withColumn("rules", name[F.col("name")])
 
 
 @query()

@@ -407,9 +407,9 @@ _RULES = {"calm": ("vol_ratio <= 2", (("vol_ratio", "<=", 2.0),)), "wide": ("bol
 
 @query(
     with_ctes(
-        "SELECT name, part, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win, round(avg(ret_10), 6) AS avg FROM (SELECT name, ret_10, "
-        "unnest(['all', CASE WHEN date >= DATE '1998-06-01' THEN 'test' ELSE 'train' END]) AS part FROM ("
-        + " UNION ALL ".join(f"SELECT '{k}' AS name, date, ret_10 FROM events_ WHERE {v.replace('0.2', '0.2::DOUBLE')}" for k, (v, _) in _RULES.items())
+        "SELECT name, part, count(*) AS n, round(avg((ret_10 > 0)::INT::DOUBLE), 6) AS win, round(avg(ret_10), 6) AS avg, round(avg((max_gain_10 > 0.02::DOUBLE)::INT::DOUBLE), 6) AS ever_up2, "
+        "round(avg(max_gain_10), 6) AS avg_max_gain FROM (SELECT name, ret_10, max_gain_10, unnest(['all', CASE WHEN date >= DATE '1998-06-01' THEN 'test' ELSE 'train' END]) AS part FROM ("
+        + " UNION ALL ".join(f"SELECT '{k}' AS name, date, ret_10, max_gain_10 FROM events_ WHERE {v.replace('0.2', '0.2::DOUBLE')}" for k, (v, _) in _RULES.items())
         + ") WHERE ret_10 IS NOT NULL) GROUP BY ALL",
         "events_",
     )
@@ -419,7 +419,7 @@ def rule_train_test(spark, d):
     from candela.operators.optimize import Rule, train_test
 
     out = train_test(_box_events(spark, d), {k: tuple(Rule(*x) for x in rules) for k, (_, rules) in _RULES.items()}, "1998-06-01")
-    return out.select("name", "part", "n", F.round("win", 6).alias("win"), F.round("avg", 6).alias("avg"))
+    return out.select("name", "part", "n", *[F.round(c, 6).alias(c) for c in ("win", "avg", "ever_up2", "avg_max_gain")])
 
 
 @query(with_ctes("SELECT symbol, rank_date AS date, rank::INT AS rank FROM ranks", "ranks"))
