@@ -10,7 +10,7 @@ import inspect
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.operators import backtest, detectors, levels, pivots, research, resample, screens, similarity, store, structure
@@ -139,7 +139,7 @@ def get_stock_belong_sectors(spark, sf_dir, symbol: int) -> DataFrame:
 
 @tool
 def generate_stock_report(spark, sf_dir, symbol: int) -> DataFrame:
-    return research.report(research.last_rows(_factors(spark, sf_dir, symbol)))
+    return research.report(research.last_rows(_factors(spark, sf_dir, symbol)), src.spot(spark, sf_dir))
 
 
 @tool
@@ -179,27 +179,20 @@ def get_key_levels(spark, sf_dir, symbol: int) -> DataFrame:
     shapes = found.select(F.concat(F.lit("structure:"), "scale").alias("section"), label.alias("name"),
         F.coalesce("level", "upper", "end_price").alias("value"), F.lit(None).cast("double").alias("distance_pct"),
         F.lit(None).cast("string").alias("side"), "position", F.col("status").alias("state"))
-    ordered = Window.orderBy(F.col("sector_type") != "industry", "sector_code")  # the few sectors of one symbol
-    sectors = sector_alignment(spark, sf_dir, symbol).withColumn("position", F.row_number().over(ordered)).where(F.col("position") <= 6)
+    sectors = sector_alignment(spark, sf_dir, symbol)
     places = sectors.select(F.lit("sector").alias("section"), F.col("sector_code").alias("name"), F.col("alignment").alias("value"),
         F.lit(None).cast("double").alias("distance_pct"), F.lit(None).cast("string").alias("side"), "position", F.col("label").alias("state"))
     return out.unionByName(shapes).unionByName(places).orderBy("section", "side", "position")
 
 
 def sector_alignment(spark, sf_dir, symbol: int) -> DataFrame:
-    """How a symbol's sectors move beside it."""
-    member = src.members(spark, sf_dir)
-    spot = src.spot(spark, sf_dir).select("symbol", "change_rate")
-    mine = member.where(F.col("symbol") == symbol)
-    near = member.join(mine.select("sector_code"), "sector_code", "left_semi").join(spot,
-        "symbol").groupBy("sector_code").agg(F.avg("change_rate").alias("change"), (F.avg((F.col("change_rate") > 0).cast("double")) * 100).alias("breadth"))
-
-    def way(c):
-        return F.when(F.col(c) > 0, "up").when(F.col(c) < 0, "down").otherwise("range")
+    """How a symbol's first six sectors move beside it; no row for a symbol with too few bars for a trend."""
+    from candela.plans.reports import sector_inputs
 
-    joined = mine.join(spot, "symbol").join(near, "sector_code")
-    return research.alignment(joined.select("symbol", "sector_code", "sector_type", "breadth", way("change_rate").alias("stock_trend"),
-        way("change").alias("sector_trend"), F.lit(None).cast("double").alias("net_pct")))
+    member, frame = src.members(spark, sf_dir), src.bars(spark, sf_dir)
+    near = member.join(member.where(F.col("symbol") == symbol).select("sector_code"), "sector_code", "left_semi")
+    mine = frame.where(F.col("symbol") == symbol)
+    return research.sector_context(levels.trends(mine, pivots.zigzag(pivots.pivots(mine))), **sector_inputs(spark, sf_dir, near))
 
 
 @tool

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.functions.series import by_symbol, lit, ratio
+from candela.functions.series import by_symbol, lit, ratio, trailing
 
 #: Names of patterns in answers; they are taken as arguments too.
 ALIASES = {"m_neckline": "neckline_reclaim", "ma_rebound": "major_ma_rebound"}
@@ -97,21 +97,114 @@ def alignment(frame: DataFrame) -> DataFrame:
         "conflicting").otherwise("mixed"))
 
 
+def trend_by_average(frame: DataFrame, key: str) -> DataFrame:
+    """(key, date, close, bars, trend): each key's last bar and its trend by MA20 and the average's move over four bars; unknown below twenty bars."""
+    w = by_symbol(key)
+    numbered = frame.select(key, "date", "close", F.avg("close").over(trailing(20, key)).alias("ma20"), F.row_number().over(w).alias("bars"))
+    moved = numbered.withColumn("before", F.lag("ma20", 4).over(w)).withColumn("_back", F.row_number().over(w.orderBy(F.desc("date")))).where("_back = 1")
+    grown = F.col("bars") >= 24
+    trend = F.when(F.col("bars") < 20, "unknown").when((F.col("close") > F.col("ma20")) & grown & (F.col("ma20") > F.col("before")),
+        "up").when((F.col("close") < F.col("ma20")) & grown & (F.col("ma20") < F.col("before")), "down").otherwise("range")
+    return moved.select(key, "date", "close", "bars", trend.alias("trend"))
+
+
+def sector_context(stock_trends: DataFrame, members: DataFrame, sectors: DataFrame, changes: DataFrame, flows: DataFrame, most: int = 6, long_history: int = 260) -> DataFrame:
+    """A row for each symbol and each of its first ``most`` sectors: trends, members' breadth and median change, money flow, alignment.
+
+    ``stock_trends(symbol, trend)``, ``sectors`` the sectors' bars, ``changes(symbol, change_rate)`` and ``flows(symbol, net_inflow, amount)``
+    of the last day.  Industries come first, then sectors with more bars, fewer members and smaller codes.  A sector
+    without bars has data_status missing and no alignment, one with few is a short history.
+    """
+    told = members.select("sector_code", "symbol", "sector_type")
+    up = (F.col("change_rate") > 0).cast("double")
+    inside = told.join(changes, "symbol", "left").join(flows, "symbol", "left").groupBy("sector_code").agg(F.count(F.lit(1)).alias("member_count"),
+        F.round(F.avg(up) * 100, 2).alias("breadth"), F.round(F.percentile("change_rate", 0.5), 4).alias("median_change"),  # a sector's members on one day
+        (ratio(F.sum("net_inflow"), F.sum("amount")) * lit(100)).alias("net_pct"))
+    shape = trend_by_average(sectors, "sector_code").select("sector_code", "bars", F.col("trend").alias("sector_trend"))
+    joined = told.join(stock_trends.select("symbol", F.col("trend").alias("stock_trend")), "symbol").join(inside, "sector_code").join(shape, "sector_code", "left")
+    first = Window.partitionBy("symbol").orderBy(F.col("sector_type") != "industry", F.desc(F.coalesce("bars", F.lit(0))), "member_count", "sector_code")
+    chosen = alignment(joined.withColumn("position", F.row_number().over(first)).where(F.col("position") <= most))
+    state = F.when(F.col("bars").isNull(), "missing").when(F.col("bars") >= long_history, "ready").otherwise("short_history")
+    there = F.col("bars").isNotNull()
+    return chosen.select("symbol", "position", "sector_code", "sector_type", "member_count", F.coalesce("bars", F.lit(0)).alias("bars"), "stock_trend",
+        F.coalesce("sector_trend", F.lit("unknown")).alias("sector_trend"), "breadth", "median_change", "net_pct", F.when(there, F.col("alignment")).alias("alignment"),
+        F.when(there, F.col("label")).alias("label"), state.alias("data_status"))
+
+
 def last_rows(frame: DataFrame) -> DataFrame:
-    """The last row of each symbol with its returns over 5 and 20 bars in per cent."""
+    """The last row of each symbol with its number of bars, the DIF and DEA before it and its returns in per cent, to one digit."""
     w = by_symbol()
-    out = frame.select("*", *[((ratio(F.col("close"), F.lag("close", n).over(w)) - lit(1)) * lit(100)).alias(f"pct_{n}") for n in (5, 20)],
-        F.row_number().over(w.orderBy(F.desc("date"))).alias("_rn"))
+    before = [F.lag(c).over(w).alias(f"{c}_before") for c in ("DIF", "DEA") if c in frame.columns]
+    out = frame.select("*", *[F.round((ratio(F.col("close"), F.lag("close", n).over(w)) - lit(1)) * lit(100), 1).alias(f"pct_{n}") for n in (5, 10, 20, 60)],
+        F.row_number().over(w).alias("n_bars"), F.row_number().over(w.orderBy(F.desc("date"))).alias("_rn"), *before)
     return out.where("_rn = 1").drop("_rn")
 
 
-def report(last: DataFrame) -> DataFrame:
-    """Status labels of the indicators, arrangement, direction, risk, stop and reward of each symbol's last row."""
+#: Levels that support or resist, and what they weigh.
+LEVELS = (("MA20", "strong"), ("MA60", "medium"), ("MA100", "reference"), ("MA200", "reference"), ("BOLL_UPPER", "medium"), ("BOLL_MID", "medium"), ("BOLL_LOWER", "medium"))
+
+
+def _sides() -> dict[str, Column]:
+    """The five nearest supports and resistances by level; bands keep their side, the middle band and averages are where they stand to the close."""
+    side = {"BOLL_UPPER": F.lit(False), "BOLL_LOWER": F.lit(True), "BOLL_MID": F.col("BOLL_MID") <= F.col("close")}
+    found = F.filter(F.array(*[F.struct(F.round(c, 2).alias("level"), F.lit(i).alias("place"), F.lit(c).alias("type"), F.lit(s).alias("strength"),
+        side.get(c, F.col(c) < F.col("close")).alias("under"), (F.col(c) > 0).alias("there")) for i, (c, s) in enumerate(LEVELS)]), lambda x: x["there"])
+
+    def nearest(under: bool) -> Column:
+        sign = lit(-1 if under else 1)
+        mine = F.filter(found, lambda x: x["under"] if under else ~x["under"])
+        ordered = F.array_sort(F.transform(mine, lambda x: F.struct((sign * x["level"]).alias("key"), x["place"].alias("place"), x["level"].alias("level"),
+            x["type"].alias("type"), x["strength"].alias("strength"))))
+        return F.transform(F.slice(ordered, 1, 5), lambda x: F.struct(x["level"].alias("level"), x["type"].alias("type"), x["strength"].alias("strength")))
+
+    return {"supports": nearest(True), "resistances": nearest(False)}
+
+
+def _yes(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _risk() -> dict[str, Column]:
+    """Level and items: momentum and losses make a risk high, volatility and valuation only raise a low one; the rest is told and raises nothing."""
+    r, j, swing, pe = F.col("RSI14"), F.col("KDJ_J"), F.col("ATR14") / F.col("close") * lit(100), F.col("pe_dynamic")
+    listed = _yes(F.col("listed"))
+    loss, dear = listed & ~_yes(pe > 0), listed & _yes(pe > 100)
+    hot = F.when(_yes(r > 80), 2).when(_yes(r > 70), 1).otherwise(0)
+    hot = F.when(_yes(j > 100), 2).otherwise(hot)
+    moved = F.when((hot == 0) & _yes(swing > 8), 2).when((hot == 0) & _yes(swing > 5), 1).otherwise(hot)
+    valued = F.when(loss, 2).when((moved == 0) & dear, 1).otherwise(moved)
+    items = {"rsi_extreme": r > 80, "rsi_overbought": (r > 70) & (r <= 80), "kdj_overbought": j > 100, "swing_extreme": swing > 8, "swing_high": (swing > 5) & (swing <= 8),
+        "loss": loss, "dear": dear, "price_to_book": listed & (F.col("pb") > 10), "illiquid": listed & (F.col("turnover_rate") < 1),
+        "below_ma60": (F.col("n_bars") >= 60) & (F.col("close") < F.col("MA60"))}
+    return {"risk": F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), valued + 1), "risk_items": F.array_compact(F.array(*[F.when(_yes(c), k) for k, c in items.items()]))}
+
+
+def _advice() -> dict[str, Column]:
+    """What to do and how much of a position, by reward to risk, trend and RSI."""
+    rr, above = F.col("reward_risk"), _yes(F.col("close") > F.col("MA20"))
+    calm = above & _yes(F.col("MA20") > F.col("MA60")) & ~_yes(F.col("RSI14") >= 70)
+    ladder = ((rr >= 3) & calm, "enter", "30-50%"), ((rr >= 3) & above, "join", "15-30%"), (rr >= 3, "probe", "5-15%"), ((rr >= 2) & above, "join", "10-20%"), (rr >= 2,
+        "wait_or_tiny", "<10%"), (rr > 0, "poor_reward", None)
+    what, how_much = F, F
+    for holds, a, b in ladder:
+        what, how_much = what.when(holds, a), how_much.when(holds, b)
+    return {"advice": what.otherwise("no_chance"), "position_pct": how_much.otherwise(None)}
+
+
+def report(last: DataFrame, spot: DataFrame | None = None) -> DataFrame:
+    """Status labels of the indicators, arrangement, direction, levels, risk, stop, reward and advice of each symbol's last row.
+
+    ``spot(symbol, pe_dynamic, pb, turnover_rate)`` adds valuation and liquidity; symbols it lacks have neither risk.  The
+    reward is null without a resistance, and -1 where there is none left to the next one.
+    """
     r, j, k, d = F.col("RSI14"), F.col("KDJ_J"), F.col("KDJ_K"), F.col("KDJ_D")
     rsi = F.when(r.isNull(), "unknown").when(r > 80, "extreme_overbought").when(r > 70, "overbought").when(r < 20, "extreme_oversold").when(r < 30,
         "oversold").when(r.between(40, 60), "neutral").when(r > 60, "strong").otherwise("weak")
     kdj = F.when(j.isNull(), "unknown").when(j > 100, "overheated").when(j < 0, "exhausted").when((k > 80) & (d > 80),
         "overbought").when((k < 20) & (d < 20), "oversold").when(k > d, "rising").otherwise("falling")
+    above, crossed = F.col("DIF") > F.col("DEA"), F.col("DIF_before") <= F.col("DEA_before")
+    macd = F.when(above.isNull(), "unknown").when(above & _yes(crossed), "golden_cross").when(above, "bullish").when(_yes(F.col("DIF_before") >= F.col("DEA_before")),
+        "death_cross").otherwise("bearish")
     place = ratio(F.col("close") - F.col("BOLL_LOWER"), F.col("BOLL_UPPER") - F.col("BOLL_LOWER")) * lit(100)
     boll = F.when(place.isNull(), "unknown").when(place > 90, "at_upper").when(place > 70, "upper_part").when(place < 10, "at_lower").when(place < 30,
         "lower_part").otherwise("middle")
@@ -120,20 +213,22 @@ def report(last: DataFrame) -> DataFrame:
     direction = F.when(F.col("pct_5").isNull(), "unknown").when((F.col("pct_5") > 3) & (F.col("pct_20") > 0),
         "strong_rise").when((F.col("pct_5") < -3) & (F.col("pct_20") < 0), "steady_fall").when(F.col("pct_5") > 0, "recovering").when(F.col("pct_5") < 0,
         "pulling_back").otherwise("sideways")
-    high_risk = F.coalesce(r > 80, F.lit(False)) | F.coalesce(j > 100, F.lit(False)) | F.coalesce(F.col("ATR_PCT") > lit(0.08), F.lit(False))
-    medium = F.coalesce(r > 70, F.lit(False)) | F.coalesce(F.col("ATR_PCT") > lit(0.05), F.lit(False)) | F.coalesce(F.col("close") < F.col("MA60"), F.lit(False))
-    levels = F.array(*[F.col(c) for c in ("MA20", "MA60", "MA100", "MA200", "BOLL_UPPER", "BOLL_LOWER")])
-    support = F.array_max(F.filter(levels, lambda x: x < F.col("close")))
-    resistance = F.array_min(F.filter(levels, lambda x: x >= F.col("close")))
-    out = last.select("symbol", "date", "close", rsi.alias("rsi_status"), kdj.alias("kdj_status"), boll.alias("boll_status"),
-        arrangement.alias("arrangement"), direction.alias("direction"), F.when(high_risk, "high").when(medium, "medium").otherwise("low").alias("risk"),
-        support.alias("support"), resistance.alias("resistance"), F.col("ATR14").alias("atr"))
-    near = F.col("support") - F.col("atr")
-    stop = F.when(near.isNotNull(), F.when(near < F.col("close") * lit(0.85), F.col("close") * lit(0.93)).otherwise(near)).when(F.col("atr").isNotNull(),
-        F.col("close") - lit(2) * F.col("atr")).otherwise(F.col("close") * lit(0.95))
-    out = out.withColumn("stop", stop).withColumn("reward_risk", ratio(F.col("resistance") - F.col("close"), F.col("close") - F.col("stop")))
-    rr = F.col("reward_risk")
-    return out.withColumn("advice", F.when(rr >= 3, "favourable").when(rr >= 2, "acceptable").when(rr > 0, "poor").otherwise("none"))
+    told = last
+    if spot is None:
+        told = told.withColumns({"pe_dynamic": F.lit(None).cast("double"), "pb": F.lit(None).cast("double"), "turnover_rate": F.lit(None).cast("double"), "listed": F.lit(False)})
+    else:
+        told = told.join(spot.select("symbol", "pe_dynamic", "pb", "turnover_rate", F.lit(True).alias("listed")), "symbol", "left")
+    told = told.withColumns(_sides()).withColumns({"support": F.try_element_at("supports", F.lit(1))["level"], "resistance": F.try_element_at("resistances", F.lit(1))["level"]})
+    atr, near = F.nullif(F.col("ATR14"), lit(0)), F.round(F.col("support") - F.col("ATR14"), 2)
+    stop = F.when(atr.isNotNull() & near.isNotNull(), F.when((F.col("close") - near) / F.col("close") * lit(100) > lit(15), F.round(F.col("close") * lit(0.93),
+        2)).otherwise(near)).when(atr.isNotNull(), F.round(F.col("close") - lit(2) * F.col("ATR14"), 2)).otherwise(F.round(F.col("close") * lit(0.95), 2))
+    told = told.withColumn("stop", stop)
+    risk, reward = F.col("close") - F.col("stop"), F.col("resistance") - F.col("close")
+    told = told.withColumn("reward_risk", F.when((risk > 0) & (reward > 0), F.round(reward / risk, 2)).when((risk > 0) & reward.isNotNull(), lit(-1)))
+    return told.select("symbol", "date", "close", rsi.alias("rsi_status"), macd.alias("macd_status"), kdj.alias("kdj_status"), boll.alias("boll_status"),
+        _yes(F.col("close") > F.col("BOLL_MID")).alias("above_mid"), arrangement.alias("arrangement"), direction.alias("direction"), "pct_5", "pct_10", "pct_20", "pct_60",
+        "supports", "resistances", "support", "resistance", F.col("ATR14").alias("atr"), *[c.alias(n) for n, c in _risk().items()], "stop", "reward_risk",
+        *[c.alias(n) for n, c in _advice().items()])
 
 
 def sector_cohort(members: DataFrame, frame: DataFrame, least: int = 20, most: int = 10) -> DataFrame:

@@ -567,43 +567,6 @@ def sector_scores(spark, d):
     return research.sector_scores(src.members(spark, d), _sector_change(spark, d))
 
 
-_ALIGN = "round(greatest(-1, least(1, CASE WHEN st = se AND st IN ('up', 'down') THEN 0.45::DOUBLE WHEN st = 'range' OR se = 'range' THEN 0.15::DOUBLE ELSE -0.25::DOUBLE END + CASE WHEN sector_type = 'industry' THEN 0.15::DOUBLE ELSE 0 END + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, (breadth - 50) / 100)))), 4)"
-
-
-@query(with_ctes(f"SELECT symbol, sector_code, alignment, CASE WHEN st = se AND st IN ('up', 'down') AND alignment >= 0.35::DOUBLE THEN 'aligned' WHEN (st "
-    f"= 'up' AND se = 'down') OR (st = 'down' AND se = 'up') OR alignment < 0 THEN 'conflicting' ELSE 'mixed' END AS label FROM (SELECT *, {_ALIGN} AS "
-    f"alignment FROM (SELECT m.*, CASE WHEN s.change_rate > 0 THEN 'up' WHEN s.change_rate < 0 THEN 'down' ELSE 'range' END AS st, CASE WHEN x.change > 0 "
-    f"THEN 'up' WHEN x.change < 0 THEN 'down' ELSE 'range' END AS se, x.breadth FROM members m JOIN spot s USING (symbol) JOIN (SELECT sector_code, "
-    f"avg(change_rate) AS change, avg((change_rate > 0)::INT::DOUBLE) * 100 AS breadth FROM members JOIN spot USING (symbol) GROUP BY ALL) x USING "
-    f"(sector_code)))", "members", "spot"))
-def sector_alignment(spark, d):
-    spot, member = src.spot(spark, d).select("symbol", "change_rate"), src.members(spark, d)
-    sector = member.join(spot, "symbol").groupBy("sector_code").agg(F.avg("change_rate").alias("change"),
-        (F.avg((F.col("change_rate") > 0).cast("double")) * 100).alias("breadth"))
-
-    def way(c):
-        return F.when(F.col(c) > 0, "up").when(F.col(c) < 0, "down").otherwise("range")
-
-    joined = member.join(spot, "symbol").join(sector, "sector_code").select("symbol", "sector_code", "sector_type", "breadth",
-        way("change_rate").alias("stock_trend"), way("change").alias("sector_trend"), F.lit(None).cast("double").alias("net_pct"))
-    return research.alignment(joined).select("symbol", "sector_code", "alignment", "label")
-
-
-@query(with_ctes("SELECT symbol, CASE WHEN MA5 > MA10 AND MA10 > MA20 AND MA20 > MA60 THEN 'bullish' WHEN MA5 < MA10 AND MA10 < MA20 THEN 'bearish' WHEN "
-    "MA5 > MA20 THEN 'leaning_up' ELSE 'tangled' END AS arrangement, CASE WHEN p IS NULL THEN 'unknown' WHEN p > 90 THEN 'at_upper' WHEN p > 70 THEN "
-    "'upper_part' WHEN p < 10 THEN 'at_lower' WHEN p < 30 THEN 'lower_part' ELSE 'middle' END AS boll_status, CASE WHEN p5 IS NULL THEN 'unknown' WHEN p5 "
-    "> 3 AND p20 > 0 THEN 'strong_rise' WHEN p5 < -3 AND p20 < 0 THEN 'steady_fall' WHEN p5 > 0 THEN 'recovering' WHEN p5 < 0 THEN 'pulling_back' ELSE "
-    "'sideways' END AS direction FROM (SELECT *, (close - BOLL_LOWER) / nullif(BOLL_UPPER - BOLL_LOWER, 0) * 100 AS p, RETURN_5 * 100 AS p5, RETURN_20 * "
-    "100 AS p20, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM ind) WHERE rn = 1", "ind"))
-def report_ladders(spark, d):
-    return research.report(research.last_rows(ta.all_indicators(src.bars(spark, d)))).select("symbol", "arrangement", "boll_status", "direction")
-
-
-@query()
-def stock_report(spark, d):
-    return research.report(research.last_rows(ta.all_indicators(src.bars(spark, d))))
-
-
 @query("SELECT event_id, try_cast(props->>'k' AS BIGINT) AS k FROM events")
 def parse_props_json(spark, d):
     return src.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.series import by_symbol, lit, rounded, trailing
 from candela.operators import indicators as ta
-from candela.operators import resample, screens, store
+from candela.operators import research, resample, screens, store
 from candela.plans.oracle import W, full, with_ctes
 from candela.plans.oracle import rounded as r
 from candela.plans.registry import query
@@ -330,14 +330,7 @@ def sector_breadth(spark, d):
     f"PRECEDING) AS ma20 FROM sector_bars)) WHERE back = 1", "sector_bars"))
 def sector_trend(spark, d):
     """Close against MA20 and the average's move over four bars."""
-    w = by_symbol("sector_code")
-    frame = src.sector_bars(src.bars(spark, d), src.members(spark, d)).withColumn("ma20", F.avg("close").over(trailing(20, "sector_code")))
-    frame = frame.select("*", F.lag("ma20", 4).over(w).alias("before"), F.row_number().over(w).alias("n"))
-    last = screens.latest(frame, "sector_code")
-    grown = F.col("n") >= 24
-    trend = F.when(F.col("n") < 20, "unknown").when((F.col("close") > F.col("ma20")) & grown & (F.col("ma20") > F.col("before")),
-        "up").when((F.col("close") < F.col("ma20")) & grown & (F.col("ma20") < F.col("before")), "down").otherwise("range")
-    return last.select("sector_code", trend.alias("trend"))
+    return research.trend_by_average(src.sector_bars(src.bars(spark, d), src.members(spark, d)), "sector_code").select("sector_code", "trend")
 
 
 @query(with_ctes(f"SELECT symbol, date, {r(BAR)}, source FROM (SELECT *, 'old' AS source FROM bars WHERE NOT (symbol % 3 = 0 AND date >= DATE "
