@@ -23,6 +23,16 @@ KINDS = {"int": int, "float": (int, float), "str": str, "bool": bool, "dict": di
 MOST_ROWS = 10_000
 
 
+#: Frames that calls have persisted; ``call`` releases them once it has its answer.
+_HELD: list[DataFrame] = []
+
+
+def _once(frame: DataFrame) -> DataFrame:
+    """A frame that several parts of one answer read, computed once; what memory cannot hold goes to disk."""
+    _HELD.append(frame.persist())
+    return frame
+
+
 def tool(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     CALLS[function.__name__] = function
     return function
@@ -58,6 +68,9 @@ def call(spark: SparkSession, sf_dir: str, name: str, limit: int = 1000, **args)
         return {"data": None, "meta": {"call": name}, "warnings": [], "error": {"type": "invalid", "message": str(error)}}
     except Exception as error:
         return {"data": None, "meta": {"call": name}, "warnings": [], "error": {"type": type(error).__name__, "message": str(error)[:500]}}
+    finally:
+        while _HELD:
+            _HELD.pop().unpersist()
 
 
 def _factors(spark, d, symbol=None):
@@ -264,6 +277,7 @@ def backtest_pattern_strategy(spark, sf_dir, start: str = "", end: str = "", pat
     signals = detectors.detect(_factors(spark, sf_dir), tuple(patterns or detectors.PATTERNS), min_score)
     signals = signals.where(F.col("date") >= F.lit(start).cast("date")) if start else signals
     signals = signals.where(F.col("date") <= F.lit(end).cast("date")) if end else signals
+    signals = _once(signals)
     events = backtest.outcomes(signals, bars)
     assumed = F.struct(F.lit("next_open").alias("entry"), F.lit(backtest.HOLD).alias("max_holding_days"), F.lit("2R").alias("target"),
         F.lit("min(2 ATR, 8 %)").alias("fallback_stop"), F.lit(float(buy_cost_bps)).alias("buy_cost_bps"), F.lit(float(sell_cost_bps)).alias("sell_cost_bps"),
