@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
@@ -111,6 +112,46 @@ def alert_stream(updates: DataFrame) -> DataFrame:
     return updates.groupBy("zone_id").applyInPandasWithState(_run, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+ORDERED_STATE = STATE + ", latest long, pending string"
+UPDATE = ("at_ms", "ts", "close", "high", "low", "closed", "lower", "upper", "invalidated")
+
+
+def ordered_alert_stream(updates: DataFrame, delay: str = "10 minutes", silence_days: int = 30) -> DataFrame:
+    """Events as ``alert_batch`` tells them, whatever order and micro-batch the updates come in, if none is later than ``delay``.
+
+    A zone's updates wait in its state until the watermark has passed them and are judged in order of time; updates behind
+    the watermark are dropped.  A zone that has been silent for ``silence_days`` of event time leaves no state and starts
+    anew.  So the state holds one delay of updates of the zones that still move.
+    """
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state, latest, waiting = State(), 0, []
+        if held.exists:
+            relation, episode, emitted, invalidated, latest, pending = held.get
+            state, waiting = State(relation, episode, set(filter(None, emitted.split(","))), invalidated), json.loads(pending)
+        seen = held.getCurrentWatermarkMs()
+        for rows in batches:
+            for r in rows[list(UPDATE)].itertuples(index=False):
+                high, low = (None if pd.isna(x) else float(x) for x in (r.high, r.low))
+                waiting.append([int(r.at_ms), r.ts.isoformat(), float(r.close), high, low, bool(r.closed), float(r.lower), float(r.upper), bool(r.invalidated)])
+        waiting.sort(key=lambda x: (x[0], x[1]))
+        due = [x for x in waiting if x[0] <= seen]
+        waiting = waiting[len(due) :]
+        told = pd.DataFrame(due, columns=UPDATE).assign(ts=[pd.Timestamp(x[1]) for x in due])
+        events = _advance(keys[0], told, state)
+        latest = max([latest, *(x[0] for x in due)])
+        end = latest + silence_days * 86_400_000
+        if waiting or not latest or end > seen:
+            held.update((state.relation, state.episode, ",".join(sorted(state.emitted)), state.invalidated, latest, json.dumps(waiting)))
+            held.setTimeoutTimestamp(waiting[0][0] if waiting else max(end, seen + 1))
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame(events, columns=[x.split()[0] for x in EVENTS.split(", ")])
+
+    timed = updates.withWatermark("ts", delay).withColumn("at_ms", F.unix_millis("ts"))
+    return timed.groupBy("zone_id").applyInPandasWithState(run, EVENTS, ORDERED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def alert_batch(updates: DataFrame) -> DataFrame:
     """The same over a finished table."""
 
