@@ -54,6 +54,32 @@ def write_table(frame: DataFrame, path: str, partitions: list[str] | None = None
     writer.parquet(path)
 
 
+BUCKETS = 256
+
+
+def merge_table(new: DataFrame, path: str, keys: list[str], by: str = "symbol", buckets: int = BUCKETS) -> None:
+    """``upsert`` into the table at ``path`` that rewrites only the buckets of ``by`` that ``new`` has; creates the table if there is none.
+
+    The table is partitioned by the hash of ``by``, one of the keys, so the scan skips the buckets that stay and a bucket
+    is one partition of the join.  Every merge of a table needs the same number of buckets.  New rows with the same keys
+    replace each other, which one stays is not defined; rows whose ``by`` is null have a bucket of their own.  The new
+    files are complete before the old ones of their buckets go.
+    """
+    spark = new.sparkSession
+    if by not in keys:
+        raise ValueError(f"{by} must be one of the keys")
+    fresh = new.withColumn("bucket", F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        changed = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        if not changed:
+            return
+        merged = upsert(spark.read.option("mergeSchema", True).parquet(path).where(F.col("bucket").isin(changed)), fresh, ["bucket", *keys])
+    else:
+        merged = fresh.dropDuplicates(["bucket", *keys])
+    write_table(merged.repartition("bucket"), path, ["bucket"])
+
+
 def read_signals(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 

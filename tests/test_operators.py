@@ -612,3 +612,23 @@ def test_ordered_alerts_equal_the_ordered_run(spark, tmp_path):
     assert told(got) == want
     kept = [o.numRowsTotal for o in stream.lastProgress.stateOperators] if hasattr(stream.lastProgress, "stateOperators") else [o["numRowsTotal"] for o in stream.lastProgress["stateOperators"]]
     assert kept == [1]
+
+
+def test_merge_rewrites_changed_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    old = spark.createDataFrame([(k, d, float(k)) for k in range(40) for d in days(3)], "symbol long, date date, close double")
+    store.merge_table(old, path, ["symbol", "date"], buckets=8)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "bars").glob("bucket=*/*.parquet")}
+    fresh = spark.createDataFrame([(3, days(3)[0], -1.0, "x"), (3, datetime.date(2021, 3, 9), 9.0, "y"), (None, days(1)[0], 5.0, None)],
+        "symbol long, date date, close double, note string")
+    store.merge_table(fresh, path, ["symbol", "date"], buckets=8)
+    store.merge_table(fresh.limit(0), path, ["symbol", "date"], buckets=8)
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "bars").glob("bucket=*/*.parquet")}
+    touched = {f.parent.name for f in before if after.get(f) != before[f]}
+    assert len(touched) == 1 and len({f.parent for f in before}) > 2
+    assert {f.parent.name for f in after} - {f.parent.name for f in before} == {"bucket=-1"}
+    whole = spark.read.option("mergeSchema", True).parquet(path)
+    want = store.upsert(old, fresh, ["symbol", "date"])
+    assert sorted(map(repr, whole.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    with pytest.raises(ValueError):
+        store.merge_table(fresh, path, ["date"])
