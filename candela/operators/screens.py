@@ -122,3 +122,10 @@ def quick_signals(averaged: DataFrame, rsi: str = "WILDER_RSI", key: str = "symb
         "surge": (F.col("_v5") > 0) & (F.col("volume") > F.col("_v5") * 2), "oversold": F.col(rsi) < 30, "overbought": F.col(rsi) > 70,
     }
     return seen.select(key, "date", *[F.coalesce(c, no).alias(k) for k, c in flags.items()], "pct_5", "pct_20")
+
+
+def candidate_universe(basics: DataFrame, covered: DataFrame, least: int = 260, most: int = 0) -> DataFrame:
+    """(symbol, name, row_count) of symbols with enough bars and without ST in their names, longest histories first; ``most`` of them, 0 for all."""
+    out = basics.where(~F.coalesce(F.col("name").contains("ST"), F.lit(True))).join(covered.where(F.col("row_count") >= least).select("symbol", "row_count"), "symbol")
+    out = out.select("symbol", "name", "row_count").orderBy(F.desc("row_count"), "symbol")
+    return out.limit(most) if most > 0 else out
