@@ -66,6 +66,58 @@ def evaluate(events: DataFrame, candidates: list[tuple[Rule, ...]], ret: str = "
     return [(row[f"n{i}"], row[f"w{i}"]) for i in range(len(candidates))]
 
 
+def evaluate_nodes(events: DataFrame, nodes: list[tuple[Rule, ...]], rules: list[list[Rule]], ret: str = "ret_10") -> dict[tuple[int, Rule], tuple[int, float]]:
+    """(n, win rate) of every set extended by each of its rules, from one aggregate.
+
+    Values are counted by where they lie among their factor's cuts, so the counts of all thresholds are running sums; a
+    row comes to the driver for each set, factor and place, and for each set and category.
+    """
+    kept = events.where(F.col(ret).isNotNull()).withColumn("_node", F.explode(F.array_compact(F.array(*[F.when(mask(r), F.lit(i)) for i, r in enumerate(nodes)]))))
+    cuts: dict[str, dict[int, list[float]]] = {}
+    named: dict[str, set[str]] = {}
+    for i, found in enumerate(rules):
+        for r in found:
+            if r.op == "==":
+                named.setdefault(r.field, set()).add(r.value)
+            elif r.op == "<=":
+                cuts.setdefault(r.field, {}).setdefault(i, []).append(r.value)
+    each = []
+    for f, by_node in cuts.items():
+        ends = F.element_at(F.array(*[F.array(*map(lit, by_node.get(i, []))).cast("array<double>") for i in range(len(nodes))]), F.col("_node") + 1)
+        x = F.col(f).cast("double")
+        below, upto = F.size(F.filter(ends, _less(x))), F.size(F.filter(ends, _at_most(x)))
+        each.append(F.when(x.isNotNull(), F.struct(F.lit(f).alias("field"), F.lit(None).cast("string").alias("value"), below.alias("below"), upto.alias("upto"))))
+    for c, values in named.items():
+        each.append(F.when(F.col(c).isin(sorted(values)), F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"), F.lit(0).alias("below"), F.lit(0).alias("upto"))))
+    if not each:
+        return {}
+    long = kept.select("_node", (F.col(ret) > 0).cast("long").alias("won"), F.explode(F.array_compact(F.array(*each))).alias("_p")).select("_node", "won", "_p.*")
+    counted: dict[tuple[int, str], list] = {}
+    for r in long.groupBy("_node", "field", "value", "below", "upto").agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("w")).collect():
+        counted.setdefault((r["_node"], r.field), []).append(r)
+    out = {}
+    for i, found in enumerate(rules):
+        for r in found:
+            rows = counted.get((i, r.field), [])
+            if r.op == "==":
+                mine = [x for x in rows if x.value == r.value]
+            else:
+                k = cuts[r.field][i].index(r.value)
+                mine = [x for x in rows if (x.below <= k if r.op == "<=" else x.upto > k)]
+            n = sum(x.n for x in mine)
+            if n:
+                out[i, r] = (n, sum(x.w for x in mine) / n)
+    return out
+
+
+def _less(x: Column):
+    return lambda e: e < x
+
+
+def _at_most(x: Column):
+    return lambda e: e <= x
+
+
 class Found(NamedTuple):
     rules: tuple[Rule, ...]
     n: int
@@ -87,13 +139,11 @@ def beam_search(events: DataFrame, factors: tuple[str, ...], categories: tuple[s
             front = [x for x in front if x.n >= least]
             if not front:
                 break
-            grown: dict[tuple[Rule, ...], int] = {}
-            for x, rules in zip(front, node_rules(events, [x.rules for x in front], factors, categories), strict=True):
-                grown.update({(*x.rules, r): x.n for r in rules})
-            sets, found = list(grown), []
-            for at in range(0, len(sets), 200):
-                part = sets[at : at + 200]
-                found += [Found(c, n, w) for c, (n, w) in zip(part, evaluate(events, part), strict=True) if least <= n <= MOST_SHARE * grown[c]]
+            sets = [x.rules for x in front]
+            tried = node_rules(events, sets, factors, categories)
+            counts = evaluate_nodes(events, sets, tried)
+            grown = {(*front[i].rules, r): (i, r) for i, rules in enumerate(tried) for r in rules if (i, r) in counts}
+            found = [Found(c, *counts[at]) for c, at in grown.items() if least <= counts[at][0] <= MOST_SHARE * front[at[0]].n]
             front = sorted(found, key=lambda x: -x.win)[:beam]
             best += front
             if not front or front[0].win >= target:
