@@ -632,3 +632,20 @@ def test_merge_rewrites_changed_buckets_only(spark, tmp_path):
     assert sorted(map(repr, whole.select(want.columns).collect())) == sorted(map(repr, want.collect()))
     with pytest.raises(ValueError):
         store.merge_table(fresh, path, ["date"])
+
+
+def test_closes_are_rounded_as_the_c_library_rounds_them(spark):
+    import math
+
+    from candela.sources import bars as src
+
+    days = [(1, datetime.datetime(2000, 1, 1) + datetime.timedelta(i), float(i % 7), (i * 7 % 11) / 100, 0.02, 1.0) for i in range(400)]
+    lines = spark.createDataFrame(days, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double, l_extendedprice double")
+    walk, want = 0.0, []
+    for day in days:
+        walk += (day[3] - 0.05) * 0.6
+        want.append(100.0 * math.exp(round(walk, 9)))
+    got = [r[0] for r in src.daily_bars(lines).orderBy("date").select("close").collect()]
+    assert got == want
+    odd = spark.range(3).select(src.exponential(F.when(F.col("id") == 1, F.lit(1e4)).when(F.col("id") == 2, F.lit(-1e4)))).collect()
+    assert [r[0] for r in odd] == [None, math.inf, 0.0]
