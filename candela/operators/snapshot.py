@@ -19,6 +19,8 @@ FAMILY = "fibonacci_same_swing"
 #: What a compact answer carries: recent pivots and legs, lines of a scale and role, channels, ranges and anchors of a scale, zones.
 RECENT, PER_ROLE, PER_SCALE, NEAREST = 20, 2, 3, 12
 ANCHORS = 5
+#: Arrays of an answer; a caller may ask for some of them.
+PARTS = ("scales", "trendlines", "channels", "ranges", "double_patterns", "confluence_zones")
 
 
 def _id(prefix: str, text: Column) -> Column:
@@ -127,9 +129,11 @@ def _sorted(rows: DataFrame, name: str, order: list[Column], fields: list[str])
     return packed.select("symbol", F.transform("_all", lambda r: r["x"]).alias(name))
 
 
-def snapshot(bars: DataFrame, as_of: DataFrame | None = None) -> DataFrame:
+def snapshot(bars: DataFrame, as_of: DataFrame | None = None, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """One row a symbol: last bar, scales, trendlines, channels, ranges, double_patterns and confluence_zones as arrays of structs.
 
+    Only the ``parts`` asked for are found and are columns; a join would have to find the others even if nobody looks at them.
+
     ``scales`` has pivots, legs, anchors, retracements, projections and zones of each scale with a pivot; zones of all scales
     meet in ``confluence_zones``.  With ``as_of(symbol, as_of_idx)`` the answer is that of the bars up to there.
     """
@@ -137,21 +141,27 @@ def snapshot(bars: DataFrame, as_of: DataFrame | None = None) -> DataFrame:
     last = pv.numbered(rows).groupBy("symbol").agg(F.max("idx").alias("as_of_idx"), F.max_by("close", "idx").alias("current_price"))
     order = F.when(F.col("scale") == "fine", 1).when(F.col("scale") == "medium", 2).otherwise(3)
     fields = ["scale", "pivots", "legs", "anchors", "retracements", "projections", "zones"]
-    positions = scale_positions(rows)
-    scales = _sorted(positions, "scales", [order], fields)
-    zones = clusters(positions)
-    zones = _sorted(zones, "confluence_zones", [F.col("no")], [c for c in zones.columns if c not in ("symbol", "no")])
-    shapes = structure.market_structure(rows)
-    best = [order, F.col("status") != "confirmed", F.col("status") == "broken", F.desc("score"), F.desc("end_idx"), F.col("id")]
-    names = [f.split()[0] for f in structure.SCHEMA.split(", ") if f.split()[0] != "symbol"]
-    kinds = {"trendlines": ("trendline", "horizontal_level"), "channels": ("channel",), "ranges": ("range",)}
-    w = Window.partitionBy("symbol").orderBy(*best)
-    ranked = shapes.withColumn("_k", F.row_number().over(w)).groupBy("symbol").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind").isin(*k), F.struct("_k",
-        F.struct(*names).alias("x"))))).alias(n) for n, k in kinds.items()]).select("symbol", *[F.transform(n, lambda r: r["x"]).alias(n) for n in kinds])
-    found = scale_patterns(rows)
-    patterns = _sorted(found, "double_patterns", [order, F.col("status") == "invalidated", F.desc(F.round("score", 4)), F.desc("right_idx")],
-        [c for c in found.columns if c != "symbol"])
-    return last.join(scales, "symbol", "left").join(ranked, "symbol", "left").join(patterns, "symbol", "left").join(zones, "symbol", "left")
+    out = last
+    if {"scales", "confluence_zones"} & {*parts}:
+        positions = scale_positions(rows)
+        if "scales" in parts:
+            out = out.join(_sorted(positions, "scales", [order], fields), "symbol", "left")
+        if "confluence_zones" in parts:
+            zones = clusters(positions)
+            out = out.join(_sorted(zones, "confluence_zones", [F.col("no")], [c for c in zones.columns if c not in ("symbol", "no")]), "symbol", "left")
+    kinds = {n: k for n, k in {"trendlines": ("trendline", "horizontal_level"), "channels": ("channel",), "ranges": ("range",)}.items() if n in parts}
+    if kinds:
+        best = [order, F.col("status") != "confirmed", F.col("status") == "broken", F.desc("score"), F.desc("end_idx"), F.col("id")]
+        names = [f.split()[0] for f in structure.SCHEMA.split(", ") if f.split()[0] != "symbol"]
+        w = Window.partitionBy("symbol").orderBy(*best)
+        ranked = structure.market_structure(rows).withColumn("_k", F.row_number().over(w)).groupBy("symbol").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind").isin(*k),
+            F.struct("_k", F.struct(*names).alias("x"))))).alias(n) for n, k in kinds.items()]).select("symbol", *[F.transform(n, lambda r: r["x"]).alias(n) for n in kinds])
+        out = out.join(ranked, "symbol", "left")
+    if "double_patterns" in parts:
+        found = scale_patterns(rows)
+        out = out.join(_sorted(found, "double_patterns", [order, F.col("status") == "invalidated", F.desc(F.round("score", 4)), F.desc("right_idx")],
+            [c for c in found.columns if c != "symbol"]), "symbol", "left")
+    return out.select(*last.columns, *[c for c in PARTS if c in parts])
 
 
 def _of(rows: str, field: str, value: str, n: int) -> Column:
@@ -174,10 +184,11 @@ def _lines(kind: str) -> Column:
 def compact(full: DataFrame) -> DataFrame:
     """The rows of ``snapshot``, bounded: what each part had, the best few of it, and the zones nearest to the price.
 
-    Only positions of the anchors shown remain, and of a zone only the sources that stem from them.
+    Only positions of the anchors shown remain, and of a zone only the sources that stem from them.  ``full`` has its scales;
+    of other parts that it lacks the answer has nothing either.
     """
-    rows = full.withColumns({c: F.coalesce(F.col(c), F.array().cast(full.schema[c].dataType)) for c in ("scales", "trendlines", "channels", "ranges",
-        "double_patterns", "confluence_zones")})
+    parts = [c for c in PARTS if c in full.columns]
+    rows = full.withColumns({c: F.coalesce(F.col(c), F.array().cast(full.schema[c].dataType)) for c in parts})
     shown = F.flatten(F.transform("scales", lambda s: F.transform(F.slice(s["anchors"], 1, PER_SCALE), lambda a: a["anchor_id"])))
     rows = rows.withColumn("_shown", shown)
 
@@ -201,9 +212,12 @@ def compact(full: DataFrame) -> DataFrame:
             z["score"].alias("score"), refs(z).alias("source_refs"))
 
     near = F.filter("confluence_zones", lambda z: F.exists(z["sources"], lambda x: F.array_contains(F.col("_shown"), x["anchor_id"])))
-    zones = F.slice(F.array_sort(F.transform(near, away)), 1, NEAREST)
-    counts = F.struct(*[F.size(c).alias(c) for c in ("trendlines", "channels", "ranges", "double_patterns", "confluence_zones")],
-        *[_total(c).alias(c) for c in ("anchors", "retracements", "projections", "zones")])
-    return rows.select("symbol", "as_of_idx", "current_price", counts.alias("counts"), F.transform("scales", scale).alias("scales"), _lines("trendline").alias("trendlines"),
-        _lines("horizontal_level").alias("converted_levels"), F.concat(*[_of("channels", "scale", s, PER_SCALE) for s in pv.SCALES]).alias("channels"),
-        F.concat(*[_of("ranges", "scale", s, PER_SCALE) for s in pv.SCALES]).alias("ranges"), "double_patterns", zones.alias("confluence_zones"))
+    counts = F.struct(*[F.size(c).alias(c) for c in parts if c != "scales"], *[_total(c).alias(c) for c in ("anchors", "retracements", "projections", "zones")])
+    shown_of = {
+        "scales": lambda: [F.transform("scales", scale).alias("scales")],
+        "trendlines": lambda: [_lines("trendline").alias("trendlines"), _lines("horizontal_level").alias("converted_levels")],
+        **{k: lambda k=k: [F.concat(*[_of(k, "scale", s, PER_SCALE) for s in pv.SCALES]).alias(k)] for k in ("channels", "ranges")},
+        "double_patterns": lambda: [F.col("double_patterns")],
+        "confluence_zones": lambda: [F.slice(F.array_sort(F.transform(near, away)), 1, NEAREST).alias("confluence_zones")],
+    }
+    return rows.select("symbol", "as_of_idx", "current_price", counts.alias("counts"), *[c for part in parts for c in shown_of[part]()])

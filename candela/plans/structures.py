@@ -43,8 +43,8 @@ _CLUSTERS = f"""{_POSITIONS},
 _NEEDS = ("pivots", "pivots3", "pivots10", "bars_n")
 
 
-def _full(spark, d):
-    return snapshot.snapshot(src.bars(spark, d))
+def _full(spark, d, *parts):
+    return snapshot.snapshot(src.bars(spark, d), parts=parts or snapshot.PARTS)
 
 
 def _scales(spark, d):
@@ -101,7 +101,7 @@ def structure_clusters(spark, d):
   FROM clusters3 c JOIN last3 USING (symbol) WHERE refs IS NOT NULL) WHERE position <= 12""", *_NEEDS, recursive=_CLUSTERS))
 def compact_clusters(spark, d):
     """The zones nearest to each symbol's price that stem from an anchor shown, with the levels that do."""
-    z = snapshot.compact(_full(spark, d)).select("symbol", F.posexplode("confluence_zones").alias("position", "z"))
+    z = snapshot.compact(_full(spark, d, "scales", "confluence_zones")).select("symbol", F.posexplode("confluence_zones").alias("position", "z"))
     return z.select("symbol", (F.col("position") + 1).alias("position"), "z.lower", "z.upper", "z.score",
         F.array_join(F.transform("z.source_refs", lambda x: x["id"]), ",").alias("refs"))
 
@@ -140,7 +140,7 @@ def structure_patterns(spark, d):
   LEFT JOIN (SELECT symbol, count(*) AS n FROM clusters3 GROUP BY symbol) c USING (symbol)""", *_NEEDS, recursive=_CLUSTERS))
 def structure_counts(spark, d):
     """How much of each part a symbol's compact answer stands for."""
-    rows = snapshot.compact(_full(spark, d))
+    rows = snapshot.compact(_full(spark, d, "scales", "confluence_zones"))
 
     def total(field):
         return F.aggregate("scales", F.lit(0), lambda n, s: n + s[field])

@@ -649,3 +649,22 @@ def test_closes_are_rounded_as_the_c_library_rounds_them(spark):
     assert got == want
     odd = spark.range(3).select(src.exponential(F.when(F.col("id") == 1, F.lit(1e4)).when(F.col("id") == 2, F.lit(-1e4)))).collect()
     assert [r[0] for r in odd] == [None, math.inf, 0.0]
+
+
+def test_an_answer_of_some_parts_is_that_of_all_without_the_others(spark):
+    from candela.operators import snapshot
+    from candela.sources import bars as src
+
+    bars = src.bars(spark, "/root/testdata/sf0.001").where("symbol <= 3")
+    some = snapshot.compact(snapshot.snapshot(bars, parts=("scales", "confluence_zones")))
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapGroupsInPandas" not in plan  # no lines are looked for
+    whole = {r["symbol"]: r for r in snapshot.compact(snapshot.snapshot(bars)).select("symbol", "scales", "confluence_zones").collect()}
+    for row in some.collect():
+        assert (row["scales"], row["confluence_zones"]) == (whole[row["symbol"]]["scales"], whole[row["symbol"]]["confluence_zones"])
+
+
+def test_frames_to_the_last_bar_start_from_the_last(spark):
+    rows = spark.createDataFrame([(1, datetime.date(2000, 1, 1) + datetime.timedelta(i), c) for i, c in enumerate([3.0, 1.0, 2.0])], "symbol long, date date, close double")
+    rest = rows.select("date", F.min("close").over(pivots.from_here_on()), F.first("close").over(pivots.from_here_on())).orderBy("date").collect()
+    assert [tuple(r)[1:] for r in rest] == [(1.0, 2.0), (1.0, 2.0), (2.0, 2.0)]
