@@ -16,17 +16,19 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.llm.common import checkpoint, drawn, free_names, materialise
+from candela.llm.common import checkpoint, free_names, materialise
 
 ORDER, BITS = 4, 16
 #: Probabilities, of all orders and languages, up to which the models are broadcast; they take 8 bytes each.
 #: Beyond that the texts' grams meet the shares in joins.  Both ways work in doubles and compare cross-entropies of nine digits, so they agree.
 BROADCAST_CELLS = 16_000_000
-#: About how many labelled texts calibrate the rejection: of all languages, and of each language at least.
-CALIBRATION_ROWS, CALIBRATION_LEAST = 4000, 200
+#: A language with fewer texts of its own has the default bounds.  Medians are exact to one part in so many; smaller values than the least count as it.
+LEAST_TEXTS, STEPS, LEAST_VALUE = 20, 10_000, 1e-9
+#: So many grams are looked up at once; a worker holds several arrays of them for every language.
+AT_ONCE = 60_000
 #: Rejection: so many standard errors, and nats per symbol, beyond a language's typical cross-entropy.
 SIGMAS, SLACK = 8.0, 0.75
 UNKNOWN = "und"
@@ -222,11 +224,11 @@ class Model:
         for i, text in enumerate(texts):
             found = grams(text)
             lengths[i] = len(found)
-            for at in range(0, len(found), 250_000):
-                held.append(found[at : at + 250_000])
+            for at in range(0, len(found), AT_ONCE):
+                held.append(found[at : at + AT_ONCE])
                 where.append(i)
                 size += len(held[-1])
-                if size > 250_000:
+                if size > AT_ONCE:
                     flush()
                     size = 0
         flush()
@@ -360,21 +362,34 @@ def train(docs: DataFrame, usable: Column) -> tuple[Broadcast | Tables, np.ndarr
     return trained, calibrate(trained, rows)
 
 
+def _medians(values: DataFrame) -> dict[str, tuple[int, float]]:
+    """How many ``values(lang, x)`` each language has, and their median, exact to a step.
+
+    Values are counted by steps first, and the counts are put in order, so no task holds a language's values.
+    """
+    step = F.round(F.ln(F.greatest("x", F.lit(LEAST_VALUE))) * STEPS).cast("long")
+    counted = values.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("lang")
+    ranked = counted.select("lang", "step", F.sum("n").over(whole).alias("of"), F.sum("n").over(whole.orderBy("step")).alias("upto"))
+    middle = [F.min(F.when(F.col("upto") >= at, F.col("step"))) for at in (F.floor((F.col("of") + 1) / 2), F.floor(F.col("of") / 2) + 1)]
+    told = ranked.groupBy("lang").agg(F.first("of"), *middle).collect()  # a row for each language
+    return {lang: (n, float(np.exp(low / STEPS) + np.exp(high / STEPS)) / 2) for lang, n, low, high in told}
+
+
 def calibrate(trained: Broadcast | Tables, rows: DataFrame) -> np.ndarray:
-    """Typical cross-entropy and its spread (that of one symbol) in each language's own texts, from a sample by hash."""
-    least = max(CALIBRATION_LEAST, CALIBRATION_ROWS // len(trained.langs))
-    texts = dict(rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"))).collect())  # a row for each language
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(least / max(n, least))) for k, n in sorted(texts.items())], F.lit(0.0))
-    sample = rows.where(drawn(share, F.col("text"))).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text")
-    scored = trained.predict(sample, F.col("text"), None, "p").select("lang", "p.lang_pred", "p.xent", "p.n_symbols").toPandas()
-    scored = scored[(scored["lang_pred"] == scored["lang"]) & (scored["n_symbols"] > 0)]
+    """Typical cross-entropy and its spread (that of one symbol) in each language's own texts: medians over all of them, equal texts once."""
+    scored = trained.predict(rows.withColumn("h", F.xxhash64("text")), F.col("text"), None, "p").where((F.col("p.lang_pred") == F.col("lang")) & (F.col("p.n_symbols") > 0))
+    own = checkpoint(scored.groupBy("lang", "h").agg(F.min("p.xent").alias("xent"), F.min("p.n_symbols").alias("n")))
+    typical = _medians(own.select("lang", F.col("xent").alias("x")))
     bounds = np.tile([np.log(1 / trained.base) * 0.75, 1.0], (len(trained.langs), 1))
+    known = {lang: middle for lang, (n, middle) in typical.items() if n >= LEAST_TEXTS}
+    if not known:
+        return bounds
+    middle = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair]), F.col("lang"))
+    spread = _medians(own.where(F.col("lang").isin(*known)).select("lang", (F.abs(F.col("xent") - middle) * F.sqrt("n")).alias("x")))
     for i, lang in enumerate(trained.langs):
-        own = scored[scored["lang"] == lang]
-        if len(own) >= 20:
-            typical = own["xent"].median()
-            spread = 1.4826 * ((own["xent"] - typical).abs() * np.sqrt(own["n_symbols"])).median()
-            bounds[i] = typical, spread
+        if lang in known:
+            bounds[i] = known[lang], 1.4826 * spread[lang][1]
     return bounds
 
 

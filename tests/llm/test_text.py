@@ -393,3 +393,20 @@ def test_co_training_matches_brute_force_and_helps(spark):
 
     combined = area(scorer.score(*views)[2])
     assert area(odds[0]) > area(alone[0]) and combined > area(alone[0]) and combined > area(alone[1])
+
+
+def test_rejection_is_calibrated_on_all_texts(spark):
+    class Told:
+        langs, base = ["en", "fr"], 0.01
+
+        def predict(self, rows, text, bounds, name):
+            told = F.struct(F.lit("en").alias("lang_pred"), F.element_at(F.split(text, " "), 2).cast("double").alias("xent"), F.lit(4).cast("long").alias("n_symbols"))
+            return rows.withColumn(name, told)
+
+    values = [1 + ((i * 7919 % 12_000) / 12_000) ** 3 for i in range(12_000)]
+    rows = spark.createDataFrame([("en", f"t{i} {x:.9f}") for i, x in enumerate(values)] + [("en", "t0 1.000000000")] * 500 + [("fr", "a 9")], "lang string, text string")
+    bounds = langid.calibrate(Told(), rows.repartition(4))
+    middle = np.median(values)
+    assert bounds[0, 0] == pytest.approx(middle, rel=1e-4)
+    assert bounds[0, 1] == pytest.approx(1.4826 * np.median(np.abs(np.array(values) - middle)) * 2, rel=1e-3)
+    assert bounds[1].tolist() == [np.log(100) * 0.75, 1.0]  # too few texts of its own
