@@ -668,3 +668,10 @@ def test_frames_to_the_last_bar_start_from_the_last(spark):
     rows = spark.createDataFrame([(1, datetime.date(2000, 1, 1) + datetime.timedelta(i), c) for i, c in enumerate([3.0, 1.0, 2.0])], "symbol long, date date, close double")
     rest = rows.select("date", F.min("close").over(pivots.from_here_on()), F.first("close").over(pivots.from_here_on())).orderBy("date").collect()
     assert [tuple(r)[1:] for r in rest] == [(1.0, 2.0), (1.0, 2.0), (2.0, 2.0)]
+
+
+def test_levels_round_by_their_product(spark):
+    from candela.functions.series import round_product
+
+    got = spark.createDataFrame([(73.695,), (1.25,), (None,)], "x double").select(round_product(F.col("x"), 2)).collect()
+    assert [r[0] for r in got] == [73.69 if 73.695 * 100 < 7369.5 else 73.7, 1.25, None]
