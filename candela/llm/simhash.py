@@ -33,8 +33,8 @@ HOT_SLOT, LEAST_HOT = 1 / 1000, 1000
 DEALT = 64
 #: doc_ids that share all but so many low bits are put in order together.
 NEAR_IDS = 10
-#: So many ids are put in order in one task, and so many are broadcast; so many boundary texts are broadcast.
-FEW_IDS, FEW_TEXTS = 50_000, 2_000
+#: So many ids are put in order in one task, and so many are broadcast.
+FEW_IDS = 50_000
 
 
 def _terms(text: Column) -> Column:
@@ -162,13 +162,11 @@ def with_neighbours(prints: DataFrame, step: int = QUERY_STEP, radius: int = RAD
     return out.withColumn("n_near", F.when(query, F.coalesce("n_near", F.lit(0)))).withColumn("nearest_bits", F.when(query, F.col("nearest_bits")))
 
 
-def half_edits(docs: DataFrame) -> DataFrame:
-    """Each row's fingerprint beside that of its half-edited text and of the next document.
+def with_next(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` with g, its group of neighbouring ids, rn, its place there, lead, the next text of the group, and
+    beyond, the first text after the group.
 
-    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and those of
-    ``with_neighbours``: class_id, class_size, n_near, nearest_bits.  The last floor(n/2) code points give way to the first as many (or all) of the next document in ascending doc_id; the last
-    document's next is the first.  Null texts are empty.  Rows that repeat a doc_id are documents of their own in the
-    order of their texts; rows without a doc_id come first, by a hash of their texts.  A single document is its own next.
+    Texts go to their groups by joins alone: a few rows may hold the whole corpus, so none are broadcast for being few.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).withColumn("id",
         F.coalesce("doc_id", F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
@@ -178,15 +176,23 @@ def half_edits(docs: DataFrame) -> DataFrame:
     start = firsts.agg(F.min("id")).first()[0]
     ends = following(firsts).select(F.shiftright("id", NEAR_IDS).alias("g"), F.coalesce("next_id", F.lit(start)).alias("beyond_id"))
     ends = checkpoint(ends)
-
-    def small(df):
-        return F.broadcast(df) if n <= FEW_IDS else df
-
-    wanted = small(ends.withColumnRenamed("g", "of"))
+    wanted = ends.withColumnRenamed("g", "of")
+    wanted = F.broadcast(wanted) if n <= FEW_IDS else wanted
     beyond = checkpoint(rows.join(wanted, F.col("id") == F.col("beyond_id")).groupBy(F.col("of").alias("g")).agg(F.min("text").alias("beyond")))
     window = Window.partitionBy("g").orderBy("id", "text")
     near = rows.withColumn("g", group).withColumn("rn", F.row_number().over(window)).withColumn("lead", F.lead("text").over(window))
-    near = near.join(F.broadcast(beyond) if n <= FEW_TEXTS else beyond, "g", "left")
+    return near.join(beyond, "g", "left")
+
+
+def half_edits(docs: DataFrame) -> DataFrame:
+    """Each row's fingerprint beside that of its half-edited text and of the next document.
+
+    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and those of
+    ``with_neighbours``: class_id, class_size, n_near, nearest_bits.  The last floor(n/2) code points give way to the first as many (or all) of the next document in ascending doc_id; the last
+    document's next is the first.  Null texts are empty.  Rows that repeat a doc_id are documents of their own in the
+    order of their texts; rows without a doc_id come first, by a hash of their texts.  A single document is its own next.
+    """
+    near = with_next(docs)
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     near = near.withColumn("n_chars", size.cast("long")).withColumn("edited",

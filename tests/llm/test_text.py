@@ -255,6 +255,18 @@ def test_simhash_order_and_pairs(spark, awkward, empty, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want and len(want) >= 8
 
 
+def test_simhash_broadcasts_no_text(spark):
+    wide = spark.createDataFrame([(1024 * i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = simhash.with_next(wide)
+        assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id: r.lead or r.beyond for r in rows.collect()} == {1024 * i: f"text {(i + 1) % 5}" for i in range(5)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_simhash_neighbours(spark, sample):
     docs = spark.read.parquet(f"{sample}/documents.parquet")
     rows = simhash.half_edits(docs).collect()
