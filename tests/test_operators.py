@@ -675,3 +675,24 @@ def test_levels_round_by_their_product(spark):
 
     got = spark.createDataFrame([(73.695,), (1.25,), (None,)], "x double").select(round_product(F.col("x"), 2)).collect()
     assert [r[0] for r in got] == [73.69 if 73.695 * 100 < 7369.5 else 73.7, 1.25, None]
+
+
+def test_scales_of_one_map(spark):
+    """Zigzags and facts of all scales from one grouped map equal windows and folds of each scale; bars without prices are no pivots."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for symbol, n in ((1, 200), (2, 7), (3, 6), (4, 90)):
+        close = 50 * np.exp(np.cumsum(rng.normal(0, 0.03, n))).round(2)
+        rows += [(symbol, datetime.date(2020, 1, 1) + datetime.timedelta(i), *((None,) * 3 if symbol == 4 and i % 40 == 7 else (float(c) * 1.01, float(c) * 0.99, float(c)))) for i, c in enumerate(close)]
+    frame = spark.createDataFrame(rows, "symbol long, date date, high double, low double, close double")
+    found = pivots.multiscale(frame)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rest = pivots.from_here_on()
+    facts = pivots.with_range(frame).select("symbol", "idx", "atr", F.min("close").over(rest).alias("rest_low"), F.max("close").over(rest).alias("rest_high"),
+        F.first("close").over(rest).alias("last_close"), F.first("atr").over(rest).alias("last_atr"), F.first("idx").over(rest).alias("last_idx"))
+    want = set()
+    for scale, (left, right, swing) in pivots.SCALES.items():
+        line = pivots.zigzag(pivots.pivots(frame, left, right), swing).withColumn("scale", F.lit(scale)).join(facts, ["symbol", "idx"])
+        want |= {tuple(r) for r in line.select(found.columns).collect()}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({r[found.columns.index("scale")] for r in got}) == 3
