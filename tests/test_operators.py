@@ -696,3 +696,16 @@ def test_scales_of_one_map(spark):
         want |= {tuple(r) for r in line.select(found.columns).collect()}
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len({r[found.columns.index("scale")] for r in got}) == 3
+
+
+def test_lines_are_broken_where_bars_say(spark):
+    """The first piercing bar found some bars at a time is the first of all bars, also beyond the first look and at the last bar."""
+    rng = np.random.default_rng(8)
+    for n in (1, 33, 34, 400):
+        low, atr = 20 + np.cumsum(rng.normal(0, 0.3, n)), np.full(n, 0.4)
+        start = rng.integers(0, n, 60)
+        price, slope = low[start] - rng.uniform(0, 3, 60), rng.uniform(-0.02, 0.05, 60)
+        want = [next((i for i in range(s + 1, n) if low[i] - (p + k * (i - s)) < -0.5 * atr[i]), -1) for s, p, k in zip(start, price, slope, strict=True)]
+        assert structure._broken(start, price, slope, 1.0, low, atr).tolist() == want
+    points = [Pivot(i, "H", float(x), i) for i, x in enumerate(np.sort(rng.uniform(9, 11, 9)))]
+    assert all(structure._middle(points[:k]) == np.median([p.price for p in points[:k]]) for k in range(1, 10))
