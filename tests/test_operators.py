@@ -709,3 +709,16 @@ def test_lines_are_broken_where_bars_say(spark):
         assert structure._broken(start, price, slope, 1.0, low, atr).tolist() == want
     points = [Pivot(i, "H", float(x), i) for i, x in enumerate(np.sort(rng.uniform(9, 11, 9)))]
     assert all(structure._middle(points[:k]) == np.median([p.price for p in points[:k]]) for k in range(1, 10))
+
+
+def test_skeletons_make_no_pairs(spark):
+    """What decides a skeleton is found without a join of skeletons and bars; of one bar the wick counts, and old skeletons are left out."""
+    close = [10, 9, 10, 11, 10, 9.1, 10, 10.5, 11.5, 8, 8]
+    frame = spark.createDataFrame([(1, datetime.date(2020, 1, 1) + datetime.timedelta(i), c, c, c) for i, c in enumerate(map(float, close))],
+        "symbol long, date date, high double, low double, close double")
+    line = [(1, 1, "L", 9.0, 2, 0), (1, 3, "H", 11.0, 4, 1), (1, 5, "L", 9.1, 6, 2), (1, 8, "H", 11.5, 9, 3)]
+    pivot = spark.createDataFrame(line, "symbol long, idx int, typ string, price double, confirm int, ordinal int")
+    for monitor, want in ((None, {("w_bottom", "neckline_breakout", 8), ("m_top", "neckline_breakdown", 9)}), (F.lit(1), {("m_top", "neckline_breakdown", 9)})):
+        found = pivots.double_patterns(pivot, frame, monitor=monitor)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r.pattern, r.status, r.event_idx) for r in found.collect()} == want
