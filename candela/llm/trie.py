@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 
@@ -53,9 +53,46 @@ class RadixTrie:
             self.size += 1
         return node.leaf
 
+    def fill(self, terms: Iterable[bytes]) -> None:
+        """Make the leaves of different terms that come in the order of their bytes, in an empty trie.
+
+        A term leaves the path of the one before it where they part, so none is looked for from the root.
+        """
+        path, ends, before, last = [self.root], [0], b"", self.root
+        for term in terms:
+            n, most = 0, min(len(before), len(term))
+            while n < most and before[n] == term[n]:
+                n += 1
+            while ends[-1] > n:
+                last = path.pop()
+                ends.pop()
+            node = path[-1]
+            if ends[-1] < n:
+                fork = _Node(last.label[: n - ends[-1]])
+                last.label = last.label[n - ends[-1] :]
+                fork.children[last.label[0]] = last
+                node.children[fork.label[0]] = node = fork
+                path.append(fork)
+                ends.append(n)
+            if n < len(term):
+                child = node.children[term[n]] = _Node(term[n:])
+                node = child
+                path.append(child)
+                ends.append(len(term))
+            node.leaf = self.size
+            self.size += 1
+            before = term
+
     def walk(self, start: bytes = b"", end: bytes | None = None) -> Iterator[tuple[bytes, int]]:
         """Terms from ``start`` up to, but without, ``end`` in the order of their bytes, which is that of their code points in UTF-8."""
         stack = [(b"", self.root)]
+        while stack and not start and end is None:
+            before, node = stack.pop()
+            path = before + node.label
+            if node.leaf >= 0:
+                yield path, node.leaf
+            if node.children:
+                stack.extend([(path, node.children[b]) for b in sorted(node.children, reverse=True)])
         while stack:
             before, node = stack.pop()
             path = before + node.label
@@ -72,31 +109,39 @@ class SourceTrie:
     """A trie whose leaves count each source's occurrences and documents; two of them merge into one."""
 
     def __init__(self) -> None:
-        self.trie = RadixTrie()
-        self.numbers: dict[bytes, int] = {}  # leaves that were reached before
+        self.made = RadixTrie()
+        self.numbers: dict[bytes, int] = {}  # terms in the order in which they came
         self.parts: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
 
+    @property
+    def trie(self) -> RadixTrie:
+        """The trie of all terms so far, made of all at once in their order."""
+        if self.made.size != len(self.numbers):
+            self.made = RadixTrie()
+            self.made.fill(sorted(self.numbers))
+        return self.made
+
     def add(self, source: str, occurrences: Mapping[bytes, int], documents: Mapping[bytes, int]) -> None:
         """Count a source's terms, the same in ``occurrences`` and ``documents``."""
         n, numbers = len(documents), self.numbers
         for term in documents.keys() - numbers.keys():
-            numbers[term] = self.trie.leaf(term)
+            numbers[term] = len(numbers)
         at = np.fromiter(map(numbers.__getitem__, documents), np.int64, n)
         counts = np.fromiter(map(occurrences.__getitem__, documents), np.int64, n)
         self.parts.append((source, at, counts, np.fromiter(documents.values(), np.int64, n)))
 
     def merge(self, other: SourceTrie) -> None:
         """Take in another trie's counters."""
-        moved = np.zeros(other.trie.size, np.int64)
-        for term, number in other.trie.walk():
-            moved[number] = self.trie.leaf(term)
+        moved = np.zeros(len(other.numbers), np.int64)
+        for term, number in other.numbers.items():
+            moved[number] = self.numbers.setdefault(term, len(self.numbers))
         self.parts += [(source, moved[at], n, docs) for source, at, n, docs in other.parts]
 
     def leaves(self) -> tuple[list[bytes], list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Terms in order and sources in order, then for each leaf and source that occur together: their places, occurrences, documents."""
-        walked = list(self.trie.walk())
-        place = np.zeros(self.trie.size, np.int64)
-        place[np.fromiter((k for _, k in walked), np.int64, len(walked))] = np.arange(len(walked))
+        terms = [term for term, _ in self.trie.walk()]
+        place = np.zeros(len(terms), np.int64)
+        place[np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
         sources = sorted({p[0] for p in self.parts})
         number = {s: i for i, s in enumerate(sources)}
         term = np.concatenate([place[p[1]] for p in self.parts] or [np.zeros(0, np.int64)])
@@ -107,4 +152,4 @@ class SourceTrie:
             total = np.zeros(len(key), np.int64)
             np.add.at(total, at, np.concatenate([p[k] for p in self.parts] or [np.zeros(0, np.int64)]))
             sums.append(total)
-        return [t for t, _ in walked], sources, *np.divmod(key, max(1, len(sources))), *sums
+        return terms, sources, *np.divmod(key, max(1, len(sources))), *sums

@@ -196,6 +196,25 @@ def test_shares_are_exact():
     assert int(divergence.share(np.array([7]), 7, 1)[0]) == 1 + 10**9
 
 
+def test_trie_filled_in_order_is_the_one_made_leaf_by_leaf(monkeypatch):
+    rng = random.Random(13)
+    words = sorted({bytes(rng.choices((97, 98, 0xC3, 0xA9), k=rng.randint(0, 9))) for _ in range(600)} | {b"", b"a" * 3000, b"a" * 3000 + b"b"})
+    filled, single = RadixTrie(), RadixTrie()
+    filled.fill(words)
+    for w in words:
+        single.leaf(w)
+    assert list(filled.walk()) == list(single.walk()) == [(w, i) for i, w in enumerate(words)]
+    assert list(filled.walk(b"ab", b"b")) == [(w, i) for i, w in enumerate(words) if b"ab" <= w < b"b"]
+    for w in rng.sample(words, 50):
+        assert filled.leaf(w) == words.index(w)
+    assert divergence.terms("Ab\x00c\x85é_Éx\u00a0y\x7f\x0bz'".encode()) == [b"ab", "c\x85é".encode(), "Éx\u00a0y".encode(), b"z"]
+    # terms are not looked for from the root, which made counting exceed its seconds
+    monkeypatch.setattr(RadixTrie, "leaf", None)
+    trie = SourceTrie()
+    trie.add("s", dict.fromkeys(words, 2), dict.fromkeys(words, 1))
+    assert trie.leaves()[0] == words
+
+
 def divergence_by_hand(docs):
     terms = {}
     for i, (text, lang, source) in enumerate(docs):
