@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from candela import api
-from candela.operators import backtest, detectors, pivots, resample, similarity, store, structure
+from candela.operators import backtest, detectors, pivots, resample, research, similarity, store, structure
 from candela.operators import indicators as ta
 from candela.operators.pivots import Pivot
+from candela.plans import patterns
 from candela.sources import parsers
 from candela.streaming import alerts
 
@@ -722,3 +723,22 @@ def test_skeletons_make_no_pairs(spark):
         found = pivots.double_patterns(pivot, frame, monitor=monitor)
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
         assert {(r.pattern, r.status, r.event_idx) for r in found.collect()} == want
+
+
+def test_scores_round_by_product_and_levels_may_be_left_out(spark):
+    """A total that lies at half a hundredth rounds as in the SQL, and signals that have a trend and a level of their own do not meet those near their symbol."""
+    fields = "symbol long, pattern string, variant string, trend string, score double, vol_ratio double, resonance int, fib_level string, hit_levels string, key_level_value double, " \
+        "right_bottom_price double, neckline_value double, box_high double"
+    rows = [(1, "w_bottom", "right_bottom", "down", 0.0, 0.362, 1, "", "", None, 10.0, 11.0, None), (2, "trend_pullback", "near_level", "up", 0.7, 1.1, 2, "", "MA20", 9.5, None, None, None),
+        (3, "box_breakout", "box_breakout", "range", 0.7, None, 1, "", "", None, None, None, 12.0), (4, "m_neckline", "neckline_hold", "up", 0.8, 0.5, 1, "", "", None, None, 1.0, None)]
+    signals = spark.createDataFrame(rows, fields)
+    higher, sectors = spark.createDataFrame([], "symbol long, higher_score double"), spark.createDataFrame([(2, 4.0)], "symbol long, sector_score double")
+    near = spark.createDataFrame([(i, "up", 1.0, 2.0) for i in range(5)], "symbol long, level_trend string, near_support double, near_resistance double")
+    shown = ("symbol", "stage", "confirmed", "entry_status", "total_score", "invalid_level")
+    bare = research.enrich(signals, higher, sectors).select(*shown)
+    got = sorted(tuple(r) for r in bare.collect())
+    assert got == sorted(tuple(r) for r in research.enrich(signals, higher, sectors, near).select(*shown).collect())
+    assert got[0][4] == 1.72 and [r[5] for r in got] == [9.8, 9.5, 12.0, 0.98]
+    assert bare._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    plan = patterns.enriched_signals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "previous_high" not in plan
