@@ -742,3 +742,19 @@ def test_scores_round_by_product_and_levels_may_be_left_out(spark):
     assert bare._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
     plan = patterns.enriched_signals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "previous_high" not in plan
+
+
+def test_exponential_averages_stay_arrow(spark):
+    """Rows of a symbol reach the fold in any order, other columns pass unchanged, and what is not known yet is null, not a number."""
+    day = datetime.date(2020, 1, 1)
+    rows = [(s, day + datetime.timedelta(i), 10.0 + s, 9.0 - s, 9.5 + (i * 7 % 5) / 4, "x" if i % 2 else None) for s in (1, 2) for i in range(30)]
+    frame = spark.createDataFrame(rows[::-1], "symbol long, date date, high double, low double, close double, note string")
+    out = ta.exponential_indicators(frame)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.symbol, r.date): r for r in out.collect()}
+    assert {tuple(r)[:6] for r in got.values()} == set(rows)
+    for s in (1, 2):
+        close = np.array([r[4] for r in rows if r[0] == s])
+        edge = np.array([np.nan] * 8 + [1.0] * 22)
+        for name, values in ta.exponential_columns(close, edge * (10.0 + s), edge * (9.0 - s)).items():
+            assert [got[s, day + datetime.timedelta(i)][name] for i in range(30)] == [None if np.isnan(v) else v for v in values]
