@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Texts that a worker holds as Python strings at once; a batch of Arrow may be all that a task reads.
+TEXTS_AT_ONCE = 256
+
+
+def by_parts(run: Callable[[list], pa.Array], texts: pa.Array) -> pa.Array:
+    """``run`` over a few of the texts at a time, joined; its results must not depend on the texts beside."""
+    return pa.concat_arrays([run(texts.slice(at, TEXTS_AT_ONCE).to_pylist()) for at in range(0, max(1, len(texts)), TEXTS_AT_ONCE)])
+
+
 def utf8(column: str) -> Column:
     """The text column with null as empty text."""
     return F.coalesce(F.col(column), F.lit(""))

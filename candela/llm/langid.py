@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.llm.common import checkpoint, free_names, materialise
+from candela.llm.common import by_parts, checkpoint, free_names, materialise
 
 ORDER, BITS = 4, 16
 #: Probabilities, of all orders and languages, up to which the models are broadcast; they take 8 bytes each.
@@ -33,6 +33,7 @@ AT_ONCE = 60_000
 SIGMAS, SLACK = 8.0, 0.75
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double, xent double, n_symbols long, rejected boolean"
+PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("xent", pa.float64()), ("n_symbols", pa.int64()), ("rejected", pa.bool_())])
 _FLUSH, DIGITS = 1_000_000, 9
 
 
@@ -330,9 +331,9 @@ class Broadcast(NamedTuple):
     def predict(self, rows: DataFrame, text: Column, bounds: np.ndarray | None, name: str) -> DataFrame:
         shared = self.shared
 
-        @F.pandas_udf(PREDICTION)
-        def run(texts: pd.Series) -> pd.DataFrame:
-            return shared.value.predict(texts.tolist(), bounds)
+        @F.arrow_udf(PREDICTION)
+        def run(texts: pa.Array) -> pa.Array:
+            return by_parts(lambda part: pa.RecordBatch.from_pandas(shared.value.predict(part, bounds), PREDICTED, preserve_index=False).to_struct_array(), texts)
 
         return rows.withColumn(name, run(text))
 

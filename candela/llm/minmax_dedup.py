@@ -78,15 +78,16 @@ def _signatures(width: int):
 
 
 def _confirm(width: int, link: int):
-    @F.pandas_udf("boolean")
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def check(a: pa.Array, b: pa.Array) -> pa.Array:
         out, last, left = [], None, None
-        for x, y in zip(a, b, strict=True):
+        for x, y in zip(a, b, strict=True):  # one pair of texts at a time becomes Python strings
+            x, y = x.as_py(), y.as_py()
             if x != last or left is None:
                 last, left = x, shingles(x, width)
             right = shingles(y, width)
             out.append(bool(linked(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), link)))
-        return pd.Series(out)
+        return pa.array(out, pa.bool_())
 
     return check
 

@@ -13,9 +13,12 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candela.llm.common import by_parts
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url_login", "credential", "account")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -190,8 +193,8 @@ def _find(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in spans(t)] for t in texts])
 
 
-def _redact(texts: pd.Series) -> pd.Series:
-    return pd.Series([redact(t) for t in texts])
+def _redact(texts: pa.Array) -> pa.Array:
+    return by_parts(lambda part: pa.array([redact(t) for t in part], pa.string()), texts)
 
 
 def redact(text: str | None) -> str | None:
@@ -214,5 +217,5 @@ def find_pii(text: Column) -> Column:
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by its kind, and ``n_chars`` (if there) counted anew; null stays null."""
-    out = docs.withColumn("text", F.pandas_udf(_redact, "string")(F.col("text").cast("string")))
+    out = docs.withColumn("text", F.arrow_udf(_redact, "string")(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

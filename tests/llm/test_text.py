@@ -195,6 +195,19 @@ def test_added_spans_and_redaction(awkward, empty):
     assert pii.redact_pii(empty).count() == 0
 
 
+def test_workers_hold_few_texts_as_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"mail a{i}@b.de " + "x" * 20_000 for i in range(2_000)] + [None])
+    tracemalloc.start()
+    out = pii._redact(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [pii.redact(t.as_py()) for t in texts] and most < 15e6 < texts.nbytes
+
+
 def test_simhash_brute_force(spark, sample):
     import xxhash
 
