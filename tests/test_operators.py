@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from candela import api
-from candela.operators import backtest, detectors, pivots, resample, research, similarity, store, structure
+from candela.operators import backtest, detectors, levels, pivots, resample, research, similarity, store, structure
 from candela.operators import indicators as ta
 from candela.operators.pivots import Pivot
-from candela.plans import patterns
+from candela.plans import cohorts, patterns
+from candela.sources import bars as sources
 from candela.sources import parsers
 from candela.streaming import alerts
 
@@ -758,3 +759,14 @@ def test_exponential_averages_stay_arrow(spark):
         edge = np.array([np.nan] * 8 + [1.0] * 22)
         for name, values in ta.exponential_columns(close, edge * (10.0 + s), edge * (9.0 - s)).items():
             assert [got[s, day + datetime.timedelta(i)][name] for i in range(30)] == [None if np.isnan(v) else v for v in values]
+
+
+def test_own_levels_from_one_pass(spark):
+    """The same levels and closes as by windows and joins, and one scan of the rows for a query."""
+    frame = sources.bars(spark, "/root/testdata/sf0.001")
+    line = pivots.zigzag(pivots.pivots(frame))
+    parts = levels.average_levels(frame).unionByName(levels.pivot_levels(line))
+    key = ("symbol", "name", "value", "distance_pct", "side", "position")
+    got = sorted(tuple(r) for r in levels.nearest_to_close(levels.own_levels(frame)).select(*key).collect())
+    assert got == sorted(tuple(r) for r in levels.nearest(parts, frame).select(*key).collect()) and got
+    assert cohorts.nearest_levels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
