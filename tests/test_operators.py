@@ -12,7 +12,7 @@ from candela import api
 from candela.operators import backtest, detectors, levels, pivots, resample, research, similarity, store, structure
 from candela.operators import indicators as ta
 from candela.operators.pivots import Pivot
-from candela.plans import cohorts, patterns
+from candela.plans import analysis, cohorts, patterns
 from candela.sources import bars as sources
 from candela.sources import parsers
 from candela.streaming import alerts
@@ -770,3 +770,11 @@ def test_own_levels_from_one_pass(spark):
     got = sorted(tuple(r) for r in levels.nearest_to_close(levels.own_levels(frame)).select(*key).collect())
     assert got == sorted(tuple(r) for r in levels.nearest(parts, frame).select(*key).collect()) and got
     assert cohorts.nearest_levels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_outcomes_of_matches_look_at_their_symbols_alone(spark):
+    """Windows stay Arrow; what followed matches is told from their symbols' rows, not from all bars."""
+    told = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in told(analysis._cross_matches(spark, "/root/testdata/sf0.001"))
+    plan = told(analysis.match_horizons(spark, "/root/testdata/sf0.001"))
+    assert "FlatMapCoGroups" not in plan and "l_suppkey" in plan
