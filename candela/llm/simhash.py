@@ -88,7 +88,7 @@ def following(ids: DataFrame, shift: int = NEAR_IDS) -> DataFrame:
     stepped = checkpoint(ids.select("id", F.lead("id").over(window).alias("next_id"), F.row_number().over(window).alias("rn")))
     firsts = following(stepped.where("rn = 1").select("id"), shift + NEAR_IDS)
     beyond = firsts.select(F.shiftright("id", shift).alias("g"), F.col("next_id").alias("beyond"))
-    ends = stepped.where("next_id is null").withColumn("g", F.shiftright("id", shift)).join(beyond, "g").select("id", F.col("beyond").alias("next_id"))
+    ends = merged(stepped.where("next_id is null").withColumn("g", F.shiftright("id", shift)), beyond, ["g"]).select("id", F.col("beyond").alias("next_id"))
     return stepped.where("next_id is not null").select("id", "next_id").unionByName(ends)
 
 
@@ -109,6 +109,15 @@ def _blocks(count: int) -> list[tuple[list[Column], list[Column]]]:
     return out
 
 
+def merged(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the documents, by sorting.
+
+    Spark sizes a table after an explode as if each row gave one, and one read from Parquet by its packed bytes, so it
+    would broadcast tables that hold many times its limit.
+    """
+    return left.join(right.hint("merge"), keys, how)
+
+
 def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFrame:
     """``(query_hi, query_lo, hi, lo, distance)``: all of ``prints`` that differ from a query in 1 to ``radius`` bits.
 
@@ -139,7 +148,7 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, spare: int
     leading = F.array(*[F.lit(sum(1 << i for i in c)) for c in chosen])[F.col("t")]
     below = F.array(*[F.lit((1 << (c[-1] + 1)) - 1) for c in chosen])[F.col("t")]
     bits = distance(F.col("hi"), F.col("lo"), F.col("query_hi"), F.col("query_lo"))
-    found = table.join(asked, ["slot", "t", "part"]).where(bits.between(1, radius) & (agreeing.bitwiseAND(below) == leading))
+    found = merged(table, asked, ["slot", "t", "part"]).where(bits.between(1, radius) & (agreeing.bitwiseAND(below) == leading))
     return found.select("query_hi", "query_lo", "hi", "lo", bits.alias("distance"))
 
 
@@ -155,10 +164,10 @@ def with_neighbours(prints: DataFrame, step: int = QUERY_STEP, radius: int = RAD
     classes = parts.groupBy("hi", "lo").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.max("asked").alias("asked"))
     found = near(classes, classes.where("asked"), radius).groupBy(F.col("query_hi").alias("hi"),
         F.col("query_lo").alias("lo")).agg(F.count(F.lit(1)).alias("n_near"), F.min("distance").alias("nearest_bits"))
-    told = classes.join(found, ["hi", "lo"], "left").drop("asked")
-    by_part = parts.select("hi", "lo", "deal").join(told, ["hi", "lo"])
+    told = merged(classes, found, ["hi", "lo"], "left").drop("asked")
+    by_part = merged(parts.select("hi", "lo", "deal"), told, ["hi", "lo"])
     query = F.coalesce(F.col("doc_id") % step == 0, F.lit(False))
-    out = dealt.join(by_part, ["hi", "lo", "deal"]).drop("deal")
+    out = merged(dealt, by_part, ["hi", "lo", "deal"]).drop("deal")
     return out.withColumn("n_near", F.when(query, F.coalesce("n_near", F.lit(0)))).withColumn("nearest_bits", F.when(query, F.col("nearest_bits")))
 
 
@@ -181,7 +190,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     beyond = checkpoint(rows.join(wanted, F.col("id") == F.col("beyond_id")).groupBy(F.col("of").alias("g")).agg(F.min("text").alias("beyond")))
     window = Window.partitionBy("g").orderBy("id", "text")
     near = rows.withColumn("g", group).withColumn("rn", F.row_number().over(window)).withColumn("lead", F.lead("text").over(window))
-    return near.join(beyond, "g", "left")
+    return merged(near, beyond, ["g"], "left")
 
 
 def half_edits(docs: DataFrame) -> DataFrame:

@@ -280,6 +280,15 @@ def test_simhash_broadcasts_no_text(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_simhash_broadcasts_no_table_of_all_documents(spark, tmp_path):
+    """Of a table that Spark takes for small, 28 slots a fingerprint are not broadcast, nor is a row a document; only lists of crowded slots are."""
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("hi"), F.xxhash64("id", F.lit(1)).alias("lo")).write.parquet(f"{tmp_path}/prints")
+    out = simhash.with_neighbours(spark.read.parquet(f"{tmp_path}/prints"))
+    assert out.where("class_id = doc_id and class_size = 1").count() == 3000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 4
+
+
 def test_simhash_neighbours(spark, sample):
     docs = spark.read.parquet(f"{sample}/documents.parquet")
     rows = simhash.half_edits(docs).collect()
