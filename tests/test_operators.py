@@ -562,6 +562,18 @@ def test_quantiles_by_selection(spark):
     assert backtest.quantiles(frame.limit(0), ["k"], shares).count() == 0
 
 
+def test_quantiles_cut_alike_in_any_order(spark):
+    """Cuts are the same however rows are dealt, and about even, also of more values than any sketch of them holds."""
+    counted = spark.range(120_000).select(F.when(F.col("id") < 60_000, "a").alias("k"), F.expr("double(xxhash64(id)) / 1e9").alias("x"), F.lit(2).alias("_c"))
+    dealt = [backtest.cut_points(counted.repartition(n, F.hash("x")), ["k"]) for n in (3, 17)]
+    first, second = ({r.k: (r["_cuts"], r.n, r.kinds) for r in cuts.collect()} for cuts in dealt)
+    assert first == second and {k: v[1:] for k, v in first.items()} == {"a": (120_000, 60_000), None: (120_000, 60_000)}
+    for k, (cuts, *_) in first.items():
+        xs = np.sort([r.x for r in counted.where(F.col("k").eqNullSafe(F.lit(k))).collect()])
+        held = np.diff(np.searchsorted(xs, [-np.inf, *cuts, np.inf]))
+        assert len(cuts) == backtest.RANGES - 1 and 300 < held.min() and held.max() < 2000
+
+
 def test_beam_search_makes_rules_anew(spark):
     """Three rules deep against every extension tried in pandas, on quantiles of each set's own rows."""
     from candela.operators import optimize
